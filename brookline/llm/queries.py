@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
 
 
@@ -31,9 +33,35 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op7_exact_dedup, op8_packing)}
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing)}
 
 ORACLE_SQL = {
+    "op3_mixing": mixing.oracle(),
     "op7_exact_dedup": r"""
         with t as (select doc_id, coalesce(text, '') as raw, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') as norm from documents),
         r as (select doc_id, norm, first_value(doc_id) over (partition by norm order by length(raw) desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from t)
