@@ -1,8 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, exact copies, near copies, mixture, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return documents
+with the columns that they came with."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from brookline.llm import exact_dedup, mixing, packing, quality, simhash
+from brookline.llm.common import table, written
+from brookline.llm.queries import vocabulary
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, name="_quality_score")
+    return scored.where(f"_quality_score >= {quality.THRESHOLD}").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts."""
+    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near copies."""
+    dropped = simhash.simhash_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the raked mixture samples."""
+    return mixing.mix(docs).where("sampled").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of full sequences."""
+    return packing.pack(docs, vocabulary(packing.VOCABULARY))
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: The classifier, the fingerprints and the tokenizer are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
