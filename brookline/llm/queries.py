@@ -39,6 +39,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "n_found", "families", "spans")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -58,7 +64,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing)}
+def op9_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25 import search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 100 = 0").selectExpr("doc_id as qid", "text"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing, op9_bm25_topk, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op3_mixing": mixing.oracle(),
