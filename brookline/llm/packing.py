@@ -13,13 +13,13 @@ they occur; an empty table gives no pieces; other columns are left out.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from .common import written
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 200 << 20
 
 _CODERS: dict[str, WordCoder] = {}
 
@@ -36,58 +36,63 @@ _CODERS: dict[str, WordCoder] = {}
 class WordCoder:
     """Ids of whole texts, the same as the tokenizer's own, word by word with a bounded cache.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text are those of its words in turn.
-    Words of letters (with plain punctuation after them) skip its normaliser, which leaves them as they are."""
+    The tokenizer drops white space and no token spans it, nor the border of a letter and the marks after it, so the ids
+    of a text are those of its words in turn. Arrow lowers ASCII letters (as the tokenizer does later), cuts texts into
+    words and numbers the distinct ones; only those are looked up or tokenised. Latin words skip the normaliser, which
+    would only lower their case. A text with the start of a special token's name is left to the tokenizer as it is.
+    The cache has two generations: when the young one is full it becomes the old one, and what is met again moves up."""
 
-    PLAIN = regex.compile(r"(\p{Lu}?\p{Ll}+)([.,;:!?|#$%&*]*)")
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.room = self.left = cache_bytes // 2
 
     @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").astype("<u2").tobytes() if max(ids, default=0) < 65_536 else _too_wide()
+    def ids(tokenizer, texts: list[str]) -> list[bytes]:
+        try:
+            return [array("H", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        except OverflowError:
+            raise ValueError("this packing keeps ids in 16 bits; the vocabulary has larger ones") from None
 
     def learn(self, words: list[str]) -> None:
+        """Puts words that no generation holds in the young one."""
         plain, odd = [], []
         for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if m and (w.isascii() or unicodedata.is_normalized("NFC", w) and "Σ" not in w and m[1].lower().isalpha()):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                odd.append(w)
-        stems = list({s for _, s, _ in plain if s not in self.parts})
-        for s, e in zip(stems, self.bare.encode_batch_fast(stems, add_special_tokens=False), strict=True):
-            self.parts[s] = self.pack(e.ids)
-        ends = list({p for _, _, p in plain if p not in self.parts})
-        for p, e in zip(ends, self.full.encode_batch_fast(ends, add_special_tokens=False), strict=True):
-            self.parts[p] = self.pack(e.ids)
-        for w, s, p in plain:
-            self.known[w.encode()] = self.parts[s] + self.parts[p]
-        for w, e in zip(odd, self.full.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[w.encode()] = self.pack(e.ids)
-        self.held += sum(2 * len(w) + 220 for w in words) + sum(len(s) + 150 for s in stems)
+            (plain if w.isalpha() and (w.isascii() or max(w) < "\u0250" and w.lower().isalpha()) else odd).append(w)
+        for some, tokenizer, texts in ((plain, self.bare, [w.lower() for w in plain]), (odd, self.full, odd)):
+            made = self.ids(tokenizer, texts)
+            self.young.update(zip(some, made, strict=True))
+            self.left -= 190 * len(some) + sum(map(len, some)) + sum(map(len, made))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [t.encode().split() for t in texts]  # at ASCII white space alone
-        new = {w for words in split for w in words if w not in known}
+        special = {i for i, t in enumerate(texts) if "<|" in t}
+        low = pc.ascii_lower(pa.array(["" if i in special else t for i, t in enumerate(texts)] if special else texts, pa.large_string()))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(low, "([a-z])([.,;:!?]+)([ \n]|$)", "\\1 \\2\\3"))
+        numbered = pc.dictionary_encode(lists.values)
+        words = numbered.dictionary.to_pylist()
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        if old:
+            again = {w: old[w] for w in new if w in old}
+            young.update(again)
+            self.left -= 210 * len(again)
+            new = [w for w in new if w not in again]
         if new:
-            self.learn([w.decode() for w in new])
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if self.held > CACHE_BYTES:
-            self.known, self.parts, self.held = {}, {"": b""}, 0
-        return out
-
-
-def _too_wide() -> bytes:
-    raise ValueError("this packing keeps ids in 16 bits; the vocabulary has larger ones")
+            self.learn(new)
+        ids = pa.array([young[w] for w in words], pa.large_binary()).take(numbered.indices)
+        # The ids taken in turn lie end to end in one buffer; a text's are those between its first and last word.
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), ids.buffers()[2]
+        cuts = ends[np.asarray(lists.offsets)].tolist()
+        joined = [data[lo:hi].to_pybytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        for i in special:
+            joined[i] = self.ids(self.full, [texts[i]])[0]
+        if self.left < 0:
+            self.old, self.young, self.left = young, {}, self.room
+        return joined
 
 
 def coder(path: str) -> WordCoder:
@@ -105,8 +110,8 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, end, words = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes(), coder(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                some = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 1000):
+                some = b.slice(lo, 1000)
                 ids = [x + end for x in words.encode([t or "" for t in some.column(1).to_pylist()])]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
