@@ -15,7 +15,10 @@ bytes occur, so equal spans share the suffix that starts there (an anchor). The
    the smallest document of a class decides for all of its members. That is exact: contents are compared, not hashes.
 5. Each segment's removed intervals are united and cut out.
 
-A text that any share of the rows hold leaves a segment once. Results do not depend on the segments.
+Equal suffixes leave a segment once. An anchor whose K bytes more than HOT places share could still gather too many
+different suffixes in one task (a common phrase, each time amid other words). Around such anchors the spans themselves
+are sorted and merged, dealt out by their contents: equal ones fold within a segment, different ones part.
+Results depend neither on the segments nor on HOT.
 
 Defined results: a null text counts as empty; a null doc_id is larger than any other, and null ones are equal; rows with
 the same doc_id do not remove from each other; texts under SPAN bytes stay; an empty table gives an empty table; other
@@ -37,13 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SPAN, K, SEGMENT_BYTES, BLOCK_BYTES = 50, 20, 12 << 20, 2 << 20
+SPAN, K, SEGMENT_BYTES, BLOCK_BYTES, HOT = 50, 20, 12 << 20, 2 << 20, 50_000
 BEFORE = SPAN - K  # bytes before an anchor that a span can take in
 WIDTH = SPAN + BEFORE + 2  # of a sorted row: suffix, bytes before in reverse, how many of either lie in the document
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
-def segments(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def segments(docs: DataFrame, id_col: str, text_col: str, segment_bytes: int) -> DataFrame:
     """Rows (seg, ids, ends, data): a segment's doc_ids, the ends of its texts, and their bytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +60,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             for i, t in zip(pc.fill_null(b.column(0), LAST).to_pylist(), b.column(1).cast(pa.large_string()).cast(pa.large_binary()), strict=True):
                 t = t.as_py() or b""
-                if ids and held + len(t) > SEGMENT_BYTES:
+                if ids and held + len(t) > segment_bytes:
                     yield packed()
                     seg, ids, texts, held = seg + 1, [], [], 0
                 ids.append(i)
@@ -76,17 +79,21 @@ class Segment:
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
         self.starts = np.append(0, self.ends[:-1])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, documents (by number here) and hashes of the anchors."""
         out, lo = [], 0
         while lo < len(self.ends):
-            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + BLOCK_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + block_bytes, "right")))
             at, h = chosen(self.data[self.starts[lo] : self.ends[hi - 1]], self.starts[lo:hi] - self.starts[lo], self.ends[lo:hi] - self.starts[lo])
             at = at + self.starts[lo]
             out.append((at, np.searchsorted(self.ends, at, "right"), h))
             lo = hi
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
 
+    def spans(self, begin: np.ndarray) -> np.ndarray:
+        """The SPAN bytes from each of these places."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, SPAN)[begin]
+
     def rows(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The sortable row of each anchor; what lies outside the document is zero."""
         room = np.zeros(BEFORE, np.uint8), np.zeros(SPAN, np.uint8)
@@ -137,16 +144,25 @@ def chosen(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return at, h[at]
 
 
+def _press(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _bucketed(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket in the upper half, 32 bits of hash in the lower."""
     return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
-HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
+HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), *((c, pa.binary()) for c in ("hashes", "several", "places"))])
 
 
 def send_hashes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, seg, hashes, several): a segment's distinct hashes, and bits for those that several documents hold."""
+    """Rows (bucket, seg, hashes, several, places): a segment's distinct hashes, bits for those that several documents
+    hold, and at how many places they are (65535 at most)."""
     for r in (row.to_pylist()[0] for b in batches for row in (b.slice(i, 1) for i in range(b.num_rows))):
         s = Segment(r["ids"], r["ends"], r["data"])
         _, doc, h = s.anchors()
@@ -155,69 +171,99 @@ def send_hashes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         key, ids = key[order], s.ids[doc[order]]
         first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0) if len(key) else np.empty(0, np.int64)
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(key) else np.empty(0, bool)
+        places = np.minimum(np.diff(np.append(first, len(key))), 65_535).astype("<u2")
         key = key[first]
         bucket = (key >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         low = key.astype("<u4")
-        out = [{"bucket": int(bucket[a]), "seg": r["seg"], "hashes": low[a:b].tobytes(), "several": np.packbits(several[a:b]).tobytes()} for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [{"bucket": int(bucket[a]), "seg": r["seg"], "hashes": low[a:b].tobytes(), "several": np.packbits(several[a:b]).tobytes(), "places": _press(places[a:b].tobytes())} for a, b in zip(cuts, cuts[1:], strict=False)]
         yield pa.RecordBatch.from_pylist(out, HASHES)
 
 
-def shared_hashes(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each segment its hashes that occur in two documents or more."""
+def shared_hashes(table: pa.Table, hot_from: int = HOT) -> pa.Table:
+    """Of one bucket: for each segment its hashes that occur in two documents or more, and bits for the hot ones."""
     rows = table.to_pylist()
     h = [np.frombuffer(r["hashes"], "<u4") for r in rows]
-    n = np.array([len(x) for x in h])
+    n = np.cumsum([len(x) for x in h])[:-1]
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(x)) for r, x in zip(rows, h, strict=True)])
+    places = np.concatenate([np.frombuffer(_open(r["places"]), "<u2") for r in rows]).astype(np.int64)
     every = np.concatenate(h)
     order = np.argsort(every, kind="stable")
     first = np.flatnonzero(np.diff(every[order].astype(np.int64), prepend=-1))
     size = np.diff(np.append(first, len(every)))
-    good = np.empty(len(every), bool)
+    good, hot = np.empty(len(every), bool), np.empty(len(every), bool)
     good[order] = np.repeat((size > 1) | (np.maximum.reduceat(several[order], first) > 0), size)
-    out = [{"seg": r["seg"], "bucket": r["bucket"], "hashes": x[g].tobytes()} for r, x, g in zip(rows, h, np.split(good, np.cumsum(n)[:-1]), strict=True) if g.any()]
-    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary())]))
+    hot[order] = np.repeat(np.add.reduceat(places[order], first) > hot_from, size)
+    parts = zip(rows, h, np.split(good, n), np.split(hot, n), strict=True)
+    out = [{"seg": r["seg"], "bucket": r["bucket"], "hashes": x[g].tobytes(), "hot": np.packbits(w[g]).tobytes()} for r, x, g, w in parts if g.any()]
+    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("hot", pa.binary())]))
+
+
+RUN = pa.schema([("share", pa.int64()), ("seg", pa.int64()), ("ahead", pa.int64()), *((c, pa.binary()) for c in ("common", "rest", "low", "new", "place", "doc"))])
 
 
-RUN = pa.schema([("share", pa.int64()), ("seg", pa.int64()), ("common", pa.binary()), ("rest", pa.binary()), ("low", pa.binary()), ("entry", pa.binary()), ("place", pa.binary()), ("doc", pa.binary())])
+def _run(rows: np.ndarray, places: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+    """A sorted, front-coded run of the distinct rows, with the smallest document of each and where they occur."""
+    width = rows.shape[1]
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    rows, ids = rows[order], ids[order]
+    same = rows[1:] == rows[:-1]
+    common = np.append(0, np.where(same.all(1), width, same.argmin(1)))
+    new = common < width
+    first, common = np.flatnonzero(new), common[new].astype(np.uint8)
+    rest = rows[first][np.arange(width) >= common[:, None]]
+    parts = {"common": common, "rest": rest, "low": np.minimum.reduceat(ids, first).astype("<i8"), "new": np.packbits(new), "place": places[order].astype("<u4"), "doc": ids.astype("<i8")}
+    return {k: _press(v.tobytes()) for k, v in parts.items()}
+
+
+def _shares(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    by = np.argsort(share, kind="stable")
+    cuts = np.flatnonzero(np.diff(share[by].astype(np.int64), prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(share[by[a]]), by[a:b]
 
 
 def sort_runs(table: pa.Table, flags: pa.Table, buckets: int, shares: int) -> pa.Table:
-    """The sorted, front-coded runs of one segment, one per share of the suffixes: distinct rows with the smallest
-    document of each, and where they occur (entry of the run, place, doc_id)."""
-    out = []
-    known = np.sort(np.concatenate([np.uint64(b << 32) | np.frombuffer(h, "<u4").astype(np.uint64) for b, h in zip(flags.column("bucket").to_pylist(), flags.column("hashes").to_pylist(), strict=True)] or [np.empty(0, np.uint64)]))
-    for r in table.to_pylist() if len(known) else []:
+    """The runs of one segment, one per share of the suffixes (ahead is -1) and one per share of the spans about hot
+    anchors that begin `ahead` bytes before them (shares from `shares` on)."""
+    out, known, hot = [], [], []
+    for b, h, w in zip(*(flags.column(c).to_pylist() for c in ("bucket", "hashes", "hot")), strict=True):
+        known.append(np.uint64(b << 32) | np.frombuffer(h, "<u4").astype(np.uint64))
+        hot.append(np.unpackbits(np.frombuffer(w, np.uint8), count=len(known[-1])).astype(bool))
+    if not known:
+        return RUN.empty_table()
+    known, hot = np.concatenate(known), np.concatenate(hot)
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
+    power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
+    for r in table.to_pylist():
         s = Segment(r["ids"], r["ends"], r["data"])
         at, doc, h = s.anchors()
         key = _bucketed(h, buckets)
-        hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-        at, doc, share = at[hit], doc[hit], (h[hit] >> np.uint64(7)) % np.uint64(shares)
-        by = np.argsort(share, kind="stable")
-        cuts = np.flatnonzero(np.diff(share[by].astype(np.int64), prepend=-1, append=-1))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            mine = by[a:b]
-            rows = s.rows(at[mine], doc[mine])
-            order = np.argsort(rows.view(f"S{WIDTH}").ravel(), kind="stable")
-            rows, ids = rows[order], s.ids[doc[mine[order]]]
-            same = rows[1:] == rows[:-1]
-            common = np.append(0, np.where(same.all(1), WIDTH, same.argmin(1))) if len(rows) else np.empty(0, np.int64)
-            new = common < WIDTH
-            first, common = np.flatnonzero(new), common[new].astype(np.uint8)
-            rest = rows[first][np.arange(WIDTH) >= common[:, None]]
-            out.append({
-                "share": int(share[mine[0]]), "seg": r["seg"], "common": common.tobytes(), "rest": rest.tobytes(), "low": np.minimum.reduceat(ids, first).astype("<i8").tobytes(),
-                "entry": (np.cumsum(new) - 1).astype("<u4").tobytes(), "place": at[mine[order]].astype("<u4").tobytes(), "doc": ids.astype("<i8").tobytes(),
-            })
+        i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        hit = known[i] == key
+        at, doc, h, warm = at[hit], doc[hit], h[hit], hot[i[hit]]
+        for share, mine in _shares((h[~warm] >> np.uint64(7)) % np.uint64(shares)):
+            mine = np.flatnonzero(~warm)[mine]
+            out.append({"share": share, "seg": r["seg"], "ahead": -1, **_run(s.rows(at[mine], doc[mine]), at[mine], s.ids[doc[mine]])})
+        at, doc = at[warm], doc[warm]
+        for ahead in range(BEFORE + 1) if len(at) else ():
+            ok = (at - s.starts[doc] >= ahead) & (s.ends[doc] - at >= SPAN - ahead)
+            begin, ids = at[ok] - ahead, s.ids[doc[ok]]
+            if len(begin):
+                spans = s.spans(begin)
+                mixed = np.concatenate([(spans[lo : lo + 50_000] * power).sum(1, dtype=np.uint64) for lo in range(0, len(spans), 50_000)])
+                for share, mine in _shares((mixed >> np.uint64(33)) % np.uint64(shares)):
+                    out.append({"share": shares + share, "seg": r["seg"], "ahead": ahead, **_run(spans[mine], begin[mine], ids[mine])})
     return pa.Table.from_pylist(out, RUN)
 
 
-def decoded(common: bytes, rest: bytes) -> Iterator[tuple[int, bytes]]:
+def decoded(common: bytes, rest: bytes, width: int) -> Iterator[tuple[int, bytes]]:
     """The (common-prefix length, row) pairs of a front-coded run."""
     row, at = b"", 0
     for c in common:
-        row = row[:c] + rest[at : at + WIDTH - c]
-        at += WIDTH - c
+        row = row[:c] + rest[at : at + width - c]
+        at += width - c
         yield c, row
 
 
@@ -276,21 +322,41 @@ def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int, b
 
 
 def covered(table: pa.Table) -> pa.Table:
-    """Of one share of the suffixes: for each segment the intervals that go."""
-    rows = table.sort_by("seg").to_pylist()
+    """Of one share: for each segment the intervals that go."""
+    rows = [{k: _open(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in table.sort_by([("seg", "ascending"), ("ahead", "ascending")]).to_pylist()]
+    width = WIDTH if rows[0]["ahead"] < 0 else SPAN
     runs, shared, parts = [], [], []
-    for run, common, row in merge([decoded(r["common"], r["rest"]) for r in rows]):
+    for run, common, row in merge([decoded(r["common"], r["rest"], width) for r in rows]):
         runs.append(run)
         shared.append(common)
         parts.append(row)
-    suffix = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WIDTH)
-    n, runs, shared = len(suffix), np.array(runs), np.array(shared)
-    del parts
+    n, runs, shared = len(parts), np.array(runs), np.array(shared)
     by_run = np.argsort(runs, kind="stable")  # entries of each run in its order
     low = np.empty(n, np.int64)
     low[by_run] = np.concatenate([np.frombuffer(r["low"], "<i8") for r in rows])
     begin = np.cumsum([0, *(len(r["common"]) for r in rows)])
-    left, right = suffix[:, -2], suffix[:, -1]
+    if width == SPAN:  # equal spans lie together
+        first = np.flatnonzero(shared < SPAN)
+        least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, n)))[None]
+    else:
+        least = _least(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WIDTH), shared, low)
+    out = []
+    for i, r in enumerate(rows):
+        place, doc = np.frombuffer(r["place"], "<u4").astype(np.int64), np.frombuffer(r["doc"], "<i8")
+        entry = np.cumsum(np.unpackbits(np.frombuffer(r["new"], np.uint8), count=len(place)).astype(np.int64)) - 1
+        gone = least[:, by_run[begin[i] + entry]] < doc
+        hit = gone.any(0)
+        if hit.any():
+            # Spans about one anchor overlap: their union runs from the first to the last.
+            far, near = len(least) - 1 - gone[::-1, hit].argmax(0), gone[:, hit].argmax(0)
+            out.append({"seg": r["seg"], "begin": _press((place[hit] - far).astype("<u4").tobytes()), "end": _press((place[hit] - near + SPAN).astype("<u4").tobytes())})
+    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("begin", pa.binary()), ("end", pa.binary())]))
+
+
+def _least(suffix: np.ndarray, shared: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For every number of bytes that a span begins before its anchor, and every sorted row: the smallest document with
+    the same span there (LAST where the span leaves the document). shared: common prefixes of neighbouring rows."""
+    n, left, right = len(suffix), suffix[:, -2], suffix[:, -1]
     # Classes of the bytes before an anchor, for every length, from the common prefixes of their sorted order.
     before = np.ascontiguousarray(suffix[:, SPAN:-2])
     order = np.argsort(before.view(f"S{BEFORE}").ravel(), kind="stable")
@@ -308,16 +374,7 @@ def covered(table: pa.Table) -> pa.Table:
         by = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.diff(key[by], prepend=-1))
         least[j, ok[by]] = np.repeat(np.minimum.reduceat(low[ok[by]], first), np.diff(np.append(first, len(by))))
-    out = []
-    for i, r in enumerate(rows):
-        entry, place, doc = np.frombuffer(r["entry"], "<u4").astype(np.int64), np.frombuffer(r["place"], "<u4").astype(np.int64), np.frombuffer(r["doc"], "<i8")
-        gone = least[:, by_run[begin[i] + entry]] < doc
-        hit = gone.any(0)
-        if hit.any():
-            # Spans about one anchor overlap: their union runs from the first to the last.
-            far, near = BEFORE - gone[::-1, hit].argmax(0), gone[:, hit].argmax(0)
-            out.append({"seg": r["seg"], "begin": (place[hit] - far).astype("<u4").tobytes(), "end": (place[hit] - near + SPAN).astype("<u4").tobytes()})
-    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("begin", pa.binary()), ("end", pa.binary())]))
+    return least
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<array<int>>, kept_sha256 string, kept binary"
@@ -329,7 +386,7 @@ def cut_out(table: pa.Table, intervals: pa.Table, keep: bool) -> pa.Table:
     out = []
     for r in table.to_pylist():
         s = Segment(r["ids"], r["ends"], r["data"])
-        begin, end = (np.concatenate([np.frombuffer(x, "<u4") for x in intervals.column(c).to_pylist()] or [np.empty(0, np.uint32)]) for c in ("begin", "end"))
+        begin, end = (np.concatenate([np.frombuffer(_open(x), "<u4") for x in intervals.column(c).to_pylist()] or [np.empty(0, np.uint32)]) for c in ("begin", "end"))
         n = len(s.data) + 1
         gone = np.cumsum(np.bincount(begin, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0 if len(begin) else np.zeros(n - 1, bool)
         for i, a, b in zip(s.ids.tolist(), s.starts.tolist(), s.ends.tolist(), strict=True):
@@ -341,14 +398,14 @@ def cut_out(table: pa.Table, intervals: pa.Table, keep: bool) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RESULT, strict=True)], schema=_RESULT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, segment_bytes: int = SEGMENT_BYTES, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans (begin and end of what goes, in bytes), kept_sha256,
     and, with keep, the remaining bytes as kept."""
-    held = written(segments(docs, id_col, text_col), "segments")
+    held = written(segments(docs, id_col, text_col, segment_bytes), "segments")
     n = held.select("seg").count()
     buckets, shares = max(8, n // 4), max(8, n)
-    hashes = held.mapInArrow(lambda batches: send_hashes(batches, buckets), "bucket long, seg long, hashes binary, several binary")
-    flags = hashes.groupBy("bucket").applyInArrow(shared_hashes, "seg long, bucket long, hashes binary")
-    runs = held.groupBy("seg").cogroup(flags.groupBy("seg")).applyInArrow(lambda t, f: sort_runs(t, f, buckets, shares), "share long, seg long, common binary, rest binary, low binary, entry binary, place binary, doc binary")
+    hashes = held.mapInArrow(lambda batches: send_hashes(batches, buckets), "bucket long, seg long, hashes binary, several binary, places binary")
+    flags = hashes.groupBy("bucket").applyInArrow(lambda t: shared_hashes(t, hot), "seg long, bucket long, hashes binary, hot binary")
+    runs = held.groupBy("seg").cogroup(flags.groupBy("seg")).applyInArrow(lambda t, f: sort_runs(t, f, buckets, shares), "share long, seg long, ahead long, common binary, rest binary, low binary, new binary, place binary, doc binary")
     intervals = runs.groupBy("share").applyInArrow(covered, "seg long, begin binary, end binary")
     return held.groupBy("seg").cogroup(intervals.groupBy("seg")).applyInArrow(lambda t, i: cut_out(t, i, keep), RESULT)

@@ -43,15 +43,26 @@ def passages(seed, alphabet):
 SCHEMA = "doc_id long, text string, seg string, ids int"
 
 
-@pytest.mark.parametrize(("seed", "alphabet", "segment"), [(1, "abcdefgh éß", 12 << 20), (2, "ab", 3_000), (3, "abcdefghijklmnopqrstuvwxyz \0", 700)])
-def test_matches_brute_force(spark, monkeypatch, seed, alphabet, segment):
-    monkeypatch.setattr(sd, "SEGMENT_BYTES", segment)
-    monkeypatch.setattr(sd, "BLOCK_BYTES", 2_000)
+@pytest.mark.parametrize(("seed", "alphabet", "segment", "hot"), [(1, "abcdefgh éß", 12 << 20, 50_000), (2, "ab", 3_000, 50_000), (3, "abcdefghijklmnopqrstuvwxyz \0", 700, 50_000), (4, "abcdefgh \0", 2_000, 0), (5, "ab", 12 << 20, 3), (6, "abcdefghijklm", 700, 8)])
+def test_matches_brute_force(spark, seed, alphabet, segment, hot):
     rows = passages(seed, alphabet)
-    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), segment_bytes=segment, hot=hot)
     assert result(got) == brute(rows)
 
 
+def test_anchors_are_shared_by_equal_spans():
+    r = random.Random(3)
+    shared = "".join(r.choice("abc d") for _ in range(90))
+    texts = [("".join(r.choice("abc d") for _ in range(r.randint(0, 200))) + shared).encode() for _ in range(30)]
+    ends = sd.np.cumsum([len(t) for t in texts], dtype="<i8")
+    s = sd.Segment(sd.np.arange(30, dtype="<i8").tobytes(), ends.tobytes(), sd.zstandard.compress(b"".join(texts)))
+    a, b = s.anchors(500), s.anchors()
+    assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    mine = [set((b[0][b[1] == i] - s.ends[i]).tolist()) for i in range(30)]
+    for lo in range(-90, -49):  # whatever span of the shared part is looked at, all documents have an anchor in common there
+        assert {x for x in set.intersection(*mine) if lo <= x <= lo + sd.SPAN - sd.K}
+
+
 def test_the_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -77,7 +88,7 @@ def test_merge_sorts_and_gives_common_prefixes():
         coded = []
         for run in runs:
             common = bytes(lcp(a, b) for a, b in zip([b"", *run], run, strict=False))
-            coded.append(sd.decoded(common, b"".join(x[c:] for x, c in zip(run, common, strict=True))))
+            coded.append(sd.decoded(common, b"".join(x[c:] for x, c in zip(run, common, strict=True)), sd.WIDTH))
         got = list(sd.merge(coded))
         want = sorted((x, i) for i, run in enumerate(runs) for x in run)
         assert [(x, i) for i, _, x in got] == want
