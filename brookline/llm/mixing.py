@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ALPHA, ROUNDS, MARGINS = 0.8, 8, ("source", "lang", "topic")
+ALPHA, ROUNDS, MARGINS = 0.9, 8, ("source", "lang", "topic")
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
