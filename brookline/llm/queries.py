@@ -68,7 +68,7 @@ def op9_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bm25 import search
 
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where("doc_id % 100 = 0").selectExpr("doc_id as qid", "text"))
+    return search(docs, docs.where("doc_id % 100 = 0").selectExpr("doc_id as qid", "text")).withColumn("score", F.round("score", 6))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing, op9_bm25_topk, op10_suffix_dedup)}
 
+_SUFFIXES = """
+        with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        s as materialized (select doc_id, i, substr(h, 2 * i + 1, 100) as w from (select *, unnest(range(0, length(h) // 2 - 49)) as i from d)),
+        f as (select w, min(doc_id) as first_id from s group by w),
+        g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as starts from s join f using (w) where first_id < doc_id),
+        r as (select doc_id, min(i) as lo, max(i) + 50 as hi from (select *, sum(starts) over (partition by doc_id order by i) as n from g) group by doc_id, n),
+        k as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as since from r),
+        t as (select doc_id, sum(hi - lo)::bigint as n_removed, count(*) as n_spans, max(hi) as tail, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' order by lo) as kept from k join d using (doc_id) group by doc_id)
+        select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(case when tail is null then h else kept || substr(h, 2 * tail + 1) end)) as kept_sha256 from d left join t using (doc_id)"""
+
+_BM25 = """
+        with w as materialized (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN]+')) as term from documents),
+        l as (select doc_id, count(*) as dl from w group by 1),
+        n as (select count(*) as n, (select sum(dl) from l) / count(*) as mean from documents),
+        tf as materialized (select doc_id, term, count(*) as tf from w group by all),
+        df as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, n group by term, n),
+        q as (select qid, term, idf from (select doc_id as qid, term, idf, row_number() over (partition by doc_id order by tf * idf desc, term) as r from tf join df using (term) where doc_id % 100 = 0) where r <= 16),
+        s as (select qid, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) order by term) as score from q join tf using (term) join l using (doc_id), n group by 1, 2)
+        select qid, rank, doc_id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id)::int as rank from s) where rank <= 10"""
+
 ORACLE_SQL = {
     "op3_mixing": mixing.oracle(),
     "op7_exact_dedup": r"""
         with t as (select doc_id, coalesce(text, '') as raw, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') as norm from documents),
         r as (select doc_id, norm, first_value(doc_id) over (partition by norm order by length(raw) desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from r""",
+    "op9_bm25_topk": _BM25,
+    "op10_suffix_dedup": _SUFFIXES,
 }
