@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arith import fires
 from .series import gate, queue_depth
 
 TOLERANCE, FIRST = 1e-6, 5
@@ -81,3 +82,34 @@ def edge_rules(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         kind.where("kind = 'dependency'").join(edges.where("type = 'effort'"), F.col("node_id") == F.col("target"), "left_anti").select("node_id", F.lit("dependency_missing_effort_edges").alias("code")),
     ]
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def gate_closed(nodes: DataFrame, period: int, phase: int = 0) -> DataFrame:
+    """Bins at which a backlog waits behind a closed schedule (and those at which nothing is served though it is open)."""
+    stuck = nodes.where((F.col("served") <= TOLERANCE) & (F.abs("queue_depth") > TOLERANCE))
+    code = F.when(fires(F.col("bin"), period, phase), "queue_latency_unreported").otherwise("queue_latency_gate_closed")
+    return _gathered(stuck.withColumn("code", code).withColumn("amount", F.abs("queue_depth")))
+
+
+def mode_errors(nodes: DataFrame, required: list[str], mode: str = "simulation") -> DataFrame:
+    """Required series that are absent or not numbers: errors of a simulation, warnings of telemetry."""
+    bad = lambda c: F.max((F.col(c).isNull() | F.isnan(c)).cast("int"))
+    there = [c for c in required if c in nodes.columns]
+    seen = nodes.groupBy("node_id").agg(*[bad(c).alias(c) for c in there], F.lit(0).alias("_"))
+    entries = [F.when(F.col(c) > 0, F.lit(f"invalid_{c}_series")) if c in there else F.lit(f"missing_{c}_series") for c in required]
+    rows = seen.select("node_id", F.explode(F.array_compact(F.array(*entries))).alias("code"))
+    return rows.withColumn("severity", F.lit("error" if mode == "simulation" else "warning"))
+
+
+def constraint_errors(constraints: DataFrame) -> DataFrame:
+    """Constraints (constraint_id, arrivals, served series ids) without one of their series."""
+    codes = F.array_compact(F.array(F.when(F.col("arrivals").isNull(), "constraint_missing_arrivals"), F.when(F.col("served").isNull(), "constraint_missing_served")))
+    return constraints.select("constraint_id", F.explode(codes).alias("code"))
+
+
+def telemetry_gaps(series: DataFrame, bins: int) -> DataFrame:
+    """Per series (series_id, bin, value): data gaps, values that are no numbers, and a wrong length."""
+    g = series.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("gaps"), F.sum(F.isnan("value").cast("long")).alias("nans"))
+    one = lambda c, code, n: F.when(c, F.struct(F.lit(code).alias("code"), n.alias("n")))
+    codes = F.array_compact(F.array(one(F.col("gaps") > 0, "data_gap", F.col("gaps")), one(F.col("nans") > 0, "nan_detected", F.col("nans")), one(F.col("n") != bins, "length_mismatch", F.col("n"))))
+    return g.select("series_id", F.explode(codes).alias("w")).select("series_id", "w.*")

@@ -96,3 +96,13 @@ def queued(inflow: DataFrame, outflow: DataFrame, init: float = 0.0) -> DataFram
 def gated(a: DataFrame, allowed: Column) -> DataFrame:
     """An outflow that a schedule cuts to `allowed`: classes scale alike."""
     return a.select(*KEYS, allowed.alias("total"), (F.col("value") * safe_div(allowed, "total")).alias("value"))
+
+
+def first_of(*given: DataFrame) -> DataFrame:
+    """Classes from several makers (scenario_id, bin, class_id, total, value); of each key the first one that has it counts."""
+    ranked = [df.select(*KEYS, "total", "value", F.lit(i).alias("rank")) for i, df in enumerate(given)]
+    rows = ranked[0]
+    for df in ranked[1:]:
+        rows = rows.unionByName(df)
+    best = rows.groupBy(*KEYS).agg(F.min_by(F.struct("total", "value"), "rank").alias("x"))
+    return best.select(*KEYS, "x.total", "x.value")

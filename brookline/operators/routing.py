@@ -118,6 +118,41 @@ def retry_split(flows: DataFrame, echo: DataFrame) -> DataFrame:
     return flows.join(echo, ["scenario_id", "target", "bin"]).withColumn("retry_volume", F.col("retry_echo") * part)
 
 
+def router_edge_flow(flows: DataFrame, edges: DataFrame, router_of: DataFrame) -> DataFrame:
+    """A router's edges carry what its targets get. router_of: router, target; edges: edge_id, source (router), target."""
+    named = edges.join(router_of.select(F.col("router").alias("source"), "target"), ["source", "target"], "left_semi")
+    return named.join(flows, "target").select("scenario_id", "edge_id", "source", "target", "bin", "flow")
+
+
+def terminal_failures(nodes: DataFrame, edges: DataFrame, measure: str = "failures") -> DataFrame:
+    """failures_volume of terminal edges: the source's failures (or errors, or exhausted ones) times multiplier or weight."""
+    amount = nodes.select("scenario_id", F.col("node_id").alias("source"), "bin", F.col(measure).alias("amount"))
+    return edges.join(amount, "source").select("scenario_id", "edge_id", "bin", (F.col("amount") * F.coalesce("multiplier", "weight", F.lit(1.0))).alias("failures_volume"))
+
+
+def effort_retries(efforts: DataFrame) -> DataFrame:
+    """retry_volume of effort edges: attempts beyond the flow."""
+    return efforts.withColumn("retry_volume", F.greatest(F.col("attempts_volume") - F.col("flow"), F.lit(0.0)))
+
+
+def limit_at_query(nodes: DataFrame, members: DataFrame, capacities: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Constraints applied to results: served held to the least allocation, and edge flows scaled as their sources' served."""
+    held = enforce(nodes, members, capacities, "served")
+    before = nodes.select("scenario_id", F.col("node_id").alias("source"), "bin", F.col("served").alias("_before"))
+    after = held.select("scenario_id", F.col("node_id").alias("source"), "bin", F.col("served").alias("_after"))
+    ratio = F.when(F.col("_before") > 0, F.try_divide(F.col("_after"), F.col("_before"))).otherwise(1.0)
+    scaled = flows.join(before, ["scenario_id", "source", "bin"]).join(after, ["scenario_id", "source", "bin"]).withColumn("flow", F.col("flow") * ratio).drop("_before", "_after")
+    return held, scaled
+
+
+def edge_class_mismatch(nodes: DataFrame, flows: DataFrame, side: str, tolerance: float = 1e-6) -> DataFrame:
+    """Bins at which a class's value at a node and the sum of its edges differ. nodes: node_id, class_id, value; flows:
+    source, target, class_id, flow."""
+    total = flows.groupBy("scenario_id", F.col(side).alias("node_id"), "class_id", "bin").agg(F.sum("flow").alias("edges"))
+    both = nodes.join(total, ["scenario_id", "node_id", "class_id", "bin"])
+    return both.where(F.abs(F.col("value") - F.col("edges")) > tolerance).select("scenario_id", "node_id", "class_id", "bin", F.col("value").alias("expected"), "edges")
+
+
 def edge_mismatch(nodes: DataFrame, flows: DataFrame, side: str, measure: str, tolerance: float = 1e-6) -> DataFrame:
     """Bins at which a node's measure and the sum of its edges on one side ("source" or "target") differ."""
     total = flows.groupBy("scenario_id", F.col(side).alias("node_id"), "bin").agg(F.sum("flow").alias("edges"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arith import fin, safe_div
+from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
 from ..operators.series import convolve, feedback, gate, queue_depth, queue_with_limit
 from .expr import has_lag, parse, references, to_column, to_python
@@ -64,8 +65,11 @@ def steps_of(model: dict) -> list[Step]:
         s = t.get("semantics") or {}
         for c in t.get("constraints") or []:
             members.setdefault(c, []).append(t)
-        if s.get("errors") and s.get("retryKernel") and s.get("retryEcho"):
-            out.append(Step("expr", [s["retryEcho"]], {s["errors"]}, spec={"column": (s["errors"], list(map(float, s["retryKernel"])))}))
+        failed = s.get("failures") or s.get("errors")
+        if failed and s.get("retryEcho") and s["retryEcho"] not in nodes_of(model):
+            out.append(Step("expr", [s["retryEcho"]], {failed}, spec={"column": (failed, retry_kernel(s.get("retryKernel"))[0])}))
+        if t.get("kind") == "sink" and s.get("arrivals") and s.get("served") and s["served"] not in nodes_of(model):
+            out.append(Step("expr", [s["served"]], {s["arrivals"]}, spec={"tree": parse(s["arrivals"])}))  # a sink serves all that comes
         if t.get("kind") in ("serviceWithBuffer", "queue", "dlq") and s.get("arrivals"):
             inflow_of[t["id"]] = s["arrivals"]
     caps: dict[str, list[str]] = {}

@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 from .functions import arith as A
 from .functions import metrics as M
 from .functions.rng import Pmf
-from .operators import checks, classes, routing, series, summary
+from .operators import checks, classes, routing, series, state, summary
 from .plans import scenarios
 from .plans.compiler import evaluate
 from .plans.expr import to_column
+from .plans.graph import graph
 from .sources import registry
 from .sources.events import binned, by_type
 from .sources.series_files import export_rows
@@ -544,3 +545,132 @@ def flagship(spark, sf):
     """Binned events, their queue, and what it does to latency."""
     df = series.queue_depth(hours(spark, sf), F.col("arrivals"), F.col("served"))
     return df.select("bin", "arrivals", "served", "queue", r6(M.latency_minutes("queue", "served", 3_600_000.0)).alias("latency_min"), r6(M.throughput_ratio("served", "arrivals")).alias("throughput_ratio"))
+
+
+# --- more of routing, checks and the query surface --------------------------------------------------------------------
+
+
+@query("with $U select user_id || '->' || (user_id + hop) as edge_id, bin, errors * 2 as failures_volume, greatest((arrivals + errors) * 2 - served * case hop when 1 then 0.75 else 0.25 end, 0) as retry_volume from u, (values (1), (2)) t(hop)")
+def edge_failures_and_retries(spark, sf):
+    n, e = _nodes(spark, sf), _edges(spark, sf)
+    failures = routing.terminal_failures(n, e)
+    efforts = routing.edge_effort(n, e.withColumn("lag", F.lit(0))).drop("failures_volume").join(routing.edge_flow(n, e).select("scenario_id", "edge_id", "bin", "flow"), ["scenario_id", "edge_id", "bin"])
+    return failures.join(routing.effort_retries(efforts), ["scenario_id", "edge_id", "bin"]).select("edge_id", "bin", "failures_volume", "retry_volume")
+
+
+@query("with $U, d as (select bin, sum(arrivals) as v from u group by 1) select 'r->' || target as edge_id, bin, round(v * f, 6) as flow from d, (values ('a', 0.6), ('b', 0.4)) t(target, f)")
+def router_edges(spark, sf):
+    routes = _routes(spark, ("a", 3.0, None), ("b", 2.0, None))
+    edges = spark.createDataFrame([("r->a", "r", "a"), ("r->b", "r", "b"), ("x->a", "x", "a")], "edge_id string, source string, target string")
+    flows = routing.route(_source(spark, sf), routes)
+    return routing.router_edge_flow(flows, edges, routes.select("router", "target")).select("edge_id", "bin", r6("flow").alias("flow"))
+
+
+@query("with $U, a as (select *, case when t <= 2 then served else 2 * served / t end as al from (select *, sum(served) over (partition by user_id % 10, bin) as t from u)), c as (select *, case when al + 1e-6 < served then al else served end as held from a) select user_id || '->' || (user_id + hop) as edge_id, bin, round(held, 6) as served, round(served * case hop when 1 then 0.75 else 0.25 end * case when served > 0 then held / served else 1 end, 6) as flow from c, (values (1), (2)) t(hop)")
+def constraint_at_query(spark, sf):
+    n, e = _nodes(spark, sf), _edges(spark, sf)
+    d = _demand(spark, sf)
+    caps = d.select("scenario_id", "constraint_id", "bin", F.lit(2.0).alias("capacity")).distinct()
+    held, flows = routing.limit_at_query(n, d.select("constraint_id", "node_id").distinct(), caps, routing.edge_flow(n, e))
+    return flows.join(held.select("scenario_id", F.col("node_id").alias("source"), "bin", "served"), ["scenario_id", "source", "bin"]).select("edge_id", "bin", r6("served").alias("served"), r6("flow").alias("flow"))
+
+
+@query("with $U select constraint_id, bin, shortfall, (shortfall > 1e-6)::int as limited from (select 'c' || (user_id % 10) as constraint_id, bin, greatest(0, sum(arrivals) - 3) as shortfall from u group by 1, 2)")
+def constraint_status(spark, sf):
+    d = _demand(spark, sf).groupBy("constraint_id", "bin").agg(F.sum("demand").alias("demand"), F.max("capacity").alias("capacity"))
+    return d.select("constraint_id", "bin", M.shortfall("demand", "capacity").alias("shortfall"), M.limited("capacity", "demand").alias("limited"))
+
+
+@query(f"with {_T} select bin, class_id, case when class_id in ('view', 'click') then 2 * value else value end as value from k")
+def class_overrides(spark, sf):
+    c = _classes(spark, sf)
+    first = c.where(F.col("class_id").isin("view", "click")).withColumn("value", 2 * F.col("value"))
+    return classes.first_of(first, c).select("bin", "class_id", "value")
+
+
+@query(f"with {_T} select bin, class_id, floor(value / 2) as half, value - 3 * floor(value / 3) as rest from k")
+def class_unary(spark, sf):
+    c = _classes(spark, sf)
+    half = classes.each(c.withColumns({"value": F.col("value") / 2, "total": F.col("total") / 2}), "floor").select("bin", "class_id", F.col("value").alias("half"))
+    return half.join(c.select("bin", "class_id", A.floored_mod("value", 3.0).alias("rest")), ["bin", "class_id"])
+
+
+@query(f"with {_T} select bin, class_id, value * 3 as product, case when total < 1e-9 then 0 else round(value / 4, 6) end as quotient from k")
+def class_scaling(spark, sf):
+    c = _classes(spark, sf)
+    by = lambda v: c.select("scenario_id", "bin").distinct().select("scenario_id", "bin", F.lit(None).cast("string").alias("class_id"), F.lit(v).alias("total"), F.lit(None).cast("double").alias("value"))
+    q = classes.over(c, by(4.0)).select("bin", "class_id", r6("value").alias("quotient"))
+    return classes.times(c, by(3.0)).select("bin", "class_id", F.col("value").alias("product")).join(q, ["bin", "class_id"])
+
+
+@query(f"with $U select user_id as node_id, case when bin % 3 = 1 then 'queue_latency_unreported' else 'queue_latency_gate_closed' end as code, {_FOUND} from (select user_id, bin, arrivals as x from u where served <= 1e-6) where x > 1e-6 group by 1, 2")
+def warn_gate_closed(spark, sf):
+    n = users(spark, sf).withColumns({"node_id": F.col("user_id"), "queue_depth": F.col("arrivals")})
+    return _found(checks.gate_closed(n, 3, 1))
+
+
+@query("with $U, f as (select user_id + hop as node_id, c as class_id, bin, sum(v * case hop when 1 then 0.75 else 0.25 end) as edges from (select user_id, bin, unnest(['a', 's']) as c, unnest([arrivals, served]) as v from u), (values (1), (2)) t(hop) group by all), n as (select user_id as node_id, bin, unnest(['a', 's']) as class_id, unnest([arrivals, served]) as value from u) select node_id, class_id, bin, value as expected, round(edges, 6) as edges from n join f using (node_id, class_id, bin) where abs(value - edges) > 1e-6")
+def warn_edge_class(spark, sf):
+    long = users(spark, sf).select("scenario_id", "user_id", "bin", F.col("arrivals").alias("a"), F.col("served").alias("s")).unpivot(["scenario_id", "user_id", "bin"], ["a", "s"], "class_id", "value")
+    e = _edges(spark, sf).withColumn("part", F.when(F.col("target") - F.col("source") == 1, 0.75).otherwise(0.25))
+    flows = long.join(e, F.col("user_id") == F.col("source")).select("scenario_id", "source", "target", "class_id", "bin", (F.col("value") * F.col("part")).alias("flow"))
+    n = long.withColumnRenamed("user_id", "node_id")
+    return routing.edge_class_mismatch(n, flows, "target").select("node_id", "class_id", "bin", "expected", r6("edges").alias("edges"))
+
+
+@query("with $U select user_id as node_id, unnest(['invalid_latency_series', 'missing_capacity_series']) as code, 'warning' as severity from u group by 1 having bool_or(served = 0) union all select user_id, 'missing_capacity_series', 'warning' from u group by 1 having not bool_or(served = 0)")
+def warn_mode(spark, sf):
+    n = users(spark, sf).select(F.col("user_id").alias("node_id"), "bin", "arrivals", M.queue_time_ms("arrivals", "served", 1.0).alias("latency"))
+    return checks.mode_errors(n, ["arrivals", "latency", "capacity"], "telemetry")
+
+
+@query("with $U select series_id, code, n from (select user_id as series_id, unnest(['data_gap', 'length_mismatch']) as code, unnest([count(*) filter (where arrivals = 0), count(*)]) as n from u group by 1) where code <> 'data_gap' or n > 0")
+def warn_telemetry(spark, sf):
+    t = users(spark, sf).select(F.col("user_id").alias("series_id"), "bin", F.when(F.col("arrivals") > 0, F.col("arrivals")).alias("value"))
+    return checks.telemetry_gaps(t, 31)
+
+
+@query("with $U select user_id as node_id, array_to_string(list(arrivals order by bin), ',') as arrivals, array_to_string(list(served order by bin), ',') as served from u where bin between 3 and 9 and user_id % 2 = 0 group by 1")
+def state_arrays(spark, sf):
+    n = users(spark, sf).withColumns({"node_id": F.col("user_id"), "kind": F.when(F.col("user_id") % 2 == 0, "service").otherwise("expr")})
+    w = state.window(n, 3, 9, ["arrivals", "served"], mode="operational")
+    return w.select("node_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("arrivals", "served")])
+
+
+@query("with $U select user_id as node_id, bool_or(served > 0) as queue_time_ms, bool_or(signups > 0) as utilization, bool_or(arrivals <> 0) as throughput_ratio from u group by 1")
+def emitted_metrics(spark, sf):
+    n = users(spark, sf).select(F.col("user_id").alias("node_id"), "bin", "arrivals", "served", F.col("arrivals").alias("queue_depth"), F.col("signups").alias("capacity"), F.lit(1.0).alias("processing_time_ms_sum"), F.lit(1.0).alias("served_count"))
+    return state.emitted(state.with_metrics(n, 1000.0), ["queue_time_ms", "utilization", "throughput_ratio"])
+
+
+@query("select * from (values ('a', 'service', 'service', false, true, 'service'), ('b', 'serviceWithBuffer', 'service', true, true, 'service_with_buffer'), ('c', 'dlq', 'dlq', true, false, 'queue'), ('d', 'router', 'router', false, false, 'router'), ('e', 'odd', 'unknown', false, false, 'unknown')) t(node_id, kind, category, has_queue, has_service, identity)")
+def node_descriptors(spark, sf):
+    return state.describe_nodes(spark.createDataFrame([("a", "service"), ("b", "serviceWithBuffer"), ("c", "dlq"), ("d", "router"), ("e", "odd")], "node_id string, kind string"))
+
+
+@query("select * from (values ('demand->served', 'demand', 'served', 'reference'), ('capacity->served', 'capacity', 'served', 'reference'), ('served->errors', 'served', 'errors', 'reference'), ('failing->errors', 'failing', 'errors', 'reference'), ('errors->retries', 'errors', 'retries', 'reference'), ('demand->inflow', 'demand', 'inflow', 'reference'), ('retries->inflow', 'retries', 'inflow', 'reference'), ('inflow->Work', 'inflow', 'Work', 'arrivals'), ('served->Work', 'served', 'Work', 'served')) t(edge_id, source, target, type)")
+def model_graph(spark, sf):
+    return graph(spark, model())[1].select("edge_id", "source", "target", "type")
+
+
+@query("with w as (select unnest([0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 1.2, 1.8, 2.0, 1.9, 1.4, 1.7, 1.9, 1.8, 1.5, 1.0, 0.6, 0.4, 0.4, 0.3, 0.3, 0.3]) as x, generate_subscripts([0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 1.2, 1.8, 2.0, 1.9, 1.4, 1.7, 1.9, 1.8, 1.5, 1.0, 0.6, 0.4, 0.4, 0.3, 0.3, 0.3], 1) as h) select b.bin, round(2.1 * x::double / (select avg(x::double) from w), 6) as rate from (select unnest(range(48)) as bin) b join w on h = b.bin % 24 + 1")
+def profiled_source(spark, sf):
+    hourly = spark.createDataFrame([(0, h, w) for h, w in enumerate(summary.PROFILES["office"])], "k long, hour long, x double")
+    weights = summary.normalise_profile(hourly, "x", ["k"]).select("hour", "weight")
+    return spark.range(48).select(F.col("id").alias("bin"), (F.col("id") % 24).alias("hour")).join(F.broadcast(weights), "hour").select("bin", r6(F.col("weight") * Pmf([1, 2, 3], [0.2, 0.5, 0.3]).mean).alias("rate"))
+
+
+@query("select 'run' as kind, count(*) as total, ceil(count(*) / 50.0)::bigint as pages from orders where o_orderstatus <> 'P' and o_totalprice between 1000 and 300000")
+def registry_pages(spark, sf):
+    return registry.pages(registry.search(_artifacts(spark, sf), size=(1000, 300000))).select("kind", "total", F.col("pages").cast("long").alias("pages"))
+
+
+@query("with $U, s as (select user_id, list_sort(list_distinct(list(event_type))) as has from events group by 1) select user_id, array_to_string(list_sort(list_filter(['click', 'refund', 'view'], lambda x: not list_contains(has, x))), ',') as missing, len(has) as classes from s")
+def class_sets(spark, sf):
+    have = by_type_of_users(spark, sf)
+    want = F.array(F.lit("click"), F.lit("refund"), F.lit("view"))
+    return have.select("user_id", F.array_join(F.array_sort(F.array_except(want, "has")), ",").alias("missing"), F.size("has").cast("long").alias("classes"))
+
+
+def by_type_of_users(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.collect_set("event_type").alias("has"))

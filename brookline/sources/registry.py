@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,6 +36,28 @@ def page(found: DataFrame, by: str = "created", descending: bool = True, skip: i
     return found.orderBy(F.col(by).desc() if descending else F.col(by).asc(), F.col("id").asc()).offset(skip).limit(limit)
 
 
+def pages(found: DataFrame, limit: int = 50) -> DataFrame:
+    """How many artifacts and pages a search has, by kind."""
+    return found.groupBy("kind").agg(F.count("*").alias("total"), F.ceil(F.count("*") / limit).alias("pages"))
+
+
+INDEX = "kind string, id string, hash string, size_bytes long, updated_utc timestamp, content_type string, metadata map<string, string>"
+
+
+def put(entries: DataFrame, path: str) -> None:
+    """Entries of a storage index, appended under their kind."""
+    entries.write.mode("append").partitionBy("kind").parquet(path)
+
+
+def index(spark: SparkSession, path: str, kind: str | None = None, id_: str | None = None) -> DataFrame:
+    """The latest entry of each id; a kind prunes to its partition."""
+    rows = spark.read.schema(INDEX).parquet(path)
+    rows = rows.where(F.col("kind") == kind) if kind else rows
+    rows = rows.where(F.col("id") == id_) if id_ else rows
+    names = [f for f in rows.columns if f not in ("kind", "id")]
+    return rows.groupBy("kind", "id").agg(F.max_by(F.struct(*names), "updated_utc").alias("x")).select("kind", "id", "x.*")
+
+
 def related(runs: DataFrame, hours: float = 1.0, k: int = 5) -> DataFrame:
     """For each run the k nearest others that share a tag or were created within some hours.
 

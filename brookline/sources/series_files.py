@@ -132,3 +132,14 @@ def capture(df: DataFrame, series: str, path: str, missing: str = "zero", invali
     filled = fill_gaps(df.select("bin", F.col(series).alias("value")), "value", missing, invalid)
     filled.select(F.col("bin").alias("bin_index"), "value").write.mode("overwrite").option("header", True).csv(path)
     return filled.where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
+
+
+def bundle(df: DataFrame, series: Sequence[str], root: str, model: dict, missing: str = "zero") -> dict:
+    """Captured telemetry of several series with the model, as a run: each series filled by policy, gaps counted per series."""
+    filled = df
+    for s in series:
+        filled = fill_gaps(filled, s, missing, "zero").withColumnRenamed("gap", f"_gap_{s}")
+    counts = filled.agg(*[F.sum(F.col(f"_gap_{s}").isNotNull().cast("long")).alias(s) for s in series]).first().asDict()
+    name = f"bundle_{model_hash(model)[:16]}"
+    write_run(filled.select("scenario_id", "bin", *series), series, root, name, model, ["telemetry"])
+    return {"run_id": name, "gaps": counts}

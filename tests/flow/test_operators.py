@@ -5,7 +5,9 @@ import random
 import pytest
 from brookline.functions import metrics as M
 from brookline.functions.rng import Pcg32, Pmf
-from brookline.operators import checks, routing, series, summary
+from brookline.operators import checks, routing, series, state, summary
+from brookline.plans.compiler import evaluate
+from brookline.plans.graph import graph, implied
 from brookline.sources import registry, series_files
 from brookline.streaming.queues import binned_stream, queue_stream
 from pyspark.sql import functions as F
@@ -168,3 +170,40 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("depths").collect())) == [(1, 0, 2.0), (1, 1, 4.0), (1, 2, 6.0), (1, 3, 8.0), (2, 0, 0.0)]
+
+
+def test_state_and_edges(spark):
+    rows = [("n", "service", b, float(b), 2.0, 4.0, 8.0, 100.0, 2.0) for b in range(6)] + [("e", "expr", b, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for b in range(6)]
+    df = spark.createDataFrame(rows, "node_id string, kind string, bin long, arrivals double, served double, queue_depth double, capacity double, processing_time_ms_sum double, served_count double")
+    w = state.window(state.with_metrics(df, 1000.0), 2, 4, ["arrivals", "cycle_time_ms"], mode="operational").collect()
+    assert [(r.node_id, r.arrivals, r.cycle_time_ms) for r in w] == [("n", [2, 3, 4], [2050] * 3)]
+    assert state.snapshot(df, 3).count() == 2 and state.aggregation("served") == "sum" and state.aggregation("utilization") == "avg" and state.aggregation("x") == "unknown"
+    edges = spark.createDataFrame([("A->B", "flow", "x"), ("B->C", "flow", "y")], "edge_id string, metric string, class_id string")
+    assert state.keep_edges(edges, ["a->b"], ["FLOW"]).count() == 1 and state.keep_edges(edges).count() == 2
+    with pytest.raises(ValueError):
+        state.window(df, 4, 2, ["arrivals"])
+
+
+def test_graph_and_implied_series(spark):
+    m = {"grid": {"bins": 2, "binSize": 1, "binUnit": "hours"}, "nodes": [{"id": "i", "kind": "const", "values": [3.0, 4.0]}, {"id": "e", "kind": "expr", "expr": "i + SHIFT(e, 1)"}], "topology": {"nodes": [{"id": "Q", "kind": "queue", "semantics": {"arrivals": "i", "errors": "i", "retryEcho": "echo"}}, {"id": "S", "kind": "sink", "semantics": {"arrivals": "i", "served": "taken"}}], "edges": [{"source": "Q:served", "target": "S:arrivals"}]}}
+    nodes, edges = graph(spark, m)
+    assert {r.edge_id: r.type for r in edges.collect()} == {"Q:served->S:arrivals": "throughput", "i->e": "reference", "e->e": "lagged", "i->Q": "errors", "i->S": "arrivals"}
+    assert graph(spark, m, "operational")[1].count() == 1 and graph(spark, m, kinds=["sink"])[0].count() == 1
+    assert implied(m) == {"q_queue": "queue", "echo": "retry_echo", "taken": "sink_served"}
+    rows = evaluate(spark, m).orderBy("bin").collect()
+    assert [r.taken for r in rows] == [3, 4] and [r.e for r in rows] == [3, 7] and [round(r.echo, 6) for r in rows] == [0, 1.8]
+
+
+def test_storage_index_and_bundle(spark, tmp_path):
+    at = lambda h: f"timestamp '2024-01-01 0{h}:00:00'"
+    for h, v in ((1, "old"), (2, "new")):
+        registry.put(spark.sql(f"select 'run' as kind, 'a' as id, '{v}' as hash, 1L as size_bytes, {at(h)} as updated_utc, 't' as content_type, map('k', 'v') as metadata"), f"{tmp_path}/idx")
+    assert [(r.id, r.hash) for r in registry.index(spark, f"{tmp_path}/idx", "run").collect()] == [("a", "new")] and registry.index(spark, f"{tmp_path}/idx", "model").count() == 0
+    df = spark.createDataFrame([(0, 0, 1.0, None), (0, 1, float("nan"), 2.0)], "scenario_id long, bin long, x double, y double")
+    got = series_files.bundle(df, ["x", "y"], f"{tmp_path}/runs", {"m": 1})
+    assert got["gaps"] == {"x": 1, "y": 1} and series_files.read_run(spark, f"{tmp_path}/runs", got["run_id"]).count() == 4
+
+
+def test_more_checks(spark):
+    c = spark.createDataFrame([("a", None, "s"), ("b", "x", None), ("c", "x", "s")], "constraint_id string, arrivals string, served string")
+    assert {(r.constraint_id, r.code) for r in checks.constraint_errors(c).collect()} == {("a", "constraint_missing_arrivals"), ("b", "constraint_missing_served")}
