@@ -25,9 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: the lineage ends there and lost executors cost nothing."""
+    """df as a Parquet table in the shared folder, read again: the lineage ends there and lost executors cost nothing. The
+    table goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brookline/{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
