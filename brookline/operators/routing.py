@@ -159,21 +159,22 @@ def edge_mismatch(nodes: DataFrame, flows: DataFrame, side: str, measure: str, t
     return nodes.join(total, ["scenario_id", "node_id", "bin"]).where(F.abs(F.col(measure) - F.col("edges")) > tolerance).select("scenario_id", "node_id", "bin", F.col(measure).alias("expected"), "edges")
 
 
-def flow_latency(nodes: DataFrame, flows: DataFrame, levels: Sequence[Sequence[str]]) -> DataFrame:
+def flow_latency(nodes: DataFrame, flows: DataFrame, levels: int) -> DataFrame:
     """Latency of a flow up to and through each node: its cycle time and the flow-weighted mean of its predecessors'.
 
-    nodes: scenario_id, node_id, bin, cycle_ms, carried (what it serves; nothing carried, no latency). flows: source,
-    target, flow. levels: node ids in topological order, one join and one aggregate each."""
+    nodes: scenario_id, node_id, bin, level, cycle_ms, carried (what it serves; nothing carried, no latency). flows: source,
+    target, flow, by scenario and bin. level is a node's place in topological order, 0 to levels - 1: one join and one
+    aggregate each."""
     keys = ["scenario_id", "bin"]
     done = None
-    for level in levels:
-        own = nodes.where(F.col("node_id").isin(*level))
-        if done is not None:
-            come = flows.where("flow > 0").join(done.select(*keys, F.col("node_id").alias("source"), "latency"), [*keys, "source"]).where("latency is not null")
+    for level in range(levels):
+        own = nodes.where(F.col("level") == level)
+        if done is None:
+            own = own.withColumn("upstream", F.lit(None).cast("double"))
+        else:
+            come = flows.where("flow > 0").join(done.where("latency is not null").select(*keys, F.col("node_id").alias("source"), "latency"), [*keys, "source"])
             mean = come.groupBy(*keys, F.col("target").alias("node_id")).agg((F.sum(F.col("flow") * F.round("latency", 6)) / F.sum("flow")).alias("upstream"))
             own = own.join(mean, [*keys, "node_id"], "left")
-        else:
-            own = own.withColumn("upstream", F.lit(None).cast("double"))
         base = F.when(F.col("cycle_ms").isNotNull() | F.col("upstream").isNotNull(), F.coalesce("cycle_ms", F.lit(0.0)) + F.coalesce("upstream", F.lit(0.0)))
         own = own.select(*keys, "node_id", F.when(F.col("carried") > 0, base).alias("latency"))
         done = own if done is None else done.unionByName(own)

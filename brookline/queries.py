@@ -296,15 +296,10 @@ def warn_edge_mismatch(spark, sf):
 def flow_latency(spark, sf):
     n = users(spark, sf).select("scenario_id", F.col("user_id").alias("node_id"), "bin", F.col("served").alias("carried"), M.queue_time_ms("arrivals", "served", 1000.0).alias("cycle_ms"))
     flows = n.where("node_id % 3 < 2").select("scenario_id", "bin", F.col("node_id").alias("source"), (F.col("node_id") + 1).alias("target"), F.col("carried").alias("flow"))
-    done = routing.flow_latency(n, flows, _levels(spark, sf))
+    done = routing.flow_latency(n.withColumn("level", F.col("node_id") % 3), flows, 3)
     return done.select(F.col("node_id").alias("user_id"), "bin", F.round("latency", 4).alias("latency"))
 
 
-def _levels(spark, sf) -> list[list[int]]:
-    ids = [r.user_id for r in users(spark, sf).select("user_id").distinct().collect()]  # the topology's nodes, a dimension
-    return [[i for i in ids if i % 3 == k] for k in range(3)]
-
-
 # --- metrics ----------------------------------------------------------------------------------------------------------
 
 
