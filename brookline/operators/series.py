@@ -5,7 +5,7 @@ with the number of series. All operators that share keys share one exchange and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,19 +54,27 @@ def queue_depth(df: DataFrame, inflow: Column, outflow: Column, init: Column | f
     return out.withColumn(name, F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(so_far(keys))) + 0.0).drop("_s")
 
 
-def queue_with_limit(df: DataFrame, inflow: str, outflow: str, limit: Column | float, init: float = 0.0, name: str = "queue", overflow: str = "overflow", keys: Sequence[str] = KEYS) -> DataFrame:
-    """A queue that holds `limit` at most; what is beyond it is the overflow of the bin. A limit that is not finite is none.
+def fold(df: DataFrame, inputs: dict[str, Column], start: dict[str, float], step: dict[str, str], outputs: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """A recurrence as a fold over each series' bins, by Spark's own functions: step gives each part of the new state from
+    the state before (a) and the bin's inputs (x); outputs name parts of the state as columns. One array per series (10 000
+    bins at most in a grid); no series is split."""
+    packed = df.withColumns({f"_{k}": c for k, c in inputs.items()}).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *[F.col(f"_{k}").alias(k) for k in inputs]))).alias("_x"))
+    seed = ", ".join(f"'{k}', cast({float(v)!r} as double)" for k, v in start.items())
+    after = ", ".join(f"'{k}', {e}" for k, e in step.items())
+    shown = "named_struct('bin', cast(x.bin as bigint), " + ", ".join(f"'{name}', n.{part}" for part, name in outputs.items()) + ")"
+    kinds = ", ".join(["bin:bigint", *(f"{name}:double" for name in outputs.values())])
+    walk = f"""aggregate(_x, named_struct('s', named_struct({seed}), 'got', cast(array() as array<struct<{kinds}>>)),
+        (t, x) -> element_at(transform(transform(array(t.s), a -> named_struct({after})), n -> named_struct('s', n, 'got', concat(t.got, array({shown})))), 1), t -> t.got)"""
+    walked = packed.select(*keys, F.inline(F.expr(walk))).toDF(*keys, "bin", *outputs.values())
+    return df.drop(*outputs.values()).join(walked, [*keys, "bin"])
+
 
-    A fold over each series' bins: one array per series (10 000 bins at most in a grid), no series is split."""
+def queue_with_limit(df: DataFrame, inflow: str, outflow: str, limit: Column | float, init: float = 0.0, name: str = "queue", overflow: str = "overflow", keys: Sequence[str] = KEYS) -> DataFrame:
+    """A queue that holds `limit` at most; what is beyond it is the overflow of the bin. A limit that is not finite is none."""
     bound = limit if isinstance(limit, Column) else F.lit(float(limit))
-    rows = df.withColumn("_in", fin(inflow)).withColumn("_out", fin(outflow)).withColumn("_cap", F.when(bound.isNull() | F.isnan(bound), F.lit(float("inf"))).otherwise(F.greatest(bound, F.lit(0.0))))
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "_in", "_out", "_cap"))).alias("_x"))
-    seed = f"named_struct('q', cast({float(init)!r} as double), 'got', cast(array() as array<struct<bin:bigint,q:double,o:double>>))"
-    step = "greatest(0D, a.q + x._in - x._out)"
-    fold = f"""aggregate(_x, {seed}, (a, x) -> named_struct('q', least({step}, x._cap),
-        'got', concat(a.got, array(named_struct('bin', cast(x.bin as bigint), 'q', least({step}, x._cap), 'o', greatest(0D, {step} - x._cap))))), a -> a.got)"""
-    walked = packed.select(*keys, F.inline(F.expr(fold))).toDF(*keys, "bin", name, overflow)
-    return df.join(walked, [*keys, "bin"])
+    cap = F.when(bound.isNull() | F.isnan(bound), F.lit(float("inf"))).otherwise(F.greatest(bound, F.lit(0.0)))
+    free = "greatest(0D, a.q + x.i - x.o)"
+    return fold(df, {"i": fin(inflow), "o": fin(outflow), "cap": cap}, {"q": init, "over": 0.0}, {"q": f"least({free}, x.cap)", "over": f"greatest(0D, {free} - x.cap)"}, {"q": name, "over": overflow}, keys)
 
 
 def gate(x: Column | str, period: int, phase: int = 0, capacity: Column | None = None) -> Column:
@@ -80,33 +88,31 @@ def feedback(df: DataFrame, step: Callable[[dict, dict], dict], outputs: Sequenc
     """Series that depend on their own past through a lag: bin by bin within a series, series in parallel.
 
     step(row, past) gives the outputs of one bin; past holds the outputs of the bin before (empty at the start)."""
-    names = list(outputs)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bin")
-        past: dict = {}
-        made = []
-        for row in rows.to_dict("records"):
-            past = step(row, past)
-            made.append([float(past[n]) for n in names])
-        rows[names] = pd.DataFrame(made, columns=names, index=rows.index)
-        return rows
-
+    names, own = list(outputs), list(keys)
     schema = df.select(*[c for c in df.columns if c not in names]).schema
     for n in names:
         schema = schema.add(n, "double")
-    return df.groupBy(*keys).applyInPandas(run, schema)
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        past, last = {}, None  # a series can go on in the next batch
+        for rows in frames:
+            made = []
+            for row in rows.to_dict("records"):
+                key = tuple(row[k] for k in own)
+                if key != last:
+                    past, last = {}, key
+                past = step(row, past)
+                made.append([float(past[n]) for n in names])
+            rows[names] = pd.DataFrame(made, columns=names, index=rows.index)
+            yield rows[schema.names]
 
-def back_pressure(df: DataFrame, arrivals: str, served: str, capacity: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Arrivals throttled by how full the queue was a bin before: columns queue and effective."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, "bin").mapInPandas(run, schema)
 
-    def step(row: dict, past: dict) -> dict:
-        pressure = max(0.0, min(1.0, past["queue"] / capacity)) if past else 0.0
-        effective = row[arrivals] * (1.0 - pressure)
-        return {"queue": max(0.0, (past["queue"] if past else 0.0) + effective - row[served]), "effective": effective}
 
-    return feedback(df, step, ["queue", "effective"], keys)
+def back_pressure(df: DataFrame, arrivals: str, served: str, capacity: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Arrivals throttled by how full the queue was a bin before: columns queue and effective."""
+    through = f"x.i * (1D - least(1D, greatest(0D, a.q / {float(capacity)!r}D)))"
+    return fold(df, {"i": fin(arrivals), "o": fin(served)}, {"q": 0.0, "e": 0.0}, {"q": f"greatest(0D, a.q + {through} - x.o)", "e": through}, {"q": "queue", "e": "effective"}, keys)
 
 
 def carry_forward(x: Column, keys: Sequence[str] = KEYS) -> Column:
