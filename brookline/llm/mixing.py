@@ -3,7 +3,8 @@
 Documents are counted in tokens by cell (source, language, topic). The cells' weights are raked, margin after margin,
 until the token shares of sources, languages and topics are the targets; a document is then sampled with a probability
 in proportion to the ratio of its cell's raked and own tokens, the largest ratio being one. The draw is a hash of
-doc_id, so it repeats. Only the cells are ever shuffled for the raking.
+doc_id, so it repeats. Only the cells are ever shuffled for the raking: they are a written table, and of all cells together
+the driver sees four sums and a maximum.
 
 Targets default to tempered shares, share ** ALPHA, which lift small groups and hold hot ones down.
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import written
+
 ALPHA, ROUNDS, MARGINS = 0.9, 8, ("source", "lang", "topic")
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -34,22 +37,23 @@ def form_topic(text: Column, tokens: Column) -> Column:
 
 
 def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins..., tokens) with a column weight: tokens raked to the target shares of every margin."""
-    whole = F.sum("tokens").over(W.partitionBy(F.lit(0)))  # one row per cell
-    out = cells.withColumn("total", whole.cast("double")).withColumn("weight", F.col("tokens").cast("double"))
+    """cells (margins..., tokens), a table that is cheap to read again, with a column weight: tokens raked to the target
+    shares of every margin (of the groups that have tokens)."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for m in margins:
-        own = F.sum("tokens").over(W.partitionBy(m)) / F.col("total")
-        if targets and m in targets:
-            given = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
-            out = out.withColumn(f"goal_{m}", F.coalesce(given[F.col(m)], F.lit(0.0)))
-        else:
-            out = out.withColumn(f"goal_{m}", F.pow(own, F.lit(alpha)))
-    for m in margins:  # shares of what is there sum to one: a group counts once, by its part of the group's tokens
-        part = F.col("tokens") / F.sum("tokens").over(W.partitionBy(m))
-        out = out.withColumn("part", part).withColumn(f"goal_{m}", F.col(f"goal_{m}") / F.sum(F.col(f"goal_{m}") * F.col("part")).over(W.partitionBy(F.lit(0)))).drop("part")
+
+        def aim(tokens: Column, m: str = m) -> Column:
+            if targets and m in targets:
+                given = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
+                return F.coalesce(given[F.col(m)], F.lit(0.0))
+            return F.pow(tokens / max(total, 1.0), F.lit(alpha))
+
+        whole = cells.groupBy(m).agg(F.sum("tokens").alias("t")).agg(F.sum(aim(F.col("t")))).first()[0] or 1.0
+        out = out.withColumn(f"goal_{m}", aim(F.sum("tokens").over(W.partitionBy(m))) / whole)
     for _ in range(rounds):
         for m in margins:
-            out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"goal_{m}") * F.col("total"), F.sum("weight").over(W.partitionBy(m))), F.lit(0.0)))
+            out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"goal_{m}") * total, F.sum("weight").over(W.partitionBy(m))), F.lit(0.0)))
     return out.select(*margins, "tokens", "weight")
 
 
@@ -59,9 +63,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     counted = docs.withColumn("tokens", F.greatest(token_count(F.col(text_col)), F.lit(1)))
     counted = counted.withColumn("topic", F.coalesce(topic if topic is not None else form_topic(F.coalesce(F.col(text_col), F.lit("")), F.col("tokens")), F.lit("(none)")))
     keys = [F.coalesce(F.col(m).cast("string"), F.lit("(none)")).alias(f"cell_{m}") for m in MARGINS]
-    cells = counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).toDF(*MARGINS, "tokens")
-    raked = rake(cells, alpha=alpha, targets=targets, rounds=rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    chance = raked.select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], (F.col("ratio") / F.max("ratio").over(W.partitionBy(F.lit(0)))).alias("probability"))
+    cells = written(counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).toDF(*MARGINS, "tokens"), "cells")
+    raked = written(rake(cells, alpha=alpha, targets=targets, rounds=rounds).withColumn("ratio", F.col("weight") / F.col("tokens")), "raked")
+    most = raked.agg(F.max("ratio")).first()[0] or 1.0
+    chance = raked.select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], (F.col("ratio") / most).alias("probability"))
     # As many cells as groups occur: the join broadcasts them only where their measured size allows it.
     placed = counted.drop("probability", "sampled").select("*", *keys).join(chance, [f"cell_{m}" for m in MARGINS])
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
