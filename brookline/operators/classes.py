@@ -82,13 +82,14 @@ def remainder(a: DataFrame, divisor: float) -> DataFrame:
 
 
 def queued(inflow: DataFrame, outflow: DataFrame, init: float = 0.0) -> DataFrame:
-    """Backlog by class: each class's own queue, started by its share of the first inflow, made to sum to the whole's."""
+    """Backlog by class: each class's own queue, made to sum to the whole's. A class starts with its part of the initial
+    depth by the first inflow (evenly if nothing flows in); an initial depth of nothing is taken to be that inflow."""
     rows = inflow.select(*KEYS, F.col("total").alias("ti"), F.col("value").alias("vi")).join(outflow.select(*KEYS, F.col("total").alias("to"), F.col("value").alias("vo")), KEYS)
-    first = W.partitionBy("scenario_id")
-    begin = F.sum(F.when(F.col("bin") == 0, F.col("vi"))).over(first)
-    mine = F.max(F.when(F.col("bin") == 0, F.col("vi"))).over(W.partitionBy(*SERIES))
-    start = (F.lit(float(init)) if init else begin) * F.coalesce(F.try_divide(mine, begin), F.lit(0.0)) if init else F.lit(0.0)
-    rows = rows.withColumn("start", start)
+    first = F.when(F.col("bin") == 0, F.greatest(fin("vi"), F.lit(0.0)))
+    begin, mine = F.sum(first).over(W.partitionBy("scenario_id")), F.max(first).over(W.partitionBy(*SERIES))
+    classes = F.size(F.collect_set("class_id").over(W.partitionBy("scenario_id")))
+    depth = F.lit(float(init)) if abs(init) >= 1e-9 else begin
+    rows = rows.withColumn("start", F.when(begin > 0, depth * mine / begin).otherwise(F.lit(float(init)) / classes))
     whole = queue_depth(rows, F.col("ti"), F.col("to"), init, "total", SERIES)
     return norm(queue_depth(whole, F.col("vi"), F.col("vo"), F.col("start"), "value", SERIES).select(*KEYS, "total", "value"))
 

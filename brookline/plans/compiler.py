@@ -15,7 +15,7 @@ from ..functions.arith import fin, safe_div
 from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
 from ..operators.series import convolve, feedback, gate, queue_depth, queue_with_limit
-from .expr import has_lag, parse, references, to_column, to_python
+from .expr import parse, references, to_column, to_python
 from .model import ModelError, nodes_of, queue_series, schema_errors, topology
 
 KEYS = ("scenario_id",)
@@ -262,5 +262,3 @@ def long_form(df: DataFrame, series: list[str]) -> DataFrame:
     """(scenario_id, bin, series_id, value) of the series of a wide frame."""
     return df.unpivot(["scenario_id", "bin"], series, "series_id", "value")
 
-
-__all__ = ["evaluate", "grid", "has_lag", "long_form", "plan"]

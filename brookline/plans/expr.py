@@ -79,10 +79,6 @@ def references(tree: ast.expr) -> tuple[set[str], set[str]]:
     return same, past - same
 
 
-def has_lag(tree: ast.expr) -> bool:
-    return any(isinstance(n, ast.Call) and n.func.id.upper() in ("SHIFT", "CONV") for n in ast.walk(tree))
-
-
 def to_column(tree: ast.expr | str, names: dict[str, Column] | None = None, keys: Sequence[str] = KEYS) -> Column:
     """The Column of an expression over a frame with a column bin; names maps ids to Columns (default: same-named)."""
     tree = parse(tree) if isinstance(tree, str) else tree

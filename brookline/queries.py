@@ -235,7 +235,7 @@ def class_sum_of_shift(spark, sf):
     return classes.add(a, classes.shifted(a, 1)).select("bin", "class_id", r6("value").alias("value"))
 
 
-@query(f"with recursive {_T}, o as materialized (select *, coalesce(lag(value) over (partition by class_id order by bin), 0) as out, coalesce(lag(total) over (partition by class_id order by bin), 0) as tout from k), q as (select bin, class_id, value as v, total as t from o where bin = 0 union all select o.bin, o.class_id, greatest(0, q.v + o.value - o.out), greatest(0, q.t + o.total - o.tout) from q join o on o.class_id = q.class_id and o.bin = q.bin + 1) select bin, class_id, round(t * v / sum(v) over (partition by bin), 6) as value from q")
+@query(f"with recursive {_T}, o as materialized (select *, coalesce(lag(value) over (partition by class_id order by bin), 0) as out, coalesce(lag(total) over (partition by class_id order by bin), 0) as tout from k), q as (select bin, class_id, 2 * value as v, total as t from o where bin = 0 union all select o.bin, o.class_id, greatest(0, q.v + o.value - o.out), greatest(0, q.t + o.total - o.tout) from q join o on o.class_id = q.class_id and o.bin = q.bin + 1) select bin, class_id, round(t * v / sum(v) over (partition by bin), 6) as value from q")
 def class_queue(spark, sf):
     a = _classes(spark, sf)
     return classes.queued(a, classes.shifted(a, 1)).select("bin", "class_id", r6("value").alias("value"))
