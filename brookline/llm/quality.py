@@ -99,7 +99,8 @@ class Net:
                 if prior is None:
                     grads = self.gradient(np.vstack([a, u]), np.concatenate([ga - 1, gu]) / batch)
                 else:
-                    gap = np.mean(-np.log1p(-np.clip(gu, 0, 1 - 1e-9))) * -1 * -1 - prior * np.mean(-np.log1p(-np.clip(ga, 0, 1 - 1e-9)))
+                    as_negative = [np.mean(-np.log1p(-np.clip(g, 0, 1 - 1e-9))) for g in (gu, ga)]
+                    gap = as_negative[0] - prior * as_negative[1]
                     low = self.gradient(np.vstack([u, a]), np.concatenate([gu, -prior * ga]) / batch)
                     if gap < 0:  # the negatives' risk fell below zero: step back up
                         grads = [-x for x in low]
