@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.arith import ceil, fin, floor, round_away, safe_div
+from ..functions.arith import ceil, fin, fires, floor, floored_mod, round_away, safe_div
 from .series import convolve, queue_depth, shift
 
 BIN = ["scenario_id", "bin"]
@@ -67,6 +67,17 @@ def chosen(a: DataFrame, b: DataFrame, least: bool = True) -> DataFrame:
     return norm(rows.where("class_id is not null").select(*KEYS, F.col("result").alias("total"), value.alias("value")))
 
 
+def clamped(a: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
+    """CLAMP by MIN with the upper bound, then MAX with the lower one."""
+    return chosen(chosen(a, high), low, least=False)
+
+
+def pulsed(amplitude: DataFrame, period: int, phase: int = 0) -> DataFrame:
+    """PULSE of a classed amplitude: total and classes at its bins, 0 elsewhere."""
+    on = fires(F.col("bin"), period, phase)
+    return amplitude.select(*KEYS, F.when(on, F.col("total")).otherwise(0.0).alias("total"), F.when(on, F.col("value")).otherwise(0.0).alias("value"))
+
+
 def each(a: DataFrame, f: str) -> DataFrame:
     """FLOOR, CEIL or ROUND of total and classes alike; classes need not sum to the total then."""
     fn = {"floor": floor, "ceil": ceil, "round": round_away}[f]
@@ -74,8 +85,6 @@ def each(a: DataFrame, f: str) -> DataFrame:
 
 
 def remainder(a: DataFrame, divisor: float) -> DataFrame:
-    from ..functions.arith import floored_mod
-
     zero = F.lit(0.0)
     f = lambda x: zero if abs(divisor) <= 1e-9 else floored_mod(x, divisor)
     return norm(a.select(*KEYS, f("total").alias("total"), f("value").alias("value")))

@@ -32,6 +32,22 @@ def graph(spark: SparkSession, model: dict, mode: str = "full", kinds: Sequence[
     return spark.createDataFrame(nodes, "node_id string, kind string, layer string"), spark.createDataFrame(edges, "edge_id string, source string, target string, type string, weight double")
 
 
+def levels(model: dict) -> dict[str, int]:
+    """Each topology node's place in topological order: 0 without predecessors. Nodes of a cycle come after all others, in
+    the order in which they are declared."""
+    ids = [t["id"] for t in topology(model, "nodes")]
+    before: dict[str, set[str]] = {i: set() for i in ids}
+    for e in topology(model, "edges"):
+        s, t = e["source"].split(":")[0], e["target"].split(":")[0]
+        if s in before and t in before and s != t:
+            before[t].add(s)
+    out: dict[str, int] = {}
+    while ready := [i for i in ids if i not in out and before[i] <= set(out)]:
+        out |= {i: max((out[b] + 1 for b in before[i]), default=0) for i in ready}
+    top = max(out.values(), default=-1)
+    return out | {i: top + 1 + k for k, i in enumerate(i for i in ids if i not in out)}
+
+
 def implied(model: dict) -> dict[str, str]:
     """Series that no node of the model makes but its topology asks for: depths, retry echoes, what sinks serve."""
     made, out = set(nodes_of(model)), {}

@@ -7,6 +7,9 @@ import json
 import re
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.rng import Pmf
 from .expr import IDENTIFIER, ExpressionError, parse, references
 
@@ -50,6 +53,14 @@ def bin_ms(grid: dict) -> int:
     return int(grid["binSize"]) * UNIT_MS[str(grid["binUnit"]).lower()]
 
 
+def bin_times(spark: SparkSession, grid: dict) -> DataFrame:
+    """(bin, bin_start, bin_ms): starts are left ends, in UTC; null where the grid has no start."""
+    ms = bin_ms(grid)
+    start = F.lit(grid["start"]).cast("timestamp") if grid.get("start") else F.lit(None).cast("timestamp")
+    at = F.timestamp_millis(F.unix_millis(start) + F.col("id") * ms)
+    return spark.range(int(grid["bins"])).select(F.col("id").alias("bin"), at.alias("bin_start"), F.lit(float(ms)).alias("bin_ms"))
+
+
 def nodes_of(model: dict) -> dict[str, dict]:
     return {n["id"]: n for n in model.get("nodes") or []}
 
@@ -79,6 +90,9 @@ def schema_errors(model: dict) -> list[str]:
         out.append("grid.binSize is a whole number from 1 to 1000")
     if str(grid.get("binUnit", "")).lower() not in UNIT_MS:
         out.append(f"grid.binUnit is one of {', '.join(UNIT_MS)}")
+    start = grid.get("start")
+    if start and not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|\+00:00)", str(start)):
+        out.append("grid.start is a UTC time as in 2024-01-01T00:00:00Z")
     seen: set[str] = set()
     for n in model.get("nodes") or []:
         i = str(n.get("id", ""))

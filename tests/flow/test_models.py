@@ -1,10 +1,12 @@
 """Models with known series (inputs made anew here), the language, validation, and searches."""
 
 import pytest
+from brookline.operators import classes
 from brookline.plans import scenarios as sc
 from brookline.plans.compiler import evaluate, plan
+from brookline.plans.graph import levels
 from brookline.plans.expr import ExpressionError, parse, references, to_column
-from brookline.plans.model import ModelError, load, model_hash, outputs, queue_series, run_id, schema_errors, snake, substitute, validate
+from brookline.plans.model import ModelError, bin_times, load, model_hash, outputs, queue_series, run_id, schema_errors, snake, substitute, validate
 
 
 def model(bins, nodes, topo=(), constraints=(), **more):
@@ -128,3 +130,23 @@ def test_model_text():
             substitute(text, {"n": {"default": 4, "min": 1, "max": 9}}, bad)
     assert outputs({"outputs": [{"series": "A/*"}, {"series": "B"}]}, ["a/x", "a/y", "b", "c"]) == ["a/x", "a/y", "b"] and outputs({}, ["z"]) == ["z"]
     assert snake("OrderService") == "order_service" and queue_series({"id": "DLQ"}) == "dlq_queue"
+
+
+def test_times_and_levels(spark):
+    grid = {"bins": 3, "binSize": 2, "binUnit": "weeks", "start": "2024-01-01T00:00:00Z"}
+    rows = bin_times(spark, grid).orderBy("bin").selectExpr("cast(bin_start as string) as s", "bin_ms").collect()
+    assert [r.s for r in rows] == ["2024-01-01 00:00:00", "2024-01-15 00:00:00", "2024-01-29 00:00:00"] and rows[0].bin_ms == 1_209_600_000
+    assert bin_times(spark, {**grid, "start": None}).where("bin_start is null").count() == 3
+    assert "UTC" in " ".join(schema_errors({"grid": {**grid, "start": "2024-01-01T00:00:00+02:00"}, "nodes": []}))
+    nodes = [{"id": i} for i in "abcxy"]
+    edges = [{"source": s, "target": t} for s, t in ("ab", "bc", "ac", "xy", "yx")]
+    assert levels({"topology": {"nodes": nodes, "edges": edges}}) == {"a": 0, "b": 1, "c": 2, "x": 3, "y": 4}
+
+
+def test_class_clamp_and_pulse(spark):
+    rows = [(0, b, c, 10.0, v) for b in range(4) for c, v in (("A", 8.0), ("B", 2.0))]
+    a = spark.createDataFrame(rows, "scenario_id long, bin long, class_id string, total double, value double")
+    plain = lambda v: spark.createDataFrame([(0, b, None, v, None) for b in range(4)], a.schema)
+    got = {(r.bin, r.class_id): round(r.value, 9) for r in classes.clamped(a, plain(2.0), plain(5.0)).collect()}
+    assert got == {(b, c): v for b in range(4) for c, v in (("A", 4.0), ("B", 1.0))}
+    assert {r.bin for r in classes.pulsed(a, 2, 1).where("value > 0").collect()} == {1, 3}
