@@ -1,4 +1,7 @@
-"""Raw events binned onto a grid: one partial aggregate over the scan, then the grid's empty bins filled with zero."""
+"""Raw events binned onto a grid: one partial aggregate over the scan, then empty bins filled with zero.
+
+Entities' grids are filled by a window per entity (each bin brings the empty ones after it), not by a join with entities x
+bins: the counts are shuffled by entity once, and the windows of later operators find them partitioned so."""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 EPOCH = "2024-01-01 00:00:00"
 #: Which events stand for which series.
@@ -16,19 +20,31 @@ def bin_of(ts, unit: str = "HOUR", start: str = EPOCH):
     return F.timestamp_diff(unit, F.lit(start).cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def fill_bins(counts: DataFrame, by: Sequence[str], values: Sequence[str], bins: int) -> DataFrame:
+    """counts (by..., bin, values...) with every bin from 0 to bins - 1 of each key; values are 0 where there were none."""
+    order = W.partitionBy(*by).orderBy("bin")
+    first = F.when(F.lag("bin").over(order).isNull(), F.lit(0).cast("long")).otherwise(F.col("bin"))
+    reach = counts.withColumns({"_first": first, "_last": F.coalesce(F.lead("bin").over(order), F.lit(bins).cast("long")) - 1})
+    rows = reach.withColumn("_at", F.explode(F.sequence("_first", "_last")))
+    here = F.col("_at") == F.col("bin")
+    return rows.select(*by, F.col("_at").alias("bin"), *[F.when(here, F.col(v).cast("double")).otherwise(0.0).alias(v) for v in values])
+
+
 def binned(spark: SparkSession, sf_dir: str, bins: int = 720, unit: str = "HOUR", by: Sequence[str] = ()) -> DataFrame:
-    """(scenario_id[, by...], bin, arrivals, served, errors, purchases, signups) for every bin of the grid."""
+    """(scenario_id[, by...], bin, arrivals, served, errors, purchases, signups) for every bin of each entity with events."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(bin_of(F.col("ts"), unit).alias("bin"), "event_type", *by)
-    counts = events.where(F.col("bin").between(0, bins - 1)).groupBy(*by, "bin").pivot("event_type", list(ROLES)).count()
-    counts = counts.select(*by, "bin", *[F.col(t).alias(r) for t, r in ROLES.items()])
-    every = spark.range(bins).select(F.col("id").alias("bin"))
-    grid = events.select(*by).distinct().crossJoin(F.broadcast(every)) if by else every
-    return grid.join(counts, [*by, "bin"], "left").select(F.lit(0).cast("long").alias("scenario_id"), *by, "bin", *[F.coalesce(r, F.lit(0)).cast("double").alias(r) for r in ROLES.values()])
+    counts = events.where(F.col("bin").between(0, bins - 1)).groupBy(*by, "bin").agg(*[F.count_if(F.col("event_type") == t).alias(r) for t, r in ROLES.items()])
+    roles = list(ROLES.values())
+    if by:
+        filled = fill_bins(counts, by, roles, bins)
+    else:
+        grid = spark.range(bins).select(F.col("id").alias("bin"))
+        filled = grid.join(counts, "bin", "left").select("bin", *[F.coalesce(r, F.lit(0)).cast("double").alias(r) for r in roles])
+    return filled.select(F.lit(0).cast("long").alias("scenario_id"), *by, "bin", *roles)
 
 
 def by_type(spark: SparkSession, sf_dir: str, bins: int = 720, unit: str = "HOUR") -> DataFrame:
     """(scenario_id, class_id, bin, value): the events of each type, as classes of one flow; empty bins are zero."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(bin_of(F.col("ts"), unit).alias("bin"), F.col("event_type").alias("class_id"))
-    counts = events.where(F.col("bin").between(0, bins - 1)).groupBy("class_id", "bin").agg(F.count("*").alias("n"))
-    grid = events.select("class_id").distinct().crossJoin(F.broadcast(spark.range(bins).select(F.col("id").alias("bin"))))
-    return grid.join(counts, ["class_id", "bin"], "left").select(F.lit(0).cast("long").alias("scenario_id"), "class_id", "bin", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    counts = events.where(F.col("bin").between(0, bins - 1)).groupBy("class_id", "bin").agg(F.count("*").alias("value"))
+    return fill_bins(counts, ["class_id"], ["value"], bins).select(F.lit(0).cast("long").alias("scenario_id"), "class_id", "bin", "value")
