@@ -262,3 +262,22 @@ def long_form(df: DataFrame, series: list[str]) -> DataFrame:
     """(scenario_id, bin, series_id, value) of the series of a wide frame."""
     return df.unpivot(["scenario_id", "bin"], series, "series_id", "value")
 
+
+def by_class(df: DataFrame, model: dict) -> DataFrame:
+    """An evaluated model's series by class: (scenario_id, bin, series_id, class_id, total, value).
+
+    A node with class arrivals is split in their proportion, whatever its own total is; what depends on it in the same bin
+    is split alike (of several such dependencies, the one whose name comes first)."""
+    shares: dict[str, dict[str, Column]] = {}
+    for a in (model.get("traffic") or {}).get("arrivals") or []:
+        shares.setdefault(a["nodeId"], {})[a["classId"]] = F.col(class_series(a["nodeId"], a["classId"]))
+    for node, own in shares.items():
+        whole = sum(list(own.values())[1:], list(own.values())[0])
+        shares[node] = {c: F.when(F.abs(whole) < 1e-15, 0.0).otherwise(F.try_divide(x, whole)) for c, x in own.items()}
+    for step in (s for level in plan(model) for s in level):
+        source = next((n for n in sorted(step.needs) if n in shares), None)
+        if source and step.kind != "const":
+            for made in step.makes:
+                shares.setdefault(made, shares[source])
+    cells = [F.struct(F.lit(n).alias("series_id"), F.lit(c).alias("class_id"), F.col(n).alias("total"), (F.col(n) * x).alias("value")) for n, own in shares.items() for c, x in own.items()]
+    return df.select("scenario_id", "bin", F.explode(F.array(*cells)).alias("_c")).select("scenario_id", "bin", "_c.*")

@@ -3,7 +3,7 @@
 import pytest
 from brookline.operators import classes
 from brookline.plans import scenarios as sc
-from brookline.plans.compiler import evaluate, plan
+from brookline.plans.compiler import by_class, evaluate, plan
 from brookline.plans.graph import levels
 from brookline.plans.expr import ExpressionError, parse, references, to_column
 from brookline.plans.model import ModelError, bin_times, load, model_hash, outputs, queue_series, run_id, schema_errors, snake, substitute, validate
@@ -150,3 +150,12 @@ def test_class_clamp_and_pulse(spark):
     got = {(r.bin, r.class_id): round(r.value, 9) for r in classes.clamped(a, plain(2.0), plain(5.0)).collect()}
     assert got == {(b, c): v for b in range(4) for c, v in (("A", 4.0), ("B", 1.0))}
     assert {r.bin for r in classes.pulsed(a, 2, 1).where("value > 0").collect()} == {1, 3}
+
+
+def test_classes_of_a_model(spark):
+    rates = {"arrivals": [{"nodeId": "ingest", "classId": c, "pattern": {"kind": "constant", "ratePerBin": v}} for c, v in (("Order", 20), ("Refund", 5))]}
+    m = model(2, {"ingest": 10.0, "served": "MIN(ingest, 8)", "other": 3.0}, traffic=rates)
+    got = {(r.series_id, r.class_id): (r.total, round(r.value, 9)) for r in by_class(evaluate(spark, m), m).where("bin = 1").collect()}
+    assert got == {("ingest", "Order"): (10, 8), ("ingest", "Refund"): (10, 2), ("served", "Order"): (8, 6.4), ("served", "Refund"): (8, 1.6)}
+    more = spark.createDataFrame([(0, "ingest__class_Refund", None, 20.0)], "scenario_id long, series string, bin long, value double")
+    assert {r.class_id: r.value for r in by_class(evaluate(spark, m, more), m).where("bin = 0 and series_id = 'ingest'").collect()} == {"Order": 5, "Refund": 5}
