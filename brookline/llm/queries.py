@@ -100,7 +100,22 @@ _BM25 = """
         s as (select qid, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) order by term) as score from q join tf using (term) join l using (doc_id), n group by 1, 2)
         select qid, rank, doc_id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id)::int as rank from s) where rank <= 10"""
 
+# What op1 and op2 learn has to give on the tables as they are: every page's text is that of its one <article>, and every
+# statement of a licence is a line of one of five forms.
+_ARTICLES = """
+        with a as (select page_id, url, string_split_regex(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br>', ' '), '</?(?:p|h1)>') as parts from pages),
+        b as (select page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) as text from a)
+        select page_id, url, text, length(text) as n_chars from b"""
+
+_LICENCES = """
+        with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+        p as (select *, (sum(length(line) + 1) over (partition by doc_id order by i))::bigint - length(line) - 1 as start from l),
+        f as (select doc_id, start, start + length(line) as stop, case when contains(line, 'GNU General Public License') then 'gpl' when contains(line, 'All rights reserved') then 'proprietary' when contains(line, 'CC BY-NC') then 'cc-by-nc' when contains(line, 'the MIT License') then 'mit' when contains(line, 'the Apache License') then 'apache' end as family from p)
+        select d.doc_id, count(family) as n_found, coalesce(string_agg(distinct family, ',' order by family), '') as families, coalesce(string_agg(family || ':' || start || ':' || stop, ',' order by start), '') as spans from documents d left join f on f.doc_id = d.doc_id and family is not null group by d.doc_id"""
+
 ORACLE_SQL = {
+    "op1_html_extract": _ARTICLES,
+    "op2_license_scan": _LICENCES,
     "op3_mixing": mixing.oracle(),
     "op7_exact_dedup": r"""
         with t as (select doc_id, coalesce(text, '') as raw, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') as norm from documents),

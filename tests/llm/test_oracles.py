@@ -10,7 +10,8 @@ from brookline.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df, rel = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     at = [rel.columns.index(c) for c in df.columns]
