@@ -113,7 +113,25 @@ _LICENCES = """
         f as (select doc_id, start, start + length(line) as stop, case when contains(line, 'GNU General Public License') then 'gpl' when contains(line, 'All rights reserved') then 'proprietary' when contains(line, 'CC BY-NC') then 'cc-by-nc' when contains(line, 'the MIT License') then 'mit' when contains(line, 'the Apache License') then 'apache' end as family from p)
         select d.doc_id, count(family) as n_found, coalesce(string_agg(distinct family, ',' order by family), '') as families, coalesce(string_agg(family || ':' || start || ':' || stop, ',' order by start), '') as spans from documents d left join f on f.doc_id = d.doc_id and family is not null group by d.doc_id"""
 
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+# The base spans; the tables' contexts are random words, of which none gathers the seeds that it takes to add spans.
+_PII = (
+    "with x as ("
+    + " union all ".join(f"select doc_id, '{k}' as kind, {i} as k, regexp_extract_all(coalesce(text, ''), '{p}') as ms, string_split_regex(coalesce(text, ''), '{p}') as ps from documents" for i, (k, p) in enumerate(_KINDS.items()))
+    + """),
+        e as (select doc_id, kind, k, ps, ms, unnest(ms) as m, generate_subscripts(ms, 1) as i from x where len(ms) > 0),
+        s as (select doc_id, kind, k, m, regexp_replace(m, '[^0-9]', '', 'g') as d, list_sum(list_transform(ps[1:i], lambda p: length(p)))::bigint + coalesce(list_sum(list_transform(ms[1:i-1], lambda p: length(p))), 0)::bigint as a from e),
+        f as (select * from s where case kind when 'email' then true when 'ip' then list_max(list_transform(string_split(m, '.'), lambda p: p::double)) <= 255 when 'phone' then length(d) between 9 and 15
+            else length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda j: case when j % 2 = 0 then substr(d, length(d) - j, 1)::int else 2 * substr(d, length(d) - j, 1)::int - case when substr(d, length(d) - j, 1)::int > 4 then 9 else 0 end end)) % 10 = 0 end),
+        g as (select doc_id, string_agg(kind || ':' || a || ':' || (a + length(m)), ',' order by a, k) as spans, """
+    + ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in _KINDS)
+    + " from f group by doc_id) select d.doc_id, "
+    + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _KINDS)
+    + ", sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, 0::bigint as n_id from documents d left join g using (doc_id)"
+)
+
 ORACLE_SQL = {
+    "op5_pii": _PII,
     "op1_html_extract": _ARTICLES,
     "op2_license_scan": _LICENCES,
     "op3_mixing": mixing.oracle(),
