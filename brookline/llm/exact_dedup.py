@@ -15,16 +15,18 @@ import hashlib
 import pickle
 import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, slices
 
 #: Bytes of text that a table may hold before it is split, and spill files a split.
 TABLE_BYTES, FAN_OUT, MAX_LEVEL = 96 << 20, 16, 8
+SENT = 1000  # entries a batch that a task sends
 DELETE = SPACES.encode()
 LAST = 1 << 63  # stands for a null doc_id: after every long
 
@@ -98,36 +100,33 @@ FOLDED = pa.schema([("sha", pa.string()), ("content", pa.binary()), ("n", pa.int
 KEEP = pa.schema([("sha", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def _folded(entries: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"sha": hashlib.sha256(c).hexdigest(), "content": c, "n": n, "length": length, "doc": None if doc == LAST else doc} for _, c, n, length, doc in entries], FOLDED)
+def _sent(entries: list[list]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(entries), SENT):
+        some = [{"sha": hashlib.sha256(c).hexdigest(), "content": c, "n": n, "length": length, "doc": None if doc == LAST else doc} for _, c, n, length, doc in entries[lo : lo + SENT]]
+        yield pa.RecordBatch.from_pylist(some, FOLDED)
 
 
 def fold_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = OpenTable()
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
             table.add(text.encode().translate(None, DELETE), 1, len(text), LAST if doc is None else doc)
             if table.bytes > TABLE_BYTES // 3:
-                yield _folded(table.entries)
+                yield from _sent(table.entries)
                 table = OpenTable()
-    if table.entries:
-        yield _folded(table.entries)
+    yield from _sent(table.entries)
 
 
 def settle_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        for b in batches:
+        for b in slices(batches):
             for c, n, length, doc in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 yield c, n, length, LAST if doc is None else doc
 
-    found, seen = [], {}
-    for _, content, n, _, doc in grace(rows()):
-        sha = hashlib.sha256(content).hexdigest()
-        if seen.setdefault(sha, content[:64]) != content[:64]:
-            raise ValueError("two different texts share a SHA-256 digest")
-        found.append({"sha": sha, "keep_id": None if doc == LAST else doc, "group_size": n})
-    yield pa.RecordBatch.from_pylist(found, KEEP)
+    settled = ({"sha": hashlib.sha256(content).hexdigest(), "keep_id": None if doc == LAST else doc, "group_size": n} for _, content, n, _, doc in grace(rows()))
+    while some := list(islice(settled, SENT)):
+        yield pa.RecordBatch.from_pylist(some, KEEP)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:

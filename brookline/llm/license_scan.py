@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PARAGRAPHS, WINDOW, THRESHOLD, AGREEMENT, MIN_COUNT = 120, 60, 0.8, 0.6, 3
 UNKNOWN = "unknown"
 
@@ -207,7 +209,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = docs.sparkSession.sparkContext.broadcast(model())  # weights of the templates' n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [known.value.scan(t) for t in b.column(1).to_pylist()]
             cols = [
                 pa.array([len(f) for f in found], pa.int64()),
