@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arith import fires
-from .series import gate, queue_depth
+from ..functions.arith import fires, is_finite
+from .routing import edge_class_mismatch
+from .series import gate, growth_streak, longest_streak, queue_depth, stationarity
 
 TOLERANCE, FIRST = 1e-6, 5
 NEGATIVE = ("arrivals", "served", "errors", "attempts", "failures", "exhausted_failures", "queue_depth", "retry_echo", "retry_budget_remaining")
@@ -23,15 +24,19 @@ def rules(columns: list[str]) -> dict[str, Column]:
         ("exhausted_exceeds_failures", "exhausted_failures", "failures"), ("exhausted_exceeds_errors", "exhausted_failures", "errors"),
     ]
     out |= {code: c(a) - c(b) for code, a, b in pairs if a in columns and b in columns}
-    if {"attempts", "served", "failures"} <= set(columns):
-        out["attempts_conservation_mismatch"] = F.abs(c("attempts") - c("served") - c("failures")) - 1e-4 + TOLERANCE
+    failed = [c(x) for x in ("failures", "errors") if x in columns]
+    if {"attempts", "served"} <= set(columns) and failed:
+        off = F.abs(c("attempts") - c("served") - F.coalesce(*failed)) - 1e-4
+        out["attempts_conservation_mismatch"] = F.when(is_finite(off) & (off > 0), off + TOLERANCE)
     if {"queue_depth", "served"} <= set(columns):
-        out["queue_latency_unreported"] = F.when((c("served") <= TOLERANCE) & (F.abs("queue_depth") > TOLERANCE), F.abs("queue_depth"))
+        stuck = (c("served") <= TOLERANCE) & (F.abs("queue_depth") > TOLERANCE) & is_finite(c("queue_depth")) & is_finite(c("served"))
+        out["queue_latency_unreported"] = F.when(stuck, F.abs("queue_depth"))
     return out
 
 
 def _gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("scenario_id", "node_id", "code").agg(F.slice(F.array_sort(F.collect_list("bin")), 1, FIRST).alias("bins"), F.max("amount").alias("worst"), F.count("*").alias("n"))
+    """A row per node and code. What is not a number breaks no rule."""
+    return found.where(~F.isnan(F.col("amount").cast("double"))).groupBy("scenario_id", "node_id", "code").agg(F.slice(F.array_sort(F.collect_list("bin")), 1, FIRST).alias("bins"), F.max("amount").alias("worst"), F.count("*").alias("n"))
 
 
 def check(nodes: DataFrame, skip: dict[str, list[str]] | None = None) -> DataFrame:
@@ -62,17 +67,91 @@ def never_releases(nodes: DataFrame) -> DataFrame:
 
 def missing_series(node_columns: list[str], kind: str, has: dict[str, bool]) -> list[str]:
     """Codes of the series that a node of this kind should have; a check of the schema, before any data is read."""
-    wanted = {
-        "service": ["capacity", "served", "processing_time", "served_count"], "serviceWithBuffer": ["queue_depth", "served"], "queue": ["queue_depth"],
-        "dependency": ["arrivals", "served"],
-    }.get(kind, [])
+    wanted = {"service": ["capacity", "served", "processing_time", "served_count"], "serviceWithBuffer": ["queue_depth", "served"], "queue": ["queue_depth"]}.get(kind, [])
+    out = [f"missing_{w}_series" for w in wanted if w not in node_columns]
+    if kind == "dependency":
+        out += [f"missing_dependency_{w}" for w in ("arrivals", "served") if w not in node_columns]
     if has.get("retries"):
-        wanted = [*wanted, "exhausted_failures", "retry_budget_remaining"]
-    return [f"missing_{w}_series" for w in wanted if w not in node_columns]
+        out += [f"missing_{code}_series" for code, w in (("exhausted_failures", "exhausted_failures"), ("retry_budget", "retry_budget_remaining")) if w not in node_columns]
+    return out
+
+
+def presence(nodes: DataFrame, expected: DataFrame) -> DataFrame:
+    """Series that a node should have but that have no value in any bin, capacity that is zero throughout, and schedules
+    that cannot work: rows (scenario_id, node_id, code, severity).
+
+    nodes: scenario_id, node_id, bin and series (a column that is absent counts as empty). expected: node_id, kind,
+    declared (names of the series that the model gives the node), retries (it has a limit of attempts), scheduled, and
+    schedule_capacity (its schedule names a capacity, which is the series dispatch_capacity)."""
+    names = ("capacity", "effective_capacity", "arrivals", "served", "queue_depth", "exhausted_failures", "retry_budget_remaining", "processing_ms", "served_count", "dispatch_capacity")
+    there = [x for x in names if x in nodes.columns]
+    total = lambda x: F.sum(F.when(is_finite(F.col(x)), F.col(x))) if x in there else F.lit(None)
+    capacity = "effective_capacity" if "effective_capacity" in there else "capacity"
+    seen = nodes.groupBy("scenario_id", "node_id").agg(
+        *[F.max(F.col(x).isNotNull()).alias(x) for x in there], total("arrivals").cast("double").alias("_in"), total("served").cast("double").alias("_out"),
+        (F.max(F.abs(capacity)) <= TOLERANCE if capacity in there else F.lit(False)).alias("_zero"),
+    )
+    lacks = lambda x: ~F.col(x) if x in there else F.lit(True)
+    wants = lambda x, *kinds: F.col("kind").isin(*kinds) | F.array_contains("declared", x)
+    serves, dependency = ("service", "serviceWithBuffer", "router"), F.col("kind") == "dependency"
+    found = [
+        ("missing_capacity_series", "info", wants("capacity", *serves) & lacks("capacity")),
+        ("missing_exhausted_failures_series", "warning", F.col("retries") & lacks("exhausted_failures")),
+        ("missing_retry_budget_series", "warning", F.col("retries") & lacks("retry_budget_remaining")),
+        ("capacity_all_zero", "info", ~(F.col("retries") & lacks("retry_budget_remaining")) & F.col("_zero")),
+        ("missing_dependency_arrivals", "info", dependency & lacks("arrivals")),
+        ("missing_dependency_served", "info", dependency & lacks("served")),
+        ("missing_served_series", "info", ~dependency & wants("served", *serves) & lacks("served")),
+        ("missing_queue_depth_series", "info", wants("queue_depth", "queue", "dlq") & lacks("queue_depth")),
+        ("missing_processing_time_series", "info", wants("processing_ms", *serves) & lacks("processing_ms")),
+        ("missing_served_count_series", "info", wants("served_count", *serves) & lacks("served_count")),
+        ("dispatch_capacity_missing", "warning", F.col("scheduled") & F.col("schedule_capacity") & lacks("dispatch_capacity")),
+        ("dispatch_missing_served_series", "info", F.col("scheduled") & lacks("served")),
+        ("dispatch_never_releases", "info", F.col("scheduled") & ~lacks("served") & (F.col("_in") > TOLERANCE) & (F.coalesce("_out", F.lit(0.0)) <= TOLERANCE)),
+    ]
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, holds in found]))
+    return seen.join(expected, "node_id").select("scenario_id", "node_id", F.explode(codes).alias("w")).select("scenario_id", "node_id", "w.*")
+
+
+def window_warnings(nodes: DataFrame, sla: float | None = None) -> DataFrame:
+    """Rows (scenario_id, node_id, code, signal, start_bin, end_bin): the longest runs of a growing queue, of arrivals over
+    the effective capacity and of latency over the SLA (minutes), and arrivals that Little's law does not fit.
+
+    nodes: scenario_id, node_id, bin, arrivals, queue_depth, effective_capacity, latency_minutes. All four share one
+    exchange by (scenario_id, node_id)."""
+    keys = ["scenario_id", "node_id"]
+    late = (F.lit(sla if sla and sla > 0 else None).cast("double") < F.col("latency_minutes")) & ~F.isnan("latency_minutes")
+    overload = F.when(F.col("effective_capacity") > 0, F.col("arrivals") / F.col("effective_capacity")) > 1
+    runs = [
+        ("backlog_growth_streak", "queue_depth", growth_streak(nodes, "queue_depth", keys)),
+        ("backlog_overload_ratio", "overload_ratio", longest_streak(nodes, overload, keys)),
+        ("backlog_age_risk", "latency_minutes", longest_streak(nodes, late, keys)),
+    ]
+    none = F.lit(None).cast("long")
+    drift = stationarity(nodes, "arrivals", keys).where("non_stationary").select(*keys, F.lit("littles-law-non-stationary").alias("code"), F.lit("queue_time_ms").alias("signal"), none.alias("start_bin"), none.alias("end_bin"))
+    return reduce(DataFrame.unionByName, [*(df.select(*keys, F.lit(code).alias("code"), F.lit(signal).alias("signal"), "start_bin", "end_bin") for code, signal, df in runs), drift])
+
+
+def edge_class_warnings(nodes: DataFrame, flows: DataFrame, side: str) -> DataFrame:
+    """Nodes whose classes the edges of one side do not carry as they should: rows (scenario_id, node_id, code, classes,
+    bins, worst). Partial coverage, if edges lack some class of the node; else a mismatch. nodes: node_id, class_id, bin,
+    value; flows: source, target, class_id, bin, flow."""
+    keys = ["scenario_id", "node_id"]
+    carried = flows.select("scenario_id", F.col(side).alias("node_id"), "class_id").distinct()
+    lacking = nodes.select(*keys, "class_id").distinct().join(carried, [*keys, "class_id"], "left_anti").join(carried.select(*keys).distinct(), keys, "left_semi")
+    off = edge_class_mismatch(nodes, flows, side).select(*keys, "class_id", "bin", F.abs(F.col("expected") - F.col("edges")).alias("amount"))
+    both = off.unionByName(lacking.select(*keys, "class_id", F.lit(None).cast("bigint").alias("bin"), F.lit(None).cast("double").alias("amount")))
+    found = both.groupBy(keys).agg(
+        F.count(F.when(F.col("bin").isNull(), 1)).alias("_lacking"), F.array_sort(F.collect_set(F.when(F.col("bin").isNotNull(), F.col("class_id")))).alias("_off"),
+        F.array_sort(F.collect_set(F.when(F.col("bin").isNull(), F.col("class_id")))).alias("_none"), F.slice(F.array_sort(F.collect_set("bin")), 1, FIRST).alias("bins"), F.max("amount").alias("worst"),
+    )
+    part = "outgoing" if side == "source" else "incoming"
+    return found.select(*keys, F.when(F.col("_lacking") > 0, "edge_class_partial_coverage").otherwise(f"edge_class_mismatch_{part}").alias("code"), F.when(F.size("_off") > 0, F.col("_off")).otherwise(F.col("_none")).alias("classes"), "bins", "worst")
 
 
 def edge_rules(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Warnings of the graph: dead-letter queues that are not terminal, lags, dependencies without effort edges."""
+    """Warnings of the graph: dead-letter queues that are not terminal, lags, dependencies without effort edges or, where
+    nodes have the columns errors and attempts (whether the model gives them), with errors that no source attempts."""
     kind = nodes.select("node_id", "kind")
     into, out_of = edges.join(kind, edges.target == kind.node_id), edges.join(kind, edges.source == kind.node_id)
     parts = [
@@ -81,6 +160,10 @@ def edge_rules(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         edges.where("lag > 0").select(F.col("source").alias("node_id"), F.lit("edge_behavior_violation_lag").alias("code")),
         kind.where("kind = 'dependency'").join(edges.where("type = 'effort'"), F.col("node_id") == F.col("target"), "left_anti").select("node_id", F.lit("dependency_missing_effort_edges").alias("code")),
     ]
+    if {"errors", "attempts"} <= set(nodes.columns):
+        tried = edges.where("type = 'effort'").join(nodes.select(F.col("node_id").alias("source"), "attempts"), "source", "left").groupBy("target").agg(F.max(F.coalesce("attempts", F.lit(False))).alias("tried"))
+        blind = nodes.where("kind = 'dependency' and errors").join(tried, F.col("node_id") == F.col("target")).where("not tried")
+        parts.append(blind.select("node_id", F.lit("dependency_retry_pressure_missing").alias("code")))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

@@ -407,6 +407,50 @@ def warn_queue_mismatch(spark, sf):
     return _found(checks.queue_mismatch(n))
 
 
+_SEEN = "p as (select user_id, sum(arrivals) as a, sum(served) as s, max(signups) as c, count(nullif(purchases, 0)) as m from u group by 1)"
+
+
+@query(
+    f"with $U, {_SEEN}, w as (select user_id as node_id, unnest([case when c <= 1e-6 and (user_id % 5 <> 0 or m > 0) then 'capacity_all_zero' end, case when user_id % 5 = 0 then 'missing_exhausted_failures_series' end, case when user_id % 5 = 0 and m = 0 then 'missing_retry_budget_series' end,"
+    " case when user_id % 3 = 1 then 'missing_queue_depth_series' end, case when user_id % 3 = 0 then 'missing_processing_time_series' end, case when user_id % 3 = 0 then 'missing_served_count_series' end,"
+    " case when user_id % 7 = 0 and user_id % 2 = 0 then 'dispatch_capacity_missing' end, case when user_id % 7 = 0 and a > 1e-6 and s <= 1e-6 then 'dispatch_never_releases' end]) as code from p)"
+    " select node_id, code, case when code in ('missing_exhausted_failures_series', 'missing_retry_budget_series', 'dispatch_capacity_missing') then 'warning' else 'info' end as severity from w where code is not null"
+)
+def warn_presence(spark, sf):
+    n = users(spark, sf).select("scenario_id", F.col("user_id").alias("node_id"), "bin", "arrivals", "served", F.col("signups").alias("capacity"), F.when(F.col("purchases") > 0, F.col("purchases")).alias("retry_budget_remaining"))
+    mod = lambda k: F.col("node_id") % k == 0
+    kind = F.element_at(F.array(*map(F.lit, ("service", "queue", "dependency"))), (F.col("node_id") % 3 + 1).cast("int"))
+    expected = n.select("node_id").distinct().select("node_id", kind.alias("kind"), F.array(F.lit("served")).alias("declared"), mod(5).alias("retries"), mod(7).alias("scheduled"), mod(2).alias("schedule_capacity"))
+    return checks.presence(n, expected).drop("scenario_id")
+
+
+@query(
+    "with $U, d as (select *, s - least(0, min(s) over (partition by user_id order by bin)) as q from (select *, sum(arrivals - served) over (partition by user_id order by bin) as s from u)), g as (select *, q - lag(q) over (partition by user_id order by bin) as dq, case when served > 0 then q / served * 1440 end as minutes from d),"
+    " m as (select user_id, avg(arrivals) filter (where bin < 15) as f, avg(arrivals) filter (where bin >= 15) as l from u group by 1)"
+    " select user_id as node_id, 'backlog_growth_streak' as code, 'queue_depth' as signal, start_bin - 1 as start_bin, end_bin from (" + _RUNS % ("g", "dq > 0") + ")"
+    " union all select user_id, 'backlog_overload_ratio', 'overload_ratio', start_bin, end_bin from (" + _RUNS % ("g", "arrivals > served and served > 0") + ")"
+    " union all select user_id, 'backlog_age_risk', 'latency_minutes', start_bin, end_bin from (" + _RUNS % ("g", "minutes > 600") + ")"
+    " union all select user_id, 'littles-law-non-stationary', 'queue_time_ms', null, null from m where abs(f - l) > 0.25 * greatest(abs(f), abs(l))"
+)
+def warn_window(spark, sf):
+    df = series.queue_depth(users(spark, sf), F.col("arrivals"), F.col("served"), name="queue_depth", keys=KIND).withColumns({"effective_capacity": F.col("served"), "latency_minutes": M.latency_minutes("queue_depth", "served", 86_400_000.0)})
+    return checks.window_warnings(df.withColumnRenamed("user_id", "node_id"), 600.0).drop("scenario_id")
+
+
+@query(
+    "with $U, f as (select user_id + hop as node_id, c as class_id, bin, sum(v * case hop when 1 then 0.75 else 0.25 end) as edges from (select user_id, bin, unnest(['a', 's']) as c, unnest([arrivals, served]) as v from u), (values (1), (2)) t(hop) where not (c = 's' and user_id % 4 < 2) group by all), n as (select user_id as node_id, bin, unnest(['a', 's']) as class_id, unnest([arrivals, served]) as value from u),"
+    " o as (select node_id, class_id, bin, abs(value - edges) as x from n join f using (node_id, class_id, bin) where abs(value - edges) > 1e-6), l as (select distinct node_id, class_id from n where node_id in (select node_id from f) and (node_id, class_id) not in (select (node_id, class_id) from f)),"
+    " b as (select * from o union all select node_id, class_id, null, null from l)"
+    " select node_id, case when count(*) filter (where bin is null) > 0 then 'edge_class_partial_coverage' else 'edge_class_mismatch_incoming' end as code, case when count(bin) > 0 then string_agg(distinct class_id, ',' order by class_id) filter (where bin is not null) else string_agg(distinct class_id, ',' order by class_id) end as classes, coalesce(array_to_string(list_sort(list(distinct bin) filter (where bin is not null))[1:5], ','), '') as bins, round(max(x), 6) as worst from b group by 1"
+)
+def warn_edge_class_coverage(spark, sf):
+    long = users(spark, sf).select("scenario_id", "user_id", "bin", F.col("arrivals").alias("a"), F.col("served").alias("s")).unpivot(["scenario_id", "user_id", "bin"], ["a", "s"], "class_id", "value")
+    e = _edges(spark, sf).withColumn("part", F.when(F.col("target") - F.col("source") == 1, 0.75).otherwise(0.25))
+    flows = long.where("not (class_id = 's' and user_id % 4 < 2)").join(e, F.col("user_id") == F.col("source")).select("scenario_id", "source", "target", "class_id", "bin", (F.col("value") * F.col("part")).alias("flow"))
+    w = checks.edge_class_warnings(long.withColumnRenamed("user_id", "node_id"), flows, "target")
+    return w.select("node_id", "code", F.array_join("classes", ",").alias("classes"), F.array_join("bins", ",").alias("bins"), r6("worst").alias("worst"))
+
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 

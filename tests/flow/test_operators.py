@@ -69,6 +69,25 @@ def test_metrics(spark):
     assert [r.m for r in sla] == [1, 0, 1, 0]
 
 
+def test_checks_skip_what_is_no_number(spark):
+    nan = float("nan")
+    rows = [(0, "n", 0, 5.0, nan, 1.0), (0, "n", 1, nan, 4.0, 1.0), (0, "n", 2, 5.0, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "scenario_id long, node_id string, bin long, attempts double, served double, errors double")
+    assert {r.code: list(r.bins) for r in checks.check(df).collect()} == {"attempts_conservation_mismatch": [2]}
+
+
+def test_presence(spark):
+    rows = [(0, n, b, 5.0, 0.0 if n == "gate" else None, 0.0) for n in ("gate", "dep", "svc") for b in range(3)]
+    df = spark.createDataFrame(rows, "scenario_id long, node_id string, bin long, arrivals double, served double, capacity double")
+    expected = spark.createDataFrame([("gate", "queue", ["queue_depth"], False, True, True), ("dep", "dependency", [], False, False, False), ("svc", "service", None, True, False, False)], "node_id string, kind string, declared array<string>, retries boolean, scheduled boolean, schedule_capacity boolean")
+    got: dict = {}
+    for r in checks.presence(df, expected).collect():
+        got.setdefault(r.node_id, set()).add(r.code)
+    assert got["gate"] == {"capacity_all_zero", "missing_queue_depth_series", "dispatch_capacity_missing", "dispatch_never_releases"}
+    assert got["dep"] == {"capacity_all_zero", "missing_dependency_served"}
+    assert got["svc"] == {"missing_served_series", "missing_processing_time_series", "missing_served_count_series", "missing_exhausted_failures_series", "missing_retry_budget_series"}
+
+
 def test_checks(spark):
     rows = [(0, "n", b, 5.0, 6.0 if b % 2 else 4.0, -1.0) for b in range(14)]
     df = spark.createDataFrame(rows, "scenario_id long, node_id string, bin long, arrivals double, served double, errors double").withColumn("kind", F.lit("service"))
@@ -79,6 +98,10 @@ def test_checks(spark):
     nodes = spark.createDataFrame([("d", "dlq"), ("x", "dependency"), ("s", "service")], "node_id string, kind string")
     edges = spark.createDataFrame([("s", "d", "throughput", 1), ("s", "x", "throughput", 0)], "source string, target string, type string, lag int")
     assert {(r.node_id, r.code) for r in checks.edge_rules(edges, nodes).collect()} == {("d", "dlq_non_terminal_inbound"), ("s", "edge_behavior_violation_lag"), ("x", "dependency_missing_effort_edges")}
+    blind = spark.createDataFrame([("x", "dependency", True, False), ("y", "dependency", True, False), ("s", "service", False, False), ("t", "service", False, True)], "node_id string, kind string, errors boolean, attempts boolean")
+    effort = spark.createDataFrame([("s", "x", "effort", 0), ("t", "y", "effort", 0)], "source string, target string, type string, lag int")
+    assert {(r.node_id, r.code) for r in checks.edge_rules(effort, blind).collect()} == {("x", "dependency_retry_pressure_missing")}
+    assert checks.missing_series(["arrivals"], "dependency", {"retries": True}) == ["missing_dependency_served", "missing_exhausted_failures_series", "missing_retry_budget_series"]
     assert checks.never_releases(df.withColumn("served", F.lit(0.0))).count() == 1
 
 
