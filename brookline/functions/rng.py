@@ -8,11 +8,12 @@ _MASK = (1 << 64) - 1
 
 
 class Pcg32:
-    """Seeded generator: next32(), double in [0, 1), and unbiased integers below a bound."""
+    """Seeded generator: next32(), double in [0, 1), and unbiased integers below a bound. A seed is the state itself, and
+    the first number is thrown away."""
 
-    def __init__(self, seed: int, stream: int = 1) -> None:
-        self.increment = (stream << 1 | 1) & _MASK
-        self.state = (seed + self.increment) & _MASK
+    def __init__(self, seed: int, increment: int = 1442695040888963407) -> None:
+        self.increment = (increment | 1) & _MASK
+        self.state = seed & _MASK
         self.next32()
 
     def next32(self) -> int:
@@ -44,6 +45,7 @@ class Pmf:
         if any(not math.isfinite(x) for x in [*values, *probabilities]) or min(probabilities) < 0 or sum(probabilities) <= 0:
             raise ValueError("a PMF's probabilities are finite, not negative, and not all zero")
         total = sum(probabilities)
+        total = total if abs(total - 1) > 1e-6 else 1.0
         self.values, self.probabilities = list(map(float, values)), [p / total for p in probabilities]
 
     @property
@@ -60,9 +62,22 @@ class Pmf:
         return math.sqrt(self.variance) / abs(self.mean) if self.mean else 0.0
 
     @classmethod
-    def from_summary(cls, low: float, middle: float, high: float) -> Pmf:
-        """Quarter, half, quarter at minimum, middle and maximum; one point for a range of nothing."""
-        return cls([middle], [1.0]) if high - low < 1e-9 or len({low, middle, high}) < 3 else cls([low, middle, high], [0.25, 0.5, 0.25])
+    def from_summary(cls, low: float, high: float, middle: float | None = None, mean: float | None = None) -> Pmf:
+        """Quarter, half, quarter at the minimum, the median (else the mean, else half way) and the maximum; one point for a
+        range of nothing. Equal values are one."""
+        if abs(high - low) < 1e-9:
+            return cls([low], [1.0])
+        peak = next(x for x in (middle, mean, (low + high) / 2) if x is not None)
+        parts: dict[float, float] = {}
+        for v, p in ((low, 0.25), (peak, 0.5), (high, 0.25)):
+            parts[v] = parts.get(v, 0.0) + p
+        return cls(list(parts), list(parts.values()))
+
+    def fits(self, bins: int, policy: str = "repeat") -> None:
+        """Raises unless the values are as many as bins or, under the policy "repeat", tile them."""
+        n = len(self.values)
+        if n != bins and (policy != "repeat" or bins % n):
+            raise ValueError(f"a PMF of {n} values does not fit {bins} bins (policy: {policy})")
 
     def sample(self, n: int, seed: int) -> list[float]:
         """Inverse transform: the first value whose cumulative probability is not below the draw."""

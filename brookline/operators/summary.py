@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,10 +13,11 @@ from .series import along
 
 # Relative load by hour of day.
 PROFILES = {
-    "flat": [1.0] * 24,
-    "office": [0.2] * 7 + [0.6, 1.2, 1.8, 2.0, 1.9, 1.4, 1.7, 1.9, 1.8, 1.5, 1.0, 0.6] + [0.4] * 2 + [0.3] * 3,
-    "evening": [0.5] * 6 + [0.6] * 6 + [0.9] * 5 + [1.5, 2.0, 2.3, 2.2, 1.6, 1.0, 0.7],
+    "weekday-office": [0.18, 0.16, 0.15, 0.15, 0.2, 0.3, 0.45, 0.7, 0.95, 1.15, 1.25, 1.3, 1.25, 1.15, 1.05, 1.0, 0.95, 0.85, 0.65, 0.5, 0.38, 0.3, 0.25, 0.2],
+    "three-shift": [0.9, 0.9, 0.9, 0.92, 0.95, 0.98, 1.0, 1.03, 1.06, 1.1, 1.12, 1.15, 1.12, 1.08, 1.05, 1.02, 1.0, 0.98, 0.96, 0.94, 0.92, 0.9, 0.9, 0.9],
+    "hub-rush-hour": [0.2, 0.18, 0.17, 0.17, 0.2, 0.35, 0.7, 1.2, 1.4, 1.25, 1.0, 0.85, 0.8, 0.85, 0.95, 1.1, 1.35, 1.5, 1.35, 1.0, 0.65, 0.4, 0.3, 0.22],
 }
+SLOTS = 12  # of five minutes in an hour
 
 
 def describe(df: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
@@ -37,6 +38,30 @@ def periodicity(df: DataFrame, x: str, period: int, keys: Sequence[str]) -> Data
     return lagged.groupBy(*keys).agg(score.alias("score")).withColumn("periodic", F.coalesce(F.col("score") >= 0.85, F.lit(False)))
 
 
+def detect_period(df: DataFrame, x: str, bins_per_day: int, keys: Sequence[str]) -> DataFrame:
+    """The better of a day and a week as the period of each series: label, period, score (null if neither says anything)
+    and whether the series is periodic. Both lags share one sort."""
+    found = df
+    for label, period in (("daily", bins_per_day), ("weekly", 7 * bins_per_day)):
+        found = found.withColumn(f"_{label}", F.lag(x, period).over(along(keys)))
+
+    def scored(label: str, period: int) -> Column:
+        before = F.col(f"_{label}")
+        miss, size = F.sum(F.when(before.isNotNull(), F.abs(F.col(x) - before))), F.sum(F.when(before.isNotNull(), F.abs(F.col(x))))
+        score = F.when((F.count("*") >= 2 * period) & (size > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - miss / size)))
+        return F.coalesce(score, F.lit(0.0))
+
+    out = found.groupBy(*keys).agg(scored("daily", bins_per_day).alias("_d"), scored("weekly", 7 * bins_per_day).alias("_w"))
+    day, week = (F.col("_d") >= F.col("_w")) & (F.col("_d") > 0), F.col("_w") > 0
+    return out.select(
+        *keys,
+        F.when(day, "daily").when(week, "weekly").alias("label"),
+        F.when(day, bins_per_day).when(week, 7 * bins_per_day).cast("long").alias("period"),
+        F.when(day, F.col("_d")).when(week, F.col("_w")).alias("score"),
+        (F.greatest("_d", "_w") >= 0.85).alias("periodic"),
+    )
+
+
 def fit_pmf(df: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
     """Relative frequencies of the values, rounded half to even to six decimals."""
     counted = df.groupBy(*keys, F.bround(x, 6).alias("value")).agg(F.count("*").alias("n"))
@@ -63,7 +88,17 @@ def resample_profile(df: DataFrame, weights: str, n: int) -> DataFrame:
     lo = F.floor(at).cast("int")
     value = lambda i: F.element_at(weights, F.least(i, m - 1) + 1)
     rows = df.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.withColumn("weight", value(lo) + (value(lo + 1) - value(lo)) * (at - lo)).drop(weights)
+    between = value(lo) + (value(lo + 1) - value(lo)) * (at - lo)
+    return rows.withColumn("weight", F.when(m == n, value(F.col("bin"))).otherwise(between)).drop(weights)
+
+
+def built_in_profile(spark: SparkSession, name: str, bins: int) -> DataFrame:
+    """Rows (bin, weight) of a profile of PROFILES over a grid: hours in slots of five minutes, resampled, mean one."""
+    if name.lower() not in PROFILES or bins < 1:
+        raise ValueError(f"there is no profile {name!r} of {bins} bins")
+    hourly = F.array(*map(F.lit, PROFILES[name.lower()]))
+    day = spark.range(1).select("id", F.flatten(F.transform(hourly, lambda x: F.array_repeat(x, SLOTS))).alias("weights"))
+    return normalise_profile(resample_profile(day, "weights", bins), "weight", ["id"]).select("bin", "weight")
 
 
 def fill_gaps(df: DataFrame, x: str, missing: str = "ignore", invalid: str = "zero") -> DataFrame:

@@ -699,11 +699,21 @@ def model_graph(spark, sf):
     return graph(spark, model())[1].select("edge_id", "source", "target", "type")
 
 
-@query("with w as (select unnest([0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 1.2, 1.8, 2.0, 1.9, 1.4, 1.7, 1.9, 1.8, 1.5, 1.0, 0.6, 0.4, 0.4, 0.3, 0.3, 0.3]) as x, generate_subscripts([0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 1.2, 1.8, 2.0, 1.9, 1.4, 1.7, 1.9, 1.8, 1.5, 1.0, 0.6, 0.4, 0.4, 0.3, 0.3, 0.3], 1) as h) select b.bin, round(2.1 * x::double / (select avg(x::double) from w), 6) as rate from (select unnest(range(48)) as bin) b join w on h = b.bin % 24 + 1")
+_OFFICE = "[" + ", ".join(map(str, summary.PROFILES["weekday-office"])) + "]::double[]"
+
+
+@query(f"with p as (select bin, bin / 48.0::double * 287 as pos, floor(bin / 48.0::double * 287)::int as lo from (select unnest(range(48)) as bin)), w as (select bin, ({_OFFICE})[lo // 12 + 1] as a, ({_OFFICE})[least(lo + 1, 287) // 12 + 1] as b, pos - lo as part from p) select bin, round(2.1 * (a + (b - a) * part) / avg(a + (b - a) * part) over (), 6) as rate from w")
 def profiled_source(spark, sf):
-    hourly = spark.createDataFrame([(0, h, w) for h, w in enumerate(summary.PROFILES["office"])], "k long, hour long, x double")
-    weights = summary.normalise_profile(hourly, "x", ["k"]).select("hour", "weight")
-    return spark.range(48).select(F.col("id").alias("bin"), (F.col("id") % 24).alias("hour")).join(F.broadcast(weights), "hour").select("bin", r6(F.col("weight") * Pmf([1, 2, 3], [0.2, 0.5, 0.3]).mean).alias("rate"))
+    weights = summary.built_in_profile(spark, "weekday-office", 48)
+    return weights.select(F.col("bin").cast("long").alias("bin"), r6(F.col("weight") * Pmf([1, 2, 3], [0.2, 0.5, 0.3]).mean).alias("rate"))
+
+
+@query(
+    "with $H, l as (select *, lag(arrivals, 24) over (order by bin) as d, lag(arrivals, 168) over (order by bin) as w from h), s as (select greatest(0, 1 - sum(abs(arrivals - d)) / sum(arrivals) filter (where d is not null)) as d, greatest(0, 1 - sum(abs(arrivals - w)) / sum(arrivals) filter (where w is not null)) as w from l)"
+    " select case when d > 0 and d >= w then 'daily' when w > 0 then 'weekly' end as label, case when d > 0 and d >= w then 24 when w > 0 then 168 end::bigint as period, round(case when greatest(d, w) > 0 then greatest(d, w) end, 6) as score, coalesce(greatest(d, w) >= 0.85, false) as periodic from s"
+)
+def detect_period(spark, sf):
+    return summary.detect_period(hours(spark, sf), "arrivals", 24, ["scenario_id"]).select("label", "period", r6("score").alias("score"), "periodic")
 
 
 @query("select 'run' as kind, count(*) as total, ceil(count(*) / 50.0)::bigint as pages from orders where o_orderstatus <> 'P' and o_totalprice between 1000 and 300000")

@@ -76,6 +76,22 @@ def test_checks_skip_what_is_no_number(spark):
     assert {r.code: list(r.bins) for r in checks.check(df).collect()} == {"attempts_conservation_mismatch": [2]}
 
 
+def test_built_in_profiles(spark):
+    for name, hourly in summary.PROFILES.items():
+        got = [r.weight for r in summary.built_in_profile(spark, name, 288).orderBy("bin").collect()]
+        mean = sum(hourly) / 24
+        assert got == pytest.approx([x / mean for x in hourly for _ in range(12)])
+    with pytest.raises(ValueError):
+        summary.built_in_profile(spark, "none", 24)
+
+
+def test_detect_period(spark):
+    rows = [(s, b, float(b % 4 if s == 0 else b % 28 if s == 1 else 0)) for s in range(3) for b in range(84)]
+    df = spark.createDataFrame(rows, "k long, bin long, x double")
+    got = {r.k: (r.label, r.period, r.score, r.periodic) for r in summary.detect_period(df, "x", 4, ["k"]).collect()}
+    assert got == {0: ("daily", 4, 1.0, True), 1: ("weekly", 28, 1.0, True), 2: (None, None, None, False)}
+
+
 def test_presence(spark):
     rows = [(0, n, b, 5.0, 0.0 if n == "gate" else None, 0.0) for n in ("gate", "dep", "svc") for b in range(3)]
     df = spark.createDataFrame(rows, "scenario_id long, node_id string, bin long, arrivals double, served double, capacity double")
@@ -124,7 +140,12 @@ def test_numbers():
     assert xs == [again.double() for _ in range(2000)] and 0.47 < sum(xs) / 2000 < 0.53
     assert {Pcg32(7).below(6) for _ in range(3)} <= set(range(6))
     p = Pmf([1, 2, 3], [2, 5, 3])
-    assert p.mean == pytest.approx(2.1) and p.variance == pytest.approx(0.49) and Pmf.from_summary(3, 3, 3).mean == 3
+    assert p.mean == pytest.approx(2.1) and p.variance == pytest.approx(0.49) and Pmf.from_summary(3, 3).mean == 3
+    assert Pmf.from_summary(0, 10, 0).mean == 2.5 and Pmf.from_summary(0, 10, None, 4).mean == 4.5 and Pmf.from_summary(0, 10).mean == 5
+    p.fits(9)
+    for bins, policy in ((8, "repeat"), (9, "error")):
+        with pytest.raises(ValueError):
+            p.fits(bins, policy)
     for bad in (([1, 1], [1, 1]), ([1], [-1]), ([], []), ([1, 2], [1])):
         with pytest.raises(ValueError):
             Pmf(*bad)
