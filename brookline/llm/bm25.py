@@ -3,12 +3,13 @@
 Each input partition is indexed in shards of SHARD_BYTES of text at most: a row per term with its postings (documents by
 place in the shard, in order of id, and term frequencies) and a row with the shard's documents. Document counts, the
 mean length and document frequencies are taken over all shards, so that scores are global. Queries go in blocks of
-BLOCK, the only thing that is broadcast. A first pass scores the documents that hold a query's rarest terms; the k-th best
+BLOCK queries and about BLOCK_TERMS terms at most, the only thing that is broadcast. A first pass scores the documents that hold a query's rarest terms; the k-th best
 of those over all shards is a floor that the k best of all documents reach. Under that floor each shard finds its own k
 best by block-max WAND, which leaves out only documents that cannot be among them, and the shards' lists are merged
 exactly. Equal scores rank by smaller id.
 
-A query that is a document stands for its TERMS terms of the highest tf * idf over its whole text (ties by term).
+All distinct terms of a query count, however long it is. `terms` is for callers that ask for less: then a query stands
+for so many of its terms, those of the highest tf * idf over its whole text (ties by term).
 
 Defined results: null or empty texts have no terms; as queries they find nothing; documents with a null id are searched
 and rank last among equals; rows that repeat are separate documents; an empty table gives an empty table; other columns
@@ -31,7 +32,8 @@ from pyspark.sql import Window as W
 
 from .common import written
 
-K1, B, TERMS, TOP, BLOCK, POSTINGS_BLOCK, SHARD_BYTES = 1.2, 0.75, 16, 10, 4096, 64, 24 << 20
+K1, B, TOP, BLOCK, BLOCK_TERMS, POSTINGS_BLOCK, SHARD_BYTES = 1.2, 0.75, 10, 4096, 1 << 18, 64, 24 << 20
+TERMS = None  # all terms of a query
 #: Queries with more postings than this in a shard are pruned by blocks of documents, others posting by posting.
 LONG = 256
 LAST = (1 << 63) - 1  # stands for a null id
@@ -102,8 +104,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX), "index")
 
 
-def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, terms: int = TERMS) -> DataFrame:
-    """queries (qid, text): rows (qid, term, idf, df) of each query's strongest terms that occur in the index."""
+def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, terms: int | None = TERMS) -> DataFrame:
+    """queries (qid, text): rows (qid, term, idf, df) of each query's terms that occur in the index; the `terms` strongest, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,6 +117,8 @@ def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, terms: int =
     asked = queries.mapInArrow(run, "qid long, term string, tf int")
     df = index.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if terms is None:
+        return asked.join(df, "term").select("qid", "term", idf.alias("idf"), "df")
     ranked = asked.join(df, "term").select("qid", "term", "df", idf.alias("idf"), F.row_number().over(W.partitionBy("qid").orderBy((F.col("tf") * idf).desc(), "term")).alias("rank"))
     return ranked.where(F.col("rank") <= terms).select("qid", "term", "idf", "df")
 
@@ -296,7 +300,7 @@ def _on_shards(f, known, mean: float, k: int):
     return lambda rows: f(rows, known.value, mean, k)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", terms: int = TERMS, block: int = BLOCK) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", terms: int | None = TERMS, block: int = BLOCK) -> DataFrame:
     """queries (qid, text) against docs: rows (qid, rank, doc_id, score), exact."""
     spark = docs.sparkSession
     index = build_index(docs, id_col, text_col)
@@ -305,13 +309,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     mean = max(words, 1) / n
     asked = written(query_terms(queries.where("qid is not null"), index, n, terms).withColumn("block", F.dense_rank().over(W.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid"))), "queries")
-    # A block takes `block` / 64 queries of each of 64 hash classes: as many as `block` at most.
-    per, last = max(1, block // 64), asked.agg(F.max("block")).first()[0] or 0
+    # A block takes some queries of each of 64 hash classes: as many as `block` at most, fewer where queries are long.
+    last, widest = asked.groupBy("block").count().agg(F.max("block"), F.max("count")).first()
+    per, last = max(1, min(block // 64, BLOCK_TERMS // max(1, widest or 0))), last or 0
     found = None
     for lo in range(0, last, per):
         mine = asked.where((F.col("block") > lo) & (F.col("block") <= lo + per))
         listed: dict[int, list[tuple[str, float, int]]] = {}
-        for r in mine.orderBy("qid", "term").collect():  # `block` queries of `terms` terms at most
+        for r in mine.orderBy("qid", "term").collect():  # about BLOCK_TERMS rows at most
             listed.setdefault(r.qid, []).append((r.term, r.idf, r.df))
         some = {q: ([(t, idf) for t, idf, _ in ts], _rarest(ts, 40 * k), 0.0) for q, ts in listed.items()}
         wanted = F.broadcast(mine.select("term").distinct())

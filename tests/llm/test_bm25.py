@@ -91,3 +91,23 @@ def test_nulls_repeats_and_empty_tables(spark):
     queries = spark.createDataFrame([(7, "fox")], "qid long, text string")
     assert [(r.rank, r.doc_id) for r in bm25.search(docs, queries).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, None)]
     assert bm25.search(docs.limit(0), queries).count() == 0 and bm25.search(docs, queries.limit(0)).count() == 0
+
+
+def test_all_terms_of_a_long_query_count(spark):
+    """Document 1 shares only words of the query beyond its 16 strongest, the others one or two of the strongest."""
+    strong, weak = [f"a{i}" for i in range(16)], [f"b{i}" for i in range(20)]
+    docs = [(1, " ".join(weak)), (2, "a0 " + " ".join(f"c{i}" for i in range(19)))] + [(10 + i, f"d{i} {strong[i]}") for i in range(16)]
+    query = [(7, " ".join(strong * 2 + weak))]
+    got = bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(query, "qid long, text string"))
+    assert rounded(got) == brute(docs, query, terms=None) and rounded(got)[0][2] == 1
+
+
+def test_whole_queries_match_sql(spark, sf_dir):
+    import duckdb
+    from brookline.llm.queries import WHOLE, WHOLE_SQL
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for name, f in WHOLE.items():
+        want = sorted((q, n, d, round(s, 5)) for q, n, d, s in con.sql(WHOLE_SQL[name]).fetchall())
+        assert want and sorted((r.qid, r.rank, r.doc_id, round(r.score, 5)) for r in f(spark, sf_dir).collect()) == want
