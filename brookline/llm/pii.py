@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction; DataFrame and SQL functions alone.
 
-Base entities (e-mail, IP address, payment card, phone) are found by their forms and are the seeds. Every token with
-digits is an instance, the two words before it its lexical pattern. On the graph of patterns and instances, a pattern's
+Base entities (e-mail, IP address, payment card, phone) are found by their forms and are the seeds. Every base entity, as
+a whole, and every token of 6 characters and 3 digits that overlaps none is an instance; the two words before it in the
+whole text are its lexical pattern, in which a word with a digit or an @ stands as 0. On the graph of patterns and instances, a pattern's
 confidence is the mean score of its instances (seeds score 1) with one instance's smoothing, an instance's score is the
 noisy-or of its patterns' confidences, and both are computed ROUNDS times over. Tokens that follow a pattern of at least
-MIN_SEEDS distinct seeds and CONFIDENCE are found as identifiers of kind "id", unless they overlap a base entity.
+MIN_SEEDS distinct seeds and CONFIDENCE are found as identifiers of kind "id".
 
 Spans are in code points, end exclusive. The expressions take each match's place from the lengths of the pieces between
 matches, so nothing but Spark's own functions runs; look-behinds and possessive quantifiers keep them linear on long runs
@@ -33,6 +34,11 @@ FORMS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: A word that stands as 0 in a pattern, and the last two words (or one) of a text with the white space after them. As what
+#: matches holds a digit or an @, the words before a place are made out from piece to piece without going back.
+MARKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+LAST_TWO = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
+ITEM = "struct<s:int,e:int,v:string,c:string>"
 MAY_HOLD = {"email": "contains(text, '@')", "ip": "rlike(text, '[0-9][.][0-9]')", "card": "rlike(text, '[0-9]{2}|[0-9][ -][0-9]')", "phone": "contains(text, '+')"}
 PASSES = {
     "email": "{m} is not null",
@@ -46,28 +52,28 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _places(pattern: str, passes: str, item: str, kind: str, may: str) -> str:
-    """SQL for the array of `item` structs of the matches {m} (pieces {p} before them) that pass; {s} and {e} are their ends."""
-    names = {"p": "x.`0`", "m": "x.`1`", "s": "(a.at + length(x.`0`))", "e": "(a.at + length(x.`0`) + length(x.`1`))"}
+def _places(pattern: str, passes: str, may: str) -> str:
+    """SQL for the array of ITEM structs of the matches {m} that pass: place, value and the pattern before it."""
     walked = f"""aggregate(arrays_zip(split(text, {_quoted(pattern)}, -1), regexp_extract_all(text, {_quoted(pattern)}, 0)),
-        named_struct('at', 0, 'got', cast(array() as array<{kind}>)),
-        (a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'got', case when coalesce({passes.format(**names)}, false) then concat(a.got, array({item.format(**names)})) else a.got end),
+        named_struct('at', 0, 'tail', '', 'got', cast(array() as array<{ITEM}>)),
+        (a, x) -> case when x.`1` is null then a else element_at(transform(array(regexp_replace(regexp_extract(concat(a.tail, x.`0`), {_quoted(LAST_TWO)}, 0), {_quoted(MARKED)}, '0')), w -> named_struct(
+            'at', a.at + length(x.`0`) + length(x.`1`), 'tail', concat(w, '0'),
+            'got', case when coalesce({passes.format(m="x.`1`")}, false) then concat(a.got, array(named_struct(
+                's', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`), 'v', lower(x.`1`), 'c', lower(trim(regexp_replace(w, r'[\\x20\\x09-\\x0D]+', ' ')))))) else a.got end)), 1) end,
         a -> a.got)"""
-    return f"case when {may} then {walked} else cast(array() as array<{kind}>) end"
+    return f"case when {may} then {walked} else cast(array() as array<{ITEM}>) end"
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, mark, n_email .. n_phone, base, tokens): base and tokens are arrays of structs in order of place."""
-    span = "named_struct('s', {s}, 'e', {e})"
+    """Rows (doc_id, mark, n_email .. n_phone, base, seeds, tokens): base and tokens are arrays of structs in order of place;
+    seeds has the values and patterns of base."""
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.withColumns({k: F.expr(_places(FORMS[k], PASSES[k], span, "struct<s:int,e:int>", MAY_HOLD[k])) for k in FORMS})
-    words_before = "regexp_extract(right({p}, 64), r'([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+)[\\x20\\x09-\\x0D]+$', 1)"
-    token = "named_struct('s', {s}, 'e', {e}, 'v', lower({m}), 'c', lower(" + words_before + "))"
+    out = out.withColumns({k: F.expr(_places(FORMS[k], PASSES[k], MAY_HOLD[k])) for k in FORMS})
     long_enough = "length({m}) >= 6 and length(regexp_replace({m}, '[^0-9]', '')) >= 3"
-    out = out.withColumn("tokens", F.expr(_places(TOKEN, long_enough, token, "struct<s:int,e:int,v:string,c:string>", "rlike(text, '[0-9]')")))
+    out = out.withColumn("tokens", F.expr(_places(TOKEN, long_enough, "rlike(text, '[0-9]')")))
     base = "array_sort(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'k', {i + 1}, 'e', x.e))" for i, k in enumerate(FORMS)) + "))"
-    return out.select("doc_id", F.xxhash64("text").alias("mark"), *[F.size(k).cast("long").alias(f"n_{k}") for k in FORMS], F.expr(base).alias("base"), "tokens")
+    seeds = "transform(concat(" + ", ".join(FORMS) + "), x -> named_struct('v', x.v, 'c', x.c))"
+    return out.select("doc_id", F.xxhash64("text").alias("mark"), *[F.size(k).cast("long").alias(f"n_{k}") for k in FORMS], F.expr(base).alias("base"), F.expr(seeds).alias("seeds"), "tokens")
 
 
 def pattern_confidence(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -84,12 +90,12 @@ def pattern_confidence(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int =
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id. Counts are of base spans."""
     base = written(base_spans(docs, id_col, text_col), "pii")
-    seen = base.select("doc_id", "mark", "base", F.explode("tokens").alias("t")).select(
-        "doc_id", "mark", "t.*", F.expr("exists(base, x -> x.s < t.e and x.e > t.s)").alias("known")
-    ).where("c <> ''")
-    edges = seen.groupBy("c", "v").agg(F.max(F.col("known").cast("double")).alias("seed"))
+    apart = "filter(tokens, t -> not exists(base, x -> x.s < t.e and x.e > t.s))"
+    seen = base.select("doc_id", "mark", F.explode(F.expr(apart)).alias("t")).select("doc_id", "mark", "t.*").where("contains(c, ' ')")
+    seeds = base.select(F.explode("seeds").alias("t")).select("t.c", "t.v", F.lit(1.0).alias("seed")).where("contains(c, ' ')")
+    edges = seeds.union(seen.select("c", "v", F.lit(0.0))).groupBy("c", "v").agg(F.max("seed").alias("seed"))
     good = pattern_confidence(edges).where(F.col("confidence") >= CONFIDENCE)
-    new = seen.where("not known").join(good, "c").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", F.lit(5).alias("k"), "e")).alias("new"))
+    new = seen.join(good, "c").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", F.lit(5).alias("k"), "e")).alias("new"))
     joined = base.alias("b").join(new.alias("n"), F.col("b.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("b.mark") == F.col("n.mark")), "left")
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     written_out = f"array_join(transform(%s, x -> concat(element_at({names}, x.k), ':', x.s, ':', x.e)), ',')"

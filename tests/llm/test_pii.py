@@ -72,3 +72,20 @@ def test_repeats_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.spans) for r in pii.find_pii(docs).collect()) == [(-1, ""), (-1, "email:0:6"), (1, "email:0:6"), (1, "email:0:6")]
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_base_entities_of_each_kind_are_seeds(spark):
+    """Seeds with spaces or without digits, within two words of others, glued to a mark, after long words."""
+    long = "wordwithmanyletters" * 5
+    planted = {
+        "call desk": [f"+1 (743) 555-38{i}4" for i in range(10, 15)],
+        "pay from": ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "4012 8888 8888 1881"],
+        "write to": [f"{n}@example.com" for n in ("alice", "bob", "carol", "dan", "erin")],
+        f"{long} host": [f"10.0.0.{i}" for i in range(1, 6)],
+        "123456 ref": [f"10.1.0.{i}" for i in range(1, 6)],
+    }
+    texts = [f"Please {c} {v}, thanks" for c, vs in planted.items() for v in vs] + ["Please " + " and ".join(f"{c} AB-998{i}-X" for i, c in enumerate(planted)) + " or so AB-9987-X"]
+    got = check(spark, texts)
+    last = texts[-1]
+    want = [last.index(f"AB-998{i}-X") for i in range(len(planted))]
+    assert got[len(texts) - 1].spans == ",".join(f"id:{a}:{a + 9}" for a in want)
