@@ -6,8 +6,10 @@ if its family is likelier than THRESHOLD and the paragraph agrees with one of th
 of the template's word pairs occur in it, and no template of another family agrees better.
 
 The classifier is trained here, on PARAGRAPHS texts per family that a seeded generator writes from the templates, and on
-prose and near misses for "unknown"; no document of the input is learnt from. A paragraph is a line of the text; one of
-more than WINDOW words is scanned in windows that overlap by half.
+prose and near misses for "unknown"; no document of the input is learnt from. A paragraph is a line of the text, and also a
+run of lines between lines without words, so that wrapped statements are found; one of more than WINDOW words is scanned in
+windows that overlap by half. Of a line and a run that are found by the same words, the better agreement counts, the line if
+they are equal; a line within a run of the same family is part of its statement.
 
 Defined results: a null or empty text has no licence; a null doc_id stays null; rows that repeat give a row each; an
 empty table gives an empty table; other columns are left out. Places are code points, end exclusive.
@@ -122,6 +124,7 @@ class LicenceModel:
         losses = {t: -np.mean(np.log(self._softmax(held / t)[np.arange(len(held)), y[cut:]] + 1e-12)) for t in (0.5, 0.7, 1.0, 1.4, 2.0)}
         self.temperature = min(losses, key=losses.get)
         self.pairs = {f: [self._pairs([w for w in t.split() if w != "@"]) for t in ts] for f, ts in TEMPLATES.items()}
+        self.known_pairs = frozenset(p for ts in self.pairs.values() for t in ts for p in t)
 
     def _matrix(self, texts: list[list[str]]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.index)), np.float32)
@@ -165,32 +168,80 @@ class LicenceModel:
             return None
         return family, float(p[best]), agrees
 
+    def _matched(self, family: str, words: list[str]) -> frozenset[tuple[str, str]]:
+        """The word pairs that confirm a family."""
+        pairs = self._pairs(words)
+        return max((pairs & t for t in sorted(self.pairs[family], key=sorted)), key=len)
+
+    def _settled(self, lines: list[tuple], of_run: list[tuple], words: list[str]) -> list[tuple]:
+        """Findings of a run and of its lines (finding, words of the line) without those that others are found by the words of."""
+        lost, kept = set(), []
+        for got in of_run:
+            mine, stays, beaten = self._matched(got[2], words), True, []
+            for i, (line, theirs) in enumerate(lines):
+                if line[0] < got[1] and line[1] > got[0]:
+                    other = self._matched(line[2], theirs)
+                    if 2 * len(mine & other) >= len(mine):
+                        stays = False
+                    elif got[2] == line[2] or got[4] > line[4] and 2 * len(mine & other) >= len(other):
+                        beaten.append(i)
+            if stays:
+                kept.append(got)
+                lost.update(beaten)
+        return sorted(kept + [line for i, (line, _) in enumerate(lines) if i not in lost])
+
+    def _found(self, words: list[str], whole: tuple[int, int], places) -> list[tuple[int, int, str, float, float]]:
+        """Findings of a paragraph between the ends `whole`; places() has the ends of each word."""
+        found = []
+        if len(words) <= WINDOW:
+            spans = [(0, len(words))]
+        else:
+            spans = [(lo, min(len(words), lo + WINDOW)) for lo in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+        at = None
+        for lo, hi in spans:
+            got = self.classify(words[lo:hi])
+            if got:
+                a, b = whole
+                if len(spans) > 1:
+                    at = at or places()
+                    a, b = at[lo][0], at[hi - 1][1]
+                if found and found[-1][2] == got[0] and a < found[-1][1]:
+                    found[-1] = (found[-1][0], b, got[0], max(found[-1][3], got[1]), max(found[-1][4], got[2]))
+                else:
+                    found.append((a, b, *got))
+        return found
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
         """Findings (start, end, family, probability, agreement) of one text, in order."""
-        found, at = [], 0
+        found, at, run, single = [], 0, [], []
+
+        def placed(start: int, line: str) -> list[tuple[int, int]]:
+            low = line.lower()
+            if len(low) == len(line):
+                return [(start + m.start(), start + m.end()) for m in WORD.finditer(low)]
+            return [(start, start + len(line))] * len(tokens(low))
+
+        def close() -> None:
+            """The end of a run of lines: a paragraph, if it is more than a line and has any word pair of a template."""
+            of_run = []
+            words = [w for _, _, ws in run for w in ws] if len(run) > 1 else []
+            if not self.known_pairs.isdisjoint(zip(words, words[1:], strict=False)):
+                whole = (run[0][0], run[-1][0] + len(run[-1][1]))
+                of_run = self._found(words, whole, lambda: [p for start, line, _ in run for p in placed(start, line)])
+            found.extend(self._settled(single, of_run, words) if of_run else [x for x, _ in single])
+            run.clear()
+            single.clear()
+
         for line in (text or "").split("\n"):
             start, at = at, at + len(line) + 1
-            low = line.lower()
-            words = tokens(low)
-            if self.vocabulary.isdisjoint(words):  # no n-gram of the model can occur
+            words = tokens(line.lower())
+            if not words:
+                close()
                 continue
-            if len(words) <= WINDOW:
-                spans = [(0, len(words))]
-            else:
-                spans = [(lo, min(len(words), lo + WINDOW)) for lo in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
-            places = None
-            for lo, hi in spans:
-                got = self.classify(words[lo:hi])
-                if got:
-                    if len(spans) == 1:
-                        a, b = 0, len(line)
-                    else:
-                        places = places or ([m.span() for m in WORD.finditer(low)] if len(low) == len(line) else [(0, len(line))] * len(words))
-                        a, b = places[lo][0], places[hi - 1][1]
-                    if found and found[-1][2] == got[0] and start + a < found[-1][1]:
-                        found[-1] = (found[-1][0], start + b, got[0], max(found[-1][3], got[1]), max(found[-1][4], got[2]))
-                    else:
-                        found.append((start + a, start + b, *got))
+            run.append((start, line, words))
+            if not self.vocabulary.isdisjoint(words):  # else no n-gram of the model can occur
+                single.extend((x, words) for x in self._found(words, (start, start + len(line)), lambda: placed(start, line)))  # noqa: B023
+        close()
         return found
 
 

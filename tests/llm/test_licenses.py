@@ -36,3 +36,27 @@ def test_places_windows_and_odd_rows(spark):
     _, a, b = by[4].spans.split(":")
     assert "MIT License" in long[int(a) : int(b)]
     assert ls.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+}
+
+
+def test_wrapped_statements_are_found():
+    import textwrap
+
+    for family, statement in WRAPPED.items():
+        for width in (40, 72, 80):
+            for mark in ("", "# ", " * "):
+                lines = [mark + x for x in textwrap.wrap(statement, width)]
+                head = "Über the sea 😀 and the hills.\n" + mark.strip() + "\n"
+                text = head + "\n".join(lines) + "\n" + mark.strip() + "\nimport this\n"
+                got = ls.model().scan(text)
+                assert [x[2] for x in got] == [family], (family, width, mark, got)
+                a, b = got[0][:2]
+                assert len(head) <= a < b <= len(head) + len("\n".join(lines)), (family, width, mark)
+    assert ls.model().scan("A free tale\nof the general public\nand its source.") == []
