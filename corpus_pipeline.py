@@ -6,6 +6,7 @@ with the columns that they came with."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brookline.llm import exact_dedup, mixing, packing, quality, simhash
 from brookline.llm.common import table, written
@@ -19,16 +20,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(f"_quality_score >= {quality.THRESHOLD}").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key per row, _row; written, so that every reading has the same keys."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each set of equal texts, whatever its doc_id."""
+    rows = numbered(docs)
+    keep = exact_dedup.exact_dedup(rows).where("kept").select(F.col("text_sha256").alias("sha"), "keep_id").distinct()
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary"), 256)
+    named = rows.select("_row", "doc_id", sha.alias("sha"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    mine = named.join(keep, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = mine.groupBy("sha").agg(F.min(F.struct(-F.col("n"), "_row"))["_row"].alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near copies."""
-    dropped = simhash.simhash_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row, of those with the smallest doc_id (null last), of each group of near copies."""
+    rows = numbered(docs)
+    groups = simhash.simhash_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,13 @@ def test_stages_on_odd_rows(spark, sf_dir):
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf_dir).count() <= 60
         stage(spark, docs.limit(0), sf_dir).count()
+
+
+def test_dedup_stages_decide_by_row(spark, sf_dir):
+    a, b, c = ("alpha river stone green walks over hills", "quick market numbers fell by nine percent today", "seven cooks boil a soup of leek and barley")
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, c), (None, c), (7, ""), (7, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, a), (5, b), (7, ""), (None, c)]
+    for stage in (cp.exact_stage, cp.near_stage):
+        got = [(r.doc_id, r.text or "") for r in stage(spark, docs, sf_dir).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), stage.__name__
