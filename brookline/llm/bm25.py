@@ -1,25 +1,24 @@
 """Exact top-k search by BM25 on an inverted index, with block-max WAND in every shard.
 
-Each input partition is indexed in shards of SHARD_BYTES of text at most: a row per term with its postings (documents by
-place in the shard, in order of id, and term frequencies) and a row with the shard's documents. Document counts, the
-mean length and document frequencies are taken over all shards, so that scores are global. Queries go in blocks of
-BLOCK queries and about BLOCK_TERMS terms at most, the only thing that is broadcast. A first pass scores the documents that hold a query's rarest terms; the k-th best
-of those over all shards is a floor that the k best of all documents reach. Under that floor each shard finds its own k
-best by block-max WAND, which leaves out only documents that cannot be among them, and the shards' lists are merged
-exactly. Equal scores rank by smaller id.
-
-All distinct terms of a query count, however long it is. `terms` is for callers that ask for less: then a query stands
-for so many of its terms, those of the highest tf * idf over its whole text (ties by term).
+Each input partition is indexed in shards of SHARD_BYTES of text at most. A shard's documents are put in order of their
+commonest term and length, so that alike ones lie together, and cut into blocks of BLOCK_DOCS; its posting lists are one
+row. Document counts, the mean length and document frequencies are taken over all shards, so that scores are global.
+
+All distinct terms of a query count, however long it is. Queries go in blocks of about BLOCK_TERMS terms (a query is never
+parted), the only thing that is broadcast. In a shard, a query's bound for a block of documents is the sum of its terms'
+greatest impacts there. Blocks are taken by falling bound, some at once, and only while the bound reaches the threshold;
+their documents are scored whole, and the threshold rises with the k-th best. A first pass scores each shard's
+FIRST_BLOCKS best blocks alone; the k-th best of those over all shards is a floor that the k best of all documents reach,
+under which a second pass searches every shard. Both leave out only documents that cannot be among the k best, and the
+shards' lists are merged exactly. Equal scores rank by smaller id.
 
 Defined results: null or empty texts have no terms; as queries they find nothing; documents with a null id are searched
-and rank last among equals; rows that repeat are separate documents; an empty table gives an empty table; other columns
-are left out.
+and rank last among equals; rows that repeat are separate documents; queries with a null qid are left out, and queries of
+one qid are one query; an empty table gives an empty table; other columns are left out.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +31,8 @@ from pyspark.sql import Window as W
 
 from .common import written
 
-K1, B, TOP, BLOCK, BLOCK_TERMS, POSTINGS_BLOCK, SHARD_BYTES = 1.2, 0.75, 10, 4096, 1 << 18, 64, 24 << 20
-TERMS = None  # all terms of a query
-#: Queries with more postings than this in a shard are pruned by blocks of documents, others posting by posting.
-LONG = 256
+K1, B, TOP, BLOCK_TERMS, BLOCK_DOCS, FIRST_BLOCKS, SHARD_BYTES = 1.2, 0.75, 10, 1 << 19, 32, 2, 24 << 20
+SLACK = 1 + 1e-9  # sums of bounds and of impacts may round apart
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -59,33 +56,40 @@ def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarr
     return words.dictionary, key // max(1, len(texts)), (key % max(1, len(texts))).astype(np.int32), tf.astype(np.int32), np.bincount(rows, minlength=len(texts)).astype(np.int32)
 
 
-def _slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary per slice of values between starts."""
-    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
-
-INDEX = "shard long, term string, df long, words long, docs binary, counts binary"
+INDEX = "shard long, term string, df long, words long, ids binary, lengths binary, terms binary, ends binary, docs binary, counts binary"
 NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
 def shard_rows(ids: np.ndarray, texts: pa.Array, shard: int) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(ids, kind="stable")
-    ids, texts = ids[order], texts.take(pa.array(order))
+    """The shard's row (without a term; df is its number of documents), then a row (term, df) per term."""
     terms, code, row, tf, length = counted(texts)
-    one = lambda v, kind: pa.array([v], kind)
-    yield pa.RecordBatch.from_arrays([one(shard, pa.int64()), one(None, pa.string()), one(len(ids), pa.int64()), one(int(length.sum()), pa.int64()), one(ids.astype("<i8").tobytes(), pa.binary()), one(length.astype("<i4").tobytes(), pa.binary())], NAMES)
+    # Documents in order of their commonest term, then length: blocks of like documents have tight bounds.
+    by = np.lexsort((-tf, row))
+    first = by[np.flatnonzero(np.diff(row[by], prepend=-1))]
+    commonest = np.full(len(ids), -1, np.int64)
+    commonest[row[first]] = code[first]
+    order = np.lexsort((ids, length, commonest))
+    place = np.empty(len(ids), np.int32)
+    place[order] = np.arange(len(ids))
+    row = place[row]
+    by = np.lexsort((row, code))
+    code, row, tf = code[by], row[by], tf[by]
     starts = np.flatnonzero(np.diff(code, prepend=-1))
-    docs, counts, df = _slices(row.astype("<i4"), starts), _slices(tf.astype("<i4"), starts), np.diff(np.append(starts, len(code)))
-    names = terms.take(pa.array(code[starts])).cast(pa.string())
+    names = terms.take(pa.array(code[starts]))
+    ends = np.append(starts[1:], len(code))[: len(starts)]
+    joined = "\n".join(names.to_pylist()).encode()  # no term holds white space
+    values = [shard, None, len(ids), int(length.sum()), ids[order].astype("<i8").tobytes(), length[order].astype("<i4").tobytes(), joined, ends.astype("<i8").tobytes(), row.astype("<i4").tobytes(), tf.astype("<i4").tobytes()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], NAMES)
     n = len(starts)
-    whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), names, pa.array(df), pa.nulls(n, pa.int64()), docs, counts], NAMES)
+    rest = [pa.array(np.full(n, shard)), names.cast(pa.string()), pa.array(ends - starts), *(pa.nulls(n, t) for t in kinds[3:])]
+    whole = pa.RecordBatch.from_arrays(rest, NAMES)
     for lo in range(0, n, 20_000):
         yield whole.slice(lo, 20_000)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index as a written table. Of a shard, the row without a term holds its documents' ids and lengths."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The inverted index as a written table: of every shard the row with its lists, and its terms with their df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, texts, held = TaskContext.get().partitionId() << 24, [], [], 0
@@ -95,7 +99,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids.append(np.asarray(pc.fill_null(some.column(0), LAST)))
                 texts.append(some.column(1).cast(pa.large_string()))
                 held += texts[-1].nbytes
-                if held > SHARD_BYTES:
+                if held > shard_bytes:
                     yield from shard_rows(np.concatenate(ids), pa.concat_arrays(texts), shard)
                     shard, ids, texts, held = shard + 1, [], [], 0
         if ids:
@@ -104,232 +108,172 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, INDEX), "index")
 
 
-def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, terms: int | None = TERMS) -> DataFrame:
-    """queries (qid, text): rows (qid, term, idf, df) of each query's terms that occur in the index; the `terms` strongest, if given."""
+def query_terms(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
+    """queries (qid, text): rows (qid, term, idf) of each query's distinct terms that occur in the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 some = b.slice(lo, 200)
-                names, code, row, tf, _ = counted(some.column(1))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), names.take(pa.array(code)).cast(pa.string()), pa.array(tf)], ["qid", "term", "tf"])
+                names, code, row, *_ = counted(some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), names.take(pa.array(code)).cast(pa.string())], ["qid", "term"])
 
-    asked = queries.mapInArrow(run, "qid long, term string, tf int")
+    asked = queries.select(F.col("qid").cast("long"), "text").where("qid is not null").mapInArrow(run, "qid long, term string").distinct()
     df = index.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    if terms is None:
-        return asked.join(df, "term").select("qid", "term", idf.alias("idf"), "df")
-    ranked = asked.join(df, "term").select("qid", "term", "df", idf.alias("idf"), F.row_number().over(W.partitionBy("qid").orderBy((F.col("tf") * idf).desc(), "term")).alias("rank"))
-    return ranked.where(F.col("rank") <= terms).select("qid", "term", "idf", "df")
-
-
-def block_max_wand(lists: list[tuple[list[int], list[float], list[int], list[float], float]], k: int, floor: float = 0.0) -> list[tuple[float, int]]:
-    """The k best (score, -doc), none below floor, of posting lists (docs, impacts, last doc per block, greatest impact per
-    block, greatest impact of all); equal scores favour smaller docs. Docs come in ascending order, so one that only ties
-    with the worst of k is never better."""
-    n, heap = len(lists), []
-    at, doc = [0] * n, [x[0][0] for x in lists]
-    slack = 1 + 1e-12  # sums of bounds and of impacts may round apart
-    live = list(range(n))
-
-    def hopeless(bound: float) -> bool:
-        return bound * slack < floor or len(heap) == k and bound * slack <= heap[0][0]
-
-    def advance(j: int, target: int) -> None:
-        docs = lists[j][0]
-        at[j] = i = bisect_left(docs, target, at[j])
-        if i < len(docs):
-            doc[j] = docs[i]
-        else:
-            live.remove(j)
-
-    while live:
-        live.sort(key=doc.__getitem__)
-        bound, pivot = 0.0, -1
-        for p, j in enumerate(live):
-            bound += lists[j][4]
-            if not hopeless(bound):
-                pivot = p
-                break
-        if pivot < 0:
-            break
-        here = doc[live[pivot]]
-        while pivot + 1 < len(live) and doc[live[pivot + 1]] == here:
-            pivot += 1
-        bound, beyond = 0.0, doc[live[pivot + 1]] if pivot + 1 < len(live) else 1 << 62
-        for j in live[: pivot + 1]:
-            ends = lists[j][2]
-            i = bisect_left(ends, here)  # the block that could hold this document
-            if i < len(ends):
-                bound += lists[j][3][i]
-                beyond = min(beyond, ends[i] + 1)
-        if hopeless(bound):
-            for j in live[: pivot + 1]:
-                if doc[j] < beyond:
-                    advance(j, beyond)
-        elif doc[live[0]] == here:
-            score = 0.0
-            for j in sorted(live[: pivot + 1]):
-                score += lists[j][1][at[j]]
-            item = (score, -here)
-            if score >= floor:
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-            for j in live[: pivot + 1]:
-                advance(j, here + 1)
-        else:
-            for j in live[:pivot]:
-                if doc[j] < here:
-                    advance(j, here)
-    return sorted(heap, reverse=True)
-
-
-def block_max_scan(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_docs: int, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
-    """The same for long lists, with blocks of documents instead of postings (docs, impacts, greatest impact by block of
-    POSTINGS_BLOCK documents): the weak-AND test is put to whole blocks, and only documents of those that pass are scored."""
-    bound = lists[0][2].copy()
-    for _, _, most in lists[1:]:
-        bound += most
-    alive = bound * (1 + 1e-12) >= floor
-    if not alive.any():
-        return []
-    score, whole = np.zeros(n_docs), alive.all()
-    for docs, imp, _ in lists:
-        if whole:
-            score[docs] += imp
-        else:
-            inside = alive[docs // POSTINGS_BLOCK]
-            score[docs[inside]] += imp[inside]
-    found = np.flatnonzero(score >= floor) if floor > 0 else np.flatnonzero(score)
-    if len(found) > k:
-        found = found[score[found] >= np.partition(score[found], -k)[-k]]
-    best = found[np.lexsort((found, -score[found]))[:k]]
-    return [(s, -d) for s, d in zip(score[best].tolist(), best.tolist(), strict=True)]
+    return asked.join(df, "term").select("qid", "term", idf.alias("idf"))
+
+
+class Asked:
+    """A block of queries: its distinct terms in order, their idf, and for each query the numbers of its terms."""
+
+    def __init__(self, table: pa.Table) -> None:
+        qid, idf = np.asarray(table.column("qid")), np.asarray(table.column("idf"))
+        names = table.column("term").combine_chunks().dictionary_encode()
+        by_name = np.asarray(pc.sort_indices(names.dictionary))
+        rank = np.empty(len(by_name), np.int64)
+        rank[by_name] = np.arange(len(by_name))
+        self.terms = names.dictionary.take(pa.array(by_name)).to_pylist()
+        term = rank[np.asarray(names.indices)]
+        self.idf = np.zeros(len(self.terms))
+        self.idf[term] = idf
+        by = np.lexsort((term, qid))
+        self.term, starts = term[by], np.flatnonzero(np.diff(qid[by], prepend=~qid[by][:1]))
+        self.qid, self.cuts = qid[by][starts], np.append(starts, len(by))
+        self.floor = np.zeros(len(self.qid))
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Shard:
-    """The postings of one shard for the terms of a block of queries."""
-
-    def __init__(self, table: pa.Table, mean: float) -> None:
-        self.raw, self.mean, self.arrays, self.lists, self.blocks = {}, mean, {}, {}, {}
-        for term, docs, counts in zip(*(table.column(c).to_pylist() for c in ("term", "docs", "counts")), strict=True):
-            if term is None:
-                self.ids, self.length = np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i4")
-            else:
-                self.raw[term] = (docs, counts)
-        self.weight = K1 * (1 - B + B * self.length / mean)
-
-    def impacts(self, term: str, idf: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Documents of a term, its part of their scores, and the greatest part."""
-        if term not in self.arrays:
-            docs, tf = np.frombuffer(self.raw[term][0], "<i4"), np.frombuffer(self.raw[term][1], "<i4").astype(float)
-            imp = idf * tf * (K1 + 1) / (tf + self.weight[docs])
-            self.arrays[term] = docs, imp, float(imp.max())
-        return self.arrays[term]
-
-    def by_postings(self, term: str, idf: float) -> tuple:
-        if term not in self.lists:
-            docs, imp, most = self.impacts(term, idf)
-            starts = np.arange(0, len(docs), POSTINGS_BLOCK)
-            self.lists[term] = docs.tolist(), imp.tolist(), docs[np.minimum(starts + POSTINGS_BLOCK, len(docs)) - 1].tolist(), np.maximum.reduceat(imp, starts).tolist(), most
-        return self.lists[term]
-
-    def by_documents(self, term: str, idf: float) -> tuple:
-        if term not in self.blocks:
-            docs, imp, _ = self.impacts(term, idf)
-            most = np.zeros(-(-len(self.ids) // POSTINGS_BLOCK))
-            first = np.flatnonzero(np.diff(docs // POSTINGS_BLOCK, prepend=-1))
-            most[docs[first] // POSTINGS_BLOCK] = np.maximum.reduceat(imp, first)
-            self.blocks[term] = docs, imp, most
-        return self.blocks[term]
-
-    def best(self, terms: list[tuple[str, float]], k: int, floor: float) -> list[tuple[float, int]]:
-        here = [(t, idf) for t, idf in terms if t in self.raw]
-        made = [self.impacts(t, idf) for t, idf in here]
-        if not made or sum(m for _, _, m in made) * (1 + 1e-12) < floor:
-            return []
-        if sum(len(d) for d, _, _ in made) > LONG:
-            return block_max_scan([self.by_documents(t, idf) for t, idf in here], len(self.ids), k, floor)
-        return block_max_wand([self.by_postings(t, idf) for t, idf in here], k, floor)
-
-
-def rare_scores(table: pa.Table, queries: dict[int, tuple], mean: float, k: int) -> pa.Table:
-    """Of one shard, for each query some best scores among the documents that hold one of its rarest terms."""
-    shard, qids, scores = Shard(table, mean), [], []
-    for qid, (terms, rare, _) in queries.items():
-        held = [shard.impacts(t, idf)[0] for t, idf in terms if t in rare and t in shard.raw]
-        if not held:
-            continue
-        docs = np.unique(np.concatenate(held))
-        score = np.zeros(len(docs))
-        for t, idf in terms:
-            if t in shard.raw:
-                theirs, imp, _ = shard.impacts(t, idf)
-                i = np.minimum(np.searchsorted(theirs, docs), len(theirs) - 1)
-                score += np.where(theirs[i] == docs, imp[i], 0.0)
-        best = np.sort(score)[-k:].tolist()
-        qids += [qid] * len(best)
-        scores += best
-    return pa.table([pa.array(qids, pa.int64()), pa.array(scores, pa.float64())], ["qid", "score"])
-
-
-def search_shard(table: pa.Table, queries: dict[int, tuple], mean: float, k: int) -> pa.Table:
-    """The k best documents of one shard for each query, none below the query's floor."""
-    shard = Shard(table, mean)
-    out: tuple[list, list, list] = ([], [], [])
-    for qid, (terms, _, floor) in queries.items():
-        for score, doc in shard.best(terms, k, floor):
-            out[0].append(qid), out[1].append(int(shard.ids[-doc])), out[2].append(score)
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["qid", "id", "score"])
-
-
-def _rarest(terms: list[tuple[str, float, int]], enough: int) -> frozenset[str]:
-    """The rarest terms that together occur in `enough` documents, counted once per term."""
-    out, n = [], 0
-    for t, _, df in sorted(terms, key=lambda x: (x[2], x[0])):
-        if n >= enough:
-            break
-        out.append(t)
-        n += df
-    return frozenset(out)
-
-
-def _on_shards(f, known, mean: float, k: int):
-    return lambda rows: f(rows, known.value, mean, k)
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", terms: int | None = TERMS, block: int = BLOCK) -> DataFrame:
+    """What a shard has for the terms of a block of queries: postings with their impacts, and for each term its blocks of
+    documents with the greatest impact and where the postings start."""
+
+    def __init__(self, row: dict, asked: Asked, mean: float) -> None:
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        weight = K1 * (1 - B + B * np.frombuffer(row["lengths"], "<i4") / mean)
+        ends = np.frombuffer(row["ends"], "<i8")
+        at = pc.index_in(pa.array(asked.terms, pa.string()), pa.array(row["terms"].decode().split("\n"), pa.string())) if len(ends) else pa.nulls(len(asked.terms), pa.int32())
+        here = np.flatnonzero(np.asarray(at.is_valid()))
+        at = np.asarray(at.drop_null()).astype(np.int64)
+        starts = np.append(0, ends)[at]
+        n = ends[at] - starts if len(at) else starts
+        which = ranges(starts, starts + n)
+        self.docs = np.frombuffer(row["docs"], "<i4")[which]
+        tf = np.frombuffer(row["counts"], "<i4")[which].astype(float)
+        term = np.repeat(here, n)
+        self.impact = asked.idf[term] * tf * (K1 + 1) / (tf + weight[self.docs])
+        self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
+        key = term * self.n_blocks + self.docs // BLOCK_DOCS
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = key[first] % max(1, self.n_blocks)
+        self.most = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        self.begin = np.append(first, len(key))
+        self.entries = np.searchsorted(key[first] // max(1, self.n_blocks), np.arange(len(asked.terms) + 1))
+
+    def best(self, terms: np.ndarray, k: int, floor: float = 0.0, only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best documents for these terms, none below floor; of the `only` best blocks, if given."""
+        score, ids = np.empty(0), np.empty(0, np.int64)
+        entries = ranges(self.entries[terms], self.entries[terms + 1])
+        if not len(entries):
+            return score, ids
+        blocks = self.block[entries]
+        bound = np.bincount(blocks, self.most[entries], self.n_blocks) * SLACK
+        order = np.argsort(-bound, kind="stable")
+        live, done, step = int(np.count_nonzero(bound)), 0, only or FIRST_BLOCKS
+        slot = np.full(self.n_blocks, -1)
+        while done < live:
+            taken = order[done : min(live, done + step)]
+            taken = taken[bound[taken] >= floor]
+            if not len(taken):
+                break  # no block from here on reaches the threshold
+            slot[taken] = np.arange(len(taken))
+            mine = entries[slot[blocks] >= 0]
+            which = ranges(self.begin[mine], self.begin[mine + 1])
+            docs = self.docs[which]
+            sums = np.bincount(slot[docs // BLOCK_DOCS] * BLOCK_DOCS + docs % BLOCK_DOCS, self.impact[which], len(taken) * BLOCK_DOCS)
+            slot[taken] = -1
+            found = np.flatnonzero((sums > 0) & (sums >= floor))
+            score = np.append(score, sums[found])
+            ids = np.append(ids, self.ids[taken[found // BLOCK_DOCS] * BLOCK_DOCS + found % BLOCK_DOCS])
+            top = np.lexsort((ids, -score))[:k]
+            score, ids = score[top], ids[top]
+            if len(score) == k:
+                floor = max(floor, score[-1])
+            done, step = done + step, 4 * step
+            if only:
+                break
+        return score, ids
+
+
+def _searched(asked, mean: float, k: int, only: int | None):
+    """The function that searches shards for a broadcast block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block: Asked = asked.value
+                shard = Shard(b.slice(i, 1).to_pylist()[0], block, mean)
+                qids, scores, ids = [], [], []
+                for q in range(len(block.qid)):
+                    score, found = shard.best(block.term[block.cuts[q] : block.cuts[q + 1]], k, block.floor[q], only)
+                    if len(score):
+                        qids.append(np.full(len(score), block.qid[q]))
+                        scores.append(score)
+                        ids.append(found)
+                if qids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qids, ids, scores)], ["qid", "id", "score"])
+
+    return run
+
+
+def _blocks(asked: DataFrame, block_terms: int) -> int:
+    """Into how many hash classes of queries to part the asked terms so that none has many more than block_terms beside its longest query."""
+    n = max(1, -(-asked.count() // block_terms))
+    while True:
+        sizes = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n)).alias("block"), "qid").count().groupBy("block").agg(F.sum("count").alias("n"), F.max("count").alias("one"))
+        worst = sizes.select(F.max(F.when(F.col("n") > F.col("one") + 2 * block_terms, F.col("n")))).first()[0]
+        if not worst:
+            return n
+        n *= 2
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """queries (qid, text) against docs: rows (qid, rank, doc_id, score), exact."""
     spark = docs.sparkSession
-    index = build_index(docs, id_col, text_col)
-    n, words, shards = index.where("term is null").agg(F.sum("df"), F.sum("words"), F.count("*")).first()
+    index = build_index(docs, id_col, text_col, shard_bytes)
+    shards = index.where("term is null")
+    n, words, n_shards = shards.agg(F.sum("df"), F.sum("words"), F.count("*")).first()
     if not n:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     mean = max(words, 1) / n
-    asked = written(query_terms(queries.where("qid is not null"), index, n, terms).withColumn("block", F.dense_rank().over(W.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(64))).orderBy("qid"))), "queries")
-    # A block takes some queries of each of 64 hash classes: as many as `block` at most, fewer where queries are long.
-    last, widest = asked.groupBy("block").count().agg(F.max("block"), F.max("count")).first()
-    per, last = max(1, min(block // 64, BLOCK_TERMS // max(1, widest or 0))), last or 0
-    found = None
-    for lo in range(0, last, per):
-        mine = asked.where((F.col("block") > lo) & (F.col("block") <= lo + per))
-        listed: dict[int, list[tuple[str, float, int]]] = {}
-        for r in mine.orderBy("qid", "term").collect():  # about BLOCK_TERMS rows at most
-            listed.setdefault(r.qid, []).append((r.term, r.idf, r.df))
-        some = {q: ([(t, idf) for t, idf, _ in ts], _rarest(ts, 40 * k), 0.0) for q, ts in listed.items()}
-        wanted = F.broadcast(mine.select("term").distinct())
-        columns = ["shard", "term", "docs", "counts"]
-        rows = written(index.where("term is not null").join(wanted, "term", "left_semi").select(*columns).union(index.where("term is null").select(*columns)), "postings").groupBy("shard")
-        first = rows.applyInArrow(_on_shards(rare_scores, spark.sparkContext.broadcast(some), mean, max(2, -(-2 * k // shards))), "qid long, score double")
-        nth = first.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc()))).where(F.col("n") == k)
-        floors = {r.qid: r.score for r in nth.collect()}  # a row per query of the block
-        some = {q: (ts, rare, floors.get(q, 0.0)) for q, (ts, rare, _) in some.items()}
-        part = rows.applyInArrow(_on_shards(search_shard, spark.sparkContext.broadcast(some), mean, k), "qid long, id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
+    asked = written(query_terms(queries, index, n), "queries")
+    lists = shards.select("ids", "lengths", "terms", "ends", "docs", "counts")
+    by_score = W.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    n_blocks, parts = _blocks(asked, block_terms), []
+    for i in range(n_blocks):
+        mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == i).toArrow()  # about block_terms rows, or one query's
+        if not mine.num_rows:
+            continue
+        block = Asked(mine)
+        sent = spark.sparkContext.broadcast(block)
+        some = max(2, -(-2 * k // n_shards))
+        first = lists.mapInArrow(_searched(sent, mean, some, FIRST_BLOCKS), "qid long, id long, score double")
+        floors = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select("qid", "score").toArrow()  # a row per query
+        block.floor[np.searchsorted(block.qid, np.asarray(floors.column("qid")))] = np.asarray(floors.column("score"))
+        sent.unpersist()
+        sent = spark.sparkContext.broadcast(block)
+        found = lists.mapInArrow(_searched(sent, mean, k, None), "qid long, id long, score double")
+        best = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        parts.append(written(best.select("qid", "rank", F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "score"), "found"))
+        sent.unpersist()
+    if not parts:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("qid", "rank", F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "score")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out

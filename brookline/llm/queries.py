@@ -64,20 +64,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def _searched(spark: SparkSession, sf_dir: str, terms: int | None) -> DataFrame:
+def op9_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bm25 import search
 
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where("doc_id % 100 = 0").selectExpr("doc_id as qid", "text"), terms=terms).withColumn("score", F.round("score", 6))
-
-
-def op9_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries of 16 terms, as its SQL says (r <= 16); op9_bm25_whole asks with every term."""
-    return _searched(spark, sf_dir, 16)
-
-
-def op9_bm25_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _searched(spark, sf_dir, None)
+    return search(docs, docs.where("doc_id % 100 = 0").selectExpr("doc_id as qid", "text")).withColumn("score", F.round("score", 6))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +79,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing, op9_bm25_topk, op10_suffix_dedup)}
-#: The same operators without the bounds that the SQL of their queries sets.
-WHOLE = {f.__name__: f for f in (op9_bm25_whole,)}
 
 _SUFFIXES = """
         with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -107,7 +96,7 @@ _BM25 = """
         n as (select count(*) as n, (select sum(dl) from l) / count(*) as mean from documents),
         tf as materialized (select doc_id, term, count(*) as tf from w group by all),
         df as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from tf, n group by term, n),
-        q as (select qid, term, idf from (select doc_id as qid, term, idf, row_number() over (partition by doc_id order by tf * idf desc, term) as r from tf join df using (term) where doc_id % 100 = 0) where r <= 16),
+        q as (select doc_id as qid, term, idf from tf join df using (term) where doc_id % 100 = 0),
         s as (select qid, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) order by term) as score from q join tf using (term) join l using (doc_id), n group by 1, 2)
         select qid, rank, doc_id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id)::int as rank from s) where rank <= 10"""
 
@@ -153,4 +142,3 @@ ORACLE_SQL = {
     "op9_bm25_topk": _BM25,
     "op10_suffix_dedup": _SUFFIXES,
 }
-WHOLE_SQL = {"op9_bm25_whole": _BM25.replace(" where r <= 16", "")}

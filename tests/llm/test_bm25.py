@@ -5,12 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from brookline.llm import bm25
 
 WORD = re.compile(r"[^\W_]+")
 
 
-def brute(docs, queries, k=bm25.TOP, terms=bm25.TERMS):
+def brute(docs, queries, k=bm25.TOP):
     bags = [(d, WORD.findall((t or "").lower())) for d, t in docs]
     n, mean, df = len(bags), max(1, sum(len(b) for _, b in bags)) / max(1, len(bags)), {}
     for _, b in bags:
@@ -20,7 +21,7 @@ def brute(docs, queries, k=bm25.TOP, terms=bm25.TERMS):
     out = []
     for q, t in queries:
         words = WORD.findall((t or "").lower())
-        chosen = sorted({w for w in words if w in idf}, key=lambda w: (-words.count(w) * idf[w], w.encode()))[:terms]
+        chosen = {w for w in words if w in idf}
         scored = []
         for d, b in bags:
             s = 0.0
@@ -49,33 +50,43 @@ def test_search_matches_brute_force(spark, monkeypatch):
     docs += [(1000 + i, docs[i][1]) for i in range(40)] + [(2000, None), (2001, ""), (2002, "under_score,comma;w1")]
     queries = [(i, t) for i, t in docs if i % 10 == 0] + [(5000, "w1 w2 w3 nowhere"), (5001, "nowhere"), (5002, None)]
     frame = spark.createDataFrame([(i, t, "c", 1) for i, t in docs], "doc_id long, text string, term string, shard int").repartition(5)
-    got = bm25.search(frame, spark.createDataFrame(queries, "qid long, text string"), block=64)
+    got = bm25.search(frame, spark.createDataFrame(queries, "qid long, text string"), block_terms=500, shard_bytes=4000)
     assert rounded(got) == sorted(brute(docs, queries))
 
 
-def test_wand_skips_only_what_cannot_win():
-    r = random.Random(9)
-    for _ in range(200):
-        lists, total = [], {}
-        for _ in range(r.randint(1, 8)):
-            docs = sorted(r.sample(range(600), r.randint(1, 300)))
-            imp = [r.choice([0.5, 1.0, 1.5, r.random() * 3]) for _ in docs]
-            cut = [slice(i, i + 8) for i in range(0, len(docs), 8)]
-            lists.append((docs, imp, [docs[c][-1] for c in cut], [max(imp[c]) for c in cut], max(imp)))
-            for d, x in zip(docs, imp, strict=True):
-                total[d] = total.get(d, 0.0) + x
+def test_wand_skips_only_what_cannot_win(monkeypatch):
+    """Of random shards, the blocks that are left out hold none of the k best, whatever the floor."""
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 4)
+    r, skipped = random.Random(9), 0
+    for _ in range(60):
+        texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 150))]
+        ids = np.arange(len(texts)) * 7 % 1009
+        row = next(bm25.shard_rows(ids, pa.array(texts, pa.large_string()), 0)).to_pylist()[0]
+        terms = sorted({w for t in r.sample(texts, min(3, len(texts))) for w in t.split()})
+        if not terms:
+            continue
+        asked = bm25.Asked(pa.table({"qid": [1] * len(terms), "term": terms, "idf": [r.random() + 0.1 for _ in terms]}))
+        mean = max(1, sum(len(t.split()) for t in texts)) / len(texts)
+        shard, total = bm25.Shard(row, asked, mean), []
+        for d, t in zip(ids.tolist(), texts, strict=True):
+            words, score = t.split(), 0.0
+            for w, idf in zip(asked.terms, asked.idf, strict=True):
+                if words.count(w):
+                    score += idf * words.count(w) * 2.2 / (words.count(w) + 1.2 * (0.25 + 0.75 * len(words) / mean))
+            if score:
+                total.append((-score, d))
         k = r.choice([1, 3, 10])
-        best = sorted(((s, -d) for d, s in total.items()), reverse=True)[:k]
-        assert bm25.block_max_wand(lists, k) == best
-        floor = best[len(best) // 2][0]
-        assert bm25.block_max_wand(lists, k, floor) == [x for x in best if x[0] >= floor]
-        arrays = []
-        for docs, imp, *_ in lists:
-            most = np.zeros(-(-600 // bm25.POSTINGS_BLOCK))
-            np.maximum.at(most, np.array(docs) // bm25.POSTINGS_BLOCK, imp)
-            arrays.append((np.array(docs), np.array(imp), most))
-        assert bm25.block_max_scan(arrays, 600, k) == best
-        assert bm25.block_max_scan(arrays, 600, k, floor) == [x for x in best if x[0] >= floor]
+        want = sorted(total)[:k]
+        plain = lambda got: [(round(-s, 9), d) for s, d in zip(*(x.tolist() for x in got), strict=True)]
+        near = lambda rows: [(round(s, 9), d) for s, d in rows]
+        assert sorted(plain(shard.best(asked.term, k))) == sorted(near(want)) or len({round(s, 9) for s, _ in want}) < len(want)
+        assert [s for s, _ in plain(shard.best(asked.term, k))] == [s for s, _ in near(want)]
+        if want:
+            floor = -want[len(want) // 2][0] * (1 - 1e-12)
+            assert [s for s, _ in plain(shard.best(asked.term, k, floor))] == [s for s, _ in near(x for x in want if -x[0] >= floor)]
+            bound = np.bincount(shard.block, shard.most, shard.n_blocks)
+            skipped += int((bound < -want[-1][0]).sum()) if len(want) == k else 0
+    assert skipped > 50  # the bounds do leave blocks out
 
 
 def test_the_tables(spark, sf_dir):
@@ -99,15 +110,4 @@ def test_all_terms_of_a_long_query_count(spark):
     docs = [(1, " ".join(weak)), (2, "a0 " + " ".join(f"c{i}" for i in range(19)))] + [(10 + i, f"d{i} {strong[i]}") for i in range(16)]
     query = [(7, " ".join(strong * 2 + weak))]
     got = bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(query, "qid long, text string"))
-    assert rounded(got) == brute(docs, query, terms=None) and rounded(got)[0][2] == 1
-
-
-def test_whole_queries_match_sql(spark, sf_dir):
-    import duckdb
-    from brookline.llm.queries import WHOLE, WHOLE_SQL
-
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    for name, f in WHOLE.items():
-        want = sorted((q, n, d, round(s, 5)) for q, n, d, s in con.sql(WHOLE_SQL[name]).fetchall())
-        assert want and sorted((r.qid, r.rank, r.doc_id, round(r.score, 5)) for r in f(spark, sf_dir).collect()) == want
+    assert rounded(got) == brute(docs, query) and rounded(got)[0][2] == 1
