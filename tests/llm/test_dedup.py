@@ -69,18 +69,25 @@ def test_simhash_on_the_tables(spark, sf_dir):
     assert sorted(map(tuple, sh.simhash_groups(docs).collect()), key=str) == brute_components(rows)
 
 
-def test_near_links_find_every_pair_within_two_bits(spark):
+@pytest.mark.parametrize("hot_from", [0, 3, 1 << 30])
+def test_segments_fetch_every_pair_within_two_bits(spark, hot_from):
+    """All pairs within two bits, whether segment values are split or not; others are fetched too, and rejected."""
     r = random.Random(1)
-    fps = set()
+    fps = {0, 1, 3, 7, 1 << 63}
     for _ in range(30):
         x = r.getrandbits(64)
         fps |= {x, *(x ^ 1 << r.randrange(64) for _ in range(3)), *(x ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for _ in range(6))}
+    fps |= {0xABCD0123 << 32 | r.getrandbits(32) for _ in range(60)}  # a hot segment value
+    fps |= {r.getrandbits(32) << 32 | 0x77 ^ (i % 3 == 0) << 5 for i in range(60)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    root = {r.node: r.root for r in components(sh.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
-    for x in signed:
-        for y in signed:
-            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2:
-                assert root.get(x, x) == root.get(y, y)
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
+    distance = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    want = {(x, y) for x in signed for y in signed if x < y and distance(x, y) <= 2}
+    fetched = [(min(x.a, x.b), max(x.a, x.b)) for x in sh.candidates(frame, hot_from).collect()]
+    assert want <= set(fetched)
+    assert any(distance(x, y) > 2 for x, y in fetched) == (hot_from > 0)  # a split value's keys meet within two bits
+    links = [tuple(x) for x in sh.near_links(frame, hot_from).collect()]
+    assert len(links) == len(set(links)) and set(links) == want
 
 
 def test_components_of_chains_stars_and_cycles(spark):
