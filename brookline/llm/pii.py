@@ -1,14 +1,21 @@
 """Personal data by bootstrapped contextual extraction; DataFrame and SQL functions alone.
 
-Base entities (e-mail, IP address, payment card, phone) are found by their forms and are the seeds. Every base entity, as
-a whole, and every token of 6 characters and 3 digits that overlaps none is an instance; the two words before it in the
-whole text are its lexical pattern, in which a word with a digit or an @ stands as 0. On the graph of patterns and instances, a pattern's
-confidence is the mean score of its instances (seeds score 1) with one instance's smoothing, an instance's score is the
-noisy-or of its patterns' confidences, and both are computed ROUNDS times over. Tokens that follow a pattern of at least
-MIN_SEEDS distinct seeds and CONFIDENCE are found as identifiers of kind "id".
-
-Spans are in code points, end exclusive. The expressions take each match's place from the lengths of the pieces between
-matches, so nothing but Spark's own functions runs; look-behinds and possessive quantifiers keep them linear on long runs
+Base entities (e-mail, IP address, payment card, phone) are found by their forms. They are the seeds, and so are tokens of
+a key's form (KEY: 20 letters and digits in a row or more, at least four of either). An instance is a seed or any other
+token with a digit, an @ or a _ that overlaps no base entity. Its contexts are lexical patterns of three sorts: the two
+words before it, the two words after it, and the word on either side; in patterns, a word with a digit, an @ or a _ stands
+as 0, and so does every other entity of the same kind. Texts' ends count as no word.
+
+On the graph of patterns and instances, a pattern's confidence is the sum of its instances' scores over the number of its
+instances, of its counter-instances (ordinary words that stand in that very context anywhere in the corpus) and one more.
+An instance's score is the noisy-or of the confidences of its patterns (seeds score 1). Both are computed in turn until no
+confidence moves by more than SETTLED, ROUNDS times at most. A pattern with scores of at least MIN_SEEDS and CONFIDENCE is
+trusted: tokens in its place are found, as identifiers of kind "id", without the signs around them. So a pattern may also
+earn its trust from instances that other patterns found.
+
+Patterns with fewer than MIN_SEEDS instances can never be trusted; the others are a table, and counter-instances are counted
+in one pass over all words joined with it. Spans are in code points, end exclusive. Places are sums of the lengths of the
+pieces between matches, made by doubling; look-behinds and possessive quantifiers keep the expressions linear on long runs
 and give the same matches as the plain forms below.
 
 Defined results: a null or empty text has no spans; a null doc_id stays null; rows that repeat get the same spans each;
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, MIN_SEEDS, CONFIDENCE = 3, 3, 0.6
+ROUNDS, SETTLED, MIN_SEEDS, CONFIDENCE = 10, 1e-9, 3, 0.6
 
 #: Plain forms: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #: card [0-9]([\x20-]?[0-9])+   phone \+[0-9][\x20().0-9-]+[0-9]
@@ -33,68 +40,125 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: A word that stands as 0 in a pattern, and the last two words (or one) of a text with the white space after them. As what
-#: matches holds a digit or an @, the words before a place are made out from piece to piece without going back.
-MARKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-LAST_TWO = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
-ITEM = "struct<s:int,e:int,v:string,c:string>"
-MAY_HOLD = {"email": "contains(text, '@')", "ip": "rlike(text, '[0-9][.][0-9]')", "card": "rlike(text, '[0-9]{2}|[0-9][ -][0-9]')", "phone": "contains(text, '+')"}
+#: Plain form: [^\x20\x09-\x0D0-9@_]*[0-9@_][^\x20\x09-\x0D]*
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@_]*+[0-9@_][^\x20\x09-\x0D]*+"
+KEY, SPACE = "[A-Za-z0-9]{20,}", r"[\x20\x09-\x0D]+"
+#: The last two words (or one) of a text, and the first two, with the white space on the near side.
+LAST_TWO = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z"
+FIRST_TWO = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?"
+ITEM = "struct<s:int,e:int,v:string,seed:boolean,c:array<string>>"
+MAY_HOLD = {"email": "contains(text, '@')", "ip": "rlike(text, '[0-9][.][0-9]')", "card": "rlike(text, '[0-9]{2}|[0-9][ -][0-9]')", "phone": "contains(text, '+')", "token": "rlike(text, '[0-9@_]')"}
 PASSES = {
-    "email": "{m} is not null",
-    "ip": "forall(split({m}, '[.]'), p -> coalesce(try_cast(p as int) <= 255, false))",
-    "card": "length(regexp_replace({m}, '[ -]', '')) between 12 and 19 and luhn_check(regexp_replace({m}, '[ -]', ''))",
-    "phone": "length(regexp_replace({m}, '[^0-9]', '')) between 9 and 15",
+    "email": "true",
+    "ip": "forall(split(m, '[.]'), p -> coalesce(try_cast(p as int) <= 255, false))",
+    "card": "length(regexp_replace(m, '[ -]', '')) between 12 and 19 and luhn_check(regexp_replace(m, '[ -]', ''))",
+    "phone": "length(regexp_replace(m, '[^0-9]', '')) between 9 and 15",
+    "token": "true",
 }
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _places(pattern: str, passes: str, may: str) -> str:
-    """SQL for the array of ITEM structs of the matches {m} that pass: place, value and the pattern before it."""
-    walked = f"""aggregate(arrays_zip(split(text, {_quoted(pattern)}, -1), regexp_extract_all(text, {_quoted(pattern)}, 0)),
-        named_struct('at', 0, 'tail', '', 'got', cast(array() as array<{ITEM}>)),
-        (a, x) -> case when x.`1` is null then a else element_at(transform(array(regexp_replace(regexp_extract(concat(a.tail, x.`0`), {_quoted(LAST_TWO)}, 0), {_quoted(MARKED)}, '0')), w -> named_struct(
-            'at', a.at + length(x.`0`) + length(x.`1`), 'tail', concat(w, '0'),
-            'got', case when coalesce({passes.format(m="x.`1`")}, false) then concat(a.got, array(named_struct(
-                's', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`), 'v', lower(x.`1`), 'c', lower(trim(regexp_replace(w, r'[\\x20\\x09-\\x0D]+', ' ')))))) else a.got end)), 1) end,
-        a -> a.got)"""
-    return f"case when {may} then {walked} else cast(array() as array<{ITEM}>) end"
+def _let(name: str, value: str, then: str) -> str:
+    """SQL in which `name` stands for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _running(array: str, op: str) -> str:
+    """SQL for the running op(x, y) of an array, by doubling: n log n steps, nothing copied per element."""
+    return f"aggregate(sequence(0, 30), {array}, (a, k) -> if(shiftleft(1, k) >= size(a), a, transform(a, (x, i) -> if(i >= shiftleft(1, k), {op.format(x='x', y='get(a, i - shiftleft(1, k))')}, x))))"
+
+
+def _words(text: str) -> str:
+    """SQL for the words of a text as patterns have them."""
+    return f"transform(filter(split({text}, {_quoted(SPACE)}, -1), w -> w <> ''), w -> if(rlike(w, '[0-9@_]'), '0', translate(w, '{UPPER}', '{LOWER}')))"
+
+
+#: The patterns of an instance from the words before it (bw) and after it (aw), nearest ones inward.
+_PATTERNS = """filter(array(
+    if(size(bw) >= 2, concat('< ', bw[size(bw) - 2], ' ', bw[size(bw) - 1]), null),
+    if(size(aw) >= 2, concat('> ', aw[0], ' ', aw[1]), null),
+    if(size(bw) >= 1 and size(aw) >= 1, concat('= ', bw[size(bw) - 1], ' ', aw[0]), null)), c -> c is not null)"""
+
+
+def _places(kind: str, pattern: str) -> str:
+    """SQL for the array of ITEM structs of a kind's matches that pass: place, value, whether a seed, and patterns."""
+    q, token = _quoted(pattern), kind == "token"
+    before = "concat(coalesce(concat(get(ts, i - 2), ' 0 '), ''), coalesce(concat(get(ts, i - 1), ' 0 '), ''), ts[i])"
+    after = "concat(hs[i + 1], coalesce(concat(' 0 ', get(hs, i + 2)), ''), coalesce(concat(' 0 ', get(hs, i + 3)), ''))"
+    value = r"regexp_replace(regexp_replace(m, r'^[^A-Za-z0-9]++', ''), r'(?<=[A-Za-z0-9])[^A-Za-z0-9]++\z', '')" if token else "m"
+    lead = "length(regexp_extract(m, r'^[^A-Za-z0-9]*+', 0))" if token else "0"
+    seed = f"length(regexp_replace(regexp_extract(m, '{KEY}', 0), '[^0-9]', '')) >= 4 and length(regexp_replace(regexp_extract(m, '{KEY}', 0), '[0-9]', '')) >= 4" if token else "true"
+    item = _let("bw", _words(before), _let("aw", _words(after), _let("v", value, f"named_struct('s', ends[i] - length(m) + {lead}, 'e', ends[i] - length(m) + {lead} + length(v), 'v', translate(v, '{UPPER}', '{LOWER}'), 'seed', {seed}, 'c', {_PATTERNS})")))
+    made = f"transform(ms, (m, i) -> if({PASSES[kind]}, {item}, cast(null as {ITEM})))"
+    with_ends = _let("ends", _running("transform(ms, (m, i) -> length(ps[i]) + length(m))", "{x} + {y}"), f"filter({made}, x -> x is not null and x.v <> '')")
+    tails = f"transform(ps, p -> regexp_extract(p, {_quoted(LAST_TWO)}, 0))"
+    heads = f"transform(ps, p -> regexp_extract(p, {_quoted(FIRST_TWO)}, 0))"
+    body = _let("ts", tails, _let("hs", heads, with_ends))
+    none = f"cast(array() as array<{ITEM}>)"
+    found = _let("ms", f"regexp_extract_all(text, {q}, 0)", f"if(size(ms) = 0, {none}, {_let('ps', f'split(text, {q}, -1)', body)})")
+    return f"if({MAY_HOLD[kind]}, {found}, {none})"
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, mark, n_email .. n_phone, base, seeds, tokens): base and tokens are arrays of structs in order of place;
-    seeds has the values and patterns of base."""
+    """Rows (doc_id, mark, n_email .. n_phone, base, seeds, tokens) in arrays in order of place; seeds has the values and
+    patterns of base, tokens the other instances."""
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.withColumns({k: F.expr(_places(FORMS[k], PASSES[k], MAY_HOLD[k])) for k in FORMS})
-    long_enough = "length({m}) >= 6 and length(regexp_replace({m}, '[^0-9]', '')) >= 3"
-    out = out.withColumn("tokens", F.expr(_places(TOKEN, long_enough, "rlike(text, '[0-9]')")))
+    out = out.select("doc_id", "text", *[F.expr(_places(k, p)).alias(k) for k, p in (FORMS | {"token": TOKEN}).items()])
     base = "array_sort(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'k', {i + 1}, 'e', x.e))" for i, k in enumerate(FORMS)) + "))"
     seeds = "transform(concat(" + ", ".join(FORMS) + "), x -> named_struct('v', x.v, 'c', x.c))"
-    return out.select("doc_id", F.xxhash64("text").alias("mark"), *[F.size(k).cast("long").alias(f"n_{k}") for k in FORMS], F.expr(base).alias("base"), F.expr(seeds).alias("seeds"), "tokens")
-
-
-def pattern_confidence(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """edges (c, v, seed): distinct pairs of pattern and instance. Rows (c, confidence) of patterns with enough seeds."""
-    scores = edges.groupBy("v").agg(F.max("seed").alias("score"))
-    for i in range(rounds):
-        conf = edges.join(scores, "v").groupBy("c").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-        if i < rounds - 1:
-            doubt = F.sum(F.log1p(-0.999 * F.coalesce("confidence", F.lit(0.0))))
-            scores = edges.join(conf.select("c", "confidence"), "c", "left").groupBy("v").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
-    return conf.select("c", "confidence")
+    out = out.select("doc_id", F.xxhash64("text").alias("mark"), *[F.size(k).cast("long").alias(f"n_{k}") for k in FORMS], F.expr(base).alias("base"), F.expr(seeds).alias("seeds"), "token")
+    # Tokens apart from base entities: of all in order of place, no entity before one reaches into it, none starts within it.
+    order = "array_sort(concat(transform(base, x -> named_struct('s', x.s, 't', 0, 'e', x.e, 'at', 0)), transform(token, (x, i) -> named_struct('s', x.s, 't', 1, 'e', x.e, 'at', i))))"
+    reach = _running("transform(al, x -> if(x.t = 0, x.e, 0))", "greatest({x}, {y})")
+    ahead = f"reverse({_running('transform(reverse(al), x -> if(x.t = 0, x.s, 2147483647))', 'least({x}, {y})')})"
+    apart = _let("al", order, _let("far", reach, _let("nxt", ahead, "transform(filter(transform(al, (x, i) -> struct(x.t as t, x.at as at, far[i] <= x.s and nxt[i] >= x.e as apart)), y -> y.t = 1 and y.apart), y -> token[y.at])")))
+    return out.withColumn("tokens", F.expr(f"if(size(base) = 0 or size(token) = 0, token, {apart})")).drop("token")
+
+
+def counter_instances(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (c, against): how many different ordinary words stand in the place of a pattern. patterns: a table of c."""
+    words = docs.select(F.expr(_words(f"coalesce({text_col}, '')")).alias("w")).where("size(w) > 1")
+    around = """transform(w, (x, i) -> named_struct('w', x, 'c', array(
+        if(i >= 2, concat('< ', w[i - 2], ' ', w[i - 1]), null), if(i + 2 < size(w), concat('> ', w[i + 1], ' ', w[i + 2]), null), if(i >= 1 and i + 1 < size(w), concat('= ', w[i - 1], ' ', w[i + 1]), null))))"""
+    each = words.select(F.expr(f"inline(filter({around}, x -> x.w <> '0'))")).select("w", F.explode("c").alias("c"))
+    return each.join(patterns, "c").distinct().groupBy("c").agg(F.count("*").alias("against"))
+
+
+def pattern_confidence(edges: DataFrame, against: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """edges (c, v, seed): distinct pairs of pattern and instance; against (c, against). Both are tables that are cheap to
+    read again. Rows (c, confidence, total) of patterns: total is the sum of the instances' scores."""
+    scores, last = edges.groupBy("v").agg(F.max("seed").alias("score")), None
+    counts = edges.groupBy("c").count().join(against, "c", "left").select("c", (F.col("count") + F.coalesce("against", F.lit(0)) + 1).alias("n"))
+    counts = written(counts, "pattern_counts")
+    for _ in range(rounds):
+        conf = written(edges.join(scores, "v").groupBy("c").agg(F.sum("score").alias("total")).join(counts, "c").select("c", "total", (F.col("total") / F.col("n")).alias("confidence")), "confidence")
+        if last is not None:
+            moved = conf.join(last.select("c", F.col("confidence").alias("was")), "c").agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
+            if (moved or 0.0) <= SETTLED:
+                break
+        last = conf
+        held = F.when(F.col("total") >= min_seeds, F.col("confidence")).otherwise(0.0)
+        doubt = F.sum(F.log1p(-0.999 * held))
+        scores = edges.join(conf, "c").groupBy("v").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
+    return conf
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id. Counts are of base spans."""
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_id (what
+    the patterns add), n_spans."""
     base = written(base_spans(docs, id_col, text_col), "pii")
-    apart = "filter(tokens, t -> not exists(base, x -> x.s < t.e and x.e > t.s))"
-    seen = base.select("doc_id", "mark", F.explode(F.expr(apart)).alias("t")).select("doc_id", "mark", "t.*").where("contains(c, ' ')")
-    seeds = base.select(F.explode("seeds").alias("t")).select("t.c", "t.v", F.lit(1.0).alias("seed")).where("contains(c, ' ')")
-    edges = seeds.union(seen.select("c", "v", F.lit(0.0))).groupBy("c", "v").agg(F.max("seed").alias("seed"))
-    good = pattern_confidence(edges).where(F.col("confidence") >= CONFIDENCE)
+    seen = base.select("doc_id", "mark", F.explode("tokens").alias("t")).select("doc_id", "mark", "t.s", "t.e", "t.v", F.col("t.seed").cast("double").alias("seed"), F.explode("t.c").alias("c"))
+    seeds = base.select(F.explode("seeds").alias("t")).select("t.v", F.explode("t.c").alias("c"))
+    edges = seeds.select("c", "v", F.lit(1.0).alias("seed")).union(seen.select("c", "v", "seed")).groupBy("c", "v").agg(F.max("seed").alias("seed"))
+    often = edges.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("c")
+    often = written(often, "patterns")
+    edges = written(edges.join(often, "c"), "edges")
+    against = counter_instances(docs, often, text_col)
+    good = pattern_confidence(edges, against).where((F.col("confidence") >= CONFIDENCE) & (F.col("total") >= MIN_SEEDS)).select("c")
     new = seen.join(good, "c").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", F.lit(5).alias("k"), "e")).alias("new"))
     joined = base.alias("b").join(new.alias("n"), F.col("b.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("b.mark") == F.col("n.mark")), "left")
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
@@ -105,4 +169,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sha2(F.expr(written_out % "base").cast("binary"), 256).alias("base_sha256"),
         F.expr(written_out % "array_sort(concat(base, new))").alias("spans"),
         F.size("new").cast("long").alias("n_id"),
+        (F.size("base") + F.size("new")).cast("long").alias("n_spans"),
     )

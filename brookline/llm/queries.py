@@ -113,25 +113,47 @@ _LICENCES = """
         f as (select doc_id, start, start + length(line) as stop, case when contains(line, 'GNU General Public License') then 'gpl' when contains(line, 'All rights reserved') then 'proprietary' when contains(line, 'CC BY-NC') then 'cc-by-nc' when contains(line, 'the MIT License') then 'mit' when contains(line, 'the Apache License') then 'apache' end as family from p)
         select d.doc_id, count(family) as n_found, coalesce(string_agg(distinct family, ',' order by family), '') as families, coalesce(string_agg(family || ':' || start || ':' || stop, ',' order by start), '') as spans from documents d left join f on f.doc_id = d.doc_id and family is not null group by d.doc_id"""
 
-_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
-# The base spans; the tables' contexts are random words, of which none gathers the seeds that it takes to add spans.
-_PII = (
-    "with x as ("
-    + " union all ".join(f"select doc_id, '{k}' as kind, {i} as k, regexp_extract_all(coalesce(text, ''), '{p}') as ms, string_split_regex(coalesce(text, ''), '{p}') as ps from documents" for i, (k, p) in enumerate(_KINDS.items()))
-    + """),
-        e as (select doc_id, kind, k, ps, ms, unnest(ms) as m, generate_subscripts(ms, 1) as i from x where len(ms) > 0),
-        s as (select doc_id, kind, k, m, regexp_replace(m, '[^0-9]', '', 'g') as d, list_sum(list_transform(ps[1:i], lambda p: length(p)))::bigint + coalesce(list_sum(list_transform(ms[1:i-1], lambda p: length(p))), 0)::bigint as a from e),
-        f as (select * from s where case kind when 'email' then true when 'ip' then list_max(list_transform(string_split(m, '.'), lambda p: p::double)) <= 255 when 'phone' then length(d) between 9 and 15
-            else length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda j: case when j % 2 = 0 then substr(d, length(d) - j, 1)::int else 2 * substr(d, length(d) - j, 1)::int - case when substr(d, length(d) - j, 1)::int > 4 then 9 else 0 end end)) % 10 = 0 end),
-        g as (select doc_id, string_agg(kind || ':' || a || ':' || (a + length(m)), ',' order by a, k) as spans, """
-    + ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in _KINDS)
-    + " from f group by doc_id) select d.doc_id, "
-    + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _KINDS)
-    + ", sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, 0::bigint as n_id from documents d left join g using (doc_id)"
-)
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]", "id": r"[^ \t\n\x0b\f\r0-9@_]*[0-9@_][^ \t\n\x0b\f\r]*"}
+
+
+def _pii_sql() -> str:
+    """All spans: the base forms, and the identifiers in the place of patterns that the bootstrapping trusts."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"list_transform(list_filter(string_split_regex({}, '[ \t\n\x0b\f\r]+'), lambda w: w <> ''), lambda w: case when regexp_matches(w, '[0-9@_]') then '0' else " + lower.format("w") + " end)"
+    before = words.format("case when i > 2 then ps[i-2] || ' 0 ' else '' end || case when i > 1 then ps[i-1] || ' 0 ' else '' end || ps[i]")
+    after = words.format("ps[i+1] || coalesce(' 0 ' || ps[i+2], '') || coalesce(' 0 ' || ps[i+3], '')")
+    key = "regexp_extract(v, '[A-Za-z0-9]{20,}')"
+    steps = [
+        "x as (" + " union all ".join(f"select doc_id, '{k}' as kind, {i} as k, regexp_extract_all(coalesce(text, ''), '{p}') as ms, string_split_regex(coalesce(text, ''), '{p}') as ps from documents" for i, (k, p) in enumerate(_KINDS.items())) + ")",
+        "e as (select *, unnest(ms) as m, generate_subscripts(ms, 1) as i from x where len(ms) > 0)",
+        """s as (select doc_id, kind, k, m, regexp_replace(m, '[^0-9]', '', 'g') as d, coalesce(length(regexp_extract(m, '^[^A-Za-z0-9]+')), 0) as lead, regexp_replace(regexp_replace(m, '^[^A-Za-z0-9]+', ''), '[^A-Za-z0-9]+$', '') as v,
+            list_sum(list_transform(ps[1:i], lambda p: length(p)))::bigint + coalesce(list_sum(list_transform(ms[1:i-1], lambda p: length(p))), 0)::bigint as a, """
+        + f"{before} as bw, {after} as aw from e)",
+        """f as materialized (select *, a + length(m) as b from s where case kind when 'email' then true when 'id' then false when 'ip' then list_max(list_transform(string_split(m, '.'), lambda p: p::double)) <= 255 when 'phone' then length(d) between 9 and 15
+            else length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda j: case when j % 2 = 0 then substr(d, length(d) - j, 1)::int else 2 * substr(d, length(d) - j, 1)::int - case when substr(d, length(d) - j, 1)::int > 4 then 9 else 0 end end)) % 10 = 0 end)""",
+        f"t as (select doc_id, a + lead as a, a + lead + length(v) as b, {lower.format('v')} as v, length(regexp_replace({key}, '[^0-9]', '', 'g')) >= 4 and length(regexp_replace({key}, '[0-9]', '', 'g')) >= 4 as seed, bw, aw from s where kind = 'id' and v <> '')",
+        "u as materialized (select * from t where not exists (select 1 from f where f.doc_id = t.doc_id and f.a < t.b and f.b > t.a))",
+        f"i as (select doc_id, a, b, v, seed::int::double as seed, bw, aw from u union all select doc_id, a, b, {lower.format('m')}, 1.0, bw, aw from f)",
+        """c as materialized (select * exclude (bw, aw, cs), unnest(cs) as c from (select *, list_filter([case when len(bw) > 1 then '< ' || bw[-2] || ' ' || bw[-1] end, case when len(aw) > 1 then '> ' || aw[1] || ' ' || aw[2] end, case when len(bw) > 0 and len(aw) > 0 then '= ' || bw[-1] || ' ' || aw[1] end], lambda c: c is not null) as cs from i))""",
+        "g0 as (select c, v, max(seed) as seed from c group by c, v)",
+        "g as materialized (select * from g0 where c in (select c from g0 group by c having count(*) >= 3))",
+        "w0 as (select w, unnest(w) as x, generate_subscripts(w, 1) as j from (select " + words.format("coalesce(text, '')") + " as w from documents))",
+        "w1 as (select x, unnest([case when j > 2 then '< ' || w[j-2] || ' ' || w[j-1] end, case when j + 2 <= len(w) then '> ' || w[j+1] || ' ' || w[j+2] end, case when j > 1 and j < len(w) then '= ' || w[j-1] || ' ' || w[j+1] end]) as c from w0 where x <> '0')",
+        "n as materialized (select c, count(*) + coalesce((select count(distinct x) from w1 where w1.c = g.c), 0) + 1 as n from g group by c)",
+        "v0 as (select v, max(seed) as score from g group by v)",
+    ]
+    for r in range(10):
+        steps.append(f"c{r} as materialized (select c, sum(score) as total, sum(score) / any_value(n) as conf from g join v{r} using (v) join n using (c) group by c)")
+        steps.append(f"v{r + 1} as materialized (select v, greatest(max(seed), 1 - exp(sum(ln(1 - 0.999 * case when total >= 3 then conf else 0 end)))) as score from g join c{r} using (c) group by v)")
+    steps += [
+        "y as (select distinct doc_id, 'id' as kind, 5 as k, a, b from c semi join (select c from c9 where conf >= 0.6 and total >= 3) using (c) where exists (select 1 from u where u.doc_id = c.doc_id and u.a = c.a and u.b = c.b))",
+        "z as (select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (where kind <> 'id') as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans, count(*) as n_spans, " + ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in _KINDS) + " from (select doc_id, kind, k, a, b from f union all select * from y) group by doc_id)",
+    ]
+    return f"with {', '.join(steps)} select d.doc_id, " + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _KINDS) + ", sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans from documents d left join z using (doc_id)"
+
 
 ORACLE_SQL = {
-    "op5_pii": _PII,
+    "op5_pii": _pii_sql(),
     "op1_html_extract": _ARTICLES,
     "op2_license_scan": _LICENCES,
     "op3_mixing": mixing.oracle(),

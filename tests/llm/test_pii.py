@@ -1,7 +1,9 @@
 """Personal data against the plain forms, and the bootstrapping on a planted context."""
 
 import hashlib
+import math
 import re
+import time
 
 from brookline.llm import pii
 
@@ -39,6 +41,74 @@ ODD = [
 ]
 
 
+SPACE = " \t\n\x0b\x0c\r"
+TOKEN = rf"[^{SPACE}0-9@_]*[0-9@_][^{SPACE}]*"
+
+
+def words(text):
+    return ["0" if re.search("[0-9@_]", w) else "".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.split(f"[{SPACE}]+", text) if w]
+
+
+def instances(text):
+    """(kind, start, end, value, seed, patterns) of base entities and of the other tokens with a sign of an identifier."""
+    out = []
+    for kind, form in [*FORMS.items(), ("id", TOKEN)]:
+        found = list(re.finditer(form, text, re.ASCII))
+        cuts = [0, *(x for m in found for x in m.span()), len(text)]
+        pieces = [text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        for i, m in enumerate(found):
+            a, b, v, seed = *m.span(), m[0], True
+            if kind == "id":
+                a, b = a + len(v) - len(re.sub("^[^A-Za-z0-9]+", "", v)), b - len(v) + len(re.sub("[^A-Za-z0-9]+$", "", v))
+                v = text[a:b]
+                key = re.search("[A-Za-z0-9]{20,}", v)
+                seed = bool(key) and sum(c.isdigit() for c in key[0]) >= 4 and sum(c.isalpha() for c in key[0]) >= 4
+                if a >= b or any(x[1] < b and x[2] > a for x in out if x[0] != "id"):
+                    continue
+            elif not passes(kind, v):
+                continue
+            before, after = words(" 0 ".join(pieces[max(0, i - 2) : i + 1])), words(" 0 ".join(pieces[i + 1 : i + 4]))
+            ctx = (["< " + " ".join(before[-2:])] if len(before) > 1 else []) + (["> " + " ".join(after[:2])] if len(after) > 1 else [])
+            ctx += [f"= {before[-1]} {after[0]}"] if before and after else []
+            out.append((kind, a, b, "".join(c.lower() if "A" <= c <= "Z" else c for c in v), seed, ctx))
+    return out
+
+
+def brute_ids(texts):
+    """The places of identifiers that trusted patterns find, by text."""
+    found, counter = [instances(t or "") for t in texts], {}
+    edges = {}
+    for rows in found:
+        for _, _, _, v, seed, ctx in rows:
+            for c in ctx:
+                edges[c, v] = max(edges.get((c, v), 0.0), float(seed))
+    for t in texts:
+        w = words(t or "")
+        for i, x in enumerate(w):
+            if x != "0":
+                for c in ([f"< {w[i - 2]} {w[i - 1]}"] if i > 1 else []) + ([f"> {w[i + 1]} {w[i + 2]}"] if i + 2 < len(w) else []) + ([f"= {w[i - 1]} {w[i + 1]}"] if 0 < i < len(w) - 1 else []):
+                    counter.setdefault(c, set()).add(x)
+    of = {}
+    for (c, v), seed in edges.items():
+        of.setdefault(c, []).append((v, seed))
+    of = {c: x for c, x in of.items() if len(x) >= pii.MIN_SEEDS}
+    score = {}
+    for x in of.values():
+        for v, seed in x:
+            score[v] = max(score.get(v, 0.0), seed)
+    seeds = dict(score)
+    for _ in range(pii.ROUNDS):
+        total = {c: sum(score[v] for v, _ in x) for c, x in of.items()}
+        conf = {c: total[c] / (len(x) + len(counter.get(c, ())) + 1) for c, x in of.items()}
+        doubt = {}
+        for c, x in of.items():
+            for v, _ in x:
+                doubt[v] = doubt.get(v, 0.0) + math.log1p(-0.999 * (conf[c] if total[c] >= pii.MIN_SEEDS else 0.0))
+        score = {v: max(seeds[v], 1 - math.exp(d)) for v, d in doubt.items()}
+    good = {c for c in of if conf[c] >= pii.CONFIDENCE and total[c] >= pii.MIN_SEEDS}
+    return [sorted({(a, b) for kind, a, b, _, _, ctx in rows if kind == "id" and good & set(ctx)}) for rows in found]
+
+
 def check(spark, texts):
     docs = spark.createDataFrame([(i, t, "base", 3) for i, t in enumerate(texts)], "doc_id long, text string, base string, tokens int").repartition(3)
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
@@ -49,6 +119,10 @@ def check(spark, texts):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts, t[:200]
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert ",".join(x for x in r.spans.split(",") if x[:3] != "id:") == joined
+    for i, want in enumerate(brute_ids(texts)):
+        r = got[i]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x[:3] == "id:"] == want, texts[i][:200]
+        assert r.n_id == len(want) and r.n_spans == len(want) + sum(brute(texts[i])[0])
     return got
 
 
@@ -56,8 +130,13 @@ def test_base_spans_on_odd_texts(spark):
     check(spark, ODD)
 
 
-def test_base_spans_on_the_tables(spark, sf_dir):
-    check(spark, [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()])
+def test_the_tables(spark, sf_dir):
+    """All spans on the tables; every planted key (a token of 40 hexadecimal digits that is assigned) is found."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    got = check(spark, texts)
+    planted = [(i, m.span(1)) for i, t in enumerate(texts) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")]
+    found = [f"id:{a}:{b}" in got[i].spans.split(",") for i, (a, b) in planted]
+    assert len(found) < pii.MIN_SEEDS or sum(found) / len(found) >= 0.9
 
 
 def test_contexts_that_seeds_induce_find_unseen_identifiers(spark):
@@ -65,7 +144,29 @@ def test_contexts_that_seeds_induce_find_unseen_identifiers(spark):
     got = check(spark, texts)
     at = texts[6].index("AB-99812-X")
     assert got[6].spans == f"id:{at}:{at + 10}" and got[6].n_id == 1
-    assert got[7].spans == got[8].spans == ""
+    assert got[7].spans == "" and got[8].spans == "id:17:19"
+
+
+def test_ordinary_words_in_a_context_count_against_it(spark):
+    seeds = [f"reach us at 10.0.0.{i} now" for i in range(4)]
+    new = ["reach us at X-99 now"]
+    assert check(spark, seeds + new)[4].n_id == 1
+    words = [f"reach us at {w} now" for w in ("home", "work", "noon", "once", "night")]
+    assert check(spark, seeds + new + words)[4].n_id == 0
+
+
+def test_what_patterns_find_earns_trust_for_other_patterns(spark):
+    """Seeds make "< my key" trusted; the tokens it finds stand after "< old pin" as well, which finds one more."""
+    texts = [f"then my key 10.0.0.{i} it" for i in range(20)] + [f"so my key K-{i} ok" for i in range(6)] + [f"an old pin K-{i} yes" for i in range(6)] + ["the old pin Z-1 no"]
+    got = check(spark, texts)
+    assert got[len(texts) - 1].n_id == 1
+
+
+def test_a_text_of_many_tokens_takes_seconds(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"{i} a@b{i}.cd" if i % 9 == 0 else str(i) for i in range(40_000)))], "doc_id long, text string")
+    began = time.time()
+    r = pii.find_pii(docs).first()
+    assert r.n_email == 4445 and time.time() - began < 60
 
 
 def test_repeats_nulls_and_empty_tables(spark):
@@ -88,4 +189,4 @@ def test_base_entities_of_each_kind_are_seeds(spark):
     got = check(spark, texts)
     last = texts[-1]
     want = [last.index(f"AB-998{i}-X") for i in range(len(planted))]
-    assert got[len(texts) - 1].spans == ",".join(f"id:{a}:{a + 9}" for a in want)
+    assert {f"id:{a}:{a + 9}" for a in want} <= set(got[len(texts) - 1].spans.split(","))
