@@ -1,29 +1,36 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame functions alone.
 
-Documents are counted in tokens by cell (source, language, topic). The cells' weights are raked, margin after margin,
-until the token shares of sources, languages and topics are the targets; a document is then sampled with a probability
-in proportion to the ratio of its cell's raked and own tokens, the largest ratio being one. The draw is a hash of
-doc_id, so it repeats. Only the cells are ever shuffled for the raking: they are a written table, and of all cells together
-the driver sees four sums and a maximum.
+Documents are counted in tokens by cell (source, language, topic). The mixture is to have `keep` of all tokens, and of those
+every source, language and topic its target share. Each group of a margin has a factor; a cell's weight is its tokens times
+its groups' factors, at most its tokens (a document cannot be drawn twice). Margin after margin, every group's factor is
+multiplied by its goal over the sum of its cells' weights, until no sum moves by more than SETTLED of its goal (ROUNDS rounds
+at most). A document is sampled with the probability weight / tokens of its cell. Where targets ask for more tokens
+than a group has, or contradict each other, the group's tokens are all taken, or the margins are met as nearly as the
+raking gets; shares() gives the goals beside what is expected.
+
+Sums are partial aggregates by group and go back by joins, so no group's cells ever meet in one task. Cells and factors are
+written tables: joins broadcast them only where their measured size allows it. The draw is a hash of doc_id, so it repeats.
 
 Targets default to tempered shares, share ** ALPHA, which lift small groups and hold hot ones down.
 
 Defined results: null source, language or topic is a group of its own ("(none)"); a null or empty text has no tokens,
 and counts as one so that it can be sampled; a null doc_id draws by the text "null"; rows that repeat draw alike; a
-target for a group that has no tokens is left out; an empty table gives an empty table; of the columns, the operator
-adds topic, tokens, probability and sampled, and replaces columns of those names.
+target for a group that has no tokens is left out, a group without a target is not sampled; an empty table gives an empty
+table; of the columns, the operator adds topic, tokens, probability and sampled, and replaces columns of those names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import written
 
-ALPHA, ROUNDS, MARGINS = 0.9, 8, ("source", "lang", "topic")
+ALPHA, KEEP, ROUNDS, SETTLED, MARGINS = 0.8, 0.7, 40, 1e-9, ("source", "lang", "topic")
 WORD = "[^\\x20\\x09-\\x0D]+"
+MOST = 1e12  # of a factor: all tokens of its cells are taken long before
 
 
 def token_count(text: Column) -> Column:
@@ -31,61 +38,97 @@ def token_count(text: Column) -> Column:
 
 
 def form_topic(text: Column, tokens: Column) -> Column:
-    """A stand-in topic where documents have none: the form of the text."""
+    """A stand-in topic where documents have none: what the text consists of, by signs per token."""
     bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return F.when(bars * 10 >= F.greatest(tokens, F.lit(1)), "table").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("book")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
+    return F.when(bars * 10 >= tokens, "table").when(digits * 2 >= tokens, "figures").when(lines * 20 >= tokens, "lines").otherwise("prose")
+
+
+def goals(cells: DataFrame, margin: str, alpha: float, target: dict[str, float] | None, keep: float) -> DataFrame:
+    """Rows (margin, goal): the tokens that the mixture is to have of each group that has tokens."""
+    sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("held"))
+    total, groups = sums.agg(F.sum("held"), F.count("*")).first()
+    if target is None:
+        aim = F.pow(F.col("held") / (total or 1.0), F.lit(alpha))
+    elif target:
+        aim = F.coalesce(F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col(margin)], F.lit(0.0))
+    else:
+        aim = F.lit(0.0)
+    aimed = written(sums.select(margin, aim.alias("aim")), "goals")
+    whole = aimed.agg(F.sum("aim")).first()[0] or 1.0
+    return aimed.select(margin, (F.col("aim") / whole * keep * (total or 0.0)).alias("goal"))
+
+
+def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """cells (margins..., tokens), a table that is cheap to read again, with a column weight: expected tokens."""
+    wanted = {m: goals(cells, m, alpha, (targets or {}).get(m), keep) for m in margins}
+    factors = {m: g.select(m, "goal", F.lit(1.0).alias("factor"), F.lit(-1.0).alias("got")) for m, g in wanted.items()}
+    def weighed() -> DataFrame:
+        out, weight = cells, F.col("tokens").cast("double")
+        for m in margins:
+            out = out.join(factors[m].select(m, F.col("factor").alias(f"factor_{m}")), m)
+            weight = weight * F.col(f"factor_{m}")
+        return out.select(*margins, "tokens", F.least(F.col("tokens").cast("double"), weight).alias("weight"))
+
+    for _ in range(rounds):
+        moves = []
+        for m in margins:
+            sums = weighed().groupBy(m).agg(F.sum("weight").alias("now"))
+            ratio = F.coalesce(F.try_divide(F.col("goal"), F.col("now")), F.lit(0.0))
+            stepped = factors[m].join(sums, m).select(m, "goal", F.least(F.col("factor") * ratio, F.lit(MOST)).alias("factor"), F.col("now").alias("got"), F.try_divide(F.abs(F.col("now") - F.col("got")), F.col("goal")).alias("moved"))
+            stepped = written(stepped, "factors")
+            moves.append(stepped.select("moved"))
+            factors[m] = stepped.drop("moved")
+        if (reduce(DataFrame.union, moves).agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
+            break
+    return weighed()
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins..., tokens), a table that is cheap to read again, with a column weight: tokens raked to the target
-    shares of every margin (of the groups that have tokens)."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for m in margins:
+def shares(mixed: DataFrame, margin: str, alpha: float = ALPHA, target: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
+    """Of mix()'s rows, for each group of a margin: its goal in tokens, and what is expected of the draws."""
+    named = F.coalesce(F.col(margin).cast("string"), F.lit("(none)")).alias(margin)
+    held = written(mixed.groupBy(named).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("expected")), "shares")
+    return held.join(goals(held, margin, alpha, target, keep), margin).select(margin, "tokens", "goal", "expected")
 
-        def aim(tokens: Column, m: str = m) -> Column:
-            if targets and m in targets:
-                given = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
-                return F.coalesce(given[F.col(m)], F.lit(0.0))
-            return F.pow(tokens / max(total, 1.0), F.lit(alpha))
 
-        whole = cells.groupBy(m).agg(F.sum("tokens").alias("t")).agg(F.sum(aim(F.col("t")))).first()[0] or 1.0
-        out = out.withColumn(f"goal_{m}", aim(F.sum("tokens").over(W.partitionBy(m))) / whole)
-    for _ in range(rounds):
-        for m in margins:
-            out = out.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"goal_{m}") * total, F.sum("weight").over(W.partitionBy(m))), F.lit(0.0)))
-    return out.select(*margins, "tokens", "weight")
+def _unused(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """docs with topic, tokens, probability and sampled."""
     kept = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]
     counted = docs.withColumn("tokens", F.greatest(token_count(F.col(text_col)), F.lit(1)))
     counted = counted.withColumn("topic", F.coalesce(topic if topic is not None else form_topic(F.coalesce(F.col(text_col), F.lit("")), F.col("tokens")), F.lit("(none)")))
-    keys = [F.coalesce(F.col(m).cast("string"), F.lit("(none)")).alias(f"cell_{m}") for m in MARGINS]
+    names = {m: _unused(f"cell_{m}", counted.columns) for m in MARGINS}
+    keys = [F.coalesce(F.col(m).cast("string"), F.lit("(none)")).alias(names[m]) for m in MARGINS]
     cells = written(counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).toDF(*MARGINS, "tokens"), "cells")
-    raked = written(rake(cells, alpha=alpha, targets=targets, rounds=rounds).withColumn("ratio", F.col("weight") / F.col("tokens")), "raked")
-    most = raked.agg(F.max("ratio")).first()[0] or 1.0
-    chance = raked.select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], (F.col("ratio") / most).alias("probability"))
+    raked = written(rake(cells, alpha=alpha, targets=targets, keep=keep, rounds=rounds), "raked")
+    chance = raked.select(*[F.col(m).alias(names[m]) for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("probability"))
     # As many cells as groups occur: the join broadcasts them only where their measured size allows it.
-    placed = counted.drop("probability", "sampled").select("*", *keys).join(chance, [f"cell_{m}" for m in MARGINS])
+    placed = counted.drop("probability", "sampled").select("*", *keys).join(chance, list(names.values()))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return placed.select(*kept, "topic", "tokens", "probability", (draw < F.col("probability")).alias("sampled"))
 
 
-def oracle(alpha: float = ALPHA, rounds: int = ROUNDS) -> str:
+def oracle(alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS) -> str:
     """The same in DuckDB's SQL, over the table documents."""
+    count = lambda sign: f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), {sign}, ''))"
     steps = [
-        "d as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')), 1) as tokens, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')) as bars from documents)",
-        "e as (select *, case when bars * 10 >= tokens then 'table' when tokens < 100 then 'note' when tokens < 1000 then 'article' else 'book' end as topic from d)",
+        f"d as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, greatest(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')), 1) as tokens, {count(chr(39) + '|' + chr(39))} as bars, {count('chr(10)')} as ends, length(coalesce(text, '')) - length(translate(coalesce(text, ''), '0123456789', '')) as digits from documents)",
+        "e as (select *, case when bars * 10 >= tokens then 'table' when digits * 2 >= tokens then 'figures' when ends * 20 >= tokens then 'lines' else 'prose' end as topic from d)",
         "c as (select source, lang, topic, sum(tokens)::double as tokens from e group by all)",
-        "g as (select *, sum(tokens) over () as total, tokens as weight, " + ", ".join(f"pow(sum(tokens) over (partition by {m}) / sum(tokens) over (), {alpha}) as raw_{m}, tokens / sum(tokens) over (partition by {m}) as part_{m}" for m in MARGINS) + " from c)",
-        "w0 as (select source, lang, topic, tokens, total, weight, " + ", ".join(f"raw_{m} / sum(raw_{m} * part_{m}) over () as goal_{m}" for m in MARGINS) + " from g)",
+        "g as (select *, sum(tokens) over () as total, " + ", ".join(f"pow(sum(tokens) over (partition by {m}) / sum(tokens) over (), {alpha}) as raw_{m}, tokens / sum(tokens) over (partition by {m}) as part_{m}" for m in MARGINS) + " from c)",
+        "w0 as (select source, lang, topic, tokens, " + ", ".join(f"raw_{m} / sum(raw_{m} * part_{m}) over () * {keep} * total as goal_{m}, 1.0::double as f_{m}" for m in MARGINS) + " from g)",
     ]
-    n = 0
+    n, weight = 0, "least(tokens, " + " * ".join(["tokens", *(f"f_{m}" for m in MARGINS)]) + ")"
     for _ in range(rounds):
         for m in MARGINS:
-            steps.append(f"w{n + 1} as materialized (select * replace (weight * goal_{m} * total / sum(weight) over (partition by {m}) as weight) from w{n})")
+            steps.append(f"w{n + 1} as materialized (select * replace (least(f_{m} * goal_{m} / sum({weight}) over (partition by {m}), {MOST!r}) as f_{m}) from w{n})")
             n += 1
-    steps.append(f"p as (select source, lang, topic, (weight / tokens) / max(weight / tokens) over () as probability from w{n})")
+    steps.append(f"p as (select source, lang, topic, {weight} / tokens as probability from w{n})")
     return f"with {', '.join(steps)} select doc_id, topic, tokens::bigint as tokens, round(probability, 6) as probability, (('0x' || substr(md5(doc_id::varchar), 1, 13))::bigint::double / {float(1 << 52)!r}) < probability as sampled from e join p using (source, lang, topic)"
