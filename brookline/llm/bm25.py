@@ -6,11 +6,11 @@ row. Document counts, the mean length and document frequencies are taken over al
 
 All distinct terms of a query count, however long it is. Queries go in blocks of about BLOCK_TERMS terms (a query is never
 parted), the only thing that is broadcast. In a shard, a query's bound for a block of documents is the sum of its terms'
-greatest impacts there. Blocks are taken by falling bound, some at once, and only while the bound reaches the threshold;
-their documents are scored whole, and the threshold rises with the k-th best. A first pass scores each shard's
-FIRST_BLOCKS best blocks alone; the k-th best of those over all shards is a floor that the k best of all documents reach,
-under which a second pass searches every shard. Both leave out only documents that cannot be among the k best, and the
-shards' lists are merged exactly. Equal scores rank by smaller id.
+greatest impacts there. The documents of the FIRST_BLOCKS best blocks are scored whole, which raises the threshold: the
+k-th best score of the query in all that the task has seen, in this shard and in those before. Then only blocks whose
+bound reaches the threshold are scored, in runs of blocks of which at most GAP between two such blocks do not reach it.
+What is left out cannot be among the k best. A task sends its k best of each query, and they are merged exactly. Equal
+scores rank by smaller id.
 
 Defined results: null or empty texts have no terms; as queries they find nothing; documents with a null id are searched
 and rank last among equals; rows that repeat are separate documents; queries with a null qid are left out, and queries of
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 
 from .common import written
 
-K1, B, TOP, BLOCK_TERMS, BLOCK_DOCS, FIRST_BLOCKS, SHARD_BYTES = 1.2, 0.75, 10, 1 << 19, 32, 2, 24 << 20
+K1, B, TOP, BLOCK_TERMS, BLOCK_DOCS, FIRST_BLOCKS, GAP, SHARD_BYTES = 1.2, 0.75, 10, 1 << 20, 32, 2, 32, 24 << 20
 SLACK = 1 + 1e-9  # sums of bounds and of impacts may round apart
 LAST = (1 << 63) - 1  # stands for a null id
 
@@ -43,17 +43,17 @@ def analysed(texts: pa.Array) -> pa.Array:
 
 
 def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, and (term number, row, tf) sorted by term and row; the rows' lengths in words."""
+    """Terms, and (row, term number, tf) sorted by row and term; the rows' lengths in words."""
     lists = analysed(texts)
     ends = np.asarray(lists.offsets)
     words = pc.dictionary_encode(lists.values)
     rows = np.repeat(np.arange(len(texts)), np.diff(ends))
-    code = np.asarray(words.indices).astype(np.int64)
+    code, n = np.asarray(words.indices).astype(np.int64), max(1, len(words.dictionary))
     empty = pc.index(words.dictionary, pa.scalar("", pa.large_string())).as_py()
     if empty >= 0:
         rows, code = rows[code != empty], code[code != empty]
-    key, tf = np.unique(code * len(texts) + rows, return_counts=True)
-    return words.dictionary, key // max(1, len(texts)), (key % max(1, len(texts))).astype(np.int32), tf.astype(np.int32), np.bincount(rows, minlength=len(texts)).astype(np.int32)
+    key, tf = np.unique(rows * n + code, return_counts=True)
+    return words.dictionary, key // n, key % n, tf.astype(np.int32), np.bincount(rows, minlength=len(texts)).astype(np.int32)
 
 
 INDEX = "shard long, term string, df long, words long, ids binary, lengths binary, terms binary, ends binary, docs binary, counts binary"
@@ -62,18 +62,18 @@ NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 def shard_rows(ids: np.ndarray, texts: pa.Array, shard: int) -> Iterator[pa.RecordBatch]:
     """The shard's row (without a term; df is its number of documents), then a row (term, df) per term."""
-    terms, code, row, tf, length = counted(texts)
+    terms, row, code, tf, length = counted(texts)
     # Documents in order of their commonest term, then length: blocks of like documents have tight bounds.
-    by = np.lexsort((-tf, row))
-    first = by[np.flatnonzero(np.diff(row[by], prepend=-1))]
     commonest = np.full(len(ids), -1, np.int64)
-    commonest[row[first]] = code[first]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    most = np.repeat(np.maximum.reduceat(tf, first), np.diff(np.append(first, len(row)))) if len(first) else tf
+    at = np.flatnonzero(tf == most)[::-1]
+    commonest[row[at]] = code[at]
     order = np.lexsort((ids, length, commonest))
-    place = np.empty(len(ids), np.int32)
+    place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    row = place[row]
-    by = np.lexsort((row, code))
-    code, row, tf = code[by], row[by], tf[by]
+    by = np.argsort(code * len(ids) + place[row])
+    code, row, tf = code[by], place[row[by]], tf[by]
     starts = np.flatnonzero(np.diff(code, prepend=-1))
     names = terms.take(pa.array(code[starts]))
     ends = np.append(starts[1:], len(code))[: len(starts)]
@@ -115,7 +115,7 @@ def query_terms(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 some = b.slice(lo, 200)
-                names, code, row, *_ = counted(some.column(1))
+                names, row, code, *_ = counted(some.column(1))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), names.take(pa.array(code)).cast(pa.string())], ["qid", "term"])
 
     asked = queries.select(F.col("qid").cast("long"), "text").where("qid is not null").mapInArrow(run, "qid long, term string").distinct()
@@ -140,7 +140,6 @@ class Asked:
         by = np.lexsort((term, qid))
         self.term, starts = term[by], np.flatnonzero(np.diff(qid[by], prepend=~qid[by][:1]))
         self.qid, self.cuts = qid[by][starts], np.append(starts, len(by))
-        self.floor = np.zeros(len(self.qid))
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -163,70 +162,66 @@ class Shard:
         starts = np.append(0, ends)[at]
         n = ends[at] - starts if len(at) else starts
         which = ranges(starts, starts + n)
-        self.docs = np.frombuffer(row["docs"], "<i4")[which]
+        self.docs = np.frombuffer(row["docs"], "<i4")[which].astype(np.int64)
         tf = np.frombuffer(row["counts"], "<i4")[which].astype(float)
         term = np.repeat(here, n)
         self.impact = asked.idf[term] * tf * (K1 + 1) / (tf + weight[self.docs])
-        self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
+        self.n_blocks = max(1, -(-len(self.ids) // BLOCK_DOCS))
         key = term * self.n_blocks + self.docs // BLOCK_DOCS
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block = key[first] % max(1, self.n_blocks)
+        self.key, self.begin = key[first], np.append(first, len(key))
+        self.block = self.key % self.n_blocks
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
-        self.begin = np.append(first, len(key))
-        self.entries = np.searchsorted(key[first] // max(1, self.n_blocks), np.arange(len(asked.terms) + 1))
-
-    def best(self, terms: np.ndarray, k: int, floor: float = 0.0, only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best documents for these terms, none below floor; of the `only` best blocks, if given."""
-        score, ids = np.empty(0), np.empty(0, np.int64)
-        entries = ranges(self.entries[terms], self.entries[terms + 1])
-        if not len(entries):
+        self.entries = np.searchsorted(self.key, np.arange(len(asked.terms) + 1) * self.n_blocks)
+
+    def scores(self, terms: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """The scores of all documents in the runs of these blocks (of others 0), summed in the order of terms."""
+        ends = np.flatnonzero(np.diff(alive) > GAP)
+        cuts = np.column_stack([alive[np.append(0, ends + 1)], alive[np.append(ends, len(alive) - 1)] + 1])
+        at = self.begin[np.searchsorted(self.key, (terms[:, None] * self.n_blocks + cuts.ravel()[None]).ravel())].reshape(-1, 2)
+        at = at[at[:, 0] < at[:, 1]].tolist()
+        if not at:
+            return np.zeros(len(self.ids))
+        return np.bincount(np.concatenate([self.docs[a:b] for a, b in at]), np.concatenate([self.impact[a:b] for a, b in at]), len(self.ids))
+
+    def best(self, terms: np.ndarray, k: int, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of this shard's documents and of those that are known (scores, ids), best first."""
+        at = [(a, b) for a, b in zip(self.entries[terms].tolist(), self.entries[terms + 1].tolist(), strict=True) if a < b]
+        if not at:
             return score, ids
-        blocks = self.block[entries]
-        bound = np.bincount(blocks, self.most[entries], self.n_blocks) * SLACK
-        order = np.argsort(-bound, kind="stable")
-        live, done, step = int(np.count_nonzero(bound)), 0, only or FIRST_BLOCKS
-        slot = np.full(self.n_blocks, -1)
-        while done < live:
-            taken = order[done : min(live, done + step)]
-            taken = taken[bound[taken] >= floor]
-            if not len(taken):
-                break  # no block from here on reaches the threshold
-            slot[taken] = np.arange(len(taken))
-            mine = entries[slot[blocks] >= 0]
-            which = ranges(self.begin[mine], self.begin[mine + 1])
-            docs = self.docs[which]
-            sums = np.bincount(slot[docs // BLOCK_DOCS] * BLOCK_DOCS + docs % BLOCK_DOCS, self.impact[which], len(taken) * BLOCK_DOCS)
-            slot[taken] = -1
-            found = np.flatnonzero((sums > 0) & (sums >= floor))
-            score = np.append(score, sums[found])
-            ids = np.append(ids, self.ids[taken[found // BLOCK_DOCS] * BLOCK_DOCS + found % BLOCK_DOCS])
-            top = np.lexsort((ids, -score))[:k]
-            score, ids = score[top], ids[top]
-            if len(score) == k:
-                floor = max(floor, score[-1])
-            done, step = done + step, 4 * step
-            if only:
-                break
-        return score, ids
-
-
-def _searched(asked, mean: float, k: int, only: int | None):
-    """The function that searches shards for a broadcast block of queries."""
+        bound = np.bincount(np.concatenate([self.block[a:b] for a, b in at]), np.concatenate([self.most[a:b] for a, b in at]), self.n_blocks) * SLACK
+        first = np.sort(np.argpartition(-bound, FIRST_BLOCKS - 1)[:FIRST_BLOCKS]) if self.n_blocks > FIRST_BLOCKS else np.arange(self.n_blocks)
+        floor = score[-1] if len(score) == k else 0.0
+        some = self.scores(terms, first)
+        if np.count_nonzero(some) >= k:
+            floor = max(floor, np.partition(some, -k)[-k])
+        alive = np.flatnonzero((bound >= floor) & (bound > 0))
+        if not len(alive):
+            return score, ids
+        sums = self.scores(terms, alive)
+        found = np.flatnonzero((sums >= floor) & (sums > 0))
+        if len(found) > k:
+            found = found[sums[found] >= np.partition(sums[found], -k)[-k]]
+        score, ids = np.append(score, sums[found]), np.append(ids, self.ids[found])
+        top = np.lexsort((ids, -score))[:k]
+        return score[top], ids[top]
+
+
+def _searched(asked, mean: float, k: int):
+    """The function that searches a task's shards for a broadcast block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Asked = asked.value
+        known = [(np.empty(0), np.empty(0, np.int64))] * len(block.qid)
         for b in batches:
             for i in range(b.num_rows):
-                block: Asked = asked.value
                 shard = Shard(b.slice(i, 1).to_pylist()[0], block, mean)
-                qids, scores, ids = [], [], []
                 for q in range(len(block.qid)):
-                    score, found = shard.best(block.term[block.cuts[q] : block.cuts[q + 1]], k, block.floor[q], only)
-                    if len(score):
-                        qids.append(np.full(len(score), block.qid[q]))
-                        scores.append(score)
-                        ids.append(found)
-                if qids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qids, ids, scores)], ["qid", "id", "score"])
+                    known[q] = shard.best(block.term[block.cuts[q] : block.cuts[q + 1]], k, *known[q])
+        for lo in range(0, len(known), 1000):
+            some = known[lo : lo + 1000]
+            qids = np.repeat(block.qid[lo : lo + 1000], [len(s) for s, _ in some])
+            yield pa.RecordBatch.from_arrays([pa.array(qids), *(pa.array(np.concatenate([x[j] for x in some])) for j in (1, 0))], ["qid", "id", "score"])
 
     return run
 
@@ -247,7 +242,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc
     spark = docs.sparkSession
     index = build_index(docs, id_col, text_col, shard_bytes)
     shards = index.where("term is null")
-    n, words, n_shards = shards.agg(F.sum("df"), F.sum("words"), F.count("*")).first()
+    n, words = shards.agg(F.sum("df"), F.sum("words")).first()
     if not n:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     mean = max(words, 1) / n
@@ -259,18 +254,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc
         mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == i).toArrow()  # about block_terms rows, or one query's
         if not mine.num_rows:
             continue
-        block = Asked(mine)
-        sent = spark.sparkContext.broadcast(block)
-        some = max(2, -(-2 * k // n_shards))
-        first = lists.mapInArrow(_searched(sent, mean, some, FIRST_BLOCKS), "qid long, id long, score double")
-        floors = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select("qid", "score").toArrow()  # a row per query
-        block.floor[np.searchsorted(block.qid, np.asarray(floors.column("qid")))] = np.asarray(floors.column("score"))
-        sent.unpersist()
-        sent = spark.sparkContext.broadcast(block)
-        found = lists.mapInArrow(_searched(sent, mean, k, None), "qid long, id long, score double")
+        sent = spark.sparkContext.broadcast(Asked(mine))
+        found = lists.mapInArrow(_searched(sent, mean, k), "qid long, id long, score double")
         best = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
         parts.append(written(best.select("qid", "rank", F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "score"), "found"))
-        sent.unpersist()
+        sent.destroy()
     if not parts:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score double")
     out = parts[0]
