@@ -3,12 +3,16 @@
 A multinomial logistic regression over sparse word 1- to 3-grams gives each paragraph the probability of every licence
 family and of the class "unknown"; a temperature fitted on held-out paragraphs calibrates them. A prediction counts only
 if its family is likelier than THRESHOLD and the paragraph agrees with one of the family's templates: at least AGREEMENT
-of the template's word pairs occur in it, and no template of another family agrees better.
+of the template's word pairs occur in it, one of them is in no other family's templates, and no template of another family
+agrees better. Where a paragraph agrees with several families, the words that confirm one finding are set apart and what is
+left on either side is looked at again, so that each of several licences in a line is found; if no family is likely enough
+for the whole, its two overlapping parts are looked at.
 
 The classifier is trained here, on PARAGRAPHS texts per family that a seeded generator writes from the templates, and on
 prose and near misses for "unknown"; no document of the input is learnt from. A paragraph is a line of the text, and also a
-run of lines between lines without words, so that wrapped statements are found; one of more than WINDOW words is scanned in
-windows that overlap by half. Of a line and a run that are found by the same words, the better agreement counts, the line if
+run of lines between lines without words, so that wrapped statements are found; one of more than WINDOW words is
+classified in windows that overlap by half. A finding's place is its paragraph, or the words that confirm it where the
+paragraph has more than one window or finding. Of a line and a run that are found by the same words, the better agreement counts, the line if
 they are equal; a line within a run of the same family is part of its statement.
 
 Defined results: a null or empty text has no licence; a null doc_id stays null; rows that repeat give a row each; an
@@ -29,29 +33,35 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-PARAGRAPHS, WINDOW, THRESHOLD, AGREEMENT, MIN_COUNT = 120, 60, 0.8, 0.6, 3
+PARAGRAPHS, WINDOW, SHORTEST, THRESHOLD, AGREEMENT, MIN_COUNT = 120, 60, 6, 0.8, 0.6, 3
 UNKNOWN = "unknown"
 
 # Statements by which texts are put under licences, in families. # stands for a number, @ for a name.
 TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license version #", "released under the agpl #", "you can redistribute it under the terms of the gnu affero general public license as published by the free software foundation"],
-    "apache": ["licensed under the apache license version #", "released under the apache license #", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license #", "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "bsd": ["licensed under the bsd license", "released under the # clause bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "neither the name of @ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "cc0": ["released under cc0 #", "dedicated to the public domain", "the author has waived all copyright and related rights to this work under the cc0 # universal public domain dedication", "this work is in the public domain"],
-    "cc-by": ["licensed under cc by #", "this work is licensed under a creative commons attribution # international license"],
-    "cc-by-nc": ["licensed under cc by nc #", "this work is licensed under a creative commons attribution noncommercial # international license", "for noncommercial use only under cc by nc #"],
-    "cc-by-sa": ["licensed under cc by sa #", "this work is licensed under a creative commons attribution sharealike # international license", "text is available under the creative commons attribution sharealike license"],
-    "gpl": ["this work is licensed under the gnu general public license version #", "released under the gpl v #", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version", "you should have received a copy of the gnu general public license along with this program"],
-    "isc": ["licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl": ["licensed under the gnu lesser general public license version #", "released under the lgpl #", "you can redistribute it under the terms of the gnu lesser general public license"],
-    "mit": ["released under the mit license", "licensed under the mit license", "this project is available under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v #", "licensed under the mozilla public license version #"],
+    "agpl": ["licensed under the gnu affero general public license version #", "released under the agpl #", "you can redistribute it under the terms of the gnu affero general public license as published by the free software foundation", "spdx license identifier agpl # or later", "spdx license identifier agpl # only"],
+    "apache": ["licensed under the apache license version #", "released under the apache license #", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license #", "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "spdx license identifier apache #"],
+    "bsd": ["licensed under the bsd license", "released under the # clause bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "neither the name of @ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "spdx license identifier bsd # clause", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"],
+    "cc0": ["released under cc0 #", "dedicated to the public domain", "the author has waived all copyright and related rights to this work under the cc0 # universal public domain dedication", "this work is in the public domain", "spdx license identifier cc0 #"],
+    "cc-by": ["licensed under cc by #", "this work is licensed under a creative commons attribution # international license", "spdx license identifier cc by #"],
+    "cc-by-nc": ["licensed under cc by nc #", "this work is licensed under a creative commons attribution noncommercial # international license", "for noncommercial use only under cc by nc #", "spdx license identifier cc by nc #"],
+    "cc-by-sa": ["licensed under cc by sa #", "this work is licensed under a creative commons attribution sharealike # international license", "text is available under the creative commons attribution sharealike license", "spdx license identifier cc by sa #", "licensed under the creative commons attribution sharealike # license"],
+    "gpl": ["this work is licensed under the gnu general public license version #", "released under the gpl v #", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version", "you should have received a copy of the gnu general public license along with this program", "spdx license identifier gpl # or later", "spdx license identifier gpl # only", "licensed under gpl # or later", "licensed under the gpl"],
+    "isc": ["licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx license identifier isc"],
+    "lgpl": ["licensed under the gnu lesser general public license version #", "released under the lgpl #", "you can redistribute it under the terms of the gnu lesser general public license", "spdx license identifier lgpl # or later", "spdx license identifier lgpl # only"],
+    "mit": ["released under the mit license", "licensed under the mit license", "this project is available under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "spdx license identifier mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v #", "licensed under the mozilla public license version #", "spdx license identifier mpl #"],
+    "boost": ["spdx license identifier bsl #", "distributed under the boost software license version #", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "cc-by-nd": ["spdx license identifier cc by nd #", "licensed under cc by nd #", "this work is licensed under a creative commons attribution noderivatives # international license"],
+    "epl": ["spdx license identifier epl #", "made available under the terms of the eclipse public license #", "licensed under the eclipse public license version #"],
+    "eupl": ["spdx license identifier eupl #", "licensed under the eupl", "licensed under the european union public licence version #"],
+    "unlicense": ["spdx license identifier unlicense", "released under the unlicense", "this is free and unencumbered software released into the public domain"],
+    "zlib": ["spdx license identifier zlib", "licensed under the zlib license", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
     "proprietary": ["all rights reserved", "copyright # @ all rights reserved", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", "no part of this publication may be reproduced without the prior written permission of the publisher"],
 }
 NEAR_MISSES = [
     "the driver showed a license to the officer and went on", "she was released under the old bridge", "version # of the story is about the general public", "all the rights of the people were reserved for later",
     "the apache people lived on the plains", "they were all reserved and right", "students at mit study hard in general", "the public library gave permission to read", "a copy of the book was obtained free of charge",
-    "the work is in the house", "he used the software under the terms of trade", "she may not use the kitchen", "the notice was above the door", "conditions of any kind were met by the team", "this work is for the commons of the town", "creative people in general share alike",
+    "the work is in the house", "he used the software under the terms of trade", "she may not use the kitchen", "the notice was above the door", "conditions of any kind were met by the team", "this work is for the commons of the town", "creative people in general share alike", "the spdx license identifier of a file names its license", "spdx license identifier zz", "in no event shall the guests be late",
 ]
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 NUMBER = re.compile(r"v?[0-9.]+")
@@ -124,7 +134,13 @@ class LicenceModel:
         losses = {t: -np.mean(np.log(self._softmax(held / t)[np.arange(len(held)), y[cut:]] + 1e-12)) for t in (0.5, 0.7, 1.0, 1.4, 2.0)}
         self.temperature = min(losses, key=losses.get)
         self.pairs = {f: [self._pairs([w for w in t.split() if w != "@"]) for t in ts] for f, ts in TEMPLATES.items()}
-        self.known_pairs = frozenset(p for ts in self.pairs.values() for t in ts for p in t)
+        self.holders: dict[tuple[str, str], list[tuple[str, int]]] = {}
+        for f, ts in self.pairs.items():
+            for i, t in enumerate(ts):
+                for p in t:
+                    self.holders.setdefault(p, []).append((f, i))
+        self.known_pairs = frozenset(self.holders)
+        self.own = {f: frozenset(p for p, held in self.holders.items() if {g for g, _ in held} == {f}) for f in self.pairs}
 
     def _matrix(self, texts: list[list[str]]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.index)), np.float32)
@@ -150,23 +166,45 @@ class LicenceModel:
     def _pairs(words: list[str]) -> frozenset[tuple[str, str]]:
         return frozenset(zip(words, words[1:], strict=False))
 
-    def agreement(self, family: str, pairs: frozenset[tuple[str, str]]) -> float:
-        return max(len(pairs & t) / len(t) for t in self.pairs[family])
+    def confirmed(self, words: list[str]) -> dict[str, float]:
+        """The families that a template confirms, with the best agreement of each."""
+        seen = Counter(h for p in set(zip(words, words[1:], strict=False)) if p in self.holders for h in self.holders[p])
+        found: dict[str, float] = {}
+        for (f, i), n in seen.items():
+            agrees = n / len(self.pairs[f][i])
+            if agrees >= AGREEMENT and agrees > found.get(f, 0.0):
+                found[f] = agrees
+        if not found:
+            return found
+        pairs = self._pairs(words)
+        return {f: a for f, a in found.items() if pairs & self.own[f]}
 
     def classify(self, words: list[str]) -> tuple[str, float, float] | None:
         """Family, calibrated probability and agreement of a paragraph, or None for "unknown" or what no template confirms."""
-        at = sorted({self.index[g] for g in grams(words) if g in self.index})
-        if not at:
+        agreed = self.confirmed(words)
+        if not agreed:
             return None
+        at = sorted({self.index[g] for g in grams(words) if g in self.index})
         p = self._softmax((self.w[at].sum(0) + self.b)[None] / self.temperature)[0]
         best = int(p.argmax())
-        if not best or p[best] < THRESHOLD:
+        family = self.classes[best]
+        if not best or p[best] < THRESHOLD or family not in agreed or max(agreed.values()) > agreed[family]:
             return None
-        family, pairs = self.classes[best], self._pairs(words)
-        agrees = self.agreement(family, pairs)
-        if agrees < AGREEMENT or any(self.agreement(f, pairs) > agrees for f in self.pairs if f != family):
-            return None
-        return family, float(p[best]), agrees
+        return family, float(p[best]), agreed[family]
+
+    def _place(self, family: str, words: list[str]) -> tuple[int, int]:
+        """Where most of the template's word pairs that confirm a finding stand together."""
+        pairs = self._pairs(words)
+        template = max(sorted(self.pairs[family], key=sorted), key=lambda t: len(pairs & t) / len(t))
+        at = [i for i, p in enumerate(zip(words, words[1:], strict=False)) if p in template]
+        width, best = 2 * len(template) + 2, (0, 0, 0)
+        for k, i in enumerate(at):
+            seen: set[tuple[str, str]] = set()
+            for j in at[k : k + width]:
+                if j < i + width and (words[j], words[j + 1]) not in seen:
+                    seen.add((words[j], words[j + 1]))
+                    best = max(best, (len(seen), i - j, i))
+        return best[2], best[2] - best[1] + 2
 
     def _matched(self, family: str, words: list[str]) -> frozenset[tuple[str, str]]:
         """The word pairs that confirm a family."""
@@ -190,26 +228,41 @@ class LicenceModel:
                 lost.update(beaten)
         return sorted(kept + [line for i, (line, _) in enumerate(lines) if i not in lost])
 
+    def _parts(self, words: list[str], lo: int, hi: int) -> list[tuple[int, int, str, float, float]]:
+        """Findings (first word, end, family, probability, agreement) of words[lo:hi]."""
+        some = words[lo:hi]
+        got = self.classify(some)
+        if got:
+            a, b = self._place(got[0], some)
+            rest = [(lo, lo + a), (lo + b, hi)]
+            out: list[tuple[int, int, str, float, float]] = []
+            for x in sorted([(lo + a, lo + b, *got), *(x for i, j in rest if j - i > 1 for x in self._parts(words, i, j))]):
+                if out and out[-1][2] == x[2]:  # of one statement, in the words of two templates
+                    out[-1] = (out[-1][0], x[1], x[2], max(out[-1][3], x[3]), max(out[-1][4], x[4]))
+                else:
+                    out.append(x)
+            return out
+        if hi - lo > SHORTEST and len(self.confirmed(some)) > 0:
+            third = (hi - lo) // 3
+            return sorted({x[:3]: x for i, j in ((lo, hi - third), (lo + third, hi)) for x in self._parts(words, i, j)}.values())
+        return []
+
     def _found(self, words: list[str], whole: tuple[int, int], places) -> list[tuple[int, int, str, float, float]]:
         """Findings of a paragraph between the ends `whole`; places() has the ends of each word."""
-        found = []
         if len(words) <= WINDOW:
             spans = [(0, len(words))]
         else:
             spans = [(lo, min(len(words), lo + WINDOW)) for lo in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
-        at = None
-        for lo, hi in spans:
-            got = self.classify(words[lo:hi])
-            if got:
-                a, b = whole
-                if len(spans) > 1:
-                    at = at or places()
-                    a, b = at[lo][0], at[hi - 1][1]
-                if found and found[-1][2] == got[0] and a < found[-1][1]:
-                    found[-1] = (found[-1][0], b, got[0], max(found[-1][3], got[1]), max(found[-1][4], got[2]))
-                else:
-                    found.append((a, b, *got))
-        return found
+        found: list[tuple[int, int, str, float, float]] = []
+        for x in sorted(x for lo, hi in spans for x in self._parts(words, lo, hi)):
+            if found and found[-1][2] == x[2] and x[0] < found[-1][1]:
+                found[-1] = (found[-1][0], max(x[1], found[-1][1]), x[2], max(found[-1][3], x[3]), max(found[-1][4], x[4]))
+            else:
+                found.append(x)
+        if len(found) == 1 and len(spans) == 1:
+            return [(*whole, *found[0][2:])]
+        at = places() if found else []
+        return [(at[a][0], at[b - 1][1], *rest) for a, b, *rest in found]
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
         """Findings (start, end, family, probability, agreement) of one text, in order."""

@@ -60,3 +60,26 @@ def test_wrapped_statements_are_found():
                 a, b = got[0][:2]
                 assert len(head) <= a < b <= len(head) + len("\n".join(lines)), (family, width, mark)
     assert ls.model().scan("A free tale\nof the general public\nand its source.") == []
+
+
+def test_identifiers_and_more_families():
+    want = {
+        "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl",
+        "Distributed under the Boost Software License, Version 1.0.": "boost", "Licensed under the EUPL": "eupl", "Licensed under CC BY-ND 4.0": "cc-by-nd",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit",
+    }
+    assert {t: [x[2] for x in ls.model().scan(t)] for t in want} == {t: [f] for t, f in want.items()}
+    assert ls.model().scan("SPDX-License-Identifier: Zz-9") == [] and ls.model().scan("The SPDX license identifier of a file names its license.") == []
+
+
+def test_each_of_several_licences_in_a_line_is_found():
+    """However long the line is: the same statements with nothing, little or much around them."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    for n in (0, 3, 10, 30, 60, 200):
+        prose = "stone river green " * (n // 3)
+        for text in (f"{mit} {apache} {prose}", f"{prose}{apache} {mit}", f"{mit} {prose}{apache}"):
+            got = ls.model().scan(text)
+            assert sorted(x[2] for x in got) == ["apache", "mit"], (n, text[:80], got)
+            for a, b, family, *_ in got:
+                assert {"mit": "MIT License", "apache": "Apache License"}[family] in text[a:b] and {"mit": "Apache", "apache": "MIT"}[family] not in text[a:b]
