@@ -15,6 +15,7 @@ rows that repeat give a row each; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .html_tree import Node, blocks, read
 
-TRAIN_PAGES, TREES, DEPTH, RATE, BINS, PAGES_AT_ONCE = 1000, 60, 4, 0.2, 32, 200
+TRAIN_PAGES, TREES, DEPTH, RATE, BINS, PAGES_AT_ONCE = 1500, 90, 5, 0.2, 32, 200
 
 # Words of class names and the like, by what they hint at.
 HINTS = {
@@ -56,7 +57,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         total[parent[i]] += total[i]
     hints, kinds = np.zeros((n, N_HINTS)), np.zeros((n, N_KINDS))
     up = np.zeros((n, N_HINTS + len(_ENCLOSING)))
-    sib = np.zeros((n, 4))
+    sib = np.zeros((n, 6))
     for i, x in enumerate(nodes):
         for t in x.tokens:
             if t in _HINT:
@@ -65,9 +66,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         if i:
             above = parent[i]
             up[i] = np.maximum(up[above], np.concatenate([hints[above], kinds[above, _ENCLOSING]]))
-        same = len(x.children)
+        same, alike = len(x.children), Counter(c.tag for c in x.children)
         for k, c in enumerate(x.children):
-            sib[place[id(c)]] = (k / max(1, same - 1), same, sum(1 for o in x.children if o.tag == c.tag) / same if same <= 64 else 1.0, 0)
+            sib[place[id(c)]] = (k / max(1, same - 1), same, alike[c.tag] / same, 0, k > 0 and x.children[k - 1].tag == c.tag, k + 1 < same and x.children[k + 1].tag == c.tag)
     sib[:, 3] = total[:, 0] / np.maximum(1, total[parent, 0])
     chars = np.maximum(1, total[:, 0])
     depth = np.array([x.depth for x in nodes], float)
@@ -143,7 +144,9 @@ def decode(nodes: list[Node], logit: np.ndarray) -> list[bool]:
 def training_page(r: random.Random) -> str:
     """A page whose main text's elements carry data-component="keep"; the reader sees that as a token."""
     words = ["".join(r.choice(["ka", "lo", "mi", "ter", "sun", "a", "ve", "ing", "or", "st", "é"]) for _ in range(r.randint(1, 4))) for _ in range(120)]
-    named = lambda kind: r.choice(HINTS[kind].split()) + r.choice(["", "", "", "-box", "-inner", "-1"])
+    # Many names of main text say nothing, and some pages write their paragraphs as div elements.
+    named = lambda kind: (r.choice(words)[:9] if kind == "content" and r.random() < 0.4 else r.choice(HINTS[kind].split())) + r.choice(["", "", "", "-box", "-inner", "-1"])
+    para = "div" if r.random() < 0.2 else "p"
 
     def phrase(lo: int, hi: int, stops: bool = True) -> str:
         w = [r.choice(words) for _ in range(r.randint(lo, hi))]
@@ -193,7 +196,8 @@ def training_page(r: random.Random) -> str:
     def block() -> str:
         k = r.random()
         if k < 0.62:
-            return f"<p{K}>{phrase(1, 80)}</p>" if r.random() < 0.85 else f"<p{K}>{phrase(2, 30)} {link()} {phrase(2, 30)}"
+            end = f"</{para}>" if para == "div" or r.random() < 0.85 else ""
+            return f"<{para}{K}>{phrase(1, 80)}{end}" if r.random() < 0.85 else f"<{para}{K}>{phrase(2, 30)} {link()} {phrase(2, 30)}{end}"
         if k < 0.72:
             return f"<p{K}><b>{phrase(1, 10)}</b></p>" if r.random() < 0.5 else f"<p{K}><b>{phrase(1, 10)}<br>"
         if k < 0.8:
@@ -212,6 +216,11 @@ def training_page(r: random.Random) -> str:
     for kind in ("advert", "share", "side", "notice", "form"):
         if r.random() < 0.12:
             body.insert(r.randint(0, len(body)), boiler(kind))
+    if r.random() < 0.15:  # the article's own header and footer go like any other
+        inner = r.choice([f"<h1>{phrase(1, 9, False)}</h1>", "", f"<h2>{phrase(1, 9, False)}</h2>"]) + r.choice([f"<p>{phrase(1, 5)}</p>", f"<span>{phrase(1, 5, False)}</span>", f"<time>{phrase(1, 3, False)}</time>"])
+        body.insert(0, f"<header{name('share', 0.3)}>{inner}</header>")
+    if r.random() < 0.15:
+        body.append(f"<footer{name('share', 0.3)}>{r.choice([phrase(1, 6, False), f'<p>{phrase(2, 9)}</p>', links(3), f'{phrase(1, 2, False)}: {link()}, {link()}'])}</footer>")
     body = "".join(body)
     tag = r.choice(["article"] * 5 + ["main", "div", "div", "section"])
     attr = name("content", 0.3 if tag in ("article", "main") else 1.0)
@@ -225,7 +234,7 @@ def training_page(r: random.Random) -> str:
         main = ""
     elif r.random() < 0.12:  # a bare page: nothing around the text, and no names
         depth = r.randint(0, 3)
-        paragraphs = "".join(f"<p{K}>{phrase(1, r.choice([10, 80]))}</p>" if r.random() < 0.8 else block() for _ in range(r.choice([1, 2, 3, 5, 12])))
+        paragraphs = "".join(f"<{para}{K}>{phrase(1, r.choice([10, 80]))}</{para}>" if r.random() < 0.8 else block() for _ in range(r.choice([1, 2, 3, 5, 12])))
         main, before, after = f"<div{K}>" * depth + paragraphs + "</div>" * depth, [], [boiler("edge")] if r.random() < 0.3 else []
     return f"<html{K}><head><title>x</title></head><body{K}>{''.join(before)}{main}{''.join(after)}</body></html>"
 

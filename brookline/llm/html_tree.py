@@ -8,7 +8,7 @@ from html import unescape
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video button select option optgroup datalist textarea title label output progress meter map".split())
+HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video button select option optgroup datalist textarea title".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 SCOPES = frozenset("html body table td th caption button object".split())
@@ -138,7 +138,8 @@ def read(html: str) -> list[Node]:
             node.links += 1
         if tag in HIDDEN:
             dark += 1
-            node.hidden += tag in ("select", "button", "label")
+            node.hidden += tag in ("select", "button")
+        node.hidden += tag == "label"
         if tag in BLOCK:
             block += 1
             node = Node(tag, tokens_of(m[4]) if m[4] else (), node)

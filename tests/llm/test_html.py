@@ -67,6 +67,7 @@ def test_decoding_is_the_best_labelling():
         ("<div", ""),
         ("<p title='a>b'>x</p><textarea><p>no</textarea><select><option>no</select>z", "x\n\nz"),
         ("<a href=x>in <b>line</b></a> text <!-- open", "in line text"),
+        ("<p>The <label>name</label> is <output>42</output> of <map>all</map> <meter>5</meter></p>", "The name is 42 of all 5"),
     ],
 )
 def test_markup(html, want):
@@ -90,3 +91,21 @@ def test_bare_pages_and_unclosed_quotes():
         "A plain page, without names; one paragraph of text.\n\nAnd another paragraph of it.",
         "Broken link text and more after it.\n\nAnd the rest of it, in words.",
     ]
+
+
+def test_paragraphs_as_divs_and_headers_within_articles():
+    first, second = "First long paragraph of the page, which says a good deal about rivers and their banks.", "Second long paragraph, which is also the main text, and goes on about the hills beyond them."
+    divs = f'<body><div id="c1"><div>{first}</div><div>{second}</div></div>{{}}</body>'
+    framed = f"<article><header><h1>Rivers</h1><p>By A. Author</p></header><p>{first}</p><p>{second}</p><footer>Tags: a, b</footer></article>"
+    want = first + "\n\n" + second
+    assert hx.extract([divs.format(""), divs.format("<footer>All rights reserved</footer>"), framed], hx.model()) == [want] * 3
+
+
+def test_an_advert_among_many_paragraphs_goes():
+    paragraphs = "".join(f"<p>Paragraph {i} tells of the river, the hills, and all who live there.</p>" for i in range(200))
+    advert = '<aside class="advert"><p>Buy now, cheap.</p></aside>'
+    for n in (20, 64, 65, 200):
+        cut = paragraphs.split("</p>")[:n]
+        html = "<body><article>" + "</p>".join(cut[: n // 2]) + "</p>" + advert + "</p>".join(cut[n // 2 :]) + "</p></article></body>"
+        text = hx.extract([html], hx.model())[0]
+        assert "Buy now" not in text and text.count("tells of the river") == n
