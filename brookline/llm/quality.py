@@ -9,8 +9,8 @@ The fit uses SAMPLE rows of each kind at most (chosen by a hash of doc_id, only
 are counts over the whole text, and every text is scored.
 
 Defined results: a null or empty text has the features of no words and is scored like any other; a row with a null
-doc_id is scored, is not held out and is never learnt from; rows that repeat are scored each; with fewer than MIN_ROWS
-positives every score is the prior that the labels suggest (0.5 without any); an empty table gives an empty table.
+doc_id is scored, is not held out and is never learnt from; rows that repeat are scored each; without any positives, or
+without any unlabelled text, there is nothing to learn from and every score is 0.5; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of positives and of unlabelled text that a fit may use; fewer positives than MIN_ROWS fit nothing.
-SAMPLE, MIN_ROWS, THRESHOLD = 20_000, 20, 0.7
+#: Rows of positives and of unlabelled text that a fit may use.
+SAMPLE, THRESHOLD = 20_000, 0.7
 
 _GROUPS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:?", b"!", b"|", b"#$%&*~^@", b"'\"()-", b"<>[]{}=/\\_+`", bytes(range(128, 256))]
 _CLASS = np.zeros((256, len(_GROUPS)))
@@ -52,7 +52,7 @@ def features(text: str | None) -> list[float]:
         len(counts) / n**0.8,
         pairs / max(1, n - 1),
         sum(map(eq, words, words[1:])) / n,
-        max(counts.values()) / n if n >= 20 else 0.1,
+        max(counts.values()) / (n + 20),
         len(raw) / n / 10,
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(len(raw) / max(1, len(lines))) / 5,
@@ -134,12 +134,12 @@ class QualityModel:
 
 
 def fit(pos: np.ndarray, unl: np.ndarray) -> QualityModel:
-    if len(pos) < MIN_ROWS or not len(unl):
+    if not len(pos) or not len(unl):
         return QualityModel(None, 0.5)
     both = np.vstack([pos, unl])
     mean, scale = both.mean(0), both.std(0) + 0.02
     half_p, half_u = len(pos) // 2, len(unl) // 2
-    first = Net(mean, scale).train(pos[:half_p], unl[:half_u] if half_u else unl, None, epochs=20)
+    first = Net(mean, scale).train(pos[:half_p] if half_p else pos, unl[:half_u] if half_u else unl, None, epochs=20)
     prior = estimated_prior(first.score(pos[half_p:]), first.score(unl[half_u:]))
     return QualityModel(Net(mean, scale, seed=2).train(pos, unl, prior), prior)
 

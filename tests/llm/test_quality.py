@@ -39,3 +39,39 @@ def test_odd_rows(spark):
     got = q.classify(docs, labels).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got) and [r.held_out for r in got if r.doc_id is None] == [False]
     assert q.classify(docs.limit(0), labels).count() == 0
+
+
+def test_scores_are_those_of_a_plain_pass(spark):
+    """The distributed scores against a plain forward pass, text by text, and the parts of the risk by hand."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = q.learn(docs, labels)
+    w, b, v, c = model.net.p
+    for r in q.classify(docs, labels).join(docs, "doc_id").orderBy("doc_id").limit(200).collect():
+        x = (np.array(q.features(r.text)) - model.net.mean) / model.net.scale
+        z = sum(v[j] * np.tanh(sum(min(8, max(-8, x[i])) * w[i, j] for i in range(len(x))) + b[j]) for j in range(len(v))) + c[0]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == (r.score >= 0.7)
+
+
+def test_held_out_labels_do_not_matter(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    turned = labels.withColumn("quality", q.F.when(q.held_out(q.F.col("doc_id")), 1 - q.F.col("quality")).otherwise(q.F.col("quality")))
+    score = lambda got: {r.doc_id: r.score for r in got.collect()}
+    assert score(q.classify(docs, labels)) == score(q.classify(docs, turned))
+
+
+def test_a_few_positives_are_learnt_from(spark):
+    """No least number of labels: scores part from the few on, and only without any they are all alike."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    few = labels.where("quality = 1").where(~q.held_out(q.F.col("doc_id"))).orderBy("doc_id")
+    for n in (0, 1, 19, 21):
+        scores = [r.score for r in q.classify(docs, few.limit(n)).collect()]
+        assert (len(set(scores)) > 1) == (n > 0) and all(0 <= s <= 1 for s in scores)
+
+
+def test_no_feature_jumps_with_the_number_of_words():
+    texts = [" ".join(f"w{i}" for i in range(n)) + " w0" for n in (18, 19, 20, 21)]
+    steps = np.abs(np.diff([q.features(t) for t in texts], axis=0))
+    assert steps.max() < 0.05
