@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arith import fires, is_finite
 from .routing import edge_class_mismatch
-from .series import gate, growth_streak, longest_streak, queue_depth, stationarity
+from .series import along, gate, longest_streaks, queue_depth, stationarity
 
 TOLERANCE, FIRST = 1e-6, 5
 NEGATIVE = ("arrivals", "served", "errors", "attempts", "failures", "exhausted_failures", "queue_depth", "retry_echo", "retry_budget_remaining")
@@ -34,9 +34,16 @@ def rules(columns: list[str]) -> dict[str, Column]:
     return out
 
 
+#: Rules that name the first bin alone, however many break them.
+FIRST_ONLY = ("attempts_conservation_mismatch",)
+
+
 def _gathered(found: DataFrame) -> DataFrame:
     """A row per node and code. What is not a number breaks no rule."""
-    return found.where(~F.isnan(F.col("amount").cast("double"))).groupBy("scenario_id", "node_id", "code").agg(F.slice(F.array_sort(F.collect_list("bin")), 1, FIRST).alias("bins"), F.max("amount").alias("worst"), F.count("*").alias("n"))
+    rows = found.where(~F.isnan(F.col("amount").cast("double"))).groupBy("scenario_id", "node_id", "code")
+    out = rows.agg(F.slice(F.array_sort(F.collect_list("bin")), 1, FIRST).alias("bins"), F.max("amount").alias("worst"), F.count("*").alias("n"), F.min_by("amount", "bin").alias("_at"))
+    one = F.col("code").isin(*FIRST_ONLY)
+    return out.select("scenario_id", "node_id", "code", F.when(one, F.slice("bins", 1, 1)).otherwise(F.col("bins")).alias("bins"), F.when(one, F.col("_at")).otherwise(F.col("worst")).alias("worst"), F.when(one, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"))
 
 
 def check(nodes: DataFrame, skip: dict[str, list[str]] | None = None) -> DataFrame:
@@ -117,19 +124,19 @@ def window_warnings(nodes: DataFrame, sla: float | None = None) -> DataFrame:
     """Rows (scenario_id, node_id, code, signal, start_bin, end_bin): the longest runs of a growing queue, of arrivals over
     the effective capacity and of latency over the SLA (minutes), and arrivals that Little's law does not fit.
 
-    nodes: scenario_id, node_id, bin, arrivals, queue_depth, effective_capacity, latency_minutes. All four share one
-    exchange by (scenario_id, node_id)."""
+    nodes: scenario_id, node_id, bin, arrivals, queue_depth, effective_capacity, latency_minutes. The three runs
+    come of one pass, the last of a second."""
     keys = ["scenario_id", "node_id"]
     late = (F.lit(sla if sla and sla > 0 else None).cast("double") < F.col("latency_minutes")) & ~F.isnan("latency_minutes")
     overload = F.when(F.col("effective_capacity") > 0, F.col("arrivals") / F.col("effective_capacity")) > 1
-    runs = [
-        ("backlog_growth_streak", "queue_depth", growth_streak(nodes, "queue_depth", keys)),
-        ("backlog_overload_ratio", "overload_ratio", longest_streak(nodes, overload, keys)),
-        ("backlog_age_risk", "latency_minutes", longest_streak(nodes, late, keys)),
-    ]
+    grown = nodes.withColumn("_d", F.col("queue_depth") - F.lag("queue_depth").over(along(keys)))
+    runs = longest_streaks(grown, {"backlog_growth_streak": F.col("_d") > 0, "backlog_overload_ratio": overload, "backlog_age_risk": late}, keys)
+    signal = F.when(F.col("name") == "backlog_growth_streak", "queue_depth").when(F.col("name") == "backlog_overload_ratio", "overload_ratio").otherwise("latency_minutes")
+    since = F.col("start_bin") - (F.col("name") == "backlog_growth_streak").cast("int")  # growth starts at the bin before its first increase
+    streaks = runs.select(*keys, F.col("name").alias("code"), signal.alias("signal"), since.alias("start_bin"), "end_bin")
     none = F.lit(None).cast("long")
     drift = stationarity(nodes, "arrivals", keys).where("non_stationary").select(*keys, F.lit("littles-law-non-stationary").alias("code"), F.lit("queue_time_ms").alias("signal"), none.alias("start_bin"), none.alias("end_bin"))
-    return reduce(DataFrame.unionByName, [*(df.select(*keys, F.lit(code).alias("code"), F.lit(signal).alias("signal"), "start_bin", "end_bin") for code, signal, df in runs), drift])
+    return streaks.unionByName(drift)
 
 
 def edge_class_warnings(nodes: DataFrame, flows: DataFrame, side: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.arith import fin, safe_div
+from ..sources.shared import cut
 
 BIN = ("scenario_id", "bin")
 
@@ -136,13 +137,13 @@ def effort_retries(efforts: DataFrame) -> DataFrame:
 
 
 def limit_at_query(nodes: DataFrame, members: DataFrame, capacities: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Constraints applied to results: served held to the least allocation, and edge flows scaled as their sources' served."""
-    held = enforce(nodes, members, capacities, "served")
-    before = nodes.select("scenario_id", F.col("node_id").alias("source"), "bin", F.col("served").alias("_before"))
-    after = held.select("scenario_id", F.col("node_id").alias("source"), "bin", F.col("served").alias("_after"))
-    ratio = F.when(F.col("_before") > 0, F.try_divide(F.col("_after"), F.col("_before"))).otherwise(1.0)
-    scaled = flows.join(before, ["scenario_id", "source", "bin"]).join(after, ["scenario_id", "source", "bin"]).withColumn("flow", F.col("flow") * ratio).drop("_before", "_after")
-    return held, scaled
+    """Constraints applied to results: served held to the least allocation, and edge flows scaled as their sources' served
+    (which they get as source_served)."""
+    held = enforce(nodes.withColumn("_before", F.col("served")), members, capacities, "served")
+    ratio = F.when(F.col("_before") > 0, F.try_divide("_after", "_before")).otherwise(1.0)
+    change = held.select("scenario_id", F.col("node_id").alias("source"), "bin", "_before", F.col("served").alias("_after"))
+    scaled = flows.join(change, ["scenario_id", "source", "bin"]).withColumn("flow", F.col("flow") * ratio).withColumn("source_served", F.col("_after")).drop("_before", "_after")
+    return held.drop("_before"), scaled
 
 
 def edge_class_mismatch(nodes: DataFrame, flows: DataFrame, side: str, tolerance: float = 1e-6) -> DataFrame:
@@ -163,8 +164,8 @@ def flow_latency(nodes: DataFrame, flows: DataFrame, levels: int) -> DataFrame:
     """Latency of a flow up to and through each node: its cycle time and the flow-weighted mean of its predecessors'.
 
     nodes: scenario_id, node_id, bin, level, cycle_ms, carried (what it serves; nothing carried, no latency). flows: source,
-    target, flow, by scenario and bin. level is a node's place in topological order, 0 to levels - 1: one join and one
-    aggregate each."""
+    target, flow, by scenario and bin. level is a node's place in topological order, 0 to levels - 1. A level is one join and one
+    aggregate and is written, so the plan does not grow with their number, and each reads only what is before it."""
     keys = ["scenario_id", "bin"]
     done = None
     for level in range(levels):
@@ -177,5 +178,6 @@ def flow_latency(nodes: DataFrame, flows: DataFrame, levels: int) -> DataFrame:
             own = own.join(mean, [*keys, "node_id"], "left")
         base = F.when(F.col("cycle_ms").isNotNull() | F.col("upstream").isNotNull(), F.coalesce("cycle_ms", F.lit(0.0)) + F.coalesce("upstream", F.lit(0.0)))
         own = own.select(*keys, "node_id", F.when(F.col("carried") > 0, base).alias("latency"))
+        own = cut(own)
         done = own if done is None else done.unionByName(own)
     return done

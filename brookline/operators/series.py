@@ -5,16 +5,15 @@ with the number of series. All operators that share keys share one exchange and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.arith import fin, fires
 
-KEYS = ("scenario_id",)
+KEYS, CHUNK = ("scenario_id",), 128
 
 
 def along(keys: Sequence[str] = KEYS, order: str = "bin"):
@@ -54,65 +53,65 @@ def queue_depth(df: DataFrame, inflow: Column, outflow: Column, init: Column | f
     return out.withColumn(name, F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(so_far(keys))) + 0.0).drop("_s")
 
 
-def fold(df: DataFrame, inputs: dict[str, Column], start: dict[str, float], step: dict[str, str], outputs: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """A recurrence as a fold over each series' bins, by Spark's own functions: step gives each part of the new state from
-    the state before (a) and the bin's inputs (x); outputs name parts of the state as columns. One array per series (10 000
-    bins at most in a grid); no series is split."""
-    packed = df.withColumns({f"_{k}": c for k, c in inputs.items()}).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *[F.col(f"_{k}").alias(k) for k in inputs]))).alias("_x"))
-    seed = ", ".join(f"'{k}', cast({float(v)!r} as double)" for k, v in start.items())
-    after = ", ".join(f"'{k}', {e}" for k, e in step.items())
-    shown = "named_struct('bin', cast(x.bin as bigint), " + ", ".join(f"'{name}', n.{part}" for part, name in outputs.items()) + ")"
-    kinds = ", ".join(["bin:bigint", *(f"{name}:double" for name in outputs.values())])
-    walk = f"""aggregate(_x, named_struct('s', named_struct({seed}), 'got', cast(array() as array<struct<{kinds}>>)),
-        (t, x) -> element_at(transform(transform(array(t.s), a -> named_struct({after})), n -> named_struct('s', n, 'got', concat(t.got, array({shown})))), 1), t -> t.got)"""
-    walked = packed.select(*keys, F.inline(F.expr(walk))).toDF(*keys, "bin", *outputs.values())
-    return df.drop(*outputs.values()).join(walked, [*keys, "bin"])
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def fold(df: DataFrame, inputs: dict[str, Column], start: dict[str, Column], step: Callable[[Column, Callable[[str], Column]], dict[str, Column] | Column], outputs: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """A recurrence as a fold over each series' bins, by Spark's own functions: step(state, x) gives each part of the new
+    state (or a struct of them) from the state before and from the bin's columns (x of an input's name, or of "bin"); outputs name parts of the
+    state, which are numbers, as columns. One array per series (10 000 bins at most in a grid) carries all other columns along, so df is
+    read once and nothing is joined back. Results are gathered in chunks of CHUNK bins, so that no long array is copied
+    for every bin. Columns must be of types that can be ordered."""
+    names = list(outputs.values())
+    others = [c for c in df.columns if c not in keys and c not in names and c != "bin"]
+    packed = df.withColumns({f"_in_{k}": c for k, c in inputs.items()}).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *others, *[f"_in_{k}" for k in inputs]))).alias("_x"))
+    kind = f"array<struct<{','.join(f'{n}:double' for n in names)}>>"
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_x") - 1) / CHUNK).cast("int")), lambda i: F.slice(F.col("_x"), i * CHUNK + 1, CHUNK))
+
+    def one(t: Column, x: Column) -> Column:
+        after = step(t["s"], lambda n: x["bin"] if n == "bin" else x[f"_in_{n}"])
+        after = after if isinstance(after, Column) else F.struct(*[c.alias(k) for k, c in after.items()])
+        return let(after, lambda n: F.struct(n.alias("s"), F.concat(t["got"], F.array(F.struct(*[n[k].cast("double").alias(v) for k, v in outputs.items()]))).alias("got")))
+
+    def some(t: Column, chunk: Column) -> Column:
+        walked = F.aggregate(chunk, F.struct(t["s"].alias("s"), F.array().cast(kind).alias("got")), one)
+        return let(walked, lambda w: F.struct(w["s"].alias("s"), F.concat(t["got"], F.array(w["got"])).alias("got")))
+
+    seed = F.struct(F.struct(*[c.alias(k) for k, c in start.items()]).alias("s"), F.array().cast(f"array<{kind}>").alias("got"))
+    walked = packed.select(*keys, "_x", F.flatten(F.aggregate(chunks, seed, some, lambda t: t["got"])).alias("_r"))
+    rows = walked.select(*keys, F.inline(F.arrays_zip("_x", "_r")))
+    return rows.select(*[c if c in keys else F.col(f"_x.{c}") for c in df.columns if c not in names], *[f"_r.{n}" for n in names])
 
 
 def queue_with_limit(df: DataFrame, inflow: str, outflow: str, limit: Column | float, init: float = 0.0, name: str = "queue", overflow: str = "overflow", keys: Sequence[str] = KEYS) -> DataFrame:
     """A queue that holds `limit` at most; what is beyond it is the overflow of the bin. A limit that is not finite is none."""
     bound = limit if isinstance(limit, Column) else F.lit(float(limit))
     cap = F.when(bound.isNull() | F.isnan(bound), F.lit(float("inf"))).otherwise(F.greatest(bound, F.lit(0.0)))
-    free = "greatest(0D, a.q + x.i - x.o)"
-    return fold(df, {"i": fin(inflow), "o": fin(outflow), "cap": cap}, {"q": init, "over": 0.0}, {"q": f"least({free}, x.cap)", "over": f"greatest(0D, {free} - x.cap)"}, {"q": name, "over": overflow}, keys)
-
-
-def gate(x: Column | str, period: int, phase: int = 0, capacity: Column | None = None) -> Column:
-    """Outflow through a schedule: only at its bins, up to the capacity where that is finite."""
-    x = fin(x)
-    through = x if capacity is None else F.when(capacity.isNull() | F.isnan(capacity), x).otherwise(F.least(x, capacity))
-    return F.when(fires(F.col("bin"), period, phase % period), through).otherwise(0.0)
-
 
-def feedback(df: DataFrame, step: Callable[[dict, dict], dict], outputs: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Series that depend on their own past through a lag: bin by bin within a series, series in parallel.
+    def step(a: Column, x: Callable[[str], Column]) -> dict[str, Column]:
+        free = F.greatest(F.lit(0.0), a["q"] + x("i") - x("o"))
+        return {"q": F.least(free, x("cap")), "over": F.greatest(F.lit(0.0), free - x("cap"))}
 
-    step(row, past) gives the outputs of one bin; past holds the outputs of the bin before (empty at the start)."""
-    names, own = list(outputs), list(keys)
-    schema = df.select(*[c for c in df.columns if c not in names]).schema
-    for n in names:
-        schema = schema.add(n, "double")
+    return fold(df, {"i": fin(inflow), "o": fin(outflow), "cap": cap}, {"q": F.lit(float(init)), "over": F.lit(0.0)}, step, {"q": name, "over": overflow}, keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        past, last = {}, None  # a series can go on in the next batch
-        for rows in frames:
-            made = []
-            for row in rows.to_dict("records"):
-                key = tuple(row[k] for k in own)
-                if key != last:
-                    past, last = {}, key
-                past = step(row, past)
-                made.append([float(past[n]) for n in names])
-            rows[names] = pd.DataFrame(made, columns=names, index=rows.index)
-            yield rows[schema.names]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, "bin").mapInPandas(run, schema)
+def gate(x: Column | str, period: int, phase: int = 0, capacity: Column | None = None, at: Column | None = None) -> Column:
+    """Outflow through a schedule: only at its bins (at: the bin, else the column), up to the capacity where that is finite."""
+    x = fin(x)
+    through = x if capacity is None else F.when(capacity.isNull() | F.isnan(capacity), x).otherwise(F.least(x, capacity))
+    return F.when(fires(F.col("bin") if at is None else at, period, phase % period), through).otherwise(0.0)
 
 
 def back_pressure(df: DataFrame, arrivals: str, served: str, capacity: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Arrivals throttled by how full the queue was a bin before: columns queue and effective."""
-    through = f"x.i * (1D - least(1D, greatest(0D, a.q / {float(capacity)!r}D)))"
-    return fold(df, {"i": fin(arrivals), "o": fin(served)}, {"q": 0.0, "e": 0.0}, {"q": f"greatest(0D, a.q + {through} - x.o)", "e": through}, {"q": "queue", "e": "effective"}, keys)
+
+    def step(a: Column, x: Callable[[str], Column]) -> dict[str, Column]:
+        through = x("i") * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), a["q"] / float(capacity))))
+        return {"q": F.greatest(F.lit(0.0), a["q"] + through - x("o")), "e": through}
+
+    return fold(df, {"i": fin(arrivals), "o": fin(served)}, {"q": F.lit(0.0), "e": F.lit(0.0)}, step, {"q": "queue", "e": "effective"}, keys)
 
 
 def carry_forward(x: Column, keys: Sequence[str] = KEYS) -> Column:
@@ -127,12 +126,19 @@ def between(df: DataFrame, start: int, end: int, most: int = 500) -> DataFrame:
     return df.where(F.col("bin").between(start, end))
 
 
+def longest_streaks(df: DataFrame, holds: dict[str, Column], keys: Sequence[str] = KEYS, least: int = 3) -> DataFrame:
+    """Per key and name the longest run of bins at which the named condition is true, the first of equals, if it has
+    `least` bins or more: rows (keys, name, start_bin, end_bin, length). One pass over df for all conditions."""
+    flags = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in holds.items()]), lambda x: x["holds"])
+    true = df.select(*keys, "bin", F.explode(flags).alias("_f")).select(*keys, "bin", F.col("_f.name").alias("name"))
+    by = [*keys, "name"]
+    runs = true.withColumn("_g", F.col("bin") - F.row_number().over(along(by))).groupBy(*by, "_g").agg(F.min("bin").alias("start_bin"), F.max("bin").alias("end_bin"), F.count("*").alias("length"))
+    best = runs.groupBy(*by).agg(F.max_by(F.struct("start_bin", "end_bin", "length"), F.struct("length", -F.col("start_bin"))).alias("_b"))
+    return best.select(*by, "_b.*").where(F.col("length") >= least)
+
+
 def longest_streak(df: DataFrame, holds: Column, keys: Sequence[str] = KEYS, least: int = 3) -> DataFrame:
-    """Per key the longest run of bins at which `holds` is true, the first of equals, if it has `least` bins or more."""
-    true = df.withColumn("_h", F.coalesce(holds, F.lit(False))).where("_h").select(*keys, "bin")
-    runs = true.withColumn("_g", F.col("bin") - F.row_number().over(along(keys))).groupBy(*keys, "_g").agg(F.min("bin").alias("start_bin"), F.max("bin").alias("end_bin"), F.count("*").alias("length"))
-    best = runs.groupBy(*keys).agg(F.max_by(F.struct("start_bin", "end_bin", "length"), F.struct("length", -F.col("start_bin"))).alias("_b"))
-    return best.select(*keys, "_b.*").where(F.col("length") >= least)
+    return longest_streaks(df, {"": holds}, keys, least).drop("name")
 
 
 def growth_streak(df: DataFrame, x: str, keys: Sequence[str] = KEYS, least: int = 3) -> DataFrame:
@@ -143,8 +149,7 @@ def growth_streak(df: DataFrame, x: str, keys: Sequence[str] = KEYS, least: int
 
 def stationarity(df: DataFrame, x: str, keys: Sequence[str] = KEYS, tolerance: float = 0.25, least: int = 4) -> DataFrame:
     """Means of both halves of a series and whether they differ by more than the tolerance of the larger."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    halves = df.join(n, list(keys)).where(F.col("n") >= least)
+    halves = df.select(*keys, "bin", x, F.count("*").over(W.partitionBy(*keys)).alias("n")).where(F.col("n") >= least)
     first, second = F.avg(F.when(F.col("bin") < F.floor(F.col("n") / 2), F.col(x))), F.avg(F.when(F.col("bin") >= F.floor(F.col("n") / 2), F.col(x)))
     out = halves.groupBy(*keys).agg(first.alias("first_mean"), second.alias("second_mean"))
     top = F.greatest(F.abs("first_mean"), F.abs("second_mean"))

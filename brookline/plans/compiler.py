@@ -6,6 +6,7 @@ sweep is one job with scenario_id in every partition of a window."""
 from __future__ import annotations
 
 import graphlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.arith import fin, safe_div
 from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
-from ..operators.series import convolve, feedback, gate, queue_depth, queue_with_limit
-from .expr import parse, references, to_column, to_python
+from ..operators.series import convolve, fold, gate, let, queue_depth, queue_with_limit
+from .expr import parse, reach, references, to_column
 from .model import ModelError, nodes_of, queue_series, schema_errors, topology
 
 KEYS = ("scenario_id",)
@@ -58,7 +59,11 @@ def steps_of(model: dict) -> list[Step]:
             source, routes = r["inputs"]["queue"], r["routes"]
             if not any(x.get("classes") for x in routes) and sum(float(x.get("weight", 1)) for x in routes) <= 0:
                 raise ModelError(f"{i}: the weights of its routes sum to nothing")
-            out.append(Step("router", list(dict.fromkeys(x["target"] for x in routes)), {source}, spec={"source": source, "routes": routes, "classes": by_class.get(source, {})}))
+            named = [c for x in routes for c in x.get("classes") or []]
+            if unknown := [c for c in named if c not in by_class.get(source, {})]:
+                raise ModelError(f"{i}: class {unknown[0]} is not among the traffic arrivals of {source}")
+            needs = {source, *(class_series(source, c) for c in named)}
+            out.append(Step("router", list(dict.fromkeys(x["target"] for x in routes)), needs, spec={"source": source, "routes": routes}))
     for node, rates in by_class.items():
         out += [Step("const", [class_series(node, c)], set(), spec={"values": [v]}) for c, v in rates.items()]
     for t in topology(model, "nodes"):
@@ -67,7 +72,8 @@ def steps_of(model: dict) -> list[Step]:
             members.setdefault(c, []).append(t)
         failed = s.get("failures") or s.get("errors")
         if failed and s.get("retryEcho") and s["retryEcho"] not in nodes_of(model):
-            out.append(Step("expr", [s["retryEcho"]], {failed}, spec={"column": (failed, retry_kernel(s.get("retryKernel"))[0])}))
+            kernel = retry_kernel(s.get("retryKernel"))[0]
+            out.append(Step("expr", [s["retryEcho"]], {failed} if kernel[0] else set(), {failed}, {"column": (failed, kernel)}))
         if t.get("kind") == "sink" and s.get("arrivals") and s.get("served") and s["served"] not in nodes_of(model):
             out.append(Step("expr", [s["served"]], {s["arrivals"]}, spec={"tree": parse(s["arrivals"])}))  # a sink serves all that comes
         if t.get("kind") in ("serviceWithBuffer", "queue", "dlq") and s.get("arrivals"):
@@ -136,8 +142,6 @@ def plan(model: dict) -> list[list[Step]]:
             order = list(inner.static_order())
         except graphlib.CycleError:
             raise ModelError(f"{', '.join(sorted(inside))} depend on each other within a bin") from None
-        if any(steps[j].kind not in ("expr", "queue") for j in ring):
-            raise ModelError(f"{', '.join(sorted(inside))}: only expressions and queues can be in a cycle")
         merged.append(Step("loop", sorted(inside), {x for j in ring for x in steps[j].needs | steps[j].past} - inside, spec={"steps": [steps[j] for j in order]}))
     maker = {m: i for i, s in enumerate(merged) for m in s.makes}
     sorter = graphlib.TopologicalSorter({i: {maker[x] for x in s.needs | s.past} for i, s in enumerate(merged)})
@@ -155,15 +159,15 @@ def _constant(spec: dict) -> Column:
     return F.lit(v[0]) if len(set(v)) == 1 else F.element_at(F.array(*map(F.lit, v)), (F.col("bin") + 1).cast("int"))
 
 
-def _sum(names: list[str]) -> Column:
+def _sum(names: list[str], at: Callable[[str], Column] = F.col) -> Column:
     out = F.lit(0.0)
     for n in names:
-        out = out + fin(n)
+        out = out + fin(at(n))
     return out
 
 
-def _columns(step: Step) -> dict[str, Column]:
-    """The Columns of a step that is a projection."""
+def _columns(step: Step, at: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """The Columns of a step that is a projection; at gives the series of the same bin."""
     if step.kind == "const":
         return {step.makes[0]: _constant(step.spec)}
     if step.kind == "expr":
@@ -171,30 +175,35 @@ def _columns(step: Step) -> dict[str, Column]:
             return {step.makes[0]: convolve(*step.spec["column"])}
         return {step.makes[0]: to_column(step.spec["tree"])}
     if step.kind == "router":
-        routes, rates = step.spec["routes"], step.spec["classes"]
-        source, out = F.col(step.spec["source"]), {}
-        by_class = [(r["target"], sum(rates.get(c, 0.0) for c in r["classes"])) for r in routes if r.get("classes")]
+        routes, source, out = step.spec["routes"], step.spec["source"], {}
+        own = lambda r: _sum([class_series(source, c) for c in r["classes"]], at)
+        by_class = [(r["target"], own(r)) for r in routes if r.get("classes")]
         weighted = [(r["target"], float(r.get("weight", 1))) for r in routes if not r.get("classes")]
-        taken, total = sum(v for _, v in by_class), sum(w for _, w in weighted)
+        taken, total = sum((v for _, v in by_class), F.lit(0.0)), sum(w for _, w in weighted)
         for target in step.makes:
-            fixed = sum(v for t, v in by_class if t == target)
+            fixed = sum((v for t, v in by_class if t == target), F.lit(0.0))
             w = sum(w for t, w in weighted if t == target)
-            out[target] = F.lit(float(fixed)) + ((source - F.lit(float(taken))) * (w / total) if w else F.lit(0.0))
+            out[target] = fixed + ((at(source) - taken) * (w / total) if w else F.lit(0.0))
         return out
-    demand = [F.when(fin(d) > 0, fin(d)).otherwise(0.0) for d in step.spec["demand"]]
-    total, cap = sum(demand[1:], demand[0]), F.col(step.spec["capacity"])
+    demand = [F.when(fin(at(d)) > 0, fin(at(d))).otherwise(0.0) for d in step.spec["demand"]]
+    total, cap = sum(demand[1:], demand[0]), at(step.spec["capacity"])
     return {n: F.when(cap <= 0, 0.0).when(total <= cap, d).otherwise(safe_div(cap * d, total)) for n, d in zip(step.makes, demand, strict=True)}
 
 
+def _flows(spec: dict, at: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
+    """What enters a queue in a bin, and what leaves it. at gives the series of the same bin, and the bin."""
+    own = F.least(*[at(c) for c in spec["caps"]], *[at(x) for x in spec["inflow"]]) if spec["caps"] else _sum(spec["inflow"], at)
+    out = F.lit(0.0)
+    if spec["out"]:
+        cap = at(spec["capacity"]) if spec["capacity"] else None
+        sched = spec["schedule"]
+        out = gate(at(spec["out"]), int(sched["periodBins"]), int(sched.get("phaseOffset", 0)), cap, at("bin")) if sched else fin(at(spec["out"]))
+    return own + _sum(spec["over"], at), out + (fin(at(spec["loss"])) if spec["loss"] else F.lit(0.0))
+
+
 def _queue(df: DataFrame, step: Step) -> DataFrame:
     s = step.spec
-    own = F.least(*[F.col(c) for c in s["caps"]], *[F.col(x) for x in s["inflow"]]) if s["caps"] else _sum(s["inflow"])
-    inflow = own + _sum(s["over"])
-    out = F.lit(0.0)
-    if s["out"]:
-        cap = F.col(s["capacity"]) if s["capacity"] else None
-        out = gate(s["out"], int(s["schedule"]["periodBins"]), int(s["schedule"].get("phaseOffset", 0)), cap) if s["schedule"] else fin(s["out"])
-    gone = out + (fin(s["loss"]) if s["loss"] else F.lit(0.0))
+    inflow, gone = _flows(s)
     if s["limit"] is None:
         return queue_depth(df, inflow, gone, s["init"], step.makes[0], KEYS)
     df = df.withColumn("_i", inflow).withColumn("_o", gone)
@@ -203,31 +212,56 @@ def _queue(df: DataFrame, step: Step) -> DataFrame:
 
 
 def _loop(df: DataFrame, step: Step) -> DataFrame:
-    """Series of a cycle, bin by bin; expressions look at up to all earlier bins through their lags."""
-    made = [(s, to_python(s.spec["tree"]) if s.kind == "expr" and "tree" in s.spec else None) for s in step.spec["steps"]]
-    need = sorted(step.needs)
-
-    def one(row: dict, past: dict) -> dict:
-        rows: list[dict] = past.get("_rows", [])
-        now = {"bin": row["bin"], **{n: row[n] for n in need}}
-        for s, f in made:
-            if f:
-                now[s.makes[0]] = f(now, rows)
-            else:
-                q = s.spec
-                inflow = sum(now[x] for x in [*q["inflow"], *q["over"]])
-                out = now[q["out"]] if q["out"] else 0.0
-                if q["schedule"]:
-                    period = int(q["schedule"]["periodBins"])
-                    out = out if row["bin"] >= (ph := int(q["schedule"].get("phaseOffset", 0)) % period) and (row["bin"] - ph) % period == 0 else 0.0
-                depth = max(0.0, (rows[-1][s.makes[0]] if rows else q["init"]) + inflow - out - (now[q["loss"]] if q["loss"] else 0.0))
-                if q["limit"] is not None:
-                    now[s.makes[1]] = max(0.0, depth - float(q["limit"]))
-                    depth = min(depth, float(q["limit"]))
-                now[s.makes[0]] = depth
-        return {**{n: now[n] for n in step.makes}, "_rows": [*rows, now]}
-
-    return feedback(df, one, step.makes, KEYS)
+    """Series of a cycle that lags close, as one fold over the bins of each scenario. The state holds of each series that is
+    looked back at its last values, as many as the greatest lag, nearest first."""
+    steps, need = step.spec["steps"], sorted(step.needs)
+    back: dict[str, int] = {}
+    for s in steps:
+        if s.kind == "queue":
+            back[s.makes[0]] = max(1, back.get(s.makes[0], 0))
+        elif s.kind == "expr":
+            name, kernel = s.spec.get("column", (None, []))
+            for n, k in ({name: len(kernel) - 1} if name else reach(s.spec["tree"])).items():
+                back[n] = max(k, back.get(n, 0))
+    back = {n: k for n, k in back.items() if k}
+
+    def made_by(s: Step, now: dict[str, Column], past: Callable[[str, int], Column]) -> dict[str, Column]:
+        if s.kind == "expr":
+            if "column" in s.spec:
+                name, kernel = s.spec["column"]
+                lagged = lambda i: F.when(past("bin", i) >= 0, past(name, i)).otherwise(0.0)
+                return {s.makes[0]: sum((F.lit(float(k)) * fin(lagged(i)) for i, k in enumerate(kernel) if k), F.lit(0.0))}
+            return {s.makes[0]: to_column(s.spec["tree"], past=past)}
+        if s.kind != "queue":
+            return _columns(s, now.__getitem__)
+        inflow, gone = _flows(s.spec, now.__getitem__)
+        before = F.when(now["bin"] > 0, past(s.makes[0], 1)).otherwise(float(s.spec["init"]))
+        free = F.greatest(F.lit(0.0), before + inflow - gone)
+        limit = s.spec["limit"]
+        if limit is None:
+            return {s.makes[0]: free}
+        limit = now[limit] if isinstance(limit, str) else F.lit(float(limit))
+        cap = F.when(limit.isNull() | F.isnan(limit), F.lit(float("inf"))).otherwise(F.greatest(limit, F.lit(0.0)))
+        return {s.makes[0]: F.least(free, cap), s.makes[1]: F.greatest(F.lit(0.0), free - cap)}
+
+    def one(a: Column, x: Callable[[str], Column]) -> Column:
+        def go_on(i: int, now: dict[str, Column]) -> Column:
+            if i == len(steps):
+                kept = [F.slice(F.concat(F.array(now[n].cast("double")), a[f"_{n}"]), 1, k).alias(f"_{n}") for n, k in back.items()]
+                return F.struct(*kept, *[now[m].alias(m) for m in step.makes])
+
+            def past(name: str, lag: int) -> Column:
+                if name == "bin":
+                    return now["bin"] - lag
+                return F.get(a[f"_{name}"], F.lit(lag - 1)) if lag else now[name]
+
+            value = F.struct(*[c.cast("double").alias(n) for n, c in made_by(steps[i], now, past).items()])
+            return let(value, lambda v: go_on(i + 1, {**now, **{n: v[n] for n in steps[i].makes}}))
+
+        return go_on(0, {"bin": x("bin"), **{n: x(n) for n in need}})
+
+    start = {f"_{n}": F.array().cast("array<double>") for n in back} | {m: F.lit(0.0) for m in step.makes}
+    return fold(df, {n: F.col(n) for n in need}, start, one, {m: m for m in step.makes}, KEYS)
 
 
 def grid(spark: SparkSession, bins: int, scenarios: DataFrame | None = None) -> DataFrame:

@@ -79,69 +79,78 @@ def references(tree: ast.expr) -> tuple[set[str], set[str]]:
     return same, past - same
 
 
-def to_column(tree: ast.expr | str, names: dict[str, Column] | None = None, keys: Sequence[str] = KEYS) -> Column:
-    """The Column of an expression over a frame with a column bin; names maps ids to Columns (default: same-named)."""
+def _kernel(node: ast.expr) -> list[float]:
+    return [number(x) for x in node.elts] if isinstance(node, ast.List) else [number(node)]
+
+
+def to_column(tree: ast.expr | str, names: dict[str, Column] | None = None, keys: Sequence[str] = KEYS, past: Callable[[str, int], Column] | None = None) -> Column:
+    """The Column of an expression over a frame with a column bin; names maps ids to Columns (default: same-named).
+
+    Within a fold, past(name, back) gives a name's value (or "bin") so many bins before; shifts then need no window."""
     tree = parse(tree) if isinstance(tree, str) else tree
 
-    def walk(node: ast.expr) -> Column:
+    def bin_at(back: int) -> Column:
+        return past("bin", back) if past else F.col("bin")
+
+    def earlier(node: ast.expr, lag: int, back: int) -> Column:
+        """node's value `lag` bins before; 0 before the start."""
+        if past is None:
+            return shift(walk(node, 0), lag, keys)
+        return F.when(bin_at(back + lag) >= 0, walk(node, back + lag)).otherwise(0.0) if lag else walk(node, back)
+
+    def walk(node: ast.expr, back: int = 0) -> Column:
         if isinstance(node, ast.Constant):
             return F.lit(float(node.value))
         if isinstance(node, ast.Name):
+            if past:
+                return past(node.id, back)
             if names is not None and node.id not in names:
                 raise ExpressionError(f"unknown series {node.id}")
             return names[node.id] if names else F.col(node.id)
         if isinstance(node, ast.UnaryOp):
-            return F.lit(0.0) - walk(node.operand) if isinstance(node.op, ast.USub) else walk(node.operand)
+            return F.lit(0.0) - walk(node.operand, back) if isinstance(node.op, ast.USub) else walk(node.operand, back)
         if isinstance(node, ast.BinOp):
-            return _OPS[type(node.op)](walk(node.left), walk(node.right))
+            return _OPS[type(node.op)](walk(node.left, back), walk(node.right, back))
         if isinstance(node, ast.List):
-            return F.element_at(F.array(*[F.lit(number(x)) for x in node.elts]), (F.col("bin") + 1).cast("int"))
+            return F.element_at(F.array(*[F.lit(number(x)) for x in node.elts]), (bin_at(back) + 1).cast("int"))
         name, args = node.func.id.upper(), node.args
         if name == "SHIFT":
-            return shift(walk(args[0]), whole(args[1], 0), keys)
+            return earlier(args[0], whole(args[1], 0), back)
         if name == "CONV":
-            kernel = [number(x) for x in args[1].elts] if isinstance(args[1], ast.List) else [number(args[1])]
-            return convolve(walk(args[0]), kernel, keys)
+            kernel = _kernel(args[1])
+            if past is None:
+                return convolve(walk(args[0]), kernel, keys)
+            return sum((F.lit(k) * arith.fin(earlier(args[0], i, back)) for i, k in enumerate(kernel) if k), F.lit(0.0))
         if name == "PULSE":
-            return arith.pulse(F.col("bin"), whole(args[0], 1), whole(args[1], 0) if len(args) > 1 else 0, walk(args[2]) if len(args) > 2 else 1.0)
+            return arith.pulse(bin_at(back), whole(args[0], 1), whole(args[1], 0) if len(args) > 1 else 0, walk(args[2], back) if len(args) > 2 else 1.0)
         f = {"MIN": F.least, "MAX": F.greatest, "CLAMP": arith.clamp, "MOD": arith.floored_mod, "FLOOR": arith.floor, "CEIL": arith.ceil, "ROUND": arith.round_away, "STEP": arith.step}[name]
-        return f(*map(walk, args))
+        return f(*(walk(a, back) for a in args))
 
     return walk(tree)
 
 
-def to_python(tree: ast.expr) -> Callable[[dict, list[dict]], float]:
-    """The expression for one bin, from the row so far and the rows before: for cycles through SHIFT alone."""
-    ops = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b if b else 0.0}
-    fns = {"MIN": min, "MAX": max, "CLAMP": lambda v, lo, hi: max(lo, min(hi, v)), "MOD": lambda a, b: a % b if b else 0.0, "FLOOR": lambda x: float(x // 1), "CEIL": lambda x: float(-(-x // 1)), "ROUND": lambda x: float(int(x + (0.5 if x >= 0 else -0.5))), "STEP": lambda x, t: float(x >= t)}
+def reach(tree: ast.expr) -> dict[str, int]:
+    """How many bins back an expression looks at each of its names."""
+    found: dict[str, int] = {}
 
-    def walk(node: ast.expr, row: dict, past: list[dict], back: int) -> float:
-        if isinstance(node, ast.Constant):
-            return float(node.value)
+    def walk(node: ast.AST, back: int) -> None:
         if isinstance(node, ast.Name):
-            return float(row[node.id])
-        if isinstance(node, ast.UnaryOp):
-            return walk(node.operand, row, past, back) * (-1 if isinstance(node.op, ast.USub) else 1)
-        if isinstance(node, ast.BinOp):
-            return ops[type(node.op)](walk(node.left, row, past, back), walk(node.right, row, past, back))
-        if isinstance(node, ast.List):
-            return number(node.elts[row["bin"]])
-        name, args = node.func.id.upper(), node.args
-        if name in ("SHIFT", "CONV"):
-            kernel = {whole(args[1], 0): 1.0} if name == "SHIFT" else dict(enumerate(number(x) for x in args[1].elts))
-            total = 0.0
-            for lag, k in kernel.items():
-                if k and lag <= len(past):
-                    at = len(past) - lag
-                    total += k * (walk(args[0], row, past, back) if not lag else walk(args[0], past[at], past[:at], back))
-            return total
-        if name == "PULSE":
-            period, phase = whole(args[0], 1), whole(args[1], 0) if len(args) > 1 else 0
-            on = row["bin"] >= phase and (row["bin"] - phase) % period == 0
-            return (walk(args[2], row, past, back) if len(args) > 2 else 1.0) if on else 0.0
-        return fns[name](*(walk(a, row, past, back) for a in args))
+            found[node.id] = max(back, found.get(node.id, 0))
+        elif isinstance(node, ast.Call):
+            name, args = node.func.id.upper(), node.args
+            if name == "SHIFT":
+                walk(args[0], back + whole(args[1], 0))
+            elif name == "CONV":
+                walk(args[0], back + len(_kernel(args[1])) - 1)
+            else:
+                for x in args:
+                    walk(x, back)
+        else:
+            for child in ast.iter_child_nodes(node):
+                walk(child, back)
 
-    return lambda row, past: walk(tree, row, past, 0)
+    walk(tree, 0)
+    return found
 
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")

@@ -618,7 +618,7 @@ def constraint_at_query(spark, sf):
     d = _demand(spark, sf)
     caps = d.select("scenario_id", "constraint_id", "bin", F.lit(2.0).alias("capacity")).distinct()
     held, flows = routing.limit_at_query(n, d.select("constraint_id", "node_id").distinct(), caps, routing.edge_flow(n, e))
-    return flows.join(held.select("scenario_id", F.col("node_id").alias("source"), "bin", "served"), ["scenario_id", "source", "bin"]).select("edge_id", "bin", r6("served").alias("served"), r6("flow").alias("flow"))
+    return flows.select("edge_id", "bin", r6("source_served").alias("served"), r6("flow").alias("flow"))
 
 
 @query("with $U select constraint_id, bin, shortfall, (shortfall > 1e-6)::int as limited from (select 'c' || (user_id % 10) as constraint_id, bin, greatest(0, sum(arrivals) - 3) as shortfall from u group by 1, 2)")

@@ -58,17 +58,32 @@ def index(spark: SparkSession, path: str, kind: str | None = None, id_: str | No
     return rows.groupBy("kind", "id").agg(F.max_by(F.struct(*names), "updated_utc").alias("x")).select("kind", "id", "x.*")
 
 
+def _nearest(at: DataFrame, by: str, k: int) -> DataFrame:
+    """at: rows (by, at, id). Rows (by, at, near): the k + 1 ids nearest in time to `at` in its group, as structs (gap,
+    other). Of a time the k + 1 smallest ids can count, and of the times around it k on either side, so neither many ids
+    of one time nor a large group makes pairs."""
+    few = at.withColumn("n", F.row_number().over(W.partitionBy(by, "at").orderBy("id"))).where(F.col("n") <= k + 1)
+    times = few.groupBy(by, "at").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    order = W.partitionBy(by).orderBy("at")
+    around = [F.struct("at", "ids"), *[f(F.struct("at", "ids"), i).over(order) for f in (F.lag, F.lead) for i in range(1, k + 1)]]
+    near = times.withColumn("around", F.array_compact(F.array(*around)))
+    own = F.col("at")
+    every = F.flatten(F.transform("around", lambda t: F.transform(t["ids"], lambda i: F.struct(F.abs(t["at"] - own).alias("gap"), i.alias("other")))))
+    return near.select(by, "at", F.slice(F.array_sort(every), 1, k + 1).alias("near"))
+
+
 def related(runs: DataFrame, hours: float = 1.0, k: int = 5) -> DataFrame:
     """For each run the k nearest others that share a tag or were created within some hours.
 
-    Both conditions are equi-joins: on the tag, and on slots of that many hours, a run meeting its own and both next to
-    it; so no pair of unrelated runs is made. Tags that many runs share are split by AQE."""
+    The nearest of a tag, and of the slots of so many hours around a run, are found among neighbours in time order; work
+    grows with the runs, not with pairs of them."""
+    width = 3600 * hours
     a = runs.select("id", "tags", F.unix_timestamp(F.col("created").cast("timestamp")).alias("at"))
-    slot = F.floor(F.col("at") / (3600 * hours))
-    b = a.select(F.col("id").alias("other"), F.col("tags").alias("other_tags"), F.col("at").alias("other_at"))
-    by_tag = a.select("id", "at", F.explode("tags").alias("tag")).join(b.select("other", "other_at", F.explode("other_tags").alias("tag")), "tag").select("id", "other", "at", "other_at")
-    near = a.select("id", "at", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot")).join(b.select("other", "other_at", F.floor(F.col("other_at") / (3600 * hours)).alias("slot")), "slot")
-    near = near.where(F.abs(F.col("at") - F.col("other_at")) < 3600 * hours).select("id", "other", "at", "other_at")
-    pairs = by_tag.unionByName(near).where("id <> other").distinct().withColumn("gap", F.abs(F.col("at") - F.col("other_at")))
+    tagged = a.select("id", "at", F.explode("tags").alias("tag"))
+    by_tag = tagged.join(_nearest(tagged, "tag", k), ["tag", "at"]).select("id", "near")
+    slot = F.floor(F.col("at") / width)
+    slots = a.select("id", "at", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    by_slot = a.select("id", "at", slot.alias("slot")).join(_nearest(slots, "slot", k), ["slot", "at"]).select("id", F.filter("near", lambda x: x["gap"] < width).alias("near"))
+    pairs = by_tag.unionByName(by_slot).select("id", F.explode("near").alias("x")).select("id", "x.other", "x.gap").where("id <> other").distinct()
     rank = F.row_number().over(W.partitionBy("id").orderBy("gap", "other"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "gap")
