@@ -3,13 +3,13 @@
 Documents are counted in tokens by cell (source, language, topic). The mixture is to have `keep` of all tokens, and of those
 every source, language and topic its target share. Each group of a margin has a factor; a cell's weight is its tokens times
 its groups' factors, at most its tokens (a document cannot be drawn twice). Margin after margin, every group's factor is
-multiplied by its goal over the sum of its cells' weights, until no sum moves by more than SETTLED of its goal (ROUNDS rounds
-at most). A document is sampled with the probability weight / tokens of its cell. Where targets ask for more tokens
+multiplied so that its cells meet its goal: by what cells that are taken whole leave of the goal over what the others give;
+until no sum moves by more than SETTLED of its goal (ROUNDS rounds at most). A document is sampled with the probability weight / tokens of its cell. Where targets ask for more tokens
 than a group has, or contradict each other, the group's tokens are all taken, or the margins are met as nearly as the
 raking gets; shares() gives the goals beside what is expected.
 
-Sums are partial aggregates by group and go back by joins, so no group's cells ever meet in one task. Cells and factors are
-written tables: joins broadcast them only where their measured size allows it. The draw is a hash of doc_id, so it repeats.
+Sums are partial aggregates by group and go back by joins, so no group's cells ever meet in one task. A round is one job
+over the cells with their factors, which are written; joins broadcast sums only where their measured size allows it. The draw is a hash of doc_id, so it repeats.
 
 Targets default to tempered shares, share ** ALPHA, which lift small groups and hold hot ones down.
 
@@ -21,8 +21,6 @@ table; of the columns, the operator adds topic, tokens, probability and sampled,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,27 +60,31 @@ def goals(cells: DataFrame, margin: str, alpha: float, target: dict[str, float]
 
 def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """cells (margins..., tokens), a table that is cheap to read again, with a column weight: expected tokens."""
-    wanted = {m: goals(cells, m, alpha, (targets or {}).get(m), keep) for m in margins}
-    factors = {m: g.select(m, "goal", F.lit(1.0).alias("factor"), F.lit(-1.0).alias("got")) for m, g in wanted.items()}
-    def weighed() -> DataFrame:
-        out, weight = cells, F.col("tokens").cast("double")
-        for m in margins:
-            out = out.join(factors[m].select(m, F.col("factor").alias(f"factor_{m}")), m)
-            weight = weight * F.col(f"factor_{m}")
-        return out.select(*margins, "tokens", F.least(F.col("tokens").cast("double"), weight).alias("weight"))
-
+    state = cells.select(*margins, "tokens")
+    for m in margins:
+        state = state.join(goals(cells, m, alpha, (targets or {}).get(m), keep), m)
+        state = state.withColumnsRenamed({"goal": f"goal_{m}"}).withColumns({f"factor_{m}": F.lit(1.0), f"got_{m}": F.lit(-1.0)})
+    state = written(state.withColumn("moved", F.lit(1.0)), "raking")
+    tokens = F.col("tokens").cast("double")
+    part = F.col(f"factor_{margins[0]}")
+    for m in margins[1:]:
+        part = part * F.col(f"factor_{m}")
     for _ in range(rounds):
-        moves = []
+        moved = F.lit(0.0)
         for m in margins:
-            sums = weighed().groupBy(m).agg(F.sum("weight").alias("now"))
-            ratio = F.coalesce(F.try_divide(F.col("goal"), F.col("now")), F.lit(0.0))
-            stepped = factors[m].join(sums, m).select(m, "goal", F.least(F.col("factor") * ratio, F.lit(MOST)).alias("factor"), F.col("now").alias("got"), F.try_divide(F.abs(F.col("now") - F.col("got")), F.col("goal")).alias("moved"))
-            stepped = written(stepped, "factors")
-            moves.append(stepped.select("moved"))
-            factors[m] = stepped.drop("moved")
-        if (reduce(DataFrame.union, moves).agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
+            goal, full = F.col(f"goal_{m}"), F.coalesce(F.sum(F.when(part >= 1, tokens)), F.lit(0.0))
+            sums = state.groupBy(m).agg(full.alias("full"), F.coalesce(F.sum(F.when(part < 1, tokens * part)), F.lit(0.0)).alias("open"))
+            # What cells that are taken whole do not give, the others have to; if those are too much, all factors fall.
+            ratio = F.when(goal > F.col("full"), F.coalesce(F.try_divide(goal - F.col("full"), F.col("open")), F.lit(1.0))).otherwise(F.coalesce(F.try_divide(goal, F.col("full") + F.col("open")), F.lit(0.0)))
+            now = F.col("full") + F.col("open")
+            moved = F.greatest(moved, F.coalesce(F.try_divide(F.abs(now - F.col(f"got_{m}")), goal), F.lit(0.0)))
+            state = state.join(sums, m).withColumns({f"factor_{m}": F.least(F.col(f"factor_{m}") * ratio, F.lit(MOST)), f"_got_{m}": now, f"_moved_{m}": moved})
+            state = state.drop("full", "open", f"got_{m}").withColumnRenamed(f"_got_{m}", f"got_{m}")
+            moved = F.col(f"_moved_{m}")
+        state = written(state.withColumn("moved", moved).drop(*[f"_moved_{m}" for m in margins]), "raking")
+        if (state.agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
             break
-    return weighed()
+    return state.select(*margins, "tokens", F.least(tokens, tokens * part).alias("weight"))
 
 
 def shares(mixed: DataFrame, margin: str, alpha: float = ALPHA, target: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
@@ -125,10 +127,12 @@ def oracle(alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS) -> st
         "g as (select *, sum(tokens) over () as total, " + ", ".join(f"pow(sum(tokens) over (partition by {m}) / sum(tokens) over (), {alpha}) as raw_{m}, tokens / sum(tokens) over (partition by {m}) as part_{m}" for m in MARGINS) + " from c)",
         "w0 as (select source, lang, topic, tokens, " + ", ".join(f"raw_{m} / sum(raw_{m} * part_{m}) over () * {keep} * total as goal_{m}, 1.0::double as f_{m}" for m in MARGINS) + " from g)",
     ]
-    n, weight = 0, "least(tokens, " + " * ".join(["tokens", *(f"f_{m}" for m in MARGINS)]) + ")"
+    n, part = 0, " * ".join(f"f_{m}" for m in MARGINS)
     for _ in range(rounds):
         for m in MARGINS:
-            steps.append(f"w{n + 1} as materialized (select * replace (least(f_{m} * goal_{m} / sum({weight}) over (partition by {m}), {MOST!r}) as f_{m}) from w{n})")
+            full, free = (f"coalesce(sum(case when {part} {test} then {x} end) over (partition by {m}), 0)" for test, x in ((">= 1", "tokens"), ("< 1", f"tokens * ({part})")))
+            steps.append(f"s{n + 1} as (select *, {full} as whole, {free} as free from w{n})")
+            steps.append(f"w{n + 1} as materialized (select * exclude (whole, free) replace (least(f_{m} * case when goal_{m} > whole then case when free > 0 then (goal_{m} - whole) / free else 1 end else goal_{m} / (whole + free) end, {MOST!r}) as f_{m}) from s{n + 1})")
             n += 1
-    steps.append(f"p as (select source, lang, topic, {weight} / tokens as probability from w{n})")
+    steps.append(f"p as (select source, lang, topic, least(tokens, tokens * {part}) / tokens as probability from w{n})")
     return f"with {', '.join(steps)} select doc_id, topic, tokens::bigint as tokens, round(probability, 6) as probability, (('0x' || substr(md5(doc_id::varchar), 1, 13))::bigint::double / {float(1 << 52)!r}) < probability as sampled from e join p using (source, lang, topic)"
