@@ -92,6 +92,16 @@ def sla_met(served, arrivals) -> Column:
     return F.when(ratio >= SLA_RATIO, 1.0).otherwise(0.0)
 
 
+def schedule_adherence(served, open_: Column) -> Column:
+    """1 or 0 at a schedule's bins, by whether anything is served there; null at others."""
+    return F.when(open_, F.when(col(served) > 0, 1.0).otherwise(0.0))
+
+
+def sla_status(kind: str, x: Column) -> Column:
+    """Aggregate: the status of an SLA's series. The age of a backlog cannot be told from depths, so it is unavailable."""
+    return F.lit("unavailable") if kind == "backlogAge" else F.when(F.count(x) > 0, "ok").otherwise("noEvents")
+
+
 def shortfall(arrivals, served) -> Column:
     return F.greatest(F.lit(0.0), col(arrivals) - col(served))
 

@@ -26,8 +26,8 @@ def rules(columns: list[str]) -> dict[str, Column]:
     out |= {code: c(a) - c(b) for code, a, b in pairs if a in columns and b in columns}
     failed = [c(x) for x in ("failures", "errors") if x in columns]
     if {"attempts", "served"} <= set(columns) and failed:
-        off = F.abs(c("attempts") - c("served") - F.coalesce(*failed)) - 1e-4
-        out["attempts_conservation_mismatch"] = F.when(is_finite(off) & (off > 0), off + TOLERANCE)
+        off = F.abs(c("attempts") - c("served") - F.coalesce(*failed))
+        out["attempts_conservation_mismatch"] = F.when(is_finite(off) & (off > 1e-4), off)
     if {"queue_depth", "served"} <= set(columns):
         stuck = (c("served") <= TOLERANCE) & (F.abs("queue_depth") > TOLERANCE) & is_finite(c("queue_depth")) & is_finite(c("served"))
         out["queue_latency_unreported"] = F.when(stuck, F.abs("queue_depth"))
@@ -199,7 +199,32 @@ def constraint_errors(constraints: DataFrame) -> DataFrame:
 
 def telemetry_gaps(series: DataFrame, bins: int) -> DataFrame:
     """Per series (series_id, bin, value): data gaps, values that are no numbers, and a wrong length."""
-    g = series.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("gaps"), F.sum(F.isnan("value").cast("long")).alias("nans"))
+    endless = F.isnan("value") | (F.abs("value") == float("inf"))
+    g = series.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("gaps"), F.sum(F.coalesce(endless, F.lit(False)).cast("long")).alias("nans"))
     one = lambda c, code, n: F.when(c, F.struct(F.lit(code).alias("code"), n.alias("n")))
     codes = F.array_compact(F.array(one(F.col("gaps") > 0, "data_gap", F.col("gaps")), one(F.col("nans") > 0, "nan_detected", F.col("nans")), one(F.col("n") != bins, "length_mismatch", F.col("n"))))
     return g.select("series_id", F.explode(codes).alias("w")).select("series_id", "w.*")
+
+
+def kernel_warnings(nodes: DataFrame, most: int = 32) -> DataFrame:
+    """nodes (node_id, kernel array<double>): rows (node_id, code, detail) of retry kernels that are changed before use."""
+    k = F.col("kernel")
+    cut_ = F.slice(k, 1, most)
+    fine = F.filter(cut_, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf")))
+    total = F.aggregate(fine, F.lit(0.0), lambda a, x: a + x)
+    notes = F.array_compact(F.array(F.when(F.size(k) > most, "trimmed"), F.when(F.size(fine) < F.size(cut_), "replaced"), F.when(total > 1, "scaled")))
+    return nodes.select("node_id", F.lit("retry_kernel_policy").alias("code"), F.array_join(notes, ",").alias("detail")).where("detail <> ''")
+
+
+def source_warnings(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """declared (node_id, series_id, source): rows (node_id, code, detail) of series without a source, or whose source is not
+    among found (source)."""
+    none = declared.where("source is null").select("node_id", F.lit("telemetry_sources_missing").alias("code"), F.col("series_id").alias("detail"))
+    lost = declared.where("source is not null").join(found.select("source").distinct(), "source", "left_anti")
+    return none.unionByName(lost.select("node_id", F.lit("telemetry_sources_unresolved").alias("code"), F.col("source").alias("detail")))
+
+
+def missing_values(expected: DataFrame, series: DataFrame) -> DataFrame:
+    """expected (node_id, series_id) without any value in series (series_id, bin, value): rows (node_id, code, detail)."""
+    there = series.where("value is not null").select("series_id").distinct()
+    return expected.join(there, "series_id", "left_anti").select("node_id", F.lit("value_series_missing").alias("code"), F.col("series_id").alias("detail"))

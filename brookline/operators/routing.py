@@ -154,12 +154,26 @@ def edge_class_mismatch(nodes: DataFrame, flows: DataFrame, side: str, tolerance
     return both.where(F.abs(F.col("value") - F.col("edges")) > tolerance).select("scenario_id", "node_id", "class_id", "bin", F.col("value").alias("expected"), "edges")
 
 
-def edge_mismatch(nodes: DataFrame, flows: DataFrame, side: str, measure: str, tolerance: float = 1e-6) -> DataFrame:
-    """Bins at which a node's measure and the sum of its edges on one side ("source" or "target") differ."""
+def edge_mismatch(nodes: DataFrame, flows: DataFrame, side: str, measure: str, tolerance: float = 1e-6, lags: DataFrame | None = None) -> DataFrame:
+    """Bins at which a node's measure and the sum of its edges on one side ("source" or "target") differ. lags (edge_id, lag):
+    an edge's flow counts so many bins later, and what would come from before the start counts 0."""
+    if lags is not None:
+        last = nodes.groupBy("scenario_id").agg(F.max("bin").alias("_last"))
+        late = flows.join(lags.select("edge_id", F.greatest(F.coalesce("lag", F.lit(0)), F.lit(0)).alias("_lag")), "edge_id", "left")
+        late = late.withColumn("bin", F.col("bin") + F.coalesce("_lag", F.lit(0))).join(last, "scenario_id").where("bin <= _last")
+        every = flows.select("scenario_id", F.col(side), "bin", F.lit(0.0).alias("flow"))
+        flows = late.select("scenario_id", F.col(side), "bin", "flow").unionByName(every)
     total = flows.groupBy("scenario_id", F.col(side).alias("node_id"), "bin").agg(F.sum("flow").alias("edges"))
     return nodes.join(total, ["scenario_id", "node_id", "bin"]).where(F.abs(F.col(measure) - F.col("edges")) > tolerance).select("scenario_id", "node_id", "bin", F.col(measure).alias("expected"), "edges")
 
 
+def router_warnings(class_flow: DataFrame, routes: DataFrame, source: DataFrame, flows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Rows (router, code, detail): classes without a route, and routers whose targets do not get what enters them."""
+    lost = unrouted_classes(class_flow, routes).groupBy("router").agg(F.array_join(F.array_sort(F.collect_set("class_id")), ",").alias("detail"))
+    leaks = router_leakage(source, flows, routes.select("router", "target").distinct()).where(F.col("leakage") > tolerance)
+    return lost.select("router", F.lit("router_missing_class_route").alias("code"), "detail").unionByName(leaks.select("router", F.lit("router_class_leakage").alias("code"), F.round("leakage", 6).cast("string").alias("detail")))
+
+
 def flow_latency(nodes: DataFrame, flows: DataFrame, levels: int) -> DataFrame:
     """Latency of a flow up to and through each node: its cycle time and the flow-weighted mean of its predecessors'.
 

@@ -65,3 +65,12 @@ def keep_edges(edges: DataFrame, ids: Sequence[str] = (), metrics: Sequence[str]
         if wanted:
             edges = edges.where(F.lower(column).isin(*[w.lower() for w in wanted]))
     return edges
+
+
+def class_metrics(nodes: DataFrame, classes: DataFrame, bin_ms: float, keys: Sequence[str] = ("scenario_id", "node_id", "bin")) -> DataFrame:
+    """with_metrics() by class. classes: keys, class_id and the same measures; a node and bin without rows of a class of its
+    own counts as one class "*" with the node's totals. A row of class "*" beside others is left out."""
+    named = classes.where("class_id <> '*'").select(*keys, "class_id", *[c for c in nodes.columns if c not in keys])
+    has = named.select(*keys).distinct()
+    whole = nodes.join(has, list(keys), "left_anti").withColumn("class_id", F.lit("*"))
+    return with_metrics(named.unionByName(whole), bin_ms)

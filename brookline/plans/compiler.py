@@ -6,7 +6,7 @@ sweep is one job with scenario_id in every partition of a window."""
 from __future__ import annotations
 
 import graphlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
 from ..operators.series import convolve, fold, gate, let, queue_depth, queue_with_limit
 from .expr import parse, reach, references, to_column
-from .model import ModelError, nodes_of, queue_series, schema_errors, topology
+from .model import UNIT_MS, ModelError, nodes_of, queue_series, schema_errors, snake, topology
 
 KEYS = ("scenario_id",)
 
@@ -166,14 +166,14 @@ def _sum(names: list[str], at: Callable[[str], Column] = F.col) -> Column:
     return out
 
 
-def _columns(step: Step, at: Callable[[str], Column] = F.col) -> dict[str, Column]:
+def _columns(step: Step, at: Callable[[str], Column] = F.col, keys: Sequence[str] = KEYS) -> dict[str, Column]:
     """The Columns of a step that is a projection; at gives the series of the same bin."""
     if step.kind == "const":
         return {step.makes[0]: _constant(step.spec)}
     if step.kind == "expr":
         if "column" in step.spec:
-            return {step.makes[0]: convolve(*step.spec["column"])}
-        return {step.makes[0]: to_column(step.spec["tree"])}
+            return {step.makes[0]: convolve(*step.spec["column"], keys)}
+        return {step.makes[0]: to_column(step.spec["tree"], keys=keys)}
     if step.kind == "router":
         routes, source, out = step.spec["routes"], step.spec["source"], {}
         own = lambda r: _sum([class_series(source, c) for c in r["classes"]], at)
@@ -201,17 +201,17 @@ def _flows(spec: dict, at: Callable[[str], Column] = F.col) -> tuple[Column, Col
     return own + _sum(spec["over"], at), out + (fin(at(spec["loss"])) if spec["loss"] else F.lit(0.0))
 
 
-def _queue(df: DataFrame, step: Step) -> DataFrame:
+def _queue(df: DataFrame, step: Step, keys: Sequence[str]) -> DataFrame:
     s = step.spec
     inflow, gone = _flows(s)
     if s["limit"] is None:
-        return queue_depth(df, inflow, gone, s["init"], step.makes[0], KEYS)
+        return queue_depth(df, inflow, gone, s["init"], step.makes[0], keys)
     df = df.withColumn("_i", inflow).withColumn("_o", gone)
     limit = F.col(s["limit"]) if isinstance(s["limit"], str) else float(s["limit"])
-    return queue_with_limit(df, "_i", "_o", limit, s["init"], *step.makes, KEYS).drop("_i", "_o")
+    return queue_with_limit(df, "_i", "_o", limit, s["init"], *step.makes, keys).drop("_i", "_o")
 
 
-def _loop(df: DataFrame, step: Step) -> DataFrame:
+def _loop(df: DataFrame, step: Step, keys: Sequence[str]) -> DataFrame:
     """Series of a cycle that lags close, as one fold over the bins of each scenario. The state holds of each series that is
     looked back at its last values, as many as the greatest lag, nearest first."""
     steps, need = step.spec["steps"], sorted(step.needs)
@@ -261,7 +261,7 @@ def _loop(df: DataFrame, step: Step) -> DataFrame:
         return go_on(0, {"bin": x("bin"), **{n: x(n) for n in need}})
 
     start = {f"_{n}": F.array().cast("array<double>") for n in back} | {m: F.lit(0.0) for m in step.makes}
-    return fold(df, {n: F.col(n) for n in need}, start, one, {m: m for m in step.makes}, KEYS)
+    return fold(df, {n: F.col(n) for n in need}, start, one, {m: m for m in step.makes}, keys)
 
 
 def grid(spark: SparkSession, bins: int, scenarios: DataFrame | None = None) -> DataFrame:
@@ -269,18 +269,24 @@ def grid(spark: SparkSession, bins: int, scenarios: DataFrame | None = None) ->
     return (spark.range(1).select(F.lit(0).cast("long").alias("scenario_id")) if scenarios is None else scenarios.select("scenario_id").distinct()).crossJoin(F.broadcast(base))
 
 
-def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = None) -> DataFrame:
+def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = None, data: DataFrame | None = None, keys: Sequence[str] = KEYS, derived: bool = False) -> DataFrame:
     """The model's series as a wide frame (scenario_id, bin, ...).
 
+    data: a frame (keys..., bin, series...) of measured series; the model is evaluated for each of its keys, and its columns
+    stand for the constants of their names. derived adds the evaluator's own columns of each topology node.
+
     overrides: rows (scenario_id, series, bin, value) replace constants, for every bin where bin is null; unknown series
     are ignored. Each scenario is evaluated; without overrides there is scenario 0."""
     levels = plan(model)
-    df = grid(spark, int(model["grid"]["bins"]), overrides)
+    df = grid(spark, int(model["grid"]["bins"]), overrides) if data is None else data
+    given = set() if data is None else set(data.columns)
+    if data is not None and overrides is not None:
+        df = df.drop("scenario_id").crossJoin(F.broadcast(overrides.select("scenario_id").distinct()))  # a row per scenario
     for level in levels:
         flat = [s for s in level if s.kind in ("const", "expr", "router", "allocate")]
         constants = [m for s in flat if s.kind == "const" for m in s.makes]
         if flat:
-            df = df.withColumns({n: c for s in flat for n, c in _columns(s).items()})
+            df = df.withColumns({n: c for s in flat for n, c in _columns(s, keys=keys).items() if s.kind != "const" or n not in given})
         if constants and overrides is not None:
             wanted = overrides.where(F.col("series").isin(*constants))
             every = wanted.where("bin is null").groupBy("scenario_id").pivot("series", constants).agg(F.first("value"))
@@ -288,8 +294,47 @@ def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = Non
             df = df.join(every.toDF("scenario_id", *[f"_e_{c}" for c in constants]), "scenario_id", "left").join(single.toDF("scenario_id", "bin", *[f"_b_{c}" for c in constants]), ["scenario_id", "bin"], "left")
             df = df.withColumns({c: F.coalesce(f"_b_{c}", f"_e_{c}", c) for c in constants}).drop(*[f"_{k}_{c}" for c in constants for k in "eb"])
         for s in level:
-            df = _queue(df, s) if s.kind == "queue" else _loop(df, s) if s.kind == "loop" else df
-    return df
+            df = _queue(df, s, keys) if s.kind == "queue" else _loop(df, s, keys) if s.kind == "loop" else df
+    return df.withColumns(derived_columns(model, df.columns)) if derived else df
+
+
+def derived_columns(model: dict, there: Sequence[str]) -> dict[str, Column]:
+    """The evaluator's derived columns, 0 where a metric is not defined, of the topology nodes whose series are there."""
+    grid_, out = model["grid"], {}
+    bin_ms = float(grid_.get("binSize", 1)) * UNIT_MS[str(grid_["binUnit"]).lower()]
+
+    def variation(name: str | None) -> float:
+        node = nodes_of(model).get(name or "", {})
+        if node.get("kind") != "pmf":
+            return 0.0
+        return Pmf(node["pmf"]["values"], node["pmf"]["probabilities"]).cv
+
+    for t in topology(model, "nodes"):
+        s, kind, name = t.get("semantics") or {}, t.get("kind", "serviceWithBuffer").lower(), snake(t["id"])
+        made: dict[str, Column] = {}
+        has = lambda k: bool(s.get(k)) and s[k] in there  # noqa: B023, E731
+        if has("served") and has("capacity"):
+            capacity = F.col(s["capacity"])
+            if s.get("parallelism"):
+                capacity = made["effective_capacity"] = capacity * (F.col(s["parallelism"]) if isinstance(s["parallelism"], str) else float(s["parallelism"]))
+            made["utilization"] = safe_div(s["served"], capacity)
+        if kind in ("servicewithbuffer", "queue", "dlq") and has("served") and queue_series(t) in there:
+            made["q_ratio"] = safe_div(queue_series(t), s["served"])
+            made["queue_time_ms"] = made["q_ratio"] * bin_ms
+            made["latency_min"] = made["queue_time_ms"] / 60000
+        if kind in ("servicewithbuffer", "service") and has("processingTimeMsSum") and has("servedCount"):
+            made["service_time_ms"] = safe_div(s["processingTimeMsSum"], s["servedCount"])
+        if "queue_time_ms" in made or "service_time_ms" in made:
+            made["cycle_time_ms"] = made.get("queue_time_ms", F.lit(0.0)) + made.get("service_time_ms", F.lit(0.0))
+        if "queue_time_ms" in made and "service_time_ms" in made:
+            made["flow_efficiency"] = safe_div(made["service_time_ms"], made["cycle_time_ms"])
+        if "utilization" in made and "service_time_ms" in made:
+            # As the evaluator has it, one_minus_rho holds rho less one.
+            made["one_minus_rho"] = made["utilization"] - 1
+            ca, cs = variation(s.get("arrivals")), variation(s.get("processingTimeMsSum"))
+            made["kingman_wq"] = safe_div(made["utilization"], -made["one_minus_rho"]) * ((ca * ca + cs * cs) / 2) * made["service_time_ms"]
+        out |= {f"{name}_{k}": c for k, c in made.items()}
+    return out
 
 
 def long_form(df: DataFrame, series: list[str]) -> DataFrame:
@@ -297,7 +342,7 @@ def long_form(df: DataFrame, series: list[str]) -> DataFrame:
     return df.unpivot(["scenario_id", "bin"], series, "series_id", "value")
 
 
-def by_class(df: DataFrame, model: dict) -> DataFrame:
+def by_class(df: DataFrame, model: dict, keys: Sequence[str] = KEYS) -> DataFrame:
     """An evaluated model's series by class: (scenario_id, bin, series_id, class_id, total, value).
 
     A node with class arrivals is split in their proportion, whatever its own total is; what depends on it in the same bin
@@ -314,4 +359,4 @@ def by_class(df: DataFrame, model: dict) -> DataFrame:
             for made in step.makes:
                 shares.setdefault(made, shares[source])
     cells = [F.struct(F.lit(n).alias("series_id"), F.lit(c).alias("class_id"), F.col(n).alias("total"), (F.col(n) * x).alias("value")) for n, own in shares.items() for c, x in own.items()]
-    return df.select("scenario_id", "bin", F.explode(F.array(*cells)).alias("_c")).select("scenario_id", "bin", "_c.*")
+    return df.select(*keys, "bin", F.explode(F.array(*cells)).alias("_c")).select(*keys, "bin", "_c.*")

@@ -138,11 +138,12 @@ def schema_errors(model: dict) -> list[str]:
 
 
 def validate(model: dict, tier: str = "compile") -> list[str]:
-    """Errors up to a tier: "schema", or "compile", which also orders the series."""
+    """Errors up to a tier: "schema", or "compile", which also orders the series and follows references and starts."""
     found = schema_errors(model)
     if not found and tier != "schema":
         from .compiler import plan
 
+        found = initial_condition_errors(model) + reference_errors(model)
         try:
             plan(model)
         except (ModelError, ExpressionError) as e:
@@ -151,9 +152,33 @@ def validate(model: dict, tier: str = "compile") -> list[str]:
 
 
 def initial_condition_errors(model: dict) -> list[str]:
-    """Series that look at their own past need a start."""
-    starts = {queue_series(t) for t in topology(model, "nodes")}
-    return [i for i, n in nodes_of(model).items() if n.get("kind") == "expr" and i in references(parse(n["expr"]))[1] and i not in starts and "initial" not in n]
+    """Series that look at their own past need a start: an initial value, or the start of the queue that they are."""
+    starts = {queue_series(t) for t in topology(model, "nodes") if (t.get("initialCondition") or {}).get("queueDepth") is not None}
+    own = [i for i, n in nodes_of(model).items() if n.get("kind") == "expr" and i in references(parse(n["expr"]))[1]]
+    return [f"{i}: it looks at its own past and has no initial value" for i in own if i not in starts and "initial" not in nodes_of(model)[i]]
+
+
+def reference_errors(model: dict) -> list[str]:
+    """Outputs, topology semantics, edges and constraints that name what nothing makes."""
+    from .compiler import steps_of
+
+    try:
+        known = {m for s in steps_of(model) for m in s.makes}
+    except (ModelError, ExpressionError):
+        return []  # the order of series says what is wrong
+    names = [str(o.get("series") or "*") for o in model.get("outputs") or []]
+    out = [f"output {n} is no series" for n in names if "*" not in n and n.lower() not in {k.lower() for k in known}]
+    topo = {t["id"] for t in topology(model, "nodes")}
+    for t in topology(model, "nodes"):
+        for role, name in (t.get("semantics") or {}).items():
+            if isinstance(name, str) and name not in known and name != "self" and not name.startswith("file:") and role not in ("queueDepth", "retryEcho", "aliases"):
+                out.append(f"{t['id']}: {role} is {name}, which is no series")
+    for e in topology(model, "edges"):
+        for end in ("source", "target", "from", "to"):
+            at = str(e[end]).split(":")[0] if e.get(end) else None
+            if at and at not in topo:
+                out.append(f"edge {e.get('id')}: {end} is {at}, which is no node")
+    return out
 
 
 def model_hash(model: dict) -> str:

@@ -16,7 +16,6 @@ from .functions import metrics as M
 from .functions.rng import Pmf
 from .operators import checks, classes, routing, series, state, summary
 from .plans import scenarios
-from .plans.compiler import by_class, evaluate
 from .plans.expr import to_column
 from .plans.graph import graph
 from .sources import registry
@@ -529,18 +528,6 @@ def model(bins: int = 24) -> dict:
     }
 
 
-@query("with b as (select unnest(range(24)) as bin), e as (select bin, least(12, 10) * 0.1 as errors from b), r as (select bin, 0.6 * coalesce(lag(errors, 1) over (order by bin), 0) + 0.3 * coalesce(lag(errors, 2) over (order by bin), 0) + 0.1 * coalesce(lag(errors, 3) over (order by bin), 0) as retries from e) select bin, round(retries::double, 6) as retries, round(sum(2 + retries::double) over (order by bin), 6) as backlog from r")
-def model_run(spark, sf):
-    return evaluate(spark, model()).select("bin", r6("retries").alias("retries"), r6("backlog").alias("backlog"))
-
-
-@query("select b.bin, series_id, class_id, round(total * part, 6) as value from (select unnest(range(24)) as bin) b, (values ('demand', 12.0::double), ('served', 10.0), ('errors', 1.0)) s(series_id, total), (values ('new', 0.75::double), ('old', 0.25)) c(class_id, part)")
-def model_classes(spark, sf):
-    m = model() | {"traffic": {"arrivals": [{"nodeId": "demand", "classId": c, "pattern": {"kind": "constant", "ratePerBin": v}} for c, v in (("new", 3.0), ("old", 1.0))]}}
-    rows = by_class(evaluate(spark, m), m).where(F.col("series_id").isin("demand", "served", "errors"))
-    return rows.select("bin", "series_id", "class_id", r6("value").alias("value"))
-
-
 @query()
 def sensitivity(spark, sf):
     return scenarios.sensitivity(spark, model(), "backlog", ["demand", "capacity", "failing", "errors"])
@@ -730,3 +717,6 @@ def class_sets(spark, sf):
 
 def by_type_of_users(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.collect_set("event_type").alias("has"))
+
+
+from . import model_queries as _models  # noqa: E402, F401  (registers its queries here)

@@ -48,3 +48,9 @@ def by_type(spark: SparkSession, sf_dir: str, bins: int = 720, unit: str = "HOUR
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(bin_of(F.col("ts"), unit).alias("bin"), F.col("event_type").alias("class_id"))
     counts = events.where(F.col("bin").between(0, bins - 1)).groupBy("class_id", "bin").agg(F.count("*").alias("value"))
     return fill_bins(counts, ["class_id"], ["value"], bins).select(F.lit(0).cast("long").alias("scenario_id"), "class_id", "bin", "value")
+
+
+def outside(spark: SparkSession, sf_dir: str, bins: int = 720, unit: str = "HOUR") -> DataFrame:
+    """How many events lie before the grid or after it, which binned() leaves out: (events, before, after), one row."""
+    at = spark.read.parquet(f"{sf_dir}/events.parquet").select(bin_of(F.col("ts"), unit).alias("bin"))
+    return at.agg(F.count("*").alias("events"), F.count_if(F.col("bin") < 0).alias("before"), F.count_if(F.col("bin") >= bins).alias("after"))

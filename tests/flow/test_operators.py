@@ -251,3 +251,43 @@ def test_storage_index_and_bundle(spark, tmp_path):
 def test_more_checks(spark):
     c = spark.createDataFrame([("a", None, "s"), ("b", "x", None), ("c", "x", "s")], "constraint_id string, arrivals string, served string")
     assert {(r.constraint_id, r.code) for r in checks.constraint_errors(c).collect()} == {("a", "constraint_missing_arrivals"), ("b", "constraint_missing_served")}
+
+
+def scans(df):
+    """How often the optimised plan reads files."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_plans_read_their_input_once(spark, sf_dir, tmp_path):
+    """However many limits, levels or conditions: the plan does not grow with them."""
+    from brookline import queries as q
+
+    df = q.users(spark, sf_dir)
+    one = scans(df)
+    for i in range(5):
+        df = series.queue_with_limit(df, "arrivals" if not i else f"o{i - 1}", "served", 2.0, name=f"q{i}", overflow=f"o{i}", keys=q.KIND)
+    assert scans(df) == one
+    assert scans(q.QUERIES["overflow_cascade"](spark, sf_dir)) == 1
+    assert scans(q.QUERIES["constraint_at_query"](spark, sf_dir)) <= 6
+    assert scans(q.QUERIES["warn_window"](spark, sf_dir)) <= 2
+    nodes = spark.createDataFrame([(0, f"n{i}", b, i, 1.0, 1.0) for i in range(6) for b in range(3)], "scenario_id long, node_id string, bin long, level int, cycle_ms double, carried double")
+    flows = spark.createDataFrame([(0, f"n{i}", f"n{i + 1}", b, 1.0) for i in range(5) for b in range(3)], "scenario_id long, source string, target string, bin long, flow double")
+    nodes.write.parquet(f"{tmp_path}/n")
+    flows.write.parquet(f"{tmp_path}/f")
+    done = routing.flow_latency(spark.read.parquet(f"{tmp_path}/n"), spark.read.parquet(f"{tmp_path}/f"), 6)
+    assert scans(done) == 0  # every level is written
+    assert {(r.node_id, r.latency) for r in done.collect()} == {(f"n{i}", i + 1.0) for i in range(6)}
+
+
+def test_related_runs_of_one_time_and_one_tag(spark):
+    from brookline.sources import registry
+
+    rows = [(i, ["hot"] if i % 2 else ["hot", f"t{i % 7}"], f"2024-01-01 00:{i % 6:02d}:00") for i in range(120)] + [(500, ["x"], "2024-03-01 00:00:00"), (501, ["y"], "2024-03-01 00:59:59"), (502, ["x"], "2024-05-01 00:00:00")]
+    runs = spark.createDataFrame(rows, "id long, tags array<string>, created string")
+    at = {i: (set(t), int(c[14:16]) * 60 + int(c[17:19]) + {"1": 0, "3": 10**7, "5": 2 * 10**7}[c[6]]) for i, t, c in rows}
+    want = []
+    for i, (t, x) in at.items():
+        near = sorted((abs(x - y), j) for j, (u, y) in at.items() if j != i and (t & u or abs(x - y) < 3600))
+        want += [(i, n + 1, j, g if g < 10**6 else None) for n, (g, j) in enumerate(near[:5])]
+    got = [(r.id, r.rank, r.other, r.gap if r.gap < 10**6 else None) for r in registry.related(runs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
