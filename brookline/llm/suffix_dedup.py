@@ -5,20 +5,27 @@ has to be sorted: of the K-byte strings within any SPAN bytes, the one with the
 bytes occur, so equal spans share the suffix that starts there (an anchor). The steps:
 
 1. Texts are packed in segments (SEGMENT_BYTES at most, or one document) in a written table; a segment is the unit of work.
-2. Anchors that two documents share are found by the hashes of their K bytes, 32 bits within a bucket; an accidental
+2. Anchors that two documents share are found by the hashes of their K bytes, 32 bits or 64 within a bucket; an accidental
    match only costs work.
 3. Each segment sorts the suffixes at such anchors (their SPAN bytes, then the bytes before, nearest first, up to the
    document's ends), folds equal ones, and sends them as front-coded sorted runs: common-prefix length, then the rest.
+   Suffixes are dealt out by range: cuts come from K-byte strings at even places of SAMPLED segments at most, a bounded
+   sample that only balances the shares. The shares in order, each merged, are the sorted suffixes of the whole input.
 4. Whoever gets a share of the suffixes merges its runs with a loser tree that keeps, for each run's head, how much of
    it equals the last suffix put out, and compares two heads only beyond that. The common-prefix lengths that the merge
    yields, and those of the bytes before, cut the suffixes into classes for every placement of a span about its anchor;
    the smallest document of a class decides for all of its members. That is exact: contents are compared, not hashes.
 5. Each segment's removed intervals are united and cut out.
 
+A unit of work never sends to more than 1 << FAN_BITS shares (twice that with hot ones). Beyond so many segments the exchange
+has levels, as a merge sort has passes: the runs of about so many units for one share are merged into one, which is cut into
+as many finer shares; hashes go the same way, and what is found comes back by it. So the rows of a level grow with the
+number of segments, not with its square, and no task ever holds more than about a segment's worth from each side.
+
 Equal suffixes leave a segment once. An anchor whose K bytes more than HOT places share could still gather too many
 different suffixes in one task (a common phrase, each time amid other words). Around such anchors the spans themselves
 are sorted and merged, dealt out by their contents: equal ones fold within a segment, different ones part.
-Results depend neither on the segments nor on HOT.
+Results depend neither on the segments, nor on FAN_BITS, nor on HOT.
 
 Defined results: a null text counts as empty; a null doc_id is larger than any other, and null ones are equal; rows with
 the same doc_id do not remove from each other; texts under SPAN bytes stay; an empty table gives an empty table; other
@@ -29,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +49,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SPAN, K, SEGMENT_BYTES, BLOCK_BYTES, HOT = 50, 20, 12 << 20, 2 << 20, 50_000
+FAN_BITS, SAMPLED = 6, 4096
 BEFORE = SPAN - K  # bytes before an anchor that a span can take in
 WIDTH = SPAN + BEFORE + 2  # of a sorted row: suffix, bytes before in reverse, how many of either lie in the document
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -152,109 +161,239 @@ def _open(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _bucketed(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the upper half, 32 bits of hash in the lower."""
-    return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+@dataclass
+class Levels:
+    """How the exchange is laid out for a number of segments."""
+
+    segments: int
+    bits: int = FAN_BITS
+    hot: int = HOT
+    cuts: bytes = b""
+
+    @property
+    def count(self) -> int:
+        n = 1
+        while 1 << (self.bits * n) < self.segments:
+            n += 1
+        return n
+
+    @property
+    def shares(self) -> int:
+        return 1 << (self.bits * self.count)
+
+    @property
+    def key(self) -> str:
+        """The type of a hash within its bucket: 64 bits where 32 would meet by accident too often."""
+        return "<u4" if self.count <= 2 else "<u8"
+
+    def unit(self, seg: np.ndarray, level: int) -> np.ndarray:
+        """Which unit of a level a segment belongs to: itself on the first, then packs of packs, each within one of the next."""
+        seg = np.asarray(seg, np.int64)
+        if level == 1:
+            return seg
+        mixed = (seg.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        packs = max(1, (1 << (self.segments - 1).bit_length()) >> (self.bits * (level - 1))) if self.segments > 1 else 1
+        return ((mixed >> np.uint64(33)) & np.uint64(packs - 1)).astype(np.int64)
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(33)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def low(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(0xFFFFFFFF)).astype("<u4") if self.key == "<u4" else h.astype("<u8")
+
+    def share(self, prefixes: np.ndarray) -> np.ndarray:
+        """The finest shares of suffixes by their first K bytes."""
+        cuts = np.frombuffer(self.cuts, f"S{K}")
+        return np.searchsorted(cuts, np.ascontiguousarray(prefixes).view(f"S{K}").ravel(), "right").astype(np.int64)
+
+    def hot_share(self, spans: np.ndarray) -> np.ndarray:
+        """Those of spans about hot anchors, by their contents; they follow all others."""
+        power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
+        mixed = np.concatenate([(spans[lo : lo + 50_000] * power).sum(1, dtype=np.uint64) for lo in range(0, len(spans), 50_000)])
+        return ((mixed >> np.uint64(33)) % np.uint64(self.shares)).astype(np.int64) + self.shares
+
+    def path(self, share: np.ndarray, level: int) -> np.ndarray:
+        return share >> (self.bits * (self.count - level))
+
+
+def sampled_cuts(held: DataFrame, levels: Levels) -> bytes:
+    """The K-byte strings that part the shares. At most SAMPLED segments or so are looked at, at 64 places each."""
+    every = -(-levels.segments // SAMPLED)
+    each = max(64, -(-4 * levels.shares * every // max(1, levels.segments)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (row.to_pylist()[0] for b in batches for row in (b.slice(i, 1) for i in range(b.num_rows))):
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8)
+            n = len(data) - K + 1
+            if n > 0:
+                found = np.lib.stride_tricks.sliding_window_view(data, K)[np.unique(np.linspace(0, n - 1, min(n, each)).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["found"])
+
+    some = held.where(F.pmod(F.xxhash64("seg"), F.lit(every)) == 0).select("data").mapInArrow(run, "found binary")
+    found = np.sort(np.frombuffer(b"".join(r.found for r in some.collect()), f"S{K}"))  # 4 strings a share, or 64 a segment
+    if not len(found):
+        return b""
+    at = np.linspace(0, len(found), levels.shares + 1)[1:-1].astype(np.int64)
+    return np.unique(found[np.minimum(at, len(found) - 1)])[: levels.shares - 1].tobytes()
+
+
+HASHES = pa.schema([("path", pa.int64()), ("unit", pa.int64()), ("pack", pa.int64()), *((c, pa.binary()) for c in ("hashes", "several", "places"))])
+FLAGS = pa.schema([("path", pa.int64()), ("unit", pa.int64()), ("hashes", pa.binary()), ("hot", pa.binary())])
+
+
+def _spark(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if pa.types.is_integer(f.type) else 'binary'}" for f in schema)
 
 
-HASHES = pa.schema([("bucket", pa.int64()), ("seg", pa.int64()), *((c, pa.binary()) for c in ("hashes", "several", "places"))])
+def _each(path: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(path, where it is) for every path that occurs, in order."""
+    by = np.argsort(path, kind="stable")
+    cuts = np.flatnonzero(np.diff(path[by], prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(path[by[a]]), by[a:b]
 
 
-def send_hashes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, seg, hashes, several, places): a segment's distinct hashes, bits for those that several documents
-    hold, and at how many places they are (65535 at most)."""
+def send_hashes(batches: Iterator[pa.RecordBatch], levels: Levels) -> Iterator[pa.RecordBatch]:
+    """Rows of a segment for each first bucket: its distinct hashes in order, bits for those that several documents hold,
+    and at how many places they are (65535 at most)."""
     for r in (row.to_pylist()[0] for b in batches for row in (b.slice(i, 1) for i in range(b.num_rows))):
         s = Segment(r["ids"], r["ends"], r["data"])
         _, doc, h = s.anchors()
-        key = _bucketed(h, buckets)
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], s.ids[doc[order]]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0) if len(key) else np.empty(0, np.int64)
-        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(key) else np.empty(0, bool)
-        places = np.minimum(np.diff(np.append(first, len(key))), 65_535).astype("<u2")
-        key = key[first]
-        bucket = (key >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        low = key.astype("<u4")
-        out = [{"bucket": int(bucket[a]), "seg": r["seg"], "hashes": low[a:b].tobytes(), "several": np.packbits(several[a:b]).tobytes(), "places": _press(places[a:b].tobytes())} for a, b in zip(cuts, cuts[1:], strict=False)]
+        path, low = levels.bucket(h), levels.low(h)
+        out = []
+        for p, mine in _each(path):
+            order = mine[np.argsort(low[mine], kind="stable")]
+            key, ids = low[order], s.ids[doc[order]]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+            places = np.minimum(np.diff(np.append(first, len(key))), 65_535).astype("<u2")
+            out.append({"path": p, "unit": r["seg"], "pack": int(levels.unit(r["seg"], 2)), "hashes": key[first].tobytes(), "several": np.packbits(several).tobytes(), "places": _press(places.tobytes())})
         yield pa.RecordBatch.from_pylist(out, HASHES)
 
 
-def shared_hashes(table: pa.Table, hot_from: int = HOT) -> pa.Table:
-    """Of one bucket: for each segment its hashes that occur in two documents or more, and bits for the hot ones."""
-    rows = table.to_pylist()
-    h = [np.frombuffer(r["hashes"], "<u4") for r in rows]
-    n = np.cumsum([len(x) for x in h])[:-1]
+def _united(rows: list[dict], levels: Levels) -> tuple[np.ndarray, ...]:
+    """Of units' hashes: all in order, and for each distinct one where it starts there, whether two documents hold it, and
+    its places."""
+    h = [np.frombuffer(r["hashes"], levels.key) for r in rows]
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(x)) for r, x in zip(rows, h, strict=True)])
     places = np.concatenate([np.frombuffer(_open(r["places"]), "<u2") for r in rows]).astype(np.int64)
     every = np.concatenate(h)
     order = np.argsort(every, kind="stable")
-    first = np.flatnonzero(np.diff(every[order].astype(np.int64), prepend=-1))
+    every = every[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
     size = np.diff(np.append(first, len(every)))
+    return order, every, first, (size > 1) | (np.maximum.reduceat(several[order], first) > 0), np.add.reduceat(places[order], first), size
+
+
+def unite_hashes(table: pa.Table, levels: Levels, level: int) -> pa.Table:
+    """The hashes of a pack of units of one bucket (of this level) as rows for the buckets of the next."""
+    rows = table.to_pylist()
+    _, every, first, shared, places, _ = _united(rows, levels)
+    key, out = every[first], []
+    digit = ((key.astype(np.uint64) >> np.uint64(levels.bits * (level - 1))) & np.uint64((1 << levels.bits) - 1)).astype(np.int64)
+    # The packs of a pack are numbered by the low bits of its own number.
+    packs = max(1, (1 << max(0, levels.segments - 1).bit_length()) >> (levels.bits * (level + 1)))
+    for d, mine in _each(digit):
+        out.append({"path": rows[0]["path"] << levels.bits | d, "unit": rows[0]["pack"], "pack": rows[0]["pack"] & (packs - 1), "hashes": key[mine].tobytes(), "several": np.packbits(shared[mine]).tobytes(), "places": _press(np.minimum(places[mine], 65_535).astype("<u2").tobytes())})
+    return pa.Table.from_pylist(out, HASHES)
+
+
+def shared_hashes(table: pa.Table, levels: Levels) -> pa.Table:
+    """Of one bucket: for each unit its hashes that occur in two documents or more, and bits for the hot ones."""
+    rows = table.to_pylist()
+    order, every, _, shared, places, size = _united(rows, levels)
     good, hot = np.empty(len(every), bool), np.empty(len(every), bool)
-    good[order] = np.repeat((size > 1) | (np.maximum.reduceat(several[order], first) > 0), size)
-    hot[order] = np.repeat(np.add.reduceat(places[order], first) > hot_from, size)
-    parts = zip(rows, h, np.split(good, n), np.split(hot, n), strict=True)
-    out = [{"seg": r["seg"], "bucket": r["bucket"], "hashes": x[g].tobytes(), "hot": np.packbits(w[g]).tobytes()} for r, x, g, w in parts if g.any()]
-    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("hot", pa.binary())]))
+    good[order], hot[order] = np.repeat(shared, size), np.repeat(places > levels.hot, size)
+    at, out = 0, []
+    for r in rows:
+        x = np.frombuffer(r["hashes"], levels.key)
+        g, w = good[at : at + len(x)], hot[at : at + len(x)]
+        at += len(x)
+        if g.any():
+            out.append({"path": r["path"], "unit": r["unit"], "hashes": x[g].tobytes(), "hot": np.packbits(w[g]).tobytes()})
+    return pa.Table.from_pylist(out, FLAGS)
+
+
+def _known(flags: list[dict], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """Flagged hashes in order, and which are hot."""
+    known = [np.frombuffer(r["hashes"], levels.key) for r in flags]
+    hot = np.concatenate([np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(x)) for r, x in zip(flags, known, strict=True)]).astype(bool)
+    known = np.concatenate(known)
+    order = np.argsort(known)
+    return known[order], hot[order]
+
+
+def flags_of_units(table: pa.Table, flags: pa.Table, levels: Levels) -> pa.Table:
+    """What is known of a pack's hashes, for each of its units (rows of its hashes)."""
+    if not flags.num_rows:
+        return FLAGS.empty_table()
+    known, hot = _known(flags.to_pylist(), levels)
+    out = []
+    for r in table.to_pylist():
+        x = np.frombuffer(r["hashes"], levels.key)
+        i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        hit = known[i] == x
+        if hit.any():
+            out.append({"path": r["path"], "unit": r["unit"], "hashes": x[hit].tobytes(), "hot": np.packbits(hot[i[hit]]).tobytes()})
+    return pa.Table.from_pylist(out, FLAGS)
 
 
-RUN = pa.schema([("share", pa.int64()), ("seg", pa.int64()), ("ahead", pa.int64()), *((c, pa.binary()) for c in ("common", "rest", "low", "new", "place", "doc"))])
+RUN = pa.schema([("path", pa.int64()), ("unit", pa.int64()), ("pack", pa.int64()), ("ahead", pa.int64()), *((c, pa.binary()) for c in ("common", "rest", "low", "new", "place", "doc", "seg"))])
 
 
-def _run(rows: np.ndarray, places: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+def _run(rows: np.ndarray, places: np.ndarray, ids: np.ndarray, segs: np.ndarray) -> dict[str, bytes]:
     """A sorted, front-coded run of the distinct rows, with the smallest document of each and where they occur."""
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    return _coded(rows[order], places[order], ids[order], segs[order])
+
+
+def _coded(rows: np.ndarray, places: np.ndarray, ids: np.ndarray, segs: np.ndarray) -> dict[str, bytes]:
     width = rows.shape[1]
-    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
-    rows, ids = rows[order], ids[order]
     same = rows[1:] == rows[:-1]
     common = np.append(0, np.where(same.all(1), width, same.argmin(1)))
     new = common < width
     first, common = np.flatnonzero(new), common[new].astype(np.uint8)
     rest = rows[first][np.arange(width) >= common[:, None]]
-    parts = {"common": common, "rest": rest, "low": np.minimum.reduceat(ids, first).astype("<i8"), "new": np.packbits(new), "place": places[order].astype("<u4"), "doc": ids.astype("<i8")}
+    parts = {"common": common, "rest": rest, "low": np.minimum.reduceat(ids, first).astype("<i8"), "new": np.packbits(new), "place": places.astype("<u4"), "doc": ids.astype("<i8"), "seg": segs.astype("<i8")}
     return {k: _press(v.tobytes()) for k, v in parts.items()}
 
 
-def _shares(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    by = np.argsort(share, kind="stable")
-    cuts = np.flatnonzero(np.diff(share[by].astype(np.int64), prepend=-1, append=-1))
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(share[by[a]]), by[a:b]
-
-
-def sort_runs(table: pa.Table, flags: pa.Table, buckets: int, shares: int) -> pa.Table:
-    """The runs of one segment, one per share of the suffixes (ahead is -1) and one per share of the spans about hot
-    anchors that begin `ahead` bytes before them (shares from `shares` on)."""
-    out, known, hot = [], [], []
-    for b, h, w in zip(*(flags.column(c).to_pylist() for c in ("bucket", "hashes", "hot")), strict=True):
-        known.append(np.uint64(b << 32) | np.frombuffer(h, "<u4").astype(np.uint64))
-        hot.append(np.unpackbits(np.frombuffer(w, np.uint8), count=len(known[-1])).astype(bool))
-    if not known:
+def sort_runs(table: pa.Table, flags: pa.Table, levels: Levels) -> pa.Table:
+    """The runs of one segment, one per first share of the suffixes (ahead is -1) and one per share of the spans about hot
+    anchors that begin `ahead` bytes before them."""
+    if not flags.num_rows:
         return RUN.empty_table()
-    known, hot = np.concatenate(known), np.concatenate(hot)
-    order = np.argsort(known)
-    known, hot = known[order], hot[order]
-    power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
+    known: dict[int, list[dict]] = {}
+    for f in flags.to_pylist():
+        known.setdefault(f["path"], []).append(f)
+    out = []
     for r in table.to_pylist():
         s = Segment(r["ids"], r["ends"], r["data"])
         at, doc, h = s.anchors()
-        key = _bucketed(h, buckets)
-        i = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit = known[i] == key
-        at, doc, h, warm = at[hit], doc[hit], h[hit], hot[i[hit]]
-        for share, mine in _shares((h[~warm] >> np.uint64(7)) % np.uint64(shares)):
-            mine = np.flatnonzero(~warm)[mine]
-            out.append({"share": share, "seg": r["seg"], "ahead": -1, **_run(s.rows(at[mine], doc[mine]), at[mine], s.ids[doc[mine]])})
+        hit, warm = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        low = levels.low(h)
+        for p, mine in _each(levels.bucket(h)):
+            if p in known:
+                keys, hot = _known(known[p], levels)
+                i = np.minimum(np.searchsorted(keys, low[mine]), len(keys) - 1)
+                hit[mine] = keys[i] == low[mine]
+                warm[mine] = hit[mine] & hot[i]
+        head = {"unit": r["seg"], "pack": int(levels.unit(r["seg"], 2))}
+        cold, n = np.flatnonzero(hit & ~warm), len(s.data)
+        seg = lambda k: np.full(k, r["seg"], np.int64)  # noqa: B023, E731
+        if len(cold):
+            prefix = np.lib.stride_tricks.sliding_window_view(s.data, K)[np.minimum(at[cold], n - K)]
+            for p, mine in _each(levels.path(levels.share(prefix), 1)):
+                mine = cold[mine]
+                out.append({"path": p, **head, "ahead": -1, **_run(s.rows(at[mine], doc[mine]), at[mine], s.ids[doc[mine]], seg(len(mine)))})
         at, doc = at[warm], doc[warm]
         for ahead in range(BEFORE + 1) if len(at) else ():
             ok = (at - s.starts[doc] >= ahead) & (s.ends[doc] - at >= SPAN - ahead)
             begin, ids = at[ok] - ahead, s.ids[doc[ok]]
             if len(begin):
                 spans = s.spans(begin)
-                mixed = np.concatenate([(spans[lo : lo + 50_000] * power).sum(1, dtype=np.uint64) for lo in range(0, len(spans), 50_000)])
-                for share, mine in _shares((mixed >> np.uint64(33)) % np.uint64(shares)):
-                    out.append({"share": shares + share, "seg": r["seg"], "ahead": ahead, **_run(spans[mine], begin[mine], ids[mine])})
+                for p, mine in _each(levels.path(levels.hot_share(spans), 1)):
+                    out.append({"path": p, **head, "ahead": ahead, **_run(spans[mine], begin[mine], ids[mine], seg(len(mine)))})
     return pa.Table.from_pylist(out, RUN)
 
 
@@ -321,36 +460,83 @@ def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int, b
             node //= 2
 
 
-def covered(table: pa.Table) -> pa.Table:
-    """Of one share: for each segment the intervals that go."""
-    rows = [{k: _open(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in table.sort_by([("seg", "ascending"), ("ahead", "ascending")]).to_pylist()]
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one share merged: the rows in order (of several runs, equal ones each), what each shares with the one before,
+    its smallest document; and of every occurrence its row's number, place, document and segment."""
+    rows = [{k: _open(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in table.sort_by([("unit", "ascending"), ("ahead", "ascending")]).to_pylist()]
     width = WIDTH if rows[0]["ahead"] < 0 else SPAN
     runs, shared, parts = [], [], []
     for run, common, row in merge([decoded(r["common"], r["rest"], width) for r in rows]):
         runs.append(run)
         shared.append(common)
         parts.append(row)
-    n, runs, shared = len(parts), np.array(runs), np.array(shared)
-    by_run = np.argsort(runs, kind="stable")  # entries of each run in its order
-    low = np.empty(n, np.int64)
+    by_run = np.argsort(np.array(runs), kind="stable")  # entries of each run in its order
+    low = np.empty(len(parts), np.int64)
     low[by_run] = np.concatenate([np.frombuffer(r["low"], "<i8") for r in rows])
     begin = np.cumsum([0, *(len(r["common"]) for r in rows)])
-    if width == SPAN:  # equal spans lie together
+    place, doc, seg, entry = [], [], [], []
+    for i, r in enumerate(rows):
+        place.append(np.frombuffer(r["place"], "<u4").astype(np.int64))
+        doc.append(np.frombuffer(r["doc"], "<i8"))
+        seg.append(np.frombuffer(r["seg"], "<i8"))
+        entry.append(by_run[begin[i] + np.cumsum(np.unpackbits(np.frombuffer(r["new"], np.uint8), count=len(place[-1])).astype(np.int64)) - 1])
+    matrix = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    return matrix, np.array(shared), low, np.concatenate(entry), np.concatenate(place), np.concatenate(doc), np.concatenate(seg)
+
+
+def merge_runs(table: pa.Table, levels: Levels, level: int) -> pa.Table:
+    """The runs of a pack of units for one share (of this level), merged and cut at the shares of the next."""
+    pack, path = table.column("pack")[0].as_py(), table.column("path")[0].as_py()
+    hot = path >= 1 << (levels.bits * level)
+    matrix, _, _, entry, place, doc, seg = _merged(table)
+    share = levels.hot_share(matrix) if hot else levels.share(matrix[:, :K])
+    order = np.argsort(entry, kind="stable")
+    entry, place, doc, seg = entry[order], place[order], doc[order], seg[order]
+    packs = max(1, (1 << max(0, levels.segments - 1).bit_length()) >> (levels.bits * (level + 1)))
+    out = []
+    for p, mine in _each(levels.path(share, level + 1)[entry]):
+        out.append({"path": p, "unit": pack, "pack": pack & (packs - 1), "ahead": 0 if hot else -1, **_coded(matrix[entry[mine]], place[mine], doc[mine], seg[mine])})
+    return pa.Table.from_pylist(out, RUN)
+
+
+GONE = pa.schema([("path", pa.int64()), ("unit", pa.int64()), *((c, pa.binary()) for c in ("seg", "begin", "end"))])
+
+
+def _by_unit(path: int, seg: np.ndarray, begin: np.ndarray, end: np.ndarray, levels: Levels, level: int) -> pa.Table:
+    out = []
+    for u, mine in _each(levels.unit(seg, level)) if len(seg) else ():
+        out.append({"path": path, "unit": u, "seg": _press(seg[mine].astype("<i8").tobytes()), "begin": _press(begin[mine].astype("<u4").tobytes()), "end": _press(end[mine].astype("<u4").tobytes())})
+    return pa.Table.from_pylist(out, GONE)
+
+
+def _intervals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.frombuffer(_open(x), kind) for x in table.column(c).to_pylist()] or [np.empty(0, kind)]) for c, kind in (("seg", "<i8"), ("begin", "<u4"), ("end", "<u4")))
+
+
+def split_intervals(table: pa.Table, levels: Levels, level: int) -> pa.Table:
+    """Of the shares below one of the level before: the intervals of a pack, for each of its units."""
+    return _by_unit(table.column("path")[0].as_py() >> levels.bits, *_intervals(table), levels, level - 1)
+
+
+def covered(table: pa.Table, levels: Levels) -> pa.Table:
+    """Of one share: for each unit the intervals of its segments that go."""
+    matrix, shared, low, entry, place, doc, seg = _merged(table)
+    if matrix.shape[1] == SPAN:  # equal spans lie together
         first = np.flatnonzero(shared < SPAN)
-        least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, n)))[None]
+        least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(low))))[None]
     else:
-        least = _least(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WIDTH), shared, low)
-    out = []
-    for i, r in enumerate(rows):
-        place, doc = np.frombuffer(r["place"], "<u4").astype(np.int64), np.frombuffer(r["doc"], "<i8")
-        entry = np.cumsum(np.unpackbits(np.frombuffer(r["new"], np.uint8), count=len(place)).astype(np.int64)) - 1
-        gone = least[:, by_run[begin[i] + entry]] < doc
+        least = _least(matrix, shared, low)
+    begin, end, of = [], [], []
+    for lo in range(0, len(entry), 200_000):  # blocks bound the memory of many occurrences
+        some = slice(lo, lo + 200_000)
+        gone = least[:, entry[some]] < doc[some]
         hit = gone.any(0)
-        if hit.any():
-            # Spans about one anchor overlap: their union runs from the first to the last.
-            far, near = len(least) - 1 - gone[::-1, hit].argmax(0), gone[:, hit].argmax(0)
-            out.append({"seg": r["seg"], "begin": _press((place[hit] - far).astype("<u4").tobytes()), "end": _press((place[hit] - near + SPAN).astype("<u4").tobytes())})
-    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("begin", pa.binary()), ("end", pa.binary())]))
+        # Spans about one anchor overlap: their union runs from the first to the last.
+        far, near = len(least) - 1 - gone[::-1, hit].argmax(0), gone[:, hit].argmax(0)
+        begin.append(place[some][hit] - far)
+        end.append(place[some][hit] - near + SPAN)
+        of.append(seg[some][hit])
+    return _by_unit(table.column("path")[0].as_py(), np.concatenate(of), np.concatenate(begin), np.concatenate(end), levels, levels.count)
 
 
 def _least(suffix: np.ndarray, shared: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -386,7 +572,7 @@ def cut_out(table: pa.Table, intervals: pa.Table, keep: bool) -> pa.Table:
     out = []
     for r in table.to_pylist():
         s = Segment(r["ids"], r["ends"], r["data"])
-        begin, end = (np.concatenate([np.frombuffer(_open(x), "<u4") for x in intervals.column(c).to_pylist()] or [np.empty(0, np.uint32)]) for c in ("begin", "end"))
+        _, begin, end = _intervals(intervals)
         n = len(s.data) + 1
         gone = np.cumsum(np.bincount(begin, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0 if len(begin) else np.zeros(n - 1, bool)
         for i, a, b in zip(s.ids.tolist(), s.starts.tolist(), s.ends.tolist(), strict=True):
@@ -398,14 +584,47 @@ def cut_out(table: pa.Table, intervals: pa.Table, keep: bool) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RESULT, strict=True)], schema=_RESULT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, segment_bytes: int = SEGMENT_BYTES, hot: int = HOT) -> DataFrame:
+def _with(f, levels: Levels, level: int):
+    return lambda t: f(t, levels, level)
+
+
+def hash_levels(held: DataFrame, levels: Levels) -> list[DataFrame]:
+    """The hashes by bucket and unit, level by level. Lower levels are written: what is found comes back by them."""
+    out = [held.mapInArrow(lambda batches: send_hashes(batches, levels), _spark(HASHES))]
+    for level in range(1, levels.count):
+        out[-1] = written(out[-1], "hashes")
+        out.append(out[-1].groupBy("path", "pack").applyInArrow(_with(unite_hashes, levels, level), _spark(HASHES)))
+    return out
+
+
+def known_hashes(hashes: list[DataFrame], levels: Levels) -> DataFrame:
+    """Rows (path, unit, hashes, hot): of each segment and first bucket the hashes that two documents share."""
+    flags = hashes[-1].groupBy("path").applyInArrow(lambda t: shared_hashes(t, levels), _spark(FLAGS))
+    for lower in reversed(hashes[:-1]):
+        above = flags.withColumn("parent", F.shiftright("path", levels.bits)).withColumnRenamed("unit", "pack").groupBy("parent", "pack")
+        flags = lower.groupBy("path", "pack").cogroup(above).applyInArrow(lambda t, f: flags_of_units(t, f, levels), _spark(FLAGS))
+    return flags
+
+
+def run_levels(held: DataFrame, flags: DataFrame, levels: Levels) -> list[DataFrame]:
+    """The sorted runs by share and unit, level by level."""
+    named = flags.withColumnRenamed("unit", "seg")
+    out = [held.groupBy("seg").cogroup(named.groupBy("seg")).applyInArrow(lambda t, f: sort_runs(t, f, levels), _spark(RUN))]
+    for level in range(1, levels.count):
+        out.append(out[-1].groupBy("path", "pack").applyInArrow(_with(merge_runs, levels, level), _spark(RUN)))
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, segment_bytes: int = SEGMENT_BYTES, hot: int = HOT, fan_bits: int = FAN_BITS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans (begin and end of what goes, in bytes), kept_sha256,
     and, with keep, the remaining bytes as kept."""
     held = written(segments(docs, id_col, text_col, segment_bytes), "segments")
-    n = held.select("seg").count()
-    buckets, shares = max(8, n // 4), max(8, n)
-    hashes = held.mapInArrow(lambda batches: send_hashes(batches, buckets), "bucket long, seg long, hashes binary, several binary, places binary")
-    flags = hashes.groupBy("bucket").applyInArrow(lambda t: shared_hashes(t, hot), "seg long, bucket long, hashes binary, hot binary")
-    runs = held.groupBy("seg").cogroup(flags.groupBy("seg")).applyInArrow(lambda t, f: sort_runs(t, f, buckets, shares), "share long, seg long, ahead long, common binary, rest binary, low binary, new binary, place binary, doc binary")
-    intervals = runs.groupBy("share").applyInArrow(covered, "seg long, begin binary, end binary")
-    return held.groupBy("seg").cogroup(intervals.groupBy("seg")).applyInArrow(lambda t, i: cut_out(t, i, keep), RESULT)
+    levels = Levels(held.select("seg").count(), fan_bits, hot)
+    levels.cuts = sampled_cuts(held, levels)
+    flags = known_hashes(hash_levels(held, levels), levels)
+    intervals = run_levels(held, flags, levels)[-1].groupBy("path").applyInArrow(lambda t: covered(t, levels), _spark(GONE))
+    for level in range(levels.count, 1, -1):
+        above = intervals.withColumn("parent", F.shiftright("path", levels.bits))
+        intervals = above.groupBy("parent", "unit").applyInArrow(_with(split_intervals, levels, level), _spark(GONE))
+    named = intervals.select(F.col("unit").alias("of"), "seg", "begin", "end")
+    return held.groupBy("seg").cogroup(named.groupBy("of")).applyInArrow(lambda t, i: cut_out(t, i, keep), RESULT)

@@ -43,13 +43,38 @@ def passages(seed, alphabet):
 SCHEMA = "doc_id long, text string, seg string, ids int"
 
 
-@pytest.mark.parametrize(("seed", "alphabet", "segment", "hot"), [(1, "abcdefgh éß", 12 << 20, 50_000), (2, "ab", 3_000, 50_000), (3, "abcdefghijklmnopqrstuvwxyz \0", 700, 50_000), (4, "abcdefgh \0", 2_000, 0), (5, "ab", 12 << 20, 3), (6, "abcdefghijklm", 700, 8)])
-def test_matches_brute_force(spark, seed, alphabet, segment, hot):
+@pytest.mark.parametrize(
+    ("seed", "alphabet", "segment", "hot", "fan_bits"),
+    [(1, "abcdefgh éß", 12 << 20, 50_000, 6), (2, "ab", 3_000, 50_000, 6), (3, "abcdefghijklmnopqrstuvwxyz \0", 700, 50_000, 2), (4, "abcdefgh \0", 2_000, 0, 1), (5, "ab", 12 << 20, 3, 6), (6, "abcdefghijklm", 700, 8, 1), (7, "ab ", 500, 8, 2)],
+)
+def test_matches_brute_force(spark, seed, alphabet, segment, hot, fan_bits):
+    """One level of exchange, or up to six of them."""
     rows = passages(seed, alphabet)
-    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), segment_bytes=segment, hot=hot)
+    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), segment_bytes=segment, hot=hot, fan_bits=fan_bits)
     assert result(got) == brute(rows)
 
 
+def test_rows_of_the_exchange_grow_with_the_segments(spark):
+    """Four times the segments make about four times the rows of hashes and of runs, on every level, not sixteen times."""
+    r, counts = random.Random(5), {}
+    line = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = [line(200) for _ in range(40)]
+    for n in (10, 40):
+        texts = [line(300) + "".join(r.sample(shared, 8)) + line(300) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        held = sd.written(sd.segments(docs, "doc_id", "text", 2_500), "test")
+        levels = sd.Levels(held.count(), 2)
+        assert levels.segments >= n and levels.count >= 2
+        levels.cuts = sd.sampled_cuts(held, levels)
+        hashes = sd.hash_levels(held, levels)
+        runs = sd.run_levels(held, sd.known_hashes(hashes, levels), levels)
+        counts[n] = [[df.count() for df in kind] for kind in (hashes, runs)]
+        assert all(c <= 8 * levels.segments * 4 for kind in counts[n] for c in kind)
+        assert result(sd.remove_repeats(docs, segment_bytes=2_500, fan_bits=2)) == brute([(i, t) for i, t in enumerate(texts)])
+    for few, many in zip(counts[10], counts[40], strict=True):
+        assert max(many) <= 6 * max(few)
+
+
 def test_anchors_are_shared_by_equal_spans():
     r = random.Random(3)
     shared = "".join(r.choice("abc d") for _ in range(90))
