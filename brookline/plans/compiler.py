@@ -9,6 +9,7 @@ import graphlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,9 +155,9 @@ def plan(model: dict) -> list[list[Step]]:
     return levels
 
 
-def _constant(spec: dict) -> Column:
-    v = spec["values"]
-    return F.lit(v[0]) if len(set(v)) == 1 else F.element_at(F.array(*map(F.lit, v)), (F.col("bin") + 1).cast("int"))
+def _changing(steps: list[Step], given: set[str]) -> dict[str, list[float]]:
+    """Constants whose value is not the same in all bins."""
+    return {s.makes[0]: s.spec["values"] for s in steps if s.kind == "const" and s.makes[0] not in given and len(set(s.spec["values"])) > 1}
 
 
 def _sum(names: list[str], at: Callable[[str], Column] = F.col) -> Column:
@@ -169,7 +170,7 @@ def _sum(names: list[str], at: Callable[[str], Column] = F.col) -> Column:
 def _columns(step: Step, at: Callable[[str], Column] = F.col, keys: Sequence[str] = KEYS) -> dict[str, Column]:
     """The Columns of a step that is a projection; at gives the series of the same bin."""
     if step.kind == "const":
-        return {step.makes[0]: _constant(step.spec)}
+        return {step.makes[0]: F.lit(step.spec["values"][0])}
     if step.kind == "expr":
         if "column" in step.spec:
             return {step.makes[0]: convolve(*step.spec["column"], keys)}
@@ -282,6 +283,11 @@ def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = Non
     given = set() if data is None else set(data.columns)
     if data is not None and overrides is not None:
         df = df.drop("scenario_id").crossJoin(F.broadcast(overrides.select("scenario_id").distinct()))  # a row per scenario
+    table = _changing([s for level in levels for s in level], given)
+    if table:  # one row per bin of the grid
+        bins = spark.createDataFrame(pd.DataFrame({"bin": range(int(model["grid"]["bins"])), **table}))
+        df = df.join(bins, "bin").select(*df.columns, *table)
+        given |= set(table)
     for level in levels:
         flat = [s for s in level if s.kind in ("const", "expr", "router", "allocate")]
         constants = [m for s in flat if s.kind == "const" for m in s.makes]
