@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 SPAN, K, SEGMENT_BYTES, BLOCK_BYTES, HOT = 50, 20, 12 << 20, 2 << 20, 50_000
-FAN_BITS, SAMPLED = 6, 4096
+FAN_BITS, SAMPLED = 8, 4096
 BEFORE = SPAN - K  # bytes before an anchor that a span can take in
 WIDTH = SPAN + BEFORE + 2  # of a sorted row: suffix, bytes before in reverse, how many of either lie in the document
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -161,6 +161,26 @@ def _open(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
+def _numbers(values: np.ndarray, kind: str) -> bytes:
+    """Numbers pressed byte place by byte place, as their high bytes are much alike."""
+    v = np.ascontiguousarray(values.astype(kind))
+    return _press(v.view(np.uint8).reshape(len(v), -1).T.tobytes()) if len(v) else _press(b"")
+
+
+def _read(raw: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(_open(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _rising(values: np.ndarray, kind: str) -> bytes:
+    """Numbers in order, by their differences."""
+    return _numbers(np.diff(values.astype(kind), prepend=np.zeros(1, kind)), kind)
+
+
+def _read_rising(raw: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_read(raw, kind), dtype=kind)
+
+
 @dataclass
 class Levels:
     """How the exchange is laid out for a number of segments."""
@@ -267,16 +287,16 @@ def send_hashes(batches: Iterator[pa.RecordBatch], levels: Levels) -> Iterator[p
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
             places = np.minimum(np.diff(np.append(first, len(key))), 65_535).astype("<u2")
-            out.append({"path": p, "unit": r["seg"], "pack": int(levels.unit(r["seg"], 2)), "hashes": key[first].tobytes(), "several": np.packbits(several).tobytes(), "places": _press(places.tobytes())})
+            out.append({"path": p, "unit": r["seg"], "pack": int(levels.unit(r["seg"], 2)), "hashes": _rising(key[first], levels.key), "several": _press(np.packbits(several).tobytes()), "places": _numbers(places, "<u2")})
         yield pa.RecordBatch.from_pylist(out, HASHES)
 
 
 def _united(rows: list[dict], levels: Levels) -> tuple[np.ndarray, ...]:
     """Of units' hashes: all in order, and for each distinct one where it starts there, whether two documents hold it, and
     its places."""
-    h = [np.frombuffer(r["hashes"], levels.key) for r in rows]
-    several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(x)) for r, x in zip(rows, h, strict=True)])
-    places = np.concatenate([np.frombuffer(_open(r["places"]), "<u2") for r in rows]).astype(np.int64)
+    h = [_read_rising(r["hashes"], levels.key) for r in rows]
+    several = np.concatenate([np.unpackbits(np.frombuffer(_open(r["several"]), np.uint8), count=len(x)) for r, x in zip(rows, h, strict=True)])
+    places = np.concatenate([_read(r["places"], "<u2") for r in rows]).astype(np.int64)
     every = np.concatenate(h)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -294,7 +314,7 @@ def unite_hashes(table: pa.Table, levels: Levels, level: int) -> pa.Table:
     # The packs of a pack are numbered by the low bits of its own number.
     packs = max(1, (1 << max(0, levels.segments - 1).bit_length()) >> (levels.bits * (level + 1)))
     for d, mine in _each(digit):
-        out.append({"path": rows[0]["path"] << levels.bits | d, "unit": rows[0]["pack"], "pack": rows[0]["pack"] & (packs - 1), "hashes": key[mine].tobytes(), "several": np.packbits(shared[mine]).tobytes(), "places": _press(np.minimum(places[mine], 65_535).astype("<u2").tobytes())})
+        out.append({"path": rows[0]["path"] << levels.bits | d, "unit": rows[0]["pack"], "pack": rows[0]["pack"] & (packs - 1), "hashes": _rising(key[mine], levels.key), "several": _press(np.packbits(shared[mine]).tobytes()), "places": _numbers(np.minimum(places[mine], 65_535), "<u2")})
     return pa.Table.from_pylist(out, HASHES)
 
 
@@ -306,18 +326,18 @@ def shared_hashes(table: pa.Table, levels: Levels) -> pa.Table:
     good[order], hot[order] = np.repeat(shared, size), np.repeat(places > levels.hot, size)
     at, out = 0, []
     for r in rows:
-        x = np.frombuffer(r["hashes"], levels.key)
+        x = _read_rising(r["hashes"], levels.key)
         g, w = good[at : at + len(x)], hot[at : at + len(x)]
         at += len(x)
         if g.any():
-            out.append({"path": r["path"], "unit": r["unit"], "hashes": x[g].tobytes(), "hot": np.packbits(w[g]).tobytes()})
+            out.append({"path": r["path"], "unit": r["unit"], "hashes": _rising(x[g], levels.key), "hot": _press(np.packbits(w[g]).tobytes())})
     return pa.Table.from_pylist(out, FLAGS)
 
 
 def _known(flags: list[dict], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
     """Flagged hashes in order, and which are hot."""
-    known = [np.frombuffer(r["hashes"], levels.key) for r in flags]
-    hot = np.concatenate([np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(x)) for r, x in zip(flags, known, strict=True)]).astype(bool)
+    known = [_read_rising(r["hashes"], levels.key) for r in flags]
+    hot = np.concatenate([np.unpackbits(np.frombuffer(_open(r["hot"]), np.uint8), count=len(x)) for r, x in zip(flags, known, strict=True)]).astype(bool)
     known = np.concatenate(known)
     order = np.argsort(known)
     return known[order], hot[order]
@@ -330,11 +350,11 @@ def flags_of_units(table: pa.Table, flags: pa.Table, levels: Levels) -> pa.Table
     known, hot = _known(flags.to_pylist(), levels)
     out = []
     for r in table.to_pylist():
-        x = np.frombuffer(r["hashes"], levels.key)
+        x = _read_rising(r["hashes"], levels.key)
         i = np.minimum(np.searchsorted(known, x), len(known) - 1)
         hit = known[i] == x
         if hit.any():
-            out.append({"path": r["path"], "unit": r["unit"], "hashes": x[hit].tobytes(), "hot": np.packbits(hot[i[hit]]).tobytes()})
+            out.append({"path": r["path"], "unit": r["unit"], "hashes": _rising(x[hit], levels.key), "hot": _press(np.packbits(hot[i[hit]]).tobytes())})
     return pa.Table.from_pylist(out, FLAGS)
 
 
@@ -354,8 +374,8 @@ def _coded(rows: np.ndarray, places: np.ndarray, ids: np.ndarray, segs: np.ndarr
     new = common < width
     first, common = np.flatnonzero(new), common[new].astype(np.uint8)
     rest = rows[first][np.arange(width) >= common[:, None]]
-    parts = {"common": common, "rest": rest, "low": np.minimum.reduceat(ids, first).astype("<i8"), "new": np.packbits(new), "place": places.astype("<u4"), "doc": ids.astype("<i8"), "seg": segs.astype("<i8")}
-    return {k: _press(v.tobytes()) for k, v in parts.items()}
+    parts = {"common": _press(common.tobytes()), "rest": _press(rest.tobytes()), "low": _numbers(np.minimum.reduceat(ids, first), "<i8"), "new": _press(np.packbits(new).tobytes())}
+    return parts | {"place": _numbers(places, "<u4"), "doc": _numbers(ids, "<i8"), "seg": _numbers(segs, "<i8")}
 
 
 def sort_runs(table: pa.Table, flags: pa.Table, levels: Levels) -> pa.Table:
@@ -463,23 +483,24 @@ def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int, b
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of one share merged: the rows in order (of several runs, equal ones each), what each shares with the one before,
     its smallest document; and of every occurrence its row's number, place, document and segment."""
-    rows = [{k: _open(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in table.sort_by([("unit", "ascending"), ("ahead", "ascending")]).to_pylist()]
+    rows = table.sort_by([("unit", "ascending"), ("ahead", "ascending")]).to_pylist()
+    coded = [(_open(r["common"]), _open(r["rest"])) for r in rows]
     width = WIDTH if rows[0]["ahead"] < 0 else SPAN
     runs, shared, parts = [], [], []
-    for run, common, row in merge([decoded(r["common"], r["rest"], width) for r in rows]):
+    for run, common, row in merge([decoded(*c, width) for c in coded]):
         runs.append(run)
         shared.append(common)
         parts.append(row)
     by_run = np.argsort(np.array(runs), kind="stable")  # entries of each run in its order
     low = np.empty(len(parts), np.int64)
-    low[by_run] = np.concatenate([np.frombuffer(r["low"], "<i8") for r in rows])
-    begin = np.cumsum([0, *(len(r["common"]) for r in rows)])
+    low[by_run] = np.concatenate([_read(r["low"], "<i8") for r in rows])
+    begin = np.cumsum([0, *(len(c) for c, _ in coded)])
     place, doc, seg, entry = [], [], [], []
     for i, r in enumerate(rows):
-        place.append(np.frombuffer(r["place"], "<u4").astype(np.int64))
-        doc.append(np.frombuffer(r["doc"], "<i8"))
-        seg.append(np.frombuffer(r["seg"], "<i8"))
-        entry.append(by_run[begin[i] + np.cumsum(np.unpackbits(np.frombuffer(r["new"], np.uint8), count=len(place[-1])).astype(np.int64)) - 1])
+        place.append(_read(r["place"], "<u4").astype(np.int64))
+        doc.append(_read(r["doc"], "<i8"))
+        seg.append(_read(r["seg"], "<i8"))
+        entry.append(by_run[begin[i] + np.cumsum(np.unpackbits(np.frombuffer(_open(r["new"]), np.uint8), count=len(place[-1])).astype(np.int64)) - 1])
     matrix = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
     return matrix, np.array(shared), low, np.concatenate(entry), np.concatenate(place), np.concatenate(doc), np.concatenate(seg)
 
@@ -505,12 +526,12 @@ GONE = pa.schema([("path", pa.int64()), ("unit", pa.int64()), *((c, pa.binary())
 def _by_unit(path: int, seg: np.ndarray, begin: np.ndarray, end: np.ndarray, levels: Levels, level: int) -> pa.Table:
     out = []
     for u, mine in _each(levels.unit(seg, level)) if len(seg) else ():
-        out.append({"path": path, "unit": u, "seg": _press(seg[mine].astype("<i8").tobytes()), "begin": _press(begin[mine].astype("<u4").tobytes()), "end": _press(end[mine].astype("<u4").tobytes())})
+        out.append({"path": path, "unit": u, "seg": _numbers(seg[mine], "<i8"), "begin": _numbers(begin[mine], "<u4"), "end": _numbers(end[mine], "<u4")})
     return pa.Table.from_pylist(out, GONE)
 
 
 def _intervals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.concatenate([np.frombuffer(_open(x), kind) for x in table.column(c).to_pylist()] or [np.empty(0, kind)]) for c, kind in (("seg", "<i8"), ("begin", "<u4"), ("end", "<u4")))
+    return tuple(np.concatenate([_read(x, kind) for x in table.column(c).to_pylist()] or [np.empty(0, kind)]) for c, kind in (("seg", "<i8"), ("begin", "<u4"), ("end", "<u4")))
 
 
 def split_intervals(table: pa.Table, levels: Levels, level: int) -> pa.Table:

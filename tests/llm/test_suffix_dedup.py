@@ -45,7 +45,7 @@ SCHEMA = "doc_id long, text string, seg string, ids int"
 
 @pytest.mark.parametrize(
     ("seed", "alphabet", "segment", "hot", "fan_bits"),
-    [(1, "abcdefgh éß", 12 << 20, 50_000, 6), (2, "ab", 3_000, 50_000, 6), (3, "abcdefghijklmnopqrstuvwxyz \0", 700, 50_000, 2), (4, "abcdefgh \0", 2_000, 0, 1), (5, "ab", 12 << 20, 3, 6), (6, "abcdefghijklm", 700, 8, 1), (7, "ab ", 500, 8, 2)],
+    [(1, "abcdefgh éß", 12 << 20, 50_000, 8), (2, "ab", 3_000, 50_000, 8), (3, "abcdefghijklmnopqrstuvwxyz \0", 700, 50_000, 2), (4, "abcdefgh \0", 2_000, 0, 1), (5, "ab", 12 << 20, 3, 6), (6, "abcdefghijklm", 700, 8, 1), (7, "ab ", 500, 8, 2)],
 )
 def test_matches_brute_force(spark, seed, alphabet, segment, hot, fan_bits):
     """One level of exchange, or up to six of them."""
