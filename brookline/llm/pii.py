@@ -13,8 +13,8 @@ confidence moves by more than SETTLED, ROUNDS times at most. A pattern with scor
 trusted: tokens in its place are found, as identifiers of kind "id", without the signs around them. So a pattern may also
 earn its trust from instances that other patterns found.
 
-Patterns with fewer than MIN_SEEDS instances can never be trusted; the others are a table, and counter-instances are counted
-in one pass over all words joined with it. Spans are in code points, end exclusive. Places are sums of the lengths of the
+Counter-instances are counted in a pass over all words joined with a table of patterns: first of those with at least
+MIN_SEEDS seeds, then, where what is found gives others such a sum, of those; no other pattern could be trusted. Spans are in code points, end exclusive. Places are sums of the lengths of the
 pieces between matches, made by doubling; look-behinds and possessive quantifiers keep the expressions linear on long runs
 and give the same matches as the plain forms below.
 
@@ -24,6 +24,8 @@ an empty table gives an empty table; other columns are left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,30 +123,36 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def counter_instances(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (c, against): how many different ordinary words stand in the place of a pattern. patterns: a table of c."""
-    words = docs.select(F.expr(_words(f"coalesce({text_col}, '')")).alias("w")).where("size(w) > 1")
-    around = """transform(w, (x, i) -> named_struct('w', x, 'c', array(
-        if(i >= 2, concat('< ', w[i - 2], ' ', w[i - 1]), null), if(i + 2 < size(w), concat('> ', w[i + 1], ' ', w[i + 2]), null), if(i >= 1 and i + 1 < size(w), concat('= ', w[i - 1], ' ', w[i + 1]), null))))"""
-    each = words.select(F.expr(f"inline(filter({around}, x -> x.w <> '0'))")).select("w", F.explode("c").alias("c"))
-    return each.join(patterns, "c").distinct().groupBy("c").agg(F.count("*").alias("against"))
-
-
-def pattern_confidence(edges: DataFrame, against: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """edges (c, v, seed): distinct pairs of pattern and instance; against (c, against). Both are tables that are cheap to
-    read again. Rows (c, confidence, total) of patterns: total is the sum of the instances' scores."""
-    scores, last = edges.groupBy("v").agg(F.max("seed").alias("score")), None
-    counts = edges.groupBy("c").count().join(against, "c", "left").select("c", (F.col("count") + F.coalesce("against", F.lit(0)) + 1).alias("n"))
-    counts = written(counts, "pattern_counts")
+    plain = f"regexp_replace(translate(btrim(coalesce({text_col}, ''), ' \t\n\x0b\f\r'), '{UPPER}', '{LOWER}'), {_quoted(TOKEN)}, '0')"
+    each = docs.select(F.expr(f"split({plain}, {_quoted(SPACE)}, -1)").alias("w")).select("w", F.posexplode("w").alias("i", "x")).where("x <> '0'")
+    at = lambda k: f"get(w, i + ({k}))"
+    sorts = f"array(concat('< ', {at(-2)}, ' ', {at(-1)}), concat('> ', {at(1)}, ' ', {at(2)}), concat('= ', {at(-1)}, ' ', {at(1)}))"
+    met = each.select("x", F.explode(F.expr(sorts)).alias("c")).where("c is not null").join(patterns, "c")
+    return met.distinct().groupBy("c").agg(F.count("*").alias("against"))
+
+
+def pattern_confidence(edges: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """edges (c, v, seed): distinct pairs of pattern and instance, a table that is cheap to read again. count(patterns) gives
+    their counter-instances (c, against). Rows (c, confidence, total) of the patterns whose instances' scores sum to
+    min_seeds at least."""
+    sizes = written(edges.groupBy("c").count(), "pattern_sizes")
+    scores, known, conf = edges.groupBy("v").agg(F.max("seed").alias("score")), None, None
     for _ in range(rounds):
-        conf = written(edges.join(scores, "v").groupBy("c").agg(F.sum("score").alias("total")).join(counts, "c").select("c", "total", (F.col("total") / F.col("n")).alias("confidence")), "confidence")
-        if last is not None:
-            moved = conf.join(last.select("c", F.col("confidence").alias("was")), "c").agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0]
+        total = written(edges.join(scores, "v").groupBy("c").agg(F.sum("score").alias("total")).where(F.col("total") >= min_seeds), "totals")
+        new = total.select("c") if known is None else total.join(known, "c", "left_anti").select("c")
+        new = written(new, "patterns")
+        if known is None or new.take(1):
+            n = new.join(count(new), "c", "left").join(sizes, "c").select("c", (F.col("count") + F.coalesce("against", F.lit(0)) + 1).alias("n"))
+            known = written(n if known is None else known.unionByName(n), "pattern_counts")
+        now = written(total.join(known, "c").select("c", "total", (F.col("total") / F.col("n")).alias("confidence")), "confidence")
+        if conf is not None:
+            moved = now.join(conf.select("c", F.col("confidence").alias("was")), "c", "left").agg(F.max(F.abs(F.col("confidence") - F.coalesce("was", F.lit(0.0))))).first()[0]
             if (moved or 0.0) <= SETTLED:
                 break
-        last = conf
-        held = F.when(F.col("total") >= min_seeds, F.col("confidence")).otherwise(0.0)
-        doubt = F.sum(F.log1p(-0.999 * held))
-        scores = edges.join(conf, "c").groupBy("v").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
-    return conf
+        conf = now
+        doubt = F.sum(F.log1p(-0.999 * F.coalesce("confidence", F.lit(0.0))))
+        scores = edges.join(conf, "c", "left").groupBy("v").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
+    return now
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,10 +163,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seeds = base.select(F.explode("seeds").alias("t")).select("t.v", F.explode("t.c").alias("c"))
     edges = seeds.select("c", "v", F.lit(1.0).alias("seed")).union(seen.select("c", "v", "seed")).groupBy("c", "v").agg(F.max("seed").alias("seed"))
     often = edges.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("c")
-    often = written(often, "patterns")
-    edges = written(edges.join(often, "c"), "edges")
-    against = counter_instances(docs, often, text_col)
-    good = pattern_confidence(edges, against).where((F.col("confidence") >= CONFIDENCE) & (F.col("total") >= MIN_SEEDS)).select("c")
+    edges = written(edges.join(often, "c"), "edges")  # a pattern of fewer instances can never be trusted
+    good = pattern_confidence(edges, lambda patterns: counter_instances(docs, patterns, text_col)).where(F.col("confidence") >= CONFIDENCE).select("c")
     new = seen.join(good, "c").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", F.lit(5).alias("k"), "e")).alias("new"))
     joined = base.alias("b").join(new.alias("n"), F.col("b.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("b.mark") == F.col("n.mark")), "left")
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
