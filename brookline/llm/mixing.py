@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 ALPHA, KEEP, ROUNDS, SETTLED, MARGINS = 0.8, 0.7, 40, 1e-9, ("source", "lang", "topic")
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -94,19 +94,12 @@ def shares(mixed: DataFrame, margin: str, alpha: float = ALPHA, target: dict[str
     return held.join(goals(held, margin, alpha, target, keep), margin).select(margin, "tokens", "goal", "expected")
 
 
-def _unused(name: str, columns: list[str]) -> str:
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, alpha: float = ALPHA, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """docs with topic, tokens, probability and sampled."""
     kept = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]
     counted = docs.withColumn("tokens", F.greatest(token_count(F.col(text_col)), F.lit(1)))
     counted = counted.withColumn("topic", F.coalesce(topic if topic is not None else form_topic(F.coalesce(F.col(text_col), F.lit("")), F.col("tokens")), F.lit("(none)")))
-    names = {m: _unused(f"cell_{m}", counted.columns) for m in MARGINS}
+    names = {m: unused(f"cell_{m}", counted.columns) for m in MARGINS}
     keys = [F.coalesce(F.col(m).cast("string"), F.lit("(none)")).alias(names[m]) for m in MARGINS]
     cells = written(counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).toDF(*MARGINS, "tokens"), "cells")
     raked = written(rake(cells, alpha=alpha, targets=targets, keep=keep, rounds=rounds), "raked")

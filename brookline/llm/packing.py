@@ -139,9 +139,10 @@ def cut(doc_ids: list, starts: list[int], ids: list[bytes], window: int = WINDOW
 def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tape = written(tokenise(docs, path, id_col, text_col, end_id), "tape")
+    # One row of two numbers per partition of the input, as many as tasks: the prefix sum over them is a window over all of
+    # them (16 MB for a million partitions), and the join broadcasts the written table only where its size allows it.
     totals = tape.groupBy("part").agg(F.sum("n").alias("total"))
-    # One row per partition of the input: as many as tasks, so the prefix sum and the broadcast stay small.
-    base = totals.select("part", (F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("base"))
+    base = written(totals.select("part", (F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("base")), "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,5 +150,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
                 some = b.slice(lo, 1000)
                 yield cut(*(some.column(i).to_pylist() for i in range(3)), window)
 
-    placed = tape.join(F.broadcast(base), "part").select("doc_id", (F.col("start") + F.coalesce("base", F.lit(0))).alias("at"), "ids")
+    placed = tape.join(base, "part").select("doc_id", (F.col("start") + F.coalesce("base", F.lit(0))).alias("at"), "ids")
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

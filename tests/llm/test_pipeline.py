@@ -43,12 +43,43 @@ def test_stages_return_documents(spark, sf_dir):
         n = docs.count()
 
 
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "A text of some words, which is fine.", "en", "s", 9), (None, None, "en", None, 9),
+    (4, "word " * 30_000, "de", None, 5), (4, "word " * 30_000, "de", None, 5), (5, "word " * 29_999 + " word", "de", "x", 5), (6, "Another text, which repeats an id.", None, "s", 1), (6, "And one more text with that id.", None, "s", 1),
+]
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_stages_on_odd_rows(spark, sf_dir):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "A text of some words, which is fine.", "en", "s", 9), (4, "word " * 30_000, "de", None, 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in cp.STAGES:
-        assert stage(spark, docs, sf_dir).count() <= 60
-        stage(spark, docs.limit(0), sf_dir).count()
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids: whole rows against plain versions."""
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA).repartition(3)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    score = quality.learn(docs, table(spark, sf_dir, "labels")).score
+    good = [r for r in ODD if score(quality.np.array([quality.features(r[1])]))[0] >= quality.THRESHOLD]
+    assert rows(cp.quality_stage(spark, docs, sf_dir)) == sorted(good, key=str)
+    distinct = [ODD[0], ODD[3], ODD[5], ODD[8], ODD[9]]  # of equal texts the longest, then the smallest id, null last
+    assert rows(cp.exact_stage(spark, docs, sf_dir)) == sorted(distinct, key=str)
+    assert rows(cp.near_stage(spark, docs, sf_dir)) == sorted(distinct, key=str)
+    drawn = lambda r: int(hashlib.md5(("null" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:13], 16) / 2**52
+    want = [tuple(r)[:5] for r in mixing.mix(docs).select(*docs.columns, "probability").collect() if drawn(r) < r.probability]
+    assert rows(cp.mixing_stage(spark, docs, sf_dir)) == sorted(want, key=str)
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    pieces = cp.packing_stage(spark, docs, sf_dir).collect()
+    assert sum(r.length for r in pieces) == sum(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ODD)
+    ends = sorted((r.sequence_id * packing.WINDOW + r.offset, r.length) for r in pieces)
+    assert [a for a, _ in ends] == [0, *(a + n for a, n in ends)][:-1]
+
+
+def test_stages_on_an_empty_table_and_clashing_columns(spark, sf_dir):
+    docs = spark.createDataFrame(ODD, ODD_SCHEMA)
+    more = docs.selectExpr("*", "1 as _quality_score", "1 as quality_score", "12 as row_key", "13 as key", "14 as n", "2 as sha", "3 as fp", "4 as component_id", "5 as tokens", "6 as topic", "7 as probability", "8 as sampled", "9 as cell_lang", "10 as keep_id", "11 as part")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        if name != "packing":
+            plain, clash = stage(spark, docs, sf_dir), stage(spark, more, sf_dir)
+            assert clash.columns == more.columns, name
+            assert sorted(map(tuple, clash.select(*docs.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str), name
+            assert clash.select(*more.columns[5:]).distinct().count() <= 1, name  # the other columns keep their values
 
 
 def test_dedup_stages_decide_by_row(spark, sf_dir):
