@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .functions import metrics as M
 from .functions.arith import fires
 from .operators import checks, routing, state
 from .plans.compiler import by_class, class_series, evaluate
-from .queries import _FOUND, _edges, _found, _nodes, query, r6, users
+from .queries import _FOUND, _edges, _found, _nodes, hours, query, r6, users
+from .sources import series_files
 from .sources.events import outside
+from .sources.shared import fresh
 
 DAYS, BY = 30, ("scenario_id", "user_id")
 
@@ -238,3 +241,29 @@ def node_kinds(spark, sf):
 def by_type_nodes(spark, sf) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "user_id").distinct()
     return e.groupBy(F.concat(F.lit("e:"), F.col("event_type")).alias("node_id"), F.col("event_type").alias("kind")).agg(F.count("*").alias("users"))
+
+
+@query("with $H, l as (select bin, s as series_id, c as class_id, v as value from (select bin, unnest(['arrivals@web', 'queue@web@gold']) as s, unnest(['DEFAULT', 'gold']) as c, unnest([arrivals, served]) as v from h)) select series_id, class_id, bin, value from l")
+def run_parquet(spark, sf):
+    """A run written with its outputs alone, and read again."""
+    wide = hours(spark, sf).select("scenario_id", "bin", F.col("arrivals").alias("arrivals@web"), F.col("served").alias("queue@web@gold"), F.col("errors").alias("errors@web"))
+    root = fresh(spark, "runs")
+    series_files.write_run(wide, wide.columns[2:], root, "r", {"outputs": [{"series": "arrivals@web"}, {"series": "QUEUE@web@gold"}]})
+    return series_files.read_run(spark, root, "r").select("series_id", "class_id", "bin", "value")
+
+
+@query("with $H select s as series_id, 'DEFAULT' as class_id, bin, v as value from (select bin, unnest(['arrivals', 'served']) as s, unnest([arrivals, served]) as v from h)")
+def run_csv(spark, sf):
+    """A run as files per series, and read again in one read."""
+    root = fresh(spark, "runs")
+    series_files.write_csv_run(hours(spark, sf).select("scenario_id", "bin", "arrivals", "served"), ["arrivals", "served"], root, "r")
+    return series_files.read_csv_run(spark, root, "r")
+
+
+@query("with $U, n as (select user_id, bin, unnest(['view', 'click']) as c, unnest([arrivals, served]) as v from u) select user_id as node_id, 'partial' as coverage, 'refund' as missing_classes, (select count(*) from n m where m.user_id = n.user_id and v = 0) as gaps, 2 as schema_version from n group by 1")
+def capture_classes(spark, sf):
+    """Telemetry by class with zeros as gaps, filled again, and how far the classes cover each node."""
+    long = users(spark, sf).select("scenario_id", F.col("user_id").alias("node_id"), "bin", F.col("arrivals").alias("view"), F.col("served").alias("click")).unpivot(["scenario_id", "node_id", "bin"], ["view", "click"], "class_id", "v")
+    total = F.sum("v").over(W.partitionBy("scenario_id", "node_id", "bin"))
+    broken = long.withColumn("total", total).withColumn("value", F.when(F.col("v") > 0, F.col("v"))).drop("v")
+    return series_files.capture_classes(broken, ["view", "click", "refund"], fresh(spark, "capture")).select("node_id", "coverage", "missing_classes", "gaps", "schema_version")

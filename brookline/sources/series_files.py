@@ -8,9 +8,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..operators.checks import check
+from ..operators.routing import class_coverage
 from ..operators.summary import fill_gaps
-from ..plans.model import model_hash
+from ..plans.model import model_hash, outputs
 
 LONG = "run_id string, scenario_id long, series_id string, class_id string, bin long, value double"
 
@@ -27,41 +30,54 @@ def resolve(uri: str, base: str) -> str:
     return path if path.startswith("/") else f"{base.rstrip('/')}/{path}"
 
 
-def read_series(spark: SparkSession, path: str, bins: int) -> DataFrame:
-    """bin_index[,classId],value on a grid of `bins`: bins that are absent are 0, blank values NaN; bins out of range or
-    twice are an error."""
-    head = spark.read.text(path).limit(1).first()
-    if head is None:
-        raise SeriesError(f"{path} is empty")
-    names = [c.strip().lower() for c in head.value.split(",")]
-    schema = ", ".join("bin long" if n in ("bin_index", "t", "bin") else "value string" if n == "value" else f"`{n}` string" for n in names)
-    rows = spark.read.schema(schema).option("header", True).csv(path).select("bin", F.coalesce(F.expr("try_cast(nullif(trim(value), '') as double)"), F.lit(float("nan"))).alias("value"))
-    bad = rows.groupBy("bin").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("bin").isNull() | ~F.col("bin").between(0, bins - 1)).first()
+def read_all(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows (name, bin, value) of all the named files bin_index[,classId],value in one read; blank values are NaN."""
+    names = {f: name for name, path in paths.items() for f in spark.read.text(path).inputFiles()}  # a listing, no job
+    of = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    lines = spark.read.text(list(paths.values())).select(of[F.input_file_name()].alias("name"), F.split("value", ",").alias("c"))
+    lines = lines.where(F.size("c") > 1).withColumn("bin", F.expr("try_cast(trim(c[0]) as long)"))
+    rows = lines.where("bin is not null or not rlike(trim(c[0]), '^[A-Za-z_]')")  # what begins with a letter is a header
+    return rows.select("name", "bin", F.coalesce(F.expr("try_cast(nullif(trim(element_at(c, -1)), '') as double)"), F.lit(float("nan"))).alias("value"))
+
+
+def _on_grid(spark: SparkSession, paths: dict[str, str], bins: int) -> DataFrame:
+    """Files side by side on a grid of `bins`: bins that are absent are 0; bins out of range or twice are an error."""
+    rows = read_all(spark, paths)
+    bad = rows.groupBy("name", "bin").agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col("bin").isNull() | ~F.col("bin").between(0, bins - 1)).first()
     if bad:
-        raise SeriesError(f"{path}: bin {bad.bin} is out of range or occurs twice")
-    return spark.range(bins).select(F.col("id").alias("bin")).join(rows, "bin", "left").select("bin", F.coalesce("value", F.lit(0.0)).alias("value"))
+        raise SeriesError(f"{paths[bad.name]}: bin {bad.bin} is out of range or occurs twice")
+    side = rows.groupBy("bin").pivot("name", list(paths)).agg(F.first("value"))
+    return spark.range(bins).select(F.col("id").alias("bin")).join(side, "bin", "left").select("bin", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in paths])
 
 
-def read_roles(spark: SparkSession, roles: dict[str, str], bins: int) -> DataFrame:
-    """A node's role series side by side; failures default to errors."""
-    out = None
-    for role, path in roles.items():
-        one = read_series(spark, path, bins).withColumnRenamed("value", role)
-        out = one if out is None else out.join(one, "bin")
-    if out is not None and "failures" not in out.columns and "errors" in out.columns:
+def read_series(spark: SparkSession, path: str, bins: int) -> DataFrame:
+    """One file on a grid: (bin, value)."""
+    if spark.read.text(path).limit(1).first() is None:
+        raise SeriesError(f"{path} is empty")
+    return _on_grid(spark, {"value": path}, bins)
+
+
+def read_roles(spark: SparkSession, roles: dict[str, str | None], bins: int, parallelism: float | None = None) -> DataFrame:
+    """A node's role series side by side, in one read; failures default to errors. A role without a file (a constraint that
+    names none) is NaN throughout; parallelism counts only where it is a positive number, else it is null."""
+    files = {r: p for r, p in roles.items() if p}
+    out = _on_grid(spark, files, bins) if files else spark.range(bins).select(F.col("id").alias("bin"))
+    out = out.withColumns({r: F.lit(float("nan")) for r, p in roles.items() if not p} or {})
+    if parallelism is not None:
+        out = out.withColumn("parallelism", F.lit(float(parallelism) if 0 < parallelism < float("inf") else None).cast("double"))
+    if "failures" not in out.columns and "errors" in out.columns:
         out = out.withColumn("failures", F.col("errors"))
     return out
 
 
 def read_ordered(spark: SparkSession, path: str, bins: int) -> DataFrame:
-    """Telemetry t,value: the values in order of t are the bins, and as many as those."""
-    rows = spark.read.schema("t long, value double").option("header", True).csv(path)
-    n = rows.count()
-    if n != bins:
-        raise SeriesError(f"{path}: {n} rows for {bins} bins")
-    from pyspark.sql import Window as W
-
-    return rows.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("t")) - 1).cast("long").alias("bin"), "value")  # a series has 10 000 bins at most
+    """Telemetry t,value: the values of a file in order of t are the bins, and as many as those."""
+    rows = spark.read.schema("t long, value double").option("header", True).csv(path).withColumn("_file", F.input_file_name())
+    wrong = rows.groupBy("_file").count().where(F.col("count") != bins).first()
+    if wrong or not rows.take(1):
+        raise SeriesError(f"{path}: {wrong['count'] if wrong else 0} rows for {bins} bins")
+    at = F.row_number().over(W.partitionBy("_file").orderBy("t")) - 1
+    return rows.select(at.cast("long").alias("bin"), "value")
 
 
 def ingest(spark: SparkSession, path: str) -> DataFrame:
@@ -92,17 +108,49 @@ def kind_of(name: str) -> str:
     return "flow"
 
 
-def write_run(df: DataFrame, series: Sequence[str], root: str, run: str, model: dict | None = None, tags: Sequence[str] = ()) -> None:
-    """A run as partitioned Parquet (series) and a manifest with a digest of the values."""
+def digests(rows: DataFrame) -> DataFrame:
+    """SHA-256 of the values of each series (scenario_id, series_id, class_id, bin, value), in order of scenario and bin."""
+    one = F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda x: F.concat_ws(":", x["bin"], F.coalesce(x["value"].cast("string"), F.lit("null"))))
+    each = rows.groupBy("series_id", "class_id", "scenario_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(one, ",").cast("binary"), 256).alias("sha"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scenario_id", "sha"))), lambda x: x["sha"]), ",")
+    return each.groupBy("series_id", "class_id").agg(F.sum("n").alias("points"), F.sha2(whole.cast("binary"), 256).alias("sha256"))
+
+
+def _manifest(run: str, series: Sequence[str], model: dict | None, tags: Sequence[str], **more) -> str:
+    made = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return json.dumps({"run_id": run, "model_hash": model_hash(model) if model else None, "created": made, "tags": list(tags), "series": [{"id": s, "kind": kind_of(s)} for s in series], **more})
+
+
+def _long(df: DataFrame, series: Sequence[str], run: str) -> DataFrame:
     long = df.unpivot(["scenario_id", "bin"], list(series), "series_id", "value").where(~F.col("series_id").startswith("__temp_"))
     parts = F.split("series_id", "@")
-    rows = long.select(F.lit(run).alias("run_id"), "scenario_id", "series_id", F.coalesce(F.get(parts, F.lit(2)), F.lit("DEFAULT")).alias("class_id"), "bin", "value")
+    return long.select(F.lit(run).alias("run_id"), "scenario_id", "series_id", F.coalesce(F.get(parts, F.lit(2)), F.lit("DEFAULT")).alias("class_id"), "bin", "value")
+
+
+def write_run(df: DataFrame, series: Sequence[str], root: str, run: str, model: dict | None = None, tags: Sequence[str] = ()) -> None:
+    """A run as partitioned Parquet (series; of a model with outputs, those), an index with a SHA-256 of each, and a manifest."""
+    series = outputs(model, list(series)) if model else list(series)
+    rows, spark = _long(df, series, run), df.sparkSession
     rows.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/series/{run}")
-    spark = df.sparkSession
-    index = rows.groupBy("series_id", "class_id").agg(F.count("*").alias("points"), F.bit_xor(F.xxhash64("scenario_id", "bin", "value")).alias("digest"))
-    index.select(F.lit(run).alias("run_id"), "*").write.mode("overwrite").json(f"{root}/index/{run}")
-    manifest = {"run_id": run, "model_hash": model_hash(model) if model else None, "created": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "tags": list(tags), "series": [{"id": s, "kind": kind_of(s)} for s in series]}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").write.mode("overwrite").text(f"{root}/manifest/{run}")
+    kept = read_run(spark, root, run)
+    digests(kept).select(F.lit(run).alias("run_id"), "*").write.mode("overwrite").json(f"{root}/index/{run}")
+    spark.createDataFrame([(_manifest(run, series, model, tags),)], "value string").write.mode("overwrite").text(f"{root}/manifest/{run}")
+
+
+def write_csv_run(df: DataFrame, series: Sequence[str], root: str, run: str, model: dict | None = None, tags: Sequence[str] = ()) -> None:
+    """A run of scenario 0 as a folder of bin_index,value files per series, with index and manifest beside it."""
+    series = outputs(model, list(series)) if model else list(series)
+    rows, spark = _long(df.where("scenario_id = 0"), series, run), df.sparkSession
+    rows.select("series_id", F.col("bin").alias("bin_index"), "value").repartition("series_id").sortWithinPartitions("series_id", "bin_index").write.mode("overwrite").option("header", True).partitionBy("series_id").csv(f"{root}/{run}/series")
+    digests(rows).write.mode("overwrite").json(f"{root}/{run}/index")
+    spark.createDataFrame([(_manifest(run, series, model, tags),)], "value string").write.mode("overwrite").text(f"{root}/{run}/manifest")
+
+
+def read_csv_run(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """(series_id, class_id, bin, value) of such a folder, all its files in one read; the index names the series."""
+    index = spark.read.json(f"{root}/{run}/index").select("series_id", "class_id")
+    rows = spark.read.schema("bin_index long, value double, series_id string").option("header", True).csv(f"{root}/{run}/series")
+    return rows.join(index, "series_id").select("series_id", "class_id", F.col("bin_index").alias("bin"), "value")
 
 
 def read_run(spark: SparkSession, root: str, run: str) -> DataFrame:
@@ -134,12 +182,26 @@ def capture(df: DataFrame, series: str, path: str, missing: str = "zero", invali
     return filled.where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
 
 
+def capture_classes(classes: DataFrame, declared: Sequence[str], path: str, missing: str = "zero", invalid: str = "zero") -> DataFrame:
+    """Telemetry of nodes by class (node_id, scenario_id, class_id, bin, total, value) as bin_index,classId,value files per
+    node, with a manifest of how far the declared classes cover each node; gives the manifest's rows."""
+    filled = fill_gaps(classes, "value", missing, invalid)
+    filled.select("node_id", F.col("bin").alias("bin_index"), F.col("class_id").alias("classId"), "value").write.mode("overwrite").option("header", True).partitionBy("node_id").csv(f"{path}/series")
+    gaps = filled.groupBy("node_id").agg(F.count("gap").alias("gaps"))
+    rows = class_coverage(filled, declared).join(gaps, "node_id").withColumn("schema_version", F.lit(2))
+    rows.write.mode("overwrite").json(f"{path}/manifest")
+    return classes.sparkSession.read.schema(rows.schema).json(f"{path}/manifest")
+
+
 def bundle(df: DataFrame, series: Sequence[str], root: str, model: dict, missing: str = "zero") -> dict:
-    """Captured telemetry of several series with the model, as a run: each series filled by policy, gaps counted per series."""
+    """Captured telemetry of several series with the model, as a run: each series filled by policy, gaps counted per series,
+    and the rules of conservation that the filled series break."""
     filled = df
     for s in series:
         filled = fill_gaps(filled, s, missing, "zero").withColumnRenamed("gap", f"_gap_{s}")
     counts = filled.agg(*[F.sum(F.col(f"_gap_{s}").isNotNull().cast("long")).alias(s) for s in series]).first().asDict()
     name = f"bundle_{model_hash(model)[:16]}"
     write_run(filled.select("scenario_id", "bin", *series), series, root, name, model, ["telemetry"])
-    return {"run_id": name, "gaps": counts}
+    nodes = filled.withColumn("node_id", F.lit("bundle"))
+    broken = {r.code: r.n for r in check(nodes).collect()} if {"arrivals", "served"} <= set(series) else {}  # a row per rule
+    return {"run_id": name, "gaps": counts, "conservation": broken}

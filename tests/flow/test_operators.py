@@ -163,6 +163,8 @@ def test_series_files(spark, tmp_path):
     (tmp_path / "e.csv").write_text("bin_index,value\n0,3\n")
     roles = series_files.read_roles(spark, {"served": f"{tmp_path}/a.csv", "errors": f"{tmp_path}/e.csv"}, 4)
     assert [r.failures for r in roles.orderBy("bin").collect()] == [3, 0, 0, 0]
+    more = series_files.read_roles(spark, {"served": f"{tmp_path}/a.csv", "limit": None}, 4, parallelism=-1).orderBy("bin").collect()
+    assert all(r.limit != r.limit and r.parallelism is None for r in more) and more[0].served == 1.5
     (tmp_path / "t.csv").write_text("t,value\n20,2\n10,1\n")
     assert [r.value for r in series_files.read_ordered(spark, f"{tmp_path}/t.csv", 2).orderBy("bin").collect()] == [1, 2]
     (tmp_path / "i.tsv").write_text("bin\tvalue\n1\t1,200\n0\t3\n")
