@@ -10,8 +10,8 @@ from .functions import metrics as M
 from .functions.arith import fires
 from .operators import checks, routing, state
 from .plans.compiler import by_class, class_series, evaluate
-from .queries import _FOUND, _edges, _found, _nodes, hours, query, r6, users
-from .sources import series_files
+from .queries import _FOUND, _artifacts, _edges, _found, _nodes, hours, query, r6, users
+from .sources import registry, series_files
 from .sources.events import outside
 from .sources.shared import fresh
 
@@ -267,3 +267,19 @@ def capture_classes(spark, sf):
     total = F.sum("v").over(W.partitionBy("scenario_id", "node_id", "bin"))
     broken = long.withColumn("total", total).withColumn("value", F.when(F.col("v") > 0, F.col("v"))).drop("v")
     return series_files.capture_classes(broken, ["view", "click", "refund"], fresh(spark, "capture")).select("node_id", "coverage", "missing_classes", "gaps", "schema_version")
+
+
+_RELATED = "p as (select a.o_orderkey as id, b.o_orderkey as other, a.o_orderdate as x, b.o_orderdate as y from orders a join orders b on a.o_custkey = b.o_custkey union select a.o_orderkey, b.o_orderkey, a.o_orderdate, b.o_orderdate from orders a join orders b on a.o_orderdate = b.o_orderdate union select a.o_orderkey, b.o_orderkey, a.o_orderdate, b.o_orderdate from orders a join orders b on a.o_custkey % 97 = b.o_custkey % 97 and abs(date_diff('day', a.o_orderdate, b.o_orderdate)) < 3)"
+
+
+@query(f"with {_RELATED} select id, rank, other, gap::bigint as gap from (select id, other, abs(epoch(x) - epoch(y)) as gap, row_number() over (partition by id order by abs(epoch(x) - epoch(y)), other) as rank from p where id <> other) where rank <= 5")
+def related_models(spark, sf):
+    """Related runs, a shared model within three days among the reasons."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 97).alias("model_id"))
+    return registry.related(_artifacts(spark, sf).join(o, "id"), model_hours=72).select("id", F.col("rank").cast("long").alias("rank"), "other", "gap")
+
+
+@query("with t as (select o_custkey as c from orders where o_orderkey in (1, 2, 3)) select o_orderkey as id, o_orderpriority as title from orders where o_orderstatus <> 'P' and o_custkey in (select c from t) and o_orderkey not in (1, 2, 3)")
+def registry_related(spark, sf):
+    """A search among what is related to some artifacts."""
+    return registry.search(_artifacts(spark, sf), related_to=[1, 2, 3]).select("id", "title")

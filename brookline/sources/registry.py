@@ -12,15 +12,25 @@ from pyspark.sql import Window as W
 ORDERS = ("id", "title", "size", "modified", "created")
 
 
-def search(artifacts: DataFrame, kind: str | None = None, text: str | None = None, tags: Sequence[str] = (), created: tuple | None = None, size: tuple | None = None, template: str | None = None, archived: bool = False) -> DataFrame:
-    """Filters that Spark pushes to the scan where it can."""
+def search(artifacts: DataFrame, kind: str | None = None, text: str | None = None, tags: Sequence[str] = (), created: tuple | None = None, size: tuple | None = None, template: str | None = None, archived: bool = False, model: str | None = None, related_to: Sequence = ()) -> DataFrame:
+    """Filters that Spark pushes to the scan where it can. text is looked for in ids, titles and tags; related_to keeps what
+    shares a tag or the model with one of these ids."""
     out = artifacts if archived else artifacts.where(~F.coalesce("archived", F.lit(False)))
     if kind:
         out = out.where(F.lower("kind") == kind.lower())
     if template:
         out = out.where(F.lower("template_id") == template.lower())
     if text:
-        out = out.where(F.contains(F.lower(F.concat_ws(" ", "id", "title")), F.lit(text.lower())))
+        out = out.where(F.contains(F.lower(F.concat_ws(" ", "id", "title", "tags")), F.lit(text.lower())))
+    if model:
+        out = out.where(F.lower("model_id") == model.lower())
+    if related_to:
+        to = artifacts.where(F.col("id").isin(*related_to))
+        by_tag = to.select(F.explode("tags").alias("tag")).distinct()
+        near = out.select("id", F.explode("tags").alias("tag")).join(by_tag, "tag").select("id")
+        if "model_id" in artifacts.columns:
+            near = near.unionByName(out.select("id", "model_id").join(to.select("model_id").distinct(), "model_id").select("id"))
+        out = out.where(~F.col("id").isin(*related_to)).join(near.distinct(), "id", "left_semi")
     if tags:
         out = out.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     for name, bounds in (("created", created), ("size", size)):
@@ -72,8 +82,9 @@ def _nearest(at: DataFrame, by: str, k: int) -> DataFrame:
     return near.select(by, "at", F.slice(F.array_sort(every), 1, k + 1).alias("near"))
 
 
-def related(runs: DataFrame, hours: float = 1.0, k: int = 5) -> DataFrame:
-    """For each run the k nearest others that share a tag or were created within some hours.
+def related(runs: DataFrame, hours: float = 1.0, k: int = 5, model_hours: float = 24.0) -> DataFrame:
+    """For each run the k nearest others that share a tag, were created within some hours, or share the model (column
+    model_id, if there is one) and were created within model_hours.
 
     The nearest of a tag, and of the slots of so many hours around a run, are found among neighbours in time order; work
     grows with the runs, not with pairs of them."""
@@ -84,6 +95,10 @@ def related(runs: DataFrame, hours: float = 1.0, k: int = 5) -> DataFrame:
     slot = F.floor(F.col("at") / width)
     slots = a.select("id", "at", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
     by_slot = a.select("id", "at", slot.alias("slot")).join(_nearest(slots, "slot", k), ["slot", "at"]).select("id", F.filter("near", lambda x: x["gap"] < width).alias("near"))
+    if "model_id" in runs.columns:
+        modelled = runs.select("id", "model_id", F.unix_timestamp(F.col("created").cast("timestamp")).alias("at")).where("model_id is not null")
+        by_model = modelled.join(_nearest(modelled, "model_id", k), ["model_id", "at"])
+        by_tag = by_tag.unionByName(by_model.select("id", F.filter("near", lambda x: x["gap"] < 3600 * model_hours).alias("near")))
     pairs = by_tag.unionByName(by_slot).select("id", F.explode("near").alias("x")).select("id", "x.other", "x.gap").where("id <> other").distinct()
     rank = F.row_number().over(W.partitionBy("id").orderBy("gap", "other"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "gap")
