@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from .functions import metrics as M
 from .functions.arith import fires
 from .operators import checks, routing, state
-from .plans.compiler import by_class, class_series, evaluate
+from .plans.compiler import by_class, class_series, classed_series, evaluate
 from .queries import _FOUND, _artifacts, _edges, _found, _nodes, hours, query, r6, users
 from .sources import registry, series_files
 from .sources.events import outside
@@ -283,3 +283,18 @@ def related_models(spark, sf):
 def registry_related(spark, sf):
     """A search among what is related to some artifacts."""
     return registry.search(_artifacts(spark, sf), related_to=[1, 2, 3]).select("id", "title")
+
+
+@query("with $H, k as (select bin, unnest(['a', 'b']) as class_id, unnest([arrivals, served]) as value, arrivals + served as total from h), m as (select bin, class_id, case when total > 0 then least(total, 8) * value / total else 0 end as value from k), s as (select m.bin, m.class_id, m.value + coalesce(lag(k.value) over (partition by k.class_id order by k.bin), 0) as value from m join k using (bin, class_id)) select bin, 'capped' as series_id, class_id, round(value, 6) as value from m union all select bin, 'sum', class_id, round(value, 6) from s union all select bin, 'scaled', class_id, round(value * 2, 6) from m")
+def model_class_algebra(spark, sf):
+    """Classes through the expressions of a model: the least of two, a sum with a shift, a product."""
+    h = hours(spark, sf)
+    consts = [{"id": i, "kind": "const", "values": [0.0] * 720} for i in ("arrivals", "served", "errors", "purchases", "signups")]
+    m = {
+        "grid": {"bins": 720, "binSize": 1, "binUnit": "hours"}, "classes": [{"id": "a"}, {"id": "b"}],
+        "nodes": [*consts, expr("source", "arrivals + served"), expr(class_series("source", "a"), "arrivals"), expr(class_series("source", "b"), "served"), expr("capped", "MIN(source, 8)"), expr("sum", "capped + SHIFT(source, 1)"), expr("scaled", "2 * capped")],
+        "traffic": {"arrivals": [{"nodeId": "source", "classId": c, "pattern": {"kind": "constant", "ratePerBin": 1.0}} for c in "ab"]},
+    }
+    made = classed_series(evaluate(spark, m, data=h), m)
+    parts = [made[n].select("bin", F.lit(n).alias("series_id"), "class_id", r6("value").alias("value")) for n in ("capped", "sum", "scaled")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -5,6 +5,7 @@ sweep is one job with scenario_id in every partition of a window."""
 
 from __future__ import annotations
 
+import ast
 import graphlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.arith import fin, safe_div
 from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
+from ..operators import classes
 from ..operators.series import convolve, fold, gate, let, queue_depth, queue_with_limit
-from .expr import parse, reach, references, to_column
+from ..sources.shared import cut
+from .expr import number, parse, reach, references, to_column
 from .model import UNIT_MS, ModelError, nodes_of, queue_series, schema_errors, snake, topology
 
 KEYS = ("scenario_id",)
@@ -66,7 +69,7 @@ def steps_of(model: dict) -> list[Step]:
             needs = {source, *(class_series(source, c) for c in named)}
             out.append(Step("router", list(dict.fromkeys(x["target"] for x in routes)), needs, spec={"source": source, "routes": routes}))
     for node, rates in by_class.items():
-        out += [Step("const", [class_series(node, c)], set(), spec={"values": [v]}) for c, v in rates.items()]
+        out += [Step("const", [class_series(node, c)], set(), spec={"values": [v]}) for c, v in rates.items() if class_series(node, c) not in nodes_of(model)]
     for t in topology(model, "nodes"):
         s = t.get("semantics") or {}
         for c in t.get("constraints") or []:
@@ -366,3 +369,60 @@ def by_class(df: DataFrame, model: dict, keys: Sequence[str] = KEYS) -> DataFram
                 shares.setdefault(made, shares[source])
     cells = [F.struct(F.lit(n).alias("series_id"), F.lit(c).alias("class_id"), F.col(n).alias("total"), (F.col(n) * x).alias("value")) for n, own in shares.items() for c, x in own.items()]
     return df.select(*keys, "bin", F.explode(F.array(*cells)).alias("_c")).select(*keys, "bin", "_c.*")
+
+
+def classed_series(df: DataFrame, model: dict) -> dict[str, DataFrame]:
+    """An evaluated model's series by class, each (scenario_id, bin, class_id, total, value), made by the class algebra: what
+    an expression does to its operands' classes, and a queue to those of what enters and leaves. Series without classes
+    have none here. Each is written, as several others may need it."""
+    made: dict[str, DataFrame] = {}
+    keys = ["scenario_id", "bin"]
+
+    def whole(total: Column) -> DataFrame:
+        return df.select(*keys, F.lit(None).cast("string").alias("class_id"), total.cast("double").alias("total"), F.lit(None).cast("double").alias("value"))
+
+    def of(node: ast.expr) -> tuple[DataFrame, bool]:
+        """The frame of an expression, and whether it has classes."""
+        if isinstance(node, ast.Name) and node.id in made:
+            return made[node.id], True
+        inside = {x.id for x in ast.walk(node) if isinstance(x, ast.Name)}
+        if isinstance(node, ast.Call) and node.func.id.upper() == "STEP" or not inside & set(made):
+            return whole(to_column(node)), False  # what is on or off is of no class
+        if isinstance(node, ast.UnaryOp):
+            a, classed = of(node.operand)
+            return (classes.times(a, whole(F.lit(-1.0))) if isinstance(node.op, ast.USub) else a), classed
+        if isinstance(node, ast.BinOp):
+            (a, left), (b, right) = of(node.left), of(node.right)
+            if isinstance(node.op, ast.Add | ast.Sub):
+                return classes.add(a, b, 1.0 if isinstance(node.op, ast.Add) else -1.0), True
+            if isinstance(node.op, ast.Mult):
+                return (classes.times(a, b) if left else classes.times(b, a)), True
+            return (classes.over(a, b), True) if left else (whole(to_column(node)), False)
+        name, args = node.func.id.upper(), node.args
+        first, classed = of(args[2] if name == "PULSE" else args[0])
+        if name in ("MIN", "MAX"):
+            return classes.chosen(first, of(args[1])[0], name == "MIN"), True
+        if name == "CLAMP":
+            return classes.clamped(first, of(args[1])[0], of(args[2])[0]), True
+        if not classed:
+            return whole(to_column(node)), False
+        rules = {
+            "SHIFT": lambda: classes.shifted(first, int(number(args[1]))), "CONV": lambda: classes.convolved(first, [number(x) for x in args[1].elts] if isinstance(args[1], ast.List) else [number(args[1])]),
+            "PULSE": lambda: classes.pulsed(first, int(number(args[0])), int(number(args[1]))), "MOD": lambda: classes.remainder(first, number(args[1])),
+        }
+        return rules[name]() if name in rules else classes.each(first, name.lower()), True
+
+    for a in (model.get("traffic") or {}).get("arrivals") or []:
+        made.setdefault(a["nodeId"], None)
+    for node in list(made):
+        own = [a["classId"] for a in model["traffic"]["arrivals"] if a["nodeId"] == node]
+        cells = [F.struct(F.lit(c).alias("class_id"), F.col(node).cast("double").alias("total"), fin(class_series(node, c)).alias("value")) for c in own]
+        made[node] = cut(classes.norm(df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")))
+    for step in (s for level in plan(model) for s in level):
+        if step.kind == "expr" and "tree" in step.spec and step.makes[0] not in made:
+            frame, classed = of(step.spec["tree"])
+            if classed:
+                made[step.makes[0]] = cut(frame.where("class_id is not null"))
+        elif step.kind == "queue" and len(step.spec["inflow"]) == 1 and {step.spec["inflow"][0], step.spec["out"]} <= set(made):
+            made[step.makes[0]] = cut(classes.queued(made[step.spec["inflow"][0]], made[step.spec["out"]], step.spec["init"]))
+    return made
