@@ -8,13 +8,15 @@ as 0, and so does every other entity of the same kind. Texts' ends count as no w
 
 On the graph of patterns and instances, a pattern's confidence is the sum of its instances' scores over the number of its
 instances, of its counter-instances (ordinary words that stand in that very context anywhere in the corpus) and one more.
-An instance's score is the noisy-or of the confidences of its patterns (seeds score 1). Both are computed in turn until no
+An instance's score is the noisy-or of the confidences of its trusted patterns (seeds score 1). Both are computed in turn until no
 confidence moves by more than SETTLED, ROUNDS times at most. A pattern with scores of at least MIN_SEEDS and CONFIDENCE is
 trusted: tokens in its place are found, as identifiers of kind "id", without the signs around them. So a pattern may also
 earn its trust from instances that other patterns found.
 
 Counter-instances are counted in a pass over all words joined with a table of patterns: first of those with at least
-MIN_SEEDS seeds, then, where what is found gives others such a sum, of those; no other pattern could be trusted. Spans are in code points, end exclusive. Places are sums of the lengths of the
+MIN_SEEDS seeds, then, where what is found gives others such a sum, of those; no other pattern could be trusted. A pass over one text in SOME
+comes before: a pattern that stands before so many ordinary words there that it could not be trusted if all its instances
+scored 1 (a common pair of words, mostly) need not be counted in the rest. That changes no result. Spans are in code points, end exclusive. Places are sums of the lengths of the
 pieces between matches, made by doubling; look-behinds and possessive quantifiers keep the expressions linear on long runs
 and give the same matches as the plain forms below.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, SETTLED, MIN_SEEDS, CONFIDENCE = 10, 1e-9, 3, 0.6
+ROUNDS, SETTLED, MIN_SEEDS, CONFIDENCE, SOME = 10, 1e-9, 3, 0.6, 16
 
 #: Plain forms: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #: card [0-9]([\x20-]?[0-9])+   phone \+[0-9][\x20().0-9-]+[0-9]
@@ -122,18 +124,27 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def counter_instances(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (c, against): how many different ordinary words stand in the place of a pattern. patterns: a table of c."""
+    """Rows (c, against): how many different ordinary words stand in the place of a pattern; without end, where it is settled
+    early that they are too many. patterns: a table of c and count, the number of its instances."""
     plain = f"regexp_replace(translate(btrim(coalesce({text_col}, ''), ' \t\n\x0b\f\r'), '{UPPER}', '{LOWER}'), {_quoted(TOKEN)}, '0')"
-    each = docs.select(F.expr(f"split({plain}, {_quoted(SPACE)}, -1)").alias("w")).select("w", F.posexplode("w").alias("i", "x")).where("x <> '0'")
     at = lambda k: f"get(w, i + ({k}))"
     sorts = f"array(concat('< ', {at(-2)}, ' ', {at(-1)}), concat('> ', {at(1)}, ' ', {at(2)}), concat('= ', {at(-1)}, ' ', {at(1)}))"
-    met = each.select("x", F.explode(F.expr(sorts)).alias("c")).where("c is not null").join(patterns, "c")
-    return met.distinct().groupBy("c").agg(F.count("*").alias("against"))
+
+    def against(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        each = rows.select(F.expr(f"split({plain}, {_quoted(SPACE)}, -1)").alias("w")).select("w", F.posexplode("w").alias("i", "x")).where("x <> '0'")
+        met = each.select("x", F.explode(F.expr(sorts)).alias("c")).where("c is not null").join(wanted.select("c"), "c")
+        return met.distinct().groupBy("c").agg(F.count("*").cast("double").alias("against"))
+
+    first = patterns.join(against(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SOME)) == 0), patterns), "c", "left")
+    best = F.col("count") / (F.col("count") + F.coalesce("against", F.lit(0.0)) + 1)
+    first = written(first.select("c", (best >= CONFIDENCE).alias("open")), "first_counts")
+    full = against(docs, first.where("open"))
+    return first.join(full, "c", "left").select("c", F.when(F.col("open"), F.coalesce("against", F.lit(0.0))).otherwise(float("inf")).alias("against"))
 
 
 def pattern_confidence(edges: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """edges (c, v, seed): distinct pairs of pattern and instance, a table that is cheap to read again. count(patterns) gives
-    their counter-instances (c, against). Rows (c, confidence, total) of the patterns whose instances' scores sum to
+    """edges (c, v, seed): distinct pairs of pattern and instance, a table that is cheap to read again. count(patterns) gives,
+    for rows (c, count), their counter-instances (c, against). Rows (c, confidence, total) of the patterns whose instances' scores sum to
     min_seeds at least."""
     sizes = written(edges.groupBy("c").count(), "pattern_sizes")
     scores, known, conf = edges.groupBy("v").agg(F.max("seed").alias("score")), None, None
@@ -142,7 +153,8 @@ def pattern_confidence(edges: DataFrame, count: Callable[[DataFrame], DataFrame]
         new = total.select("c") if known is None else total.join(known, "c", "left_anti").select("c")
         new = written(new, "patterns")
         if known is None or new.take(1):
-            n = new.join(count(new), "c", "left").join(sizes, "c").select("c", (F.col("count") + F.coalesce("against", F.lit(0)) + 1).alias("n"))
+            sized = new.join(sizes, "c")
+            n = sized.join(count(sized), "c").select("c", (F.col("count") + F.col("against") + 1).alias("n"))
             known = written(n if known is None else known.unionByName(n), "pattern_counts")
         now = written(total.join(known, "c").select("c", "total", (F.col("total") / F.col("n")).alias("confidence")), "confidence")
         if conf is not None:
@@ -150,7 +162,7 @@ def pattern_confidence(edges: DataFrame, count: Callable[[DataFrame], DataFrame]
             if (moved or 0.0) <= SETTLED:
                 break
         conf = now
-        doubt = F.sum(F.log1p(-0.999 * F.coalesce("confidence", F.lit(0.0))))
+        doubt = F.sum(F.log1p(-0.999 * F.when(F.col("confidence") >= CONFIDENCE, F.col("confidence")).otherwise(0.0)))
         scores = edges.join(conf, "c", "left").groupBy("v").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
     return now
 

@@ -144,7 +144,7 @@ def _pii_sql() -> str:
     ]
     for r in range(10):
         steps.append(f"c{r} as materialized (select c, sum(score) as total, sum(score) / any_value(n) as conf from g join v{r} using (v) join n using (c) group by c)")
-        steps.append(f"v{r + 1} as materialized (select v, greatest(max(seed), 1 - exp(sum(ln(1 - 0.999 * case when total >= 3 then conf else 0 end)))) as score from g join c{r} using (c) group by v)")
+        steps.append(f"v{r + 1} as materialized (select v, greatest(max(seed), 1 - exp(sum(ln(1 - 0.999 * case when total >= 3 and conf >= 0.6 then conf else 0 end)))) as score from g join c{r} using (c) group by v)")
     steps += [
         "y as (select distinct doc_id, 'id' as kind, 5 as k, a, b from c semi join (select c from c9 where conf >= 0.6 and total >= 3) using (c) where exists (select 1 from u where u.doc_id = c.doc_id and u.a = c.a and u.b = c.b))",
         "z as (select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (where kind <> 'id') as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans, count(*) as n_spans, " + ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in _KINDS) + " from (select doc_id, kind, k, a, b from f union all select * from y) group by doc_id)",

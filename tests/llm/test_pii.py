@@ -103,7 +103,7 @@ def brute_ids(texts):
         doubt = {}
         for c, x in of.items():
             for v, _ in x:
-                doubt[v] = doubt.get(v, 0.0) + math.log1p(-0.999 * (conf[c] if total[c] >= pii.MIN_SEEDS else 0.0))
+                doubt[v] = doubt.get(v, 0.0) + math.log1p(-0.999 * (conf[c] if total[c] >= pii.MIN_SEEDS and conf[c] >= pii.CONFIDENCE else 0.0))
         score = {v: max(seeds[v], 1 - math.exp(d)) for v, d in doubt.items()}
     good = {c for c in of if conf[c] >= pii.CONFIDENCE and total[c] >= pii.MIN_SEEDS}
     return [sorted({(a, b) for kind, a, b, _, _, ctx in rows if kind == "id" and good & set(ctx)}) for rows in found]
@@ -155,6 +155,13 @@ def test_ordinary_words_in_a_context_count_against_it(spark):
     assert check(spark, seeds + new + words)[4].n_id == 0
 
 
+def test_patterns_that_a_part_of_the_texts_settles(spark):
+    """A common pair of words is given up after one text in SOME; what is found elsewhere is the same."""
+    texts = [f"see the of 10.0.{i // 250}.{i % 250} then my key K{i}K and" for i in range(60)] + [f"one the of w{i} more" for i in range(400)] + [f"so my key 10.1.0.{i} it" for i in range(150)]
+    got = check(spark, texts)
+    assert sum(r.n_id for r in got.values()) == 60
+
+
 def test_what_patterns_find_earns_trust_for_other_patterns(spark):
     """Seeds make "< my key" trusted; the tokens it finds stand after "< old pin" as well, which finds one more."""
     texts = [f"then my key 10.0.0.{i} it" for i in range(20)] + [f"so my key K-{i} ok" for i in range(6)] + [f"an old pin K-{i} yes" for i in range(6)] + ["the old pin Z-1 no"]
