@@ -153,7 +153,7 @@ def pattern_confidence(edges: DataFrame, count: Callable[[DataFrame], DataFrame]
         new = total.select("c") if known is None else total.join(known, "c", "left_anti").select("c")
         new = written(new, "patterns")
         if known is None or new.take(1):
-            sized = new.join(sizes, "c")
+            sized = written(new.join(sizes, "c"), "sized")  # of a known size, so that a small one is broadcast
             n = sized.join(count(sized), "c").select("c", (F.col("count") + F.col("against") + 1).alias("n"))
             known = written(n if known is None else known.unionByName(n), "pattern_counts")
         now = written(total.join(known, "c").select("c", "total", (F.col("total") / F.col("n")).alias("confidence")), "confidence")
