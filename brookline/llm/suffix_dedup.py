@@ -211,7 +211,8 @@ class Levels:
         seg = np.asarray(seg, np.int64)
         if level == 1:
             return seg
-        mixed = (seg.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        with np.errstate(over="ignore"):  # meant to wrap around
+            mixed = (seg.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         packs = max(1, (1 << (self.segments - 1).bit_length()) >> (self.bits * (level - 1))) if self.segments > 1 else 1
         return ((mixed >> np.uint64(33)) & np.uint64(packs - 1)).astype(np.int64)
 
