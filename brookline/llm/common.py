@@ -47,6 +47,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(lo, rows)
 
 
+def tasks_for(df: DataFrame, bytes_each: int, most: int = 200_000) -> int:
+    """How many tasks of so many bytes df makes by Spark's estimate of its size, as many as shuffle partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """name, or name with as many _ as it takes to be none of the columns."""
     taken = {c.lower() for c in columns}

@@ -78,7 +78,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing, op9_bm25_topk, op10_suffix_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import VOCABULARY, digests, read_ids, scratch, write_ids
+
+    path = scratch(spark)
+    write_ids(table(spark, sf_dir, "documents"), path, vocabulary(VOCABULARY))
+    return digests(read_ids(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_mixing, op4_simhash, op5_pii, op6_quality, op7_exact_dedup, op8_packing, op9_bm25_topk, op10_suffix_dedup, op11_whitening, op12_resampling, op13_token_files)}
 
 _SUFFIXES = """
         with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -152,7 +172,25 @@ def _pii_sql() -> str:
     return f"with {', '.join(steps)} select d.doc_id, " + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _KINDS) + ", sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans from documents d left join z using (doc_id)"
 
 
+_RESAMPLING = """
+        with recursive b as (select i, i as c, 0 as r from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, r + 1 from b where r < 8),
+        tab as (select list(c order by i) as t from b where r = 8),
+        w as materialized (select 's' as side, doc_id as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from documents
+            union all select 't', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) from benchmark),
+        u as (select distinct word, hex(encode(word)) as h from w),
+        k as materialized (select word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::bigint + 1, 2))::bigint)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 as bucket from u, tab),
+        n as (select bucket, count(*) filter (where side = 's')::double as s, count(*) filter (where side = 't')::double as t from w join k using (word) group by bucket),
+        a as (select sum(s) as s_all, sum(t) as t_all from n),
+        g as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from n, a),
+        f as (select id as doc_id, count(*) as n_features, sum(gain)::bigint as weight from w join k using (word) join g using (bucket) where side = 's' group by id),
+        d as (select doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h from documents left join f using (doc_id)),
+        e as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from d),
+        o as (select doc_id, row_number() over (order by score desc, doc_id) as rank from e where n_features >= 20)
+        select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from o) then rank end as rank from e left join o using (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op12_resampling": _RESAMPLING,
     "op5_pii": _pii_sql(),
     "op1_html_extract": _ARTICLES,
     "op2_license_scan": _LICENCES,
