@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from .functions import metrics as M
 from .functions.arith import fires
 from .operators import checks, routing, state
-from .plans.compiler import by_class, class_series, classed_series, evaluate
+from .plans.class_vectors import class_series
+from .plans.compiler import by_class, evaluate
 from .queries import _FOUND, _artifacts, _edges, _found, _nodes, hours, query, r6, users
 from .sources import registry, series_files
 from .sources.events import outside
@@ -28,8 +29,8 @@ def expr(name: str, text: str, **more) -> dict:
     return {"id": name, "kind": "expr", "expr": text, **more}
 
 
-def run(spark, sf, model: dict, overrides: DataFrame | None = None, derived: bool = False) -> DataFrame:
-    return evaluate(spark, model, overrides, users(spark, sf), BY, derived)
+def run(spark, sf, model: dict, overrides: DataFrame | None = None, derived: bool = False, with_classes: bool = False) -> DataFrame:
+    return evaluate(spark, model, overrides, users(spark, sf), BY, derived, with_classes)
 
 
 def work(arrivals: str, served: str, **more) -> dict:
@@ -82,7 +83,7 @@ def model_class_routes(spark, sf):
 def model_classes(spark, sf):
     """A node's series and what depends on it, split as its class arrivals are."""
     m = user_model(expr("done", "MIN(arrivals, served)"), traffic={"arrivals": [{"nodeId": "arrivals", "classId": c, "pattern": {"kind": "constant", "ratePerBin": v}} for c, v in (("new", 3.0), ("old", 1.0))]})
-    rows = by_class(run(spark, sf, m), m, BY).where(F.col("series_id").isin("arrivals", "done"))
+    rows = by_class(run(spark, sf, m, with_classes=True), m, BY).where(F.col("series_id").isin("arrivals", "done"))
     return rows.select("user_id", "bin", "series_id", "class_id", r6("value").alias("value"))
 
 
@@ -295,6 +296,5 @@ def model_class_algebra(spark, sf):
         "nodes": [*consts, expr("source", "arrivals + served"), expr(class_series("source", "a"), "arrivals"), expr(class_series("source", "b"), "served"), expr("capped", "MIN(source, 8)"), expr("sum", "capped + SHIFT(source, 1)"), expr("scaled", "2 * capped")],
         "traffic": {"arrivals": [{"nodeId": "source", "classId": c, "pattern": {"kind": "constant", "ratePerBin": 1.0}} for c in "ab"]},
     }
-    made = classed_series(evaluate(spark, m, data=h), m)
-    parts = [made[n].select("bin", F.lit(n).alias("series_id"), "class_id", r6("value").alias("value")) for n in ("capped", "sum", "scaled")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = by_class(evaluate(spark, m, data=h, with_classes=True), m).where(F.col("series_id").isin("capped", "sum", "scaled"))
+    return rows.select("bin", "series_id", "class_id", r6("value").alias("value"))

@@ -58,22 +58,23 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def fold(df: DataFrame, inputs: dict[str, Column], start: dict[str, Column], step: Callable[[Column, Callable[[str], Column]], dict[str, Column] | Column], outputs: dict[str, str], keys: Sequence[str] = KEYS) -> DataFrame:
+def fold(df: DataFrame, inputs: dict[str, Column], start: dict[str, Column], step: Callable[[Column, Callable[[str], Column]], dict[str, Column] | Column], outputs: dict[str, str], keys: Sequence[str] = KEYS, kinds: dict[str, str] | None = None) -> DataFrame:
     """A recurrence as a fold over each series' bins, by Spark's own functions: step(state, x) gives each part of the new
     state (or a struct of them) from the state before and from the bin's columns (x of an input's name, or of "bin"); outputs name parts of the
-    state, which are numbers, as columns. One array per series (10 000 bins at most in a grid) carries all other columns along, so df is
+    state as columns, of type double or what kinds says. One array per series (10 000 bins at most in a grid) carries all other columns along, so df is
     read once and nothing is joined back. Results are gathered in chunks of CHUNK bins, so that no long array is copied
     for every bin. Columns must be of types that can be ordered."""
     names = list(outputs.values())
     others = [c for c in df.columns if c not in keys and c not in names and c != "bin"]
     packed = df.withColumns({f"_in_{k}": c for k, c in inputs.items()}).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", *others, *[f"_in_{k}" for k in inputs]))).alias("_x"))
-    kind = f"array<struct<{','.join(f'{n}:double' for n in names)}>>"
+    of = lambda n: (kinds or {}).get(n, "double")
+    kind = f"array<struct<{','.join(f'{n}:{of(n)}' for n in names)}>>"
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_x") - 1) / CHUNK).cast("int")), lambda i: F.slice(F.col("_x"), i * CHUNK + 1, CHUNK))
 
     def one(t: Column, x: Column) -> Column:
         after = step(t["s"], lambda n: x["bin"] if n == "bin" else x[f"_in_{n}"])
         after = after if isinstance(after, Column) else F.struct(*[c.alias(k) for k, c in after.items()])
-        return let(after, lambda n: F.struct(n.alias("s"), F.concat(t["got"], F.array(F.struct(*[n[k].cast("double").alias(v) for k, v in outputs.items()]))).alias("got")))
+        return let(after, lambda n: F.struct(n.alias("s"), F.concat(t["got"], F.array(F.struct(*[n[k].cast(of(v)).alias(v) for k, v in outputs.items()]))).alias("got")))
 
     def some(t: Column, chunk: Column) -> Column:
         walked = F.aggregate(chunk, F.struct(t["s"].alias("s"), F.array().cast(kind).alias("got")), one)

@@ -5,10 +5,8 @@ sweep is one job with scenario_id in every partition of a window."""
 
 from __future__ import annotations
 
-import ast
 import graphlib
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,39 +15,25 @@ from pyspark.sql import functions as F
 from ..functions.arith import fin, safe_div
 from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
-from ..operators import classes
 from ..operators.series import convolve, fold, gate, let, queue_depth, queue_with_limit
-from ..sources.shared import cut
-from .expr import number, parse, reach, references, to_column
+from . import class_vectors as cv
+from .class_vectors import Step, arrivals_by_class, class_ids, class_series, is_vector, vector
+from .expr import parse, reach, references, to_column
 from .model import UNIT_MS, ModelError, nodes_of, queue_series, schema_errors, snake, topology
 
 KEYS = ("scenario_id",)
 
 
-@dataclass
-class Step:
-    """One thing to make: series `makes` from series `needs` (of the same bin) and `past` (of earlier bins)."""
-
-    kind: str
-    makes: list[str]
-    needs: set[str]
-    past: set[str] = field(default_factory=set)
-    spec: dict = field(default_factory=dict)
-
-
-def class_series(node: str, class_id: str) -> str:
-    return f"{node}__class_{class_id}"
-
-
 def steps_of(model: dict) -> list[Step]:
     out: list[Step] = []
     inflow_of: dict[str, str] = {}
     members: dict[str, list[dict]] = {}
-    by_class: dict[str, dict[str, float]] = {}
-    for a in (model.get("traffic") or {}).get("arrivals") or []:
-        by_class.setdefault(a["nodeId"], {})[a["classId"]] = float(a["pattern"]["ratePerBin"])
+    by_class = arrivals_by_class(model)
+    routed = {x["target"] for n in nodes_of(model).values() if n.get("kind") == "router" for x in n["router"]["routes"]}
     for i, n in nodes_of(model).items():
         kind = n.get("kind", "const")
+        if i in routed and kind != "router":
+            continue  # what a router sends there takes the place of the node's own values
         if kind == "const":
             out.append(Step("const", [i], set(), spec={"values": list(map(float, n["values"]))}))
         elif kind == "pmf":
@@ -64,10 +48,10 @@ def steps_of(model: dict) -> list[Step]:
             if not any(x.get("classes") for x in routes) and sum(float(x.get("weight", 1)) for x in routes) <= 0:
                 raise ModelError(f"{i}: the weights of its routes sum to nothing")
             named = [c for x in routes for c in x.get("classes") or []]
-            if unknown := [c for c in named if c not in by_class.get(source, {})]:
+            if unknown := [c for c in named if c not in by_class.get(source, class_ids(model))]:
                 raise ModelError(f"{i}: class {unknown[0]} is not among the traffic arrivals of {source}")
-            needs = {source, *(class_series(source, c) for c in named)}
-            out.append(Step("router", list(dict.fromkeys(x["target"] for x in routes)), needs, spec={"source": source, "routes": routes}))
+            needs = {source, *(class_series(source, c) for c in named if source in by_class), *({vector(source)} if named and source not in by_class else ())}
+            out.append(Step("router", list(dict.fromkeys(x["target"] for x in routes)), needs, spec={"source": source, "routes": routes, "ids": class_ids(model)}))
     for node, rates in by_class.items():
         out += [Step("const", [class_series(node, c)], set(), spec={"values": [v]}) for c, v in rates.items() if class_series(node, c) not in nodes_of(model)]
     for t in topology(model, "nodes"):
@@ -107,11 +91,14 @@ def steps_of(model: dict) -> list[Step]:
     return out
 
 
-def plan(model: dict) -> list[list[Step]]:
-    """Steps in levels; a level needs only what is before it. A cycle through lags alone is one step of kind "loop"."""
+def plan(model: dict, with_classes: bool = False) -> list[list[Step]]:
+    """Steps in levels; a level needs only what is before it. A cycle through lags alone is one step of kind "loop".
+    with_classes adds the classes of all series; those that a router needs are there anyway."""
     if errors := schema_errors(model):
         raise ModelError("; ".join(errors))
     steps = steps_of(model)
+    if with_classes or any(is_vector(x) for s in steps for x in s.needs):
+        steps += cv.class_steps(model, steps, topology(model, "nodes"))
     maker = {m: i for i, s in enumerate(steps) for m in s.makes}
     for s in steps:
         if unknown := {x for x in s.needs | s.past if x not in maker}:
@@ -180,7 +167,8 @@ def _columns(step: Step, at: Callable[[str], Column] = F.col, keys: Sequence[str
         return {step.makes[0]: to_column(step.spec["tree"], keys=keys)}
     if step.kind == "router":
         routes, source, out = step.spec["routes"], step.spec["source"], {}
-        own = lambda r: _sum([class_series(source, c) for c in r["classes"]], at)
+        explicit = lambda c: class_series(source, c) in step.needs
+        own = lambda r: sum((fin(at(class_series(source, c)) if explicit(c) else at(vector(source))[step.spec["ids"].index(c)]) for c in r["classes"]), F.lit(0.0))
         by_class = [(r["target"], own(r)) for r in routes if r.get("classes")]
         weighted = [(r["target"], float(r.get("weight", 1))) for r in routes if not r.get("classes")]
         taken, total = sum((v for _, v in by_class), F.lit(0.0)), sum(w for _, w in weighted)
@@ -194,9 +182,14 @@ def _columns(step: Step, at: Callable[[str], Column] = F.col, keys: Sequence[str
     return {n: F.when(cap <= 0, 0.0).when(total <= cap, d).otherwise(safe_div(cap * d, total)) for n, d in zip(step.makes, demand, strict=True)}
 
 
+def _entering(spec: dict, at: Callable[[str], Column] = F.col) -> Column:
+    """What a queue's constraints let in of its own inflow."""
+    return F.least(*[at(c) for c in spec["caps"]], *[at(x) for x in spec["inflow"]]) if spec["caps"] else _sum(spec["inflow"], at)
+
+
 def _flows(spec: dict, at: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
     """What enters a queue in a bin, and what leaves it. at gives the series of the same bin, and the bin."""
-    own = F.least(*[at(c) for c in spec["caps"]], *[at(x) for x in spec["inflow"]]) if spec["caps"] else _sum(spec["inflow"], at)
+    own = _entering(spec, at)
     out = F.lit(0.0)
     if spec["out"]:
         cap = at(spec["capacity"]) if spec["capacity"] else None
@@ -221,7 +214,10 @@ def _loop(df: DataFrame, step: Step, keys: Sequence[str]) -> DataFrame:
     steps, need = step.spec["steps"], sorted(step.needs)
     back: dict[str, int] = {}
     for s in steps:
-        if s.kind == "queue":
+        if s.kind == "classes":
+            for n, k in _class_reach(s).items():
+                back[n] = max(k, back.get(n, 0))
+        elif s.kind == "queue":
             back[s.makes[0]] = max(1, back.get(s.makes[0], 0))
         elif s.kind == "expr":
             name, kernel = s.spec.get("column", (None, []))
@@ -230,6 +226,9 @@ def _loop(df: DataFrame, step: Step, keys: Sequence[str]) -> DataFrame:
     back = {n: k for n, k in back.items() if k}
 
     def made_by(s: Step, now: dict[str, Column], past: Callable[[str, int], Column]) -> dict[str, Column]:
+        if s.kind == "classes":
+            value = lambda n: cv.Value(now[n], now[vector(n)] if n in s.spec["has"] and vector(n) in now else None)
+            return cv.in_fold(s, value, past, lambda: _entering(s.spec["queue"], now.__getitem__))
         if s.kind == "expr":
             if "column" in s.spec:
                 name, kernel = s.spec["column"]
@@ -251,7 +250,7 @@ def _loop(df: DataFrame, step: Step, keys: Sequence[str]) -> DataFrame:
     def one(a: Column, x: Callable[[str], Column]) -> Column:
         def go_on(i: int, now: dict[str, Column]) -> Column:
             if i == len(steps):
-                kept = [F.slice(F.concat(F.array(now[n].cast("double")), a[f"_{n}"]), 1, k).alias(f"_{n}") for n, k in back.items()]
+                kept = [F.slice(F.concat(F.array(now[n].cast(_kind(n))), a[f"_{n}"]), 1, k).alias(f"_{n}") for n, k in back.items()]
                 return F.struct(*kept, *[now[m].alias(m) for m in step.makes])
 
             def past(name: str, lag: int) -> Column:
@@ -259,13 +258,26 @@ def _loop(df: DataFrame, step: Step, keys: Sequence[str]) -> DataFrame:
                     return now["bin"] - lag
                 return F.get(a[f"_{name}"], F.lit(lag - 1)) if lag else now[name]
 
-            value = F.struct(*[c.cast("double").alias(n) for n, c in made_by(steps[i], now, past).items()])
-            return let(value, lambda v: go_on(i + 1, {**now, **{n: v[n] for n in steps[i].makes}}))
+            made = made_by(steps[i], now, past)
+            value = F.struct(*[c.cast(_kind(n)).alias(n) for n, c in made.items()])
+            return let(value, lambda v: go_on(i + 1, {**now, **{n: v[n] for n in made}}))
 
         return go_on(0, {"bin": x("bin"), **{n: x(n) for n in need}})
 
-    start = {f"_{n}": F.array().cast("array<double>") for n in back} | {m: F.lit(0.0) for m in step.makes}
-    return fold(df, {n: F.col(n) for n in need}, start, one, {m: m for m in step.makes}, keys)
+    start = {f"_{n}": F.array().cast(f"array<{_kind(n)}>") for n in back} | {m: F.lit(None).cast(_kind(m)) if is_vector(m) else F.lit(0.0) for m in step.makes}
+    return fold(df, {n: F.col(n) for n in need}, start, one, {m: m for m in step.makes}, keys, {m: _kind(m) for m in step.makes})
+
+
+def _kind(name: str) -> str:
+    return "array<double>" if is_vector(name) else "double"
+
+
+def _class_reach(s: Step) -> dict[str, int]:
+    """How many bins back a step of classes looks, at series and their vectors."""
+    if s.spec["rule"] == "queue":
+        return {f"{s.spec['of'][0]}__raw": 1}
+    own = reach(s.spec["tree"]) if s.spec["rule"] == "tree" else {s.spec["source"]: len(s.spec["kernel"]) - 1} if s.spec["rule"] == "kernel" else {}
+    return own | {vector(n): k for n, k in own.items() if n in s.spec["has"]}
 
 
 def grid(spark: SparkSession, bins: int, scenarios: DataFrame | None = None) -> DataFrame:
@@ -273,15 +285,16 @@ def grid(spark: SparkSession, bins: int, scenarios: DataFrame | None = None) ->
     return (spark.range(1).select(F.lit(0).cast("long").alias("scenario_id")) if scenarios is None else scenarios.select("scenario_id").distinct()).crossJoin(F.broadcast(base))
 
 
-def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = None, data: DataFrame | None = None, keys: Sequence[str] = KEYS, derived: bool = False) -> DataFrame:
-    """The model's series as a wide frame (scenario_id, bin, ...).
+def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = None, data: DataFrame | None = None, keys: Sequence[str] = KEYS, derived: bool = False, with_classes: bool = False) -> DataFrame:
+    """The model's series as a wide frame (scenario_id, bin, ...). with_classes adds the classes of each series that has any as
+    a column <series>__classes (an array in the order of class_ids(model)).
 
     data: a frame (keys..., bin, series...) of measured series; the model is evaluated for each of its keys, and its columns
     stand for the constants of their names. derived adds the evaluator's own columns of each topology node.
 
     overrides: rows (scenario_id, series, bin, value) replace constants, for every bin where bin is null; unknown series
     are ignored. Each scenario is evaluated; without overrides there is scenario 0."""
-    levels = plan(model)
+    levels = plan(model, with_classes)
     df = grid(spark, int(model["grid"]["bins"]), overrides) if data is None else data
     given = set() if data is None else set(data.columns)
     if data is not None and overrides is not None:
@@ -303,6 +316,8 @@ def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = Non
             df = df.join(every.toDF("scenario_id", *[f"_e_{c}" for c in constants]), "scenario_id", "left").join(single.toDF("scenario_id", "bin", *[f"_b_{c}" for c in constants]), ["scenario_id", "bin"], "left")
             df = df.withColumns({c: F.coalesce(f"_b_{c}", f"_e_{c}", c) for c in constants}).drop(*[f"_{k}_{c}" for c in constants for k in "eb"])
         for s in level:
+            if s.kind == "classes":
+                df = cv.add_vectors(df, s, keys, _entering(s.spec["queue"]) if s.spec["rule"] == "queue" else None)
             df = _queue(df, s, keys) if s.kind == "queue" else _loop(df, s, keys) if s.kind == "loop" else df
     return df.withColumns(derived_columns(model, df.columns)) if derived else df
 
@@ -352,77 +367,5 @@ def long_form(df: DataFrame, series: list[str]) -> DataFrame:
 
 
 def by_class(df: DataFrame, model: dict, keys: Sequence[str] = KEYS) -> DataFrame:
-    """An evaluated model's series by class: (scenario_id, bin, series_id, class_id, total, value).
-
-    A node with class arrivals is split in their proportion, whatever its own total is; what depends on it in the same bin
-    is split alike (of several such dependencies, the one whose name comes first)."""
-    shares: dict[str, dict[str, Column]] = {}
-    for a in (model.get("traffic") or {}).get("arrivals") or []:
-        shares.setdefault(a["nodeId"], {})[a["classId"]] = F.col(class_series(a["nodeId"], a["classId"]))
-    for node, own in shares.items():
-        whole = sum(list(own.values())[1:], list(own.values())[0])
-        shares[node] = {c: F.when(F.abs(whole) < 1e-15, 0.0).otherwise(F.try_divide(x, whole)) for c, x in own.items()}
-    for step in (s for level in plan(model) for s in level):
-        source = next((n for n in sorted(step.needs) if n in shares), None)
-        if source and step.kind != "const":
-            for made in step.makes:
-                shares.setdefault(made, shares[source])
-    cells = [F.struct(F.lit(n).alias("series_id"), F.lit(c).alias("class_id"), F.col(n).alias("total"), (F.col(n) * x).alias("value")) for n, own in shares.items() for c, x in own.items()]
-    return df.select(*keys, "bin", F.explode(F.array(*cells)).alias("_c")).select(*keys, "bin", "_c.*")
-
-
-def classed_series(df: DataFrame, model: dict) -> dict[str, DataFrame]:
-    """An evaluated model's series by class, each (scenario_id, bin, class_id, total, value), made by the class algebra: what
-    an expression does to its operands' classes, and a queue to those of what enters and leaves. Series without classes
-    have none here. Each is written, as several others may need it."""
-    made: dict[str, DataFrame] = {}
-    keys = ["scenario_id", "bin"]
-
-    def whole(total: Column) -> DataFrame:
-        return df.select(*keys, F.lit(None).cast("string").alias("class_id"), total.cast("double").alias("total"), F.lit(None).cast("double").alias("value"))
-
-    def of(node: ast.expr) -> tuple[DataFrame, bool]:
-        """The frame of an expression, and whether it has classes."""
-        if isinstance(node, ast.Name) and node.id in made:
-            return made[node.id], True
-        inside = {x.id for x in ast.walk(node) if isinstance(x, ast.Name)}
-        if isinstance(node, ast.Call) and node.func.id.upper() == "STEP" or not inside & set(made):
-            return whole(to_column(node)), False  # what is on or off is of no class
-        if isinstance(node, ast.UnaryOp):
-            a, classed = of(node.operand)
-            return (classes.times(a, whole(F.lit(-1.0))) if isinstance(node.op, ast.USub) else a), classed
-        if isinstance(node, ast.BinOp):
-            (a, left), (b, right) = of(node.left), of(node.right)
-            if isinstance(node.op, ast.Add | ast.Sub):
-                return classes.add(a, b, 1.0 if isinstance(node.op, ast.Add) else -1.0), True
-            if isinstance(node.op, ast.Mult):
-                return (classes.times(a, b) if left else classes.times(b, a)), True
-            return (classes.over(a, b), True) if left else (whole(to_column(node)), False)
-        name, args = node.func.id.upper(), node.args
-        first, classed = of(args[2] if name == "PULSE" else args[0])
-        if name in ("MIN", "MAX"):
-            return classes.chosen(first, of(args[1])[0], name == "MIN"), True
-        if name == "CLAMP":
-            return classes.clamped(first, of(args[1])[0], of(args[2])[0]), True
-        if not classed:
-            return whole(to_column(node)), False
-        rules = {
-            "SHIFT": lambda: classes.shifted(first, int(number(args[1]))), "CONV": lambda: classes.convolved(first, [number(x) for x in args[1].elts] if isinstance(args[1], ast.List) else [number(args[1])]),
-            "PULSE": lambda: classes.pulsed(first, int(number(args[0])), int(number(args[1]))), "MOD": lambda: classes.remainder(first, number(args[1])),
-        }
-        return rules[name]() if name in rules else classes.each(first, name.lower()), True
-
-    for a in (model.get("traffic") or {}).get("arrivals") or []:
-        made.setdefault(a["nodeId"], None)
-    for node in list(made):
-        own = [a["classId"] for a in model["traffic"]["arrivals"] if a["nodeId"] == node]
-        cells = [F.struct(F.lit(c).alias("class_id"), F.col(node).cast("double").alias("total"), fin(class_series(node, c)).alias("value")) for c in own]
-        made[node] = cut(classes.norm(df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")))
-    for step in (s for level in plan(model) for s in level):
-        if step.kind == "expr" and "tree" in step.spec and step.makes[0] not in made:
-            frame, classed = of(step.spec["tree"])
-            if classed:
-                made[step.makes[0]] = cut(frame.where("class_id is not null"))
-        elif step.kind == "queue" and len(step.spec["inflow"]) == 1 and {step.spec["inflow"][0], step.spec["out"]} <= set(made):
-            made[step.makes[0]] = cut(classes.queued(made[step.spec["inflow"][0]], made[step.spec["out"]], step.spec["init"]))
-    return made
+    """The series by class of a model that was evaluated with_classes: (scenario_id, bin, series_id, class_id, total, value)."""
+    return cv.class_rows(df, model, steps_of(model), topology(model, "nodes"), keys)

@@ -719,4 +719,5 @@ def by_type_of_users(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.collect_set("event_type").alias("has"))
 
 
-from . import model_queries as _models  # noqa: E402, F401  (registers its queries here)
+from . import model_queries as _models  # noqa: E402, F401  (each registers its queries here)
+from . import class_queries as _class_queries  # noqa: E402, F401

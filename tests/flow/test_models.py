@@ -155,7 +155,56 @@ def test_class_clamp_and_pulse(spark):
 def test_classes_of_a_model(spark):
     rates = {"arrivals": [{"nodeId": "ingest", "classId": c, "pattern": {"kind": "constant", "ratePerBin": v}} for c, v in (("Order", 20), ("Refund", 5))]}
     m = model(2, {"ingest": 10.0, "served": "MIN(ingest, 8)", "other": 3.0}, traffic=rates)
-    got = {(r.series_id, r.class_id): (r.total, round(r.value, 9)) for r in by_class(evaluate(spark, m), m).where("bin = 1").collect()}
+    got = {(r.series_id, r.class_id): (r.total, round(r.value, 9)) for r in by_class(evaluate(spark, m, with_classes=True), m).where("bin = 1").collect()}
     assert got == {("ingest", "Order"): (10, 8), ("ingest", "Refund"): (10, 2), ("served", "Order"): (8, 6.4), ("served", "Refund"): (8, 1.6)}
     more = spark.createDataFrame([(0, "ingest__class_Refund", None, 20.0)], "scenario_id long, series string, bin long, value double")
-    assert {r.class_id: r.value for r in by_class(evaluate(spark, m, more), m).where("bin = 0 and series_id = 'ingest'").collect()} == {"Order": 5, "Refund": 5}
+    assert {r.class_id: r.value for r in by_class(evaluate(spark, m, more, with_classes=True), m).where("bin = 0 and series_id = 'ingest'").collect()} == {"Order": 5, "Refund": 5}
+
+
+def vectors(spark, m, bin_=None):
+    rows = by_class(evaluate(spark, m, with_classes=True), m)
+    return {(r.series_id, r.class_id, r.bin): round(r.value, 9) for r in rows.collect() if bin_ is None or r.bin == bin_}
+
+
+def one_class(**classes):
+    return {"arrivals": [{"nodeId": n, "classId": c, "pattern": {"kind": "constant", "ratePerBin": 1.0}} for n, c in classes.items()]}
+
+
+def test_classes_behind_routers(spark):
+    router = lambda *routes: {"kind": "router", "router": {"inputs": {"queue": "total"}, "routes": list(routes)}}
+    m = model(2, {"a": [4.0, 6], "b": [6.0, 4], "total": "a + b", "airport": "total * 0.4", "general": "total * 0.6", "r": router({"target": "airport", "classes": ["Alpha"]}, {"target": "general", "weight": 1})}, traffic=one_class(a="Alpha", b="Beta"))
+    assert series(spark, m, "airport", "general") == [[4, 6], [6, 4]]
+    got = vectors(spark, m)
+    assert {k: v for k, v in got.items() if k[0] in ("airport", "general")} == {("airport", "Alpha", 0): 4, ("airport", "Alpha", 1): 6, ("general", "Beta", 0): 6, ("general", "Beta", 1): 4}
+    m = model(2, {"a": [8.0, 4], "b": [2.0, 6], "total": "a + b", "r": router({"target": "x", "weight": 2}, {"target": "y", "weight": 1})}, traffic=one_class(a="Alpha", b="Beta"))
+    got = vectors(spark, m)
+    assert [got["x", c, i] for c in ("Alpha", "Beta") for i in (0, 1)] == [round(v, 9) for v in (16 / 3, 8 / 3, 4 / 3, 4)]
+    assert [got["y", c, i] for c in ("Alpha", "Beta") for i in (0, 1)] == [round(v, 9) for v in (8 / 3, 4 / 3, 2 / 3, 2)]
+    two = router({"target": "x", "classes": ["Alpha"]}, {"target": "y", "classes": ["Beta"]})
+    m = model(1, {"a": 6.0, "b": 4.0, "total": "a + b", "r": two, "inflow": "x + y", "zero": 0.0}, [swb("Q", "inflow", "zero", initialCondition={"queueDepth": 0})], traffic=one_class(a="Alpha", b="Beta"))
+    got = vectors(spark, m)
+    assert (got["q_queue", "Alpha", 0], got["q_queue", "Beta", 0]) == (6, 4)
+
+
+def test_classes_of_what_is_served_and_lost(spark):
+    m = model(1, {"a": 6.0, "b": 4.0, "inflow": "a + b", "out": 5.0, "loss": 1.0, "line": "out", "last": "line"}, [{"id": "Q", "kind": "serviceWithBuffer", "semantics": {"arrivals": "inflow", "served": "out", "errors": "loss"}}], traffic=one_class(a="Alpha", b="Beta"))
+    got = vectors(spark, m)
+    assert [got[s, c, 0] for s in ("out", "loss", "line", "last") for c in ("Alpha", "Beta")] == [3, 2, 0.6, 0.4, 3, 2, 3, 2]
+
+
+@pytest.mark.parametrize(("more", "depth"), [({"wipLimit": 8}, [6, 8, 8, 8]), ({}, [5, 10, 15, 20]), ({"dispatchSchedule": {"periodBins": 2, "phaseOffset": 0}}, [6, 16, 22, 32])])
+def test_classes_sum_to_a_queues_depth(spark, more, depth):
+    loss = {} if more else {"errors": "one"}
+    m = model(4, {"a": 7.0, "b": 3.0, "inflow": "a + b", "out": 4.0, "one": 1.0}, [{"id": "Q", "kind": "serviceWithBuffer", "semantics": {"arrivals": "inflow", "served": "out", **loss}, **more}], traffic=one_class(a="A", b="B"))
+    got = vectors(spark, m)
+    assert [round(got["q_queue", "A", i] + got["q_queue", "B", i], 6) for i in range(4)] == depth == series(spark, m, "q_queue")
+    assert all(got["q_queue", "A", i] > got["q_queue", "B", i] for i in range(4))
+
+
+def test_a_classed_model_reads_its_input_once(spark):
+    data = spark.range(8).selectExpr("0L as scenario_id", "id % 2 as k", "id div 2 as bin", "1.0D + id as a", "2.0D as b")
+    m = model(4, {"a": 0.0, "b": 0.0, "inflow": "a + b", "top": "MIN(inflow, 4) + SHIFT(inflow, 1)", "again": "inflow + 0.5 * SHIFT(q_queue, 1)"}, [swb("Q", "again", "b", wipLimit=9)], traffic=one_class(a="A", b="B"))
+    df = by_class(evaluate(spark, m, data=data, keys=("scenario_id", "k"), with_classes=True), m, ("scenario_id", "k"))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (0, 8") == 1 and "Join" not in text
+    assert {r.series_id for r in df.collect()} == {"a", "b", "inflow", "top", "again", "q_queue", "Q__overflow"}
