@@ -137,8 +137,9 @@ def schema_errors(model: dict) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def validate(model: dict, tier: str = "compile") -> list[str]:
-    """Errors up to a tier: "schema", or "compile", which also orders the series and follows references and starts."""
+def validate(model: dict, tier: str = "compile", spark: SparkSession | None = None) -> list[str]:
+    """Errors up to a tier: "schema"; "compile", which also orders the series and follows references and starts; or "analyse",
+    which evaluates a model without errors and adds its warnings (node: code)."""
     found = schema_errors(model)
     if not found and tier != "schema":
         from .compiler import plan
@@ -148,14 +149,20 @@ def validate(model: dict, tier: str = "compile") -> list[str]:
             plan(model)
         except (ModelError, ExpressionError) as e:
             found.append(str(e))
+    if not found and tier == "analyse":
+        from .run_state import analyse
+
+        found = [f"{node}: {code}" for node, code, _ in analyse(spark or SparkSession.active(), model)]
     return found
 
 
 def initial_condition_errors(model: dict) -> list[str]:
-    """Series that look at their own past need a start: an initial value, or the start of the queue that they are."""
+    """Series that look at their own past need the initial condition of the topology node whose queue they are. A value `initial` of
+    a series itself is none: nothing reads it, so it is an error."""
     starts = {queue_series(t) for t in topology(model, "nodes") if (t.get("initialCondition") or {}).get("queueDepth") is not None}
     own = [i for i, n in nodes_of(model).items() if n.get("kind") == "expr" and i in references(parse(n["expr"]))[1]]
-    return [f"{i}: it looks at its own past and has no initial value" for i in own if i not in starts and "initial" not in nodes_of(model)[i]]
+    ignored = [f"{i}: a series takes no initial value; the topology's initialCondition does" for i, n in nodes_of(model).items() if "initial" in n]
+    return ignored + [f"{i}: it looks at its own past and has no initial value" for i in own if i not in starts]
 
 
 def reference_errors(model: dict) -> list[str]:

@@ -721,3 +721,4 @@ def by_type_of_users(spark, sf) -> DataFrame:
 
 from . import model_queries as _models  # noqa: E402, F401  (each registers its queries here)
 from . import class_queries as _class_queries  # noqa: E402, F401
+from . import state_queries as _state_queries  # noqa: E402, F401
