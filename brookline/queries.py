@@ -498,11 +498,6 @@ def gap_fill(spark, sf):
     return summary.fill_gaps(broken, "value", "zero", "zero").select("bin", "value", "gap")
 
 
-@query()
-def pcg_sample(spark, sf):
-    return spark.createDataFrame(list(enumerate(Pmf([1, 2, 5], [0.5, 0.3, 0.2]).sample(720, seed=42))), "bin long, value double")
-
-
 # --- scenarios --------------------------------------------------------------------------------------------------------
 
 
@@ -528,26 +523,6 @@ def model(bins: int = 24) -> dict:
     }
 
 
-@query()
-def sensitivity(spark, sf):
-    return scenarios.sensitivity(spark, model(), "backlog", ["demand", "capacity", "failing", "errors"])
-
-
-@query()
-def goal_seek(spark, sf):
-    at = scenarios.means(spark, model(), "backlog")
-    got = scenarios.goal_seek(lambda xs: at([{"capacity": x} for x in xs]), 60.0, 5.0, 20.0, tolerance=1e-4, most=20, depth=4)
-    return spark.createDataFrame([(i, *t) for i, t in enumerate(got["trace"])], "step long, value double, metric double, low double, high double")
-
-
-@query()
-def optimize(spark, sf):
-    m = model()
-    m["nodes"].append({"id": "cost", "kind": "expr", "expr": "(capacity - 11) * (capacity - 11) + (demand - 9) * (demand - 9) * 2"})
-    got = scenarios.optimise(scenarios.means(spark, m, "cost"), {"capacity": (5.0, 20.0), "demand": (5.0, 20.0)}, tolerance=1e-2, most=12)
-    return spark.createDataFrame([(i, v, p["capacity"], p["demand"]) for i, v, p in got["trace"]], "step long, best double, capacity double, demand double")
-
-
 # --- registry, export -------------------------------------------------------------------------------------------------
 
 
@@ -722,3 +697,4 @@ def by_type_of_users(spark, sf) -> DataFrame:
 from . import model_queries as _models  # noqa: E402, F401  (each registers its queries here)
 from . import class_queries as _class_queries  # noqa: E402, F401
 from . import state_queries as _state_queries  # noqa: E402, F401
+from . import search_queries as _search_queries  # noqa: E402, F401
