@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .shared import cut
+
 ORDERS = ("id", "title", "size", "modified", "created")
 
 
@@ -68,17 +70,37 @@ def index(spark: SparkSession, path: str, kind: str | None = None, id_: str | No
     return rows.groupBy("kind", "id").agg(F.max_by(F.struct(*names), "updated_utc").alias("x")).select("kind", "id", "x.*")
 
 
+#: Places in a sorted sequence that one group of rows has, beside the borders it shares with its neighbours.
+CHUNK = 1024
+
+
+def in_chunks(rows: DataFrame, order: Sequence[str], border: int, chunk: int = CHUNK) -> DataFrame:
+    """rows, which differ in `order`, with their place in that order (from 0), and in chunks of so many places: a row is in its
+    own chunk (own is true) and, where it lies within `border` places of one, in the neighbouring chunk too. A sort by ranges
+    deals them out, so that however often a value leads the order, its rows lie in as many tasks as they need."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per task
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    placed = local.join(before, "_part").withColumn("place", F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before")
+    home = F.floor(F.col("place") / chunk)
+    spread = placed.withColumn("chunk", F.explode(F.array_distinct(F.array(*[F.floor((F.col("place") + d) / chunk) for d in (-border, 0, border)]))))
+    return spread.withColumn("own", F.col("chunk") == home)
+
+
 def _nearest(at: DataFrame, by: str, k: int) -> DataFrame:
     """at: rows (by, at, id). Rows (by, at, near): the k + 1 ids nearest in time to `at` in its group, as structs (gap,
-    other). Of a time the k + 1 smallest ids can count, and of the times around it k on either side, so neither many ids
-    of one time nor a large group makes pairs."""
+    other). Of a time the k + 1 smallest ids can count (Spark keeps no more of them before it shuffles), and of the times
+    around it k on either side. Those are found among chunks of the order by group and time, so a group may have any
+    part of all rows."""
     few = at.withColumn("n", F.row_number().over(W.partitionBy(by, "at").orderBy("id"))).where(F.col("n") <= k + 1)
     times = few.groupBy(by, "at").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    order = W.partitionBy(by).orderBy("at")
-    around = [F.struct("at", "ids"), *[f(F.struct("at", "ids"), i).over(order) for f in (F.lag, F.lead) for i in range(1, k + 1)]]
-    near = times.withColumn("around", F.array_compact(F.array(*around)))
-    own = F.col("at")
-    every = F.flatten(F.transform("around", lambda t: F.transform(t["ids"], lambda i: F.struct(F.abs(t["at"] - own).alias("gap"), i.alias("other")))))
+    order = W.partitionBy("chunk").orderBy("place")
+    here = F.struct(F.col(by).alias("by"), "at", "ids")
+    around = [here, *[f(here, i).over(order) for f in (F.lag, F.lead) for i in range(1, k + 1)]]
+    near = in_chunks(times, (by, "at"), k, CHUNK).withColumn("around", F.array_compact(F.array(*around))).where("own")
+    mine, own = F.col(by), F.col("at")
+    every = F.flatten(F.transform(F.filter("around", lambda t: t["by"] == mine), lambda t: F.transform(t["ids"], lambda i: F.struct(F.abs(t["at"] - own).alias("gap"), i.alias("other")))))
     return near.select(by, "at", F.slice(F.array_sort(every), 1, k + 1).alias("near"))
 
 
@@ -86,8 +108,8 @@ def related(runs: DataFrame, hours: float = 1.0, k: int = 5, model_hours: float
     """For each run the k nearest others that share a tag, were created within some hours, or share the model (column
     model_id, if there is one) and were created within model_hours.
 
-    The nearest of a tag, and of the slots of so many hours around a run, are found among neighbours in time order; work
-    grows with the runs, not with pairs of them."""
+    The nearest of a tag, of a model, and of the slots of so many hours around a run, are found among neighbours in time order,
+    a chunk of them at a time; work grows with the runs, not with pairs of them, and no tag, model or slot is one task's."""
     width = 3600 * hours
     a = runs.select("id", "tags", F.unix_timestamp(F.col("created").cast("timestamp")).alias("at"))
     tagged = a.select("id", "at", F.explode("tags").alias("tag"))

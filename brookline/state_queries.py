@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from .model_queries import BY, expr, run, user_model
 from .operators import state
+from .plans.compiler import evaluate
 from .plans.run_state import edge_rows, node_rows, warnings
-from .queries import query, r6
+from .queries import hours, query, r6
+from .sources import series_files
+from .sources.shared import fresh
 
 DAY_MS = 86_400_000.0
 
@@ -111,3 +114,38 @@ def model_class_warnings(spark, sf):
     )
     found = warnings(node_rows(run(spark, sf, m, with_classes=True), m, BY, internal=True), BY).where(F.col("code").like("%class%"))
     return found.select("user_id", "node_id", "code", F.array_join("bins", ",").alias("bins"), r6("worst").alias("worst"), "n")
+
+
+# --- runs ---------------------------------------------------------------------------------------------------------------
+
+
+def hourly(**more) -> dict:
+    counts = [{"id": i, "kind": "const", "values": [0.0] * 720} for i in ("arrivals", "served", "errors", "purchases", "signups")]
+    nodes_ = [*counts, *more.pop("nodes", [])]
+    return {"grid": {"bins": 720, "binSize": 1, "binUnit": "hours"}, "nodes": nodes_, "topology": {"nodes": more.pop("topology", []), "edges": more.pop("edges", []), "constraints": []}, **more}
+
+
+@query("with $H select series_id, bin, value, 720::bigint as bins from (select bin, unnest(['arrivals', 'served', 'moved']) as series_id, unnest([arrivals, served, served * 0.5]) as value from h)")
+def run_directory(spark, sf):
+    """A run as a directory of series files with JSON beside them, read back with its grid, and strictly."""
+    m = hourly(nodes=[expr("moved", "served * 0.5")], outputs=[{"series": s} for s in ("arrivals", "served", "moved")])
+    root = fresh(spark, "dir")
+    df = evaluate(spark, m, data=hours(spark, sf))
+    series_files.write_run_dir(df, df.columns[2:], root, m)
+    grid, rows = series_files.read_run_dir(spark, root)
+    return rows.withColumn("bins", F.lit(grid["bins"]).cast("long"))
+
+
+@query("with $H, c as (select bin, arrivals as a, errors as e, arrivals + errors as n, served as s, case when arrivals + errors > 0 then served * arrivals / (arrivals + errors) else 0 end as sa from h), l as (select unnest(['inflow', 'inflow', 'inflow', 'edge_ab_flowVolume', 'edge_ab_flowVolume', 'edge_ab_flowVolume', 'q']) as series_id, unnest(['DEFAULT', 'web', 'bot', 'DEFAULT', 'web', 'bot', 'DEFAULT']) as class_id, unnest([n, a, e, s, sa, case when n > 0 then s - sa else 0 end, null]) as value from c) select series_id, class_id, count(*) as points, round(sum(value), 4) + 0.0 as total, 'full' as coverage, true as same from l where series_id <> 'q' group by 1, 2")
+def run_with_classes(spark, sf):
+    """A run with its classes and edges in a committed sink, its digests checked again."""
+    m = hourly(
+        nodes=[expr("inflow", "arrivals + errors")], classes=[{"id": "bot"}, {"id": "web"}], outputs=[{"series": "inflow"}], edges=[{"id": "ab", "source": "A", "target": "B"}],
+        topology=[{"id": "A", "kind": "serviceWithBuffer", "semantics": {"arrivals": "inflow", "served": "served"}}, {"id": "B", "kind": "sink", "semantics": {"arrivals": "served"}}],
+        traffic={"arrivals": [{"nodeId": n, "classId": c, "pattern": {"kind": "constant", "ratePerBin": 1.0}} for n, c in (("arrivals", "web"), ("errors", "bot"))]},
+    )
+    root = fresh(spark, "runs")
+    about = series_files.write_model_run(evaluate(spark, m, data=hours(spark, sf), with_classes=True), m, root, "r")
+    same = not series_files.verify_run(spark, root, "r")
+    rows = series_files.read_run(spark, root, "r").groupBy("series_id", "class_id").agg(F.count("*").alias("points"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+    return rows.withColumns({"coverage": F.lit(about["class_coverage"]), "same": F.lit(same)})

@@ -295,3 +295,91 @@ def test_related_runs_of_one_time_and_one_tag(spark):
         want += [(i, n + 1, j, g if g < 10**6 else None) for n, (g, j) in enumerate(near[:5])]
     got = [(r.id, r.rank, r.other, r.gap if r.gap < 10**6 else None) for r in registry.related(runs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+GOOD = "bin_index,value\n0,10\n2,30\n\n1,\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "says"),
+    [("", "header"), ("bad_header\n0,10\n", "header"), ("0,10\n1,20\n", "header"), ("bin_index,value\nabc,5\n", "bin"), ("bin_index,value\n2\n", "row"), ("bin_index,value\n1,2,3\n", "row"), ("bin_index,value\n3,oops\n", "value"), ("bin_index,value\n1,5d\n", "value"), ("bin_index,value\n4,1\n", "range"), ("bin_index,value\n-1,1\n", "range"), ("bin_index,value\n0,1\n0,1\n", "twice"), ("bin_index,classId,value\n0,1\n", "row"), ("bin_index,value\n1.5,1\n", "bin")],
+)
+def test_malformed_series_files_raise(spark, tmp_path, text, says):
+    (tmp_path / "x y+z.csv").write_text(text)
+    with pytest.raises(series_files.SeriesError, match=says):
+        series_files.read_series(spark, f"{tmp_path}/x y+z.csv", 4)
+
+
+def test_series_files_as_they_may_be(spark, tmp_path):
+    values = lambda text: (
+        (tmp_path / "f.csv").write_text(text), [r.value for r in series_files.read_series(spark, f"{tmp_path}/f.csv", 4).orderBy("bin").collect()])[1]
+    got = values(GOOD)
+    assert got[0] == 10 and got[1] != got[1] and got[2:] == [30, 0]
+    got = values("﻿Bin_Index,Value\r\n 0 , 1e2 \r\n3,NaN\r\n1,-.5\r\n")
+    assert got[:3] == [100, -0.5, 0] and got[3] != got[3]
+    assert values("bin_index,classId,value\n1,vip,7\n") == [0, 7, 0, 0]
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        series_files.read_series(spark, f"{tmp_path}/missing.csv", 4)
+
+
+def test_run_directories_round_trip(spark, tmp_path):
+    df = spark.range(5).selectExpr("0L as scenario_id", "id as bin", "id * 1.5D as `a@x`", "2.0D as b", "0.0D as __temp_1")
+    m = {"grid": {"bins": 5, "binSize": 1, "binUnit": "hours"}, "nodes": []}
+    series_files.write_run_dir(df, ["a@x", "b", "__temp_1"], f"{tmp_path}/run", m, [{"code": "w"}])
+    assert (tmp_path / "run/series/a@x.csv").read_text().startswith("bin_index,value\n0,0.0\n1,1.5\n")
+    import json
+
+    assert json.loads((tmp_path / "run/run.json").read_text())["warnings"] == [{"code": "w"}] and set(json.loads((tmp_path / "run/manifest.json").read_text())["seriesHashes"]) == {"a@x", "b"}
+    grid, rows = series_files.read_run_dir(spark, f"{tmp_path}/run")
+    assert grid == m["grid"] and {(r.series_id, r.bin): r.value for r in rows.collect()} == {**{("a@x", i): 1.5 * i for i in range(5)}, **{("b", i): 2.0 for i in range(5)}}
+    (tmp_path / "run/series/b.csv").write_text("bin_index,value\n0,1\nnope,2\n")
+    (tmp_path / "run/series/.b.csv.crc").unlink(missing_ok=True)
+    with pytest.raises(series_files.SeriesError, match="b.csv, line 3"):
+        series_files.read_run_dir(spark, f"{tmp_path}/run")
+    assert {r.bin: r.value for r in series_files.read_run_dir(spark, f"{tmp_path}/run", strict=False)[1].where("series_id = 'b'").collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_digests_do_not_depend_on_partitioning(spark, tmp_path):
+    rows = spark.range(3 * 3000 * 2).selectExpr("(id % 3) * 1500 as scenario_id", "if(id % 2 = 0, 'x', 'y') as series_id", "'DEFAULT' as class_id", "id div 6 as bin", "cast(id as double) as value")
+    a = {tuple(r) for r in series_files.digests(rows.repartition(1)).collect()}
+    assert a == {tuple(r) for r in series_files.digests(rows.repartition(7, "value")).collect()} and len(a) == 2 and {r[2] for r in a} == {9000}
+    changed = rows.withColumn("value", F.expr("if(scenario_id = 3000 and bin = 2999, value + 1, value)"))
+    assert not a & {tuple(r) for r in series_files.digests(changed).collect()}
+
+
+def test_a_models_run_has_classes_and_edges_and_is_there_whole(spark, tmp_path):
+    from brookline.plans.compiler import evaluate
+
+    m = {
+        "grid": {"bins": 3, "binSize": 1, "binUnit": "hours"}, "classes": [{"id": "A"}, {"id": "B"}], "nodes": [{"id": i, "kind": "const", "values": [v] * 3} for i, v in (("a", 6.0), ("b", 4.0), ("z", 0.0))] + [{"id": "all", "kind": "expr", "expr": "a + b"}],
+        "topology": {"nodes": [{"id": "S", "kind": "service", "semantics": {"arrivals": "all", "served": "all"}}, {"id": "T", "kind": "service", "semantics": {"arrivals": "all", "served": "all"}}], "edges": [{"id": "s->t", "source": "S", "target": "T"}]},
+        "traffic": {"arrivals": [{"nodeId": n, "classId": c, "pattern": {"kind": "constant", "ratePerBin": 1.0}} for n, c in (("a", "A"), ("b", "B"))]},
+    }
+    df = evaluate(spark, m, with_classes=True)
+    about = series_files.write_model_run(df, m, f"{tmp_path}/r", "one")
+    got = {(r.series_id, r.class_id): r.value for r in series_files.read_run(spark, f"{tmp_path}/r", "one").where("bin = 1").collect()}
+    assert got["all", "DEFAULT"] == 10 and got["all", "A"] == 6 and got["edge_s_t_flowVolume", "B"] == 4 and got["edge_s_t_flowVolume", "DEFAULT"] == 10
+    assert about["class_coverage"] == "partial" and about["grid"]["bins"] == 3 and len(about["run_hash"]) == 64
+    assert series_files.write_model_run(df.repartition(5), m, f"{tmp_path}/r", "two")["run_hash"] == about["run_hash"]
+    assert series_files.verify_run(spark, f"{tmp_path}/r", "one") == []
+    # Another attempt that ends before its manifest changes nothing.
+    (tmp_path / "r/runs/one/lost").mkdir()
+    assert series_files.read_run(spark, f"{tmp_path}/r", "one").count() == len(got) * 3
+
+
+def test_a_tag_with_half_of_all_runs_lies_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(registry, "CHUNK", 16)
+    r = random.Random(4)
+    runs = [(i, ["hot"] if i % 2 else [f"t{i % 9}"], 1_000_000 + r.randrange(40_000) * 60) for i in range(600)]
+    df = spark.createDataFrame(runs, "id long, tags array<string>, at long").select("id", "tags", F.timestamp_seconds("at").alias("created"))
+    got = {}
+    for row in registry.related(df, hours=0.0001).collect():
+        got.setdefault(row.id, []).append((row.gap, row.other))
+    for i, tags, at in runs:
+        want = sorted((abs(at - a), j) for j, t, a in runs if j != i and (t == tags or abs(at - a) < 0.36))[:5]
+        assert sorted(got[i]) == want
+    times = spark.createDataFrame([("hot", t) for t in range(500)] + [("a", 3), ("z", 1)], "tag string, at long")
+    parts = registry.in_chunks(times, ("tag", "at"), 5, 16)
+    own = parts.where("own").collect()
+    assert sorted(x.place for x in own) == list(range(502)) and len({x.chunk for x in own if x.tag == "hot"}) > 30
+    assert max(x["count"] for x in parts.groupBy("chunk").count().collect()) <= 26
