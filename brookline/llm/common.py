@@ -62,7 +62,11 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of fewer files than there are cores, and small enough that its files are not split for all of them, is dealt
+    out anew, so that one file of one row group does not keep a whole machine waiting. Larger tables are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores, size = spark.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if len(df.inputFiles()) < cores and 1 << 20 < size < cores << 26 else df
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

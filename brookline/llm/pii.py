@@ -1,22 +1,24 @@
 """Personal data by bootstrapped contextual extraction; DataFrame and SQL functions alone.
 
-Base entities (e-mail, IP address, payment card, phone) are found by their forms. They are the seeds, and so are tokens of
-a key's form (KEY: 20 letters and digits in a row or more, at least four of either). An instance is a seed or any other
+Base entities (e-mail, IP address, payment card, phone) are found by their forms. They are the seeds, and so is a part of the tokens of
+a key's form (KEY: 20 letters and digits in a row or more, at least four of either; of those, the ones whose MD5 begins
+with a digit of SEED_DIGITS, half of them, so that the other half shows what the contexts find). An instance is a seed or any other
 token with a digit, an @ or a _ that overlaps no base entity. Its contexts are lexical patterns of three sorts: the two
 words before it, the two words after it, and the word on either side; in patterns, a word with a digit, an @ or a _ stands
 as 0, and so does every other entity of the same kind. Texts' ends count as no word.
 
-On the graph of patterns and instances, a pattern's confidence is the sum of its instances' scores over the number of its
-instances, of its counter-instances (ordinary words that stand in that very context anywhere in the corpus) and one more.
-An instance's score is the noisy-or of the confidences of its trusted patterns (seeds score 1). Both are computed in turn until no
-confidence moves by more than SETTLED, ROUNDS times at most. A pattern with scores of at least MIN_SEEDS and CONFIDENCE is
-trusted: tokens in its place are found, as identifiers of kind "id", without the signs around them. So a pattern may also
-earn its trust from instances that other patterns found.
+On the graph of patterns and instances, a pattern's support is the number of its seeds and half of that of its instances which trusted
+patterns found; instances that nothing is known of count neither for nor against it. Against it are its counter-instances:
+ordinary words that stand in that very context anywhere in the corpus, and plain numbers (PLAIN: figures and signs with
+fewer than seven figures). Its confidence is support / (support + counter-instances + 1), so a few seeds weigh less than many. A pattern
+with a support of MIN_SEEDS and that CONFIDENCE is trusted: tokens in its place are found, as identifiers of kind "id",
+without the signs around them. Found instances support further patterns, round after round, until no pattern becomes
+trusted; support only grows, so that ends, and more than ROUNDS rounds are an error.
 
-Counter-instances are counted in a pass over all words joined with a table of patterns: first of those with at least
-MIN_SEEDS seeds, then, where what is found gives others such a sum, of those; no other pattern could be trusted. A pass over one text in SOME
+Ordinary words in a context are counted in a pass over all words joined with a table of patterns: first of those with at least
+MIN_SEEDS seeds, then, where what is found gives others such a support, of those; no other pattern could be trusted. A pass over one text in SOME
 comes before: a pattern that stands before so many ordinary words there that it could not be trusted if all its instances
-scored 1 (a common pair of words, mostly) need not be counted in the rest. That changes no result. Spans are in code points, end exclusive. Places are sums of the lengths of the
+were seeds (a common pair of words, mostly) need not be counted in the rest. That changes no result. Spans are in code points, end exclusive. Places are sums of the lengths of the
 pieces between matches, made by doubling; look-behinds and possessive quantifiers keep the expressions linear on long runs
 and give the same matches as the plain forms below.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, SETTLED, MIN_SEEDS, CONFIDENCE, SOME = 10, 1e-9, 3, 0.6, 16
+ROUNDS, FOUND, MIN_SEEDS, CONFIDENCE, SOME, SEED_DIGITS = 40, 0.5, 3, 0.6, 16, "01234567"
 
 #: Plain forms: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #: card [0-9]([\x20-]?[0-9])+   phone \+[0-9][\x20().0-9-]+[0-9]
@@ -47,6 +49,8 @@ FORMS = {
 #: Plain form: [^\x20\x09-\x0D0-9@_]*[0-9@_][^\x20\x09-\x0D]*
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@_]*+[0-9@_][^\x20\x09-\x0D]*+"
 KEY, SPACE = "[A-Za-z0-9]{20,}", r"[\x20\x09-\x0D]+"
+#: A plain number: figures and signs alone, fewer than seven figures (values are in lower case and begin and end with a letter or figure).
+PLAIN = "rlike(v, '^[^a-z@_]+$') and length(regexp_replace(v, '[^0-9]', '')) < 7"
 #: The last two words (or one) of a text, and the first two, with the white space on the near side.
 LAST_TWO = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z"
 FIRST_TWO = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?"
@@ -95,7 +99,7 @@ def _places(kind: str, pattern: str) -> str:
     after = "concat(hs[i + 1], coalesce(concat(' 0 ', get(hs, i + 2)), ''), coalesce(concat(' 0 ', get(hs, i + 3)), ''))"
     value = r"regexp_replace(regexp_replace(m, r'^[^A-Za-z0-9]++', ''), r'(?<=[A-Za-z0-9])[^A-Za-z0-9]++\z', '')" if token else "m"
     lead = "length(regexp_extract(m, r'^[^A-Za-z0-9]*+', 0))" if token else "0"
-    seed = f"length(regexp_replace(regexp_extract(m, '{KEY}', 0), '[^0-9]', '')) >= 4 and length(regexp_replace(regexp_extract(m, '{KEY}', 0), '[0-9]', '')) >= 4" if token else "true"
+    seed = f"length(regexp_replace(regexp_extract(m, '{KEY}', 0), '[^0-9]', '')) >= 4 and length(regexp_replace(regexp_extract(m, '{KEY}', 0), '[0-9]', '')) >= 4 and rlike(md5(cast(translate(v, '{UPPER}', '{LOWER}') as binary)), '^[{SEED_DIGITS}]')" if token else "true"
     item = _let("bw", _words(before), _let("aw", _words(after), _let("v", value, f"named_struct('s', ends[i] - length(m) + {lead}, 'e', ends[i] - length(m) + {lead} + length(v), 'v', translate(v, '{UPPER}', '{LOWER}'), 'seed', {seed}, 'c', {_PATTERNS})")))
     made = f"transform(ms, (m, i) -> if({PASSES[kind]}, {item}, cast(null as {ITEM})))"
     with_ends = _let("ends", _running("transform(ms, (m, i) -> length(ps[i]) + length(m))", "{x} + {y}"), f"filter({made}, x -> x is not null and x.v <> '')")
@@ -123,15 +127,17 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("tokens", F.expr(f"if(size(base) = 0 or size(token) = 0, token, {apart})")).drop("token")
 
 
-def counter_instances(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
+def counter_words(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (c, against): how many different ordinary words stand in the place of a pattern; without end, where it is settled
     early that they are too many. patterns: a table of c and count, the number of its instances."""
     plain = f"regexp_replace(translate(btrim(coalesce({text_col}, ''), ' \t\n\x0b\f\r'), '{UPPER}', '{LOWER}'), {_quoted(TOKEN)}, '0')"
-    at = lambda k: f"get(w, i + ({k}))"
-    sorts = f"array(concat('< ', {at(-2)}, ' ', {at(-1)}), concat('> ', {at(1)}, ' ', {at(2)}), concat('= ', {at(-1)}, ' ', {at(1)}))"
+    # Each word beside its neighbours: the list five times, shifted, so that a row holds five words and never the list.
+    beside = "inline(arrays_zip(concat(array(null, null), w), concat(array(null), w), w, slice(w, 2, size(w)), slice(w, 3, size(w))))"
+    sorts = "array(concat('< ', p2, ' ', p1), concat('> ', n1, ' ', n2), concat('= ', p1, ' ', n1))"
 
     def against(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        each = rows.select(F.expr(f"split({plain}, {_quoted(SPACE)}, -1)").alias("w")).select("w", F.posexplode("w").alias("i", "x")).where("x <> '0'")
+        words = rows.select(F.expr(f"split({plain}, {_quoted(SPACE)}, -1)").alias("w"))
+        each = words.selectExpr(beside).toDF("p2", "p1", "x", "n1", "n2").where("x <> '0'")
         met = each.select("x", F.explode(F.expr(sorts)).alias("c")).where("c is not null").join(wanted.select("c"), "c")
         return met.distinct().groupBy("c").agg(F.count("*").cast("double").alias("against"))
 
@@ -142,29 +148,28 @@ def counter_instances(docs: DataFrame, patterns: DataFrame, text_col: str = "tex
     return first.join(full, "c", "left").select("c", F.when(F.col("open"), F.coalesce("against", F.lit(0.0))).otherwise(float("inf")).alias("against"))
 
 
-def pattern_confidence(edges: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def trusted_patterns(edges: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """edges (c, v, seed): distinct pairs of pattern and instance, a table that is cheap to read again. count(patterns) gives,
-    for rows (c, count), their counter-instances (c, against). Rows (c, confidence, total) of the patterns whose instances' scores sum to
-    min_seeds at least."""
-    sizes = written(edges.groupBy("c").count(), "pattern_sizes")
-    scores, known, conf = edges.groupBy("v").agg(F.max("seed").alias("score")), None, None
+    for rows (c, count), the ordinary words in their place (c, against). Rows (c, support, confidence) of the trusted patterns."""
+    support, known, good, n_good = edges.groupBy("c").agg(F.sum("seed").alias("support")), None, None, 0
     for _ in range(rounds):
-        total = written(edges.join(scores, "v").groupBy("c").agg(F.sum("score").alias("total")).where(F.col("total") >= min_seeds), "totals")
-        new = total.select("c") if known is None else total.join(known, "c", "left_anti").select("c")
-        new = written(new, "patterns")
+        # Of a known size, so that a small table is broadcast. Instances and plain numbers are counted along.
+        open_ = support.where(F.col("support") >= min_seeds)
+        sized = edges.groupBy("c").agg(F.count("*").alias("count"), F.count_if(F.expr(PLAIN) & (F.col("seed") == 0)).alias("plain"))
+        now = written(open_.join(sized, "c"), "supports")
+        new = now if known is None else now.join(known, "c", "left_anti")
         if known is None or new.take(1):
-            sized = written(new.join(sizes, "c"), "sized")  # of a known size, so that a small one is broadcast
-            n = sized.join(count(sized), "c").select("c", (F.col("count") + F.col("against") + 1).alias("n"))
-            known = written(n if known is None else known.unionByName(n), "pattern_counts")
-        now = written(total.join(known, "c").select("c", "total", (F.col("total") / F.col("n")).alias("confidence")), "confidence")
-        if conf is not None:
-            moved = now.join(conf.select("c", F.col("confidence").alias("was")), "c", "left").agg(F.max(F.abs(F.col("confidence") - F.coalesce("was", F.lit(0.0))))).first()[0]
-            if (moved or 0.0) <= SETTLED:
-                break
-        conf = now
-        doubt = F.sum(F.log1p(-0.999 * F.when(F.col("confidence") >= CONFIDENCE, F.col("confidence")).otherwise(0.0)))
-        scores = edges.join(conf, "c", "left").groupBy("v").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("score"))
-    return now
+            counted = written(count(new.select("c", "count")), "counted")
+            known = counted if known is None else written(known.unionByName(counted), "known")
+        confidence = F.col("support") / (F.col("support") + F.col("against") + F.col("plain") + 1)
+        good = written(now.join(known, "c").select("c", "support", confidence.alias("confidence")).where(F.col("confidence") >= CONFIDENCE), "trusted")
+        n = good.count()
+        if n == n_good:
+            return good
+        n_good = n
+        found = edges.where("seed = 0").join(good.select("c"), "c", "left_semi").select("v").distinct().withColumn("found", F.lit(FOUND))
+        support = edges.join(found, "v", "left").groupBy("c").agg(F.sum(F.greatest("seed", F.coalesce("found", F.lit(0.0)))).alias("support"))
+    raise RuntimeError(f"patterns did not settle in {rounds} rounds")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +181,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = seeds.select("c", "v", F.lit(1.0).alias("seed")).union(seen.select("c", "v", "seed")).groupBy("c", "v").agg(F.max("seed").alias("seed"))
     often = edges.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("c")
     edges = written(edges.join(often, "c"), "edges")  # a pattern of fewer instances can never be trusted
-    good = pattern_confidence(edges, lambda patterns: counter_instances(docs, patterns, text_col)).where(F.col("confidence") >= CONFIDENCE).select("c")
+    good = trusted_patterns(edges, lambda patterns: counter_words(docs, patterns, text_col)).select("c")
     new = seen.join(good, "c").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", F.lit(5).alias("k"), "e")).alias("new"))
     joined = base.alias("b").join(new.alias("n"), F.col("b.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("b.mark") == F.col("n.mark")), "left")
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"

@@ -151,7 +151,7 @@ def _pii_sql() -> str:
         + f"{before} as bw, {after} as aw from e)",
         """f as materialized (select *, a + length(m) as b from s where case kind when 'email' then true when 'id' then false when 'ip' then list_max(list_transform(string_split(m, '.'), lambda p: p::double)) <= 255 when 'phone' then length(d) between 9 and 15
             else length(d) between 12 and 19 and list_sum(list_transform(range(length(d)), lambda j: case when j % 2 = 0 then substr(d, length(d) - j, 1)::int else 2 * substr(d, length(d) - j, 1)::int - case when substr(d, length(d) - j, 1)::int > 4 then 9 else 0 end end)) % 10 = 0 end)""",
-        f"t as (select doc_id, a + lead as a, a + lead + length(v) as b, {lower.format('v')} as v, length(regexp_replace({key}, '[^0-9]', '', 'g')) >= 4 and length(regexp_replace({key}, '[0-9]', '', 'g')) >= 4 as seed, bw, aw from s where kind = 'id' and v <> '')",
+        f"t as (select doc_id, a + lead as a, a + lead + length(v) as b, {lower.format('v')} as v, length(regexp_replace({key}, '[^0-9]', '', 'g')) >= 4 and length(regexp_replace({key}, '[0-9]', '', 'g')) >= 4 and regexp_matches(md5({lower.format('v')}), '^[01234567]') as seed, bw, aw from s where kind = 'id' and v <> '')",
         "u as materialized (select * from t where not exists (select 1 from f where f.doc_id = t.doc_id and f.a < t.b and f.b > t.a))",
         f"i as (select doc_id, a, b, v, seed::int::double as seed, bw, aw from u union all select doc_id, a, b, {lower.format('m')}, 1.0, bw, aw from f)",
         """c as materialized (select * exclude (bw, aw, cs), unnest(cs) as c from (select *, list_filter([case when len(bw) > 1 then '< ' || bw[-2] || ' ' || bw[-1] end, case when len(aw) > 1 then '> ' || aw[1] || ' ' || aw[2] end, case when len(bw) > 0 and len(aw) > 0 then '= ' || bw[-1] || ' ' || aw[1] end], lambda c: c is not null) as cs from i))""",
@@ -159,14 +159,15 @@ def _pii_sql() -> str:
         "g as materialized (select * from g0 where c in (select c from g0 group by c having count(*) >= 3))",
         "w0 as (select w, unnest(w) as x, generate_subscripts(w, 1) as j from (select " + words.format("coalesce(text, '')") + " as w from documents))",
         "w1 as (select x, unnest([case when j > 2 then '< ' || w[j-2] || ' ' || w[j-1] end, case when j + 2 <= len(w) then '> ' || w[j+1] || ' ' || w[j+2] end, case when j > 1 and j < len(w) then '= ' || w[j-1] || ' ' || w[j+1] end]) as c from w0 where x <> '0')",
-        "n as materialized (select c, count(*) + coalesce((select count(distinct x) from w1 where w1.c = g.c), 0) + 1 as n from g group by c)",
-        "v0 as (select v, max(seed) as score from g group by v)",
+        "n as materialized (select c, coalesce((select count(distinct x) from w1 where w1.c = g.c), 0) as n from g group by c)",
+        "p as (select c, count(*) filter (where seed = 0 and regexp_matches(v, '^[^a-z@_]+$') and length(regexp_replace(v, '[^0-9]', '', 'g')) < 7) as plain from g group by c)",
+        "v0 as (select v, 0.0 as score from g group by v)",
     ]
-    for r in range(10):
-        steps.append(f"c{r} as materialized (select c, sum(score) as total, sum(score) / any_value(n) as conf from g join v{r} using (v) join n using (c) group by c)")
-        steps.append(f"v{r + 1} as materialized (select v, greatest(max(seed), 1 - exp(sum(ln(1 - 0.999 * case when total >= 3 and conf >= 0.6 then conf else 0 end)))) as score from g join c{r} using (c) group by v)")
+    for r in range(8):  # what is trusted is settled after fewer rounds
+        steps.append(f"c{r} as materialized (select c, sum(greatest(seed, score)) as total, sum(greatest(seed, score)) / (sum(greatest(seed, score)) + any_value(n) + any_value(plain) + 1) as conf from g join v{r} using (v) join n using (c) join p using (c) group by c)")
+        steps.append(f"v{r + 1} as materialized (select v, max(case when seed = 0 and total >= 3 and conf >= 0.6 then 0.5 else 0 end) as score from g join c{r} using (c) group by v)")
     steps += [
-        "y as (select distinct doc_id, 'id' as kind, 5 as k, a, b from c semi join (select c from c9 where conf >= 0.6 and total >= 3) using (c) where exists (select 1 from u where u.doc_id = c.doc_id and u.a = c.a and u.b = c.b))",
+        "y as (select distinct doc_id, 'id' as kind, 5 as k, a, b from c semi join (select c from c7 where conf >= 0.6 and total >= 3) using (c) where exists (select 1 from u where u.doc_id = c.doc_id and u.a = c.a and u.b = c.b))",
         "z as (select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter (where kind <> 'id') as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, k) as spans, count(*) as n_spans, " + ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in _KINDS) + " from (select doc_id, kind, k, a, b from f union all select * from y) group by doc_id)",
     ]
     return f"with {', '.join(steps)} select d.doc_id, " + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in _KINDS) + ", sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans from documents d left join z using (doc_id)"

@@ -1,7 +1,6 @@
 """Personal data against the plain forms, and the bootstrapping on a planted context."""
 
 import hashlib
-import math
 import re
 import time
 
@@ -49,6 +48,14 @@ def words(text):
     return ["0" if re.search("[0-9@_]", w) else "".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.split(f"[{SPACE}]+", text) if w]
 
 
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def half(v):
+    return hashlib.md5(low(v).encode()).hexdigest()[0] in pii.SEED_DIGITS
+
+
 def instances(text):
     """(kind, start, end, value, seed, patterns) of base entities and of the other tokens with a sign of an identifier."""
     out = []
@@ -62,7 +69,7 @@ def instances(text):
                 a, b = a + len(v) - len(re.sub("^[^A-Za-z0-9]+", "", v)), b - len(v) + len(re.sub("[^A-Za-z0-9]+$", "", v))
                 v = text[a:b]
                 key = re.search("[A-Za-z0-9]{20,}", v)
-                seed = bool(key) and sum(c.isdigit() for c in key[0]) >= 4 and sum(c.isalpha() for c in key[0]) >= 4
+                seed = bool(key) and sum(c.isdigit() for c in key[0]) >= 4 and sum(c.isalpha() for c in key[0]) >= 4 and half(v)
                 if a >= b or any(x[1] < b and x[2] > a for x in out if x[0] != "id"):
                     continue
             elif not passes(kind, v):
@@ -92,20 +99,14 @@ def brute_ids(texts):
     for (c, v), seed in edges.items():
         of.setdefault(c, []).append((v, seed))
     of = {c: x for c, x in of.items() if len(x) >= pii.MIN_SEEDS}
-    score = {}
-    for x in of.values():
-        for v, seed in x:
-            score[v] = max(score.get(v, 0.0), seed)
-    seeds = dict(score)
-    for _ in range(pii.ROUNDS):
-        total = {c: sum(score[v] for v, _ in x) for c, x in of.items()}
-        conf = {c: total[c] / (len(x) + len(counter.get(c, ())) + 1) for c, x in of.items()}
-        doubt = {}
-        for c, x in of.items():
-            for v, _ in x:
-                doubt[v] = doubt.get(v, 0.0) + math.log1p(-0.999 * (conf[c] if total[c] >= pii.MIN_SEEDS and conf[c] >= pii.CONFIDENCE else 0.0))
-        score = {v: max(seeds[v], 1 - math.exp(d)) for v, d in doubt.items()}
-    good = {c for c in of if conf[c] >= pii.CONFIDENCE and total[c] >= pii.MIN_SEEDS}
+    plain = {c: sum(not seed and bool(re.search("^[^a-z@_]+$", v)) and len(re.sub("[^0-9]", "", v)) < 7 for v, seed in x) for c, x in of.items()}
+    good, found_now = set(), set()
+    while True:
+        support = {c: sum(max(seed, pii.FOUND * (v in found_now)) for v, seed in x) for c, x in of.items()}
+        now = {c for c in of if support[c] >= pii.MIN_SEEDS and support[c] / (support[c] + len(counter.get(c, ())) + plain[c] + 1) >= pii.CONFIDENCE}
+        if now == good:
+            break
+        good, found_now = now, {v for c in now for v, seed in of[c] if not seed}
     return [sorted({(a, b) for kind, a, b, _, _, ctx in rows if kind == "id" and good & set(ctx)}) for rows in found]
 
 
@@ -136,7 +137,24 @@ def test_the_tables(spark, sf_dir):
     got = check(spark, texts)
     planted = [(i, m.span(1)) for i, t in enumerate(texts) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")]
     found = [f"id:{a}:{b}" in got[i].spans.split(",") for i, (a, b) in planted]
-    assert len(found) < pii.MIN_SEEDS or sum(found) / len(found) >= 0.9
+    assert len(found) < 2 * pii.MIN_SEEDS or sum(found) / len(found) >= 0.9
+
+
+def test_withheld_keys_are_found_by_their_context_alone(spark):
+    """Half of the keys are seeds; the others, and identifiers that have no key's form at all, stand in the same place."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    short = ["ZX-12-Q", "u_4411", "AB9", "k7-k8"]
+    texts = [f'set the token = "{k}" and go' for k in keys + short] + [f"in {1900 + i} the shop had {i} seats" for i in range(60)] + ["a loose " + keys[0][:19] + " here"]
+    got = check(spark, texts)
+    hit = {i for i in got if got[i].n_id}
+    assert hit == set(range(44))
+    assert 10 <= sum(half(k) for k in keys) <= 30  # so 10 or more of them were not seeds
+
+
+def test_plain_numbers_in_a_context_count_against_it(spark):
+    seeds = [f"see page 10.0.0.{i} now" for i in range(4)]
+    assert check(spark, [*seeds, "see page X-99 now"])[4].n_id == 1
+    assert check(spark, [*seeds, "see page X-99 now", *(f"see page {i} now" for i in range(10, 20))])[4].n_id == 0
 
 
 def test_contexts_that_seeds_induce_find_unseen_identifiers(spark):
@@ -157,7 +175,7 @@ def test_ordinary_words_in_a_context_count_against_it(spark):
 
 def test_patterns_that_a_part_of_the_texts_settles(spark):
     """A common pair of words is given up after one text in SOME; what is found elsewhere is the same."""
-    texts = [f"see the of 10.0.{i // 250}.{i % 250} then my key K{i}K and" for i in range(60)] + [f"one the of w{i} more" for i in range(400)] + [f"so my key 10.1.0.{i} it" for i in range(150)]
+    texts = [f"see the of 10.0.{i // 250}.{i % 250} then my key K{i}K and" for i in range(60)] + [f"one the of {''.join(chr(97 + int(d)) for d in str(i))} more" for i in range(400)] + [f"so my key 10.1.0.{i} it" for i in range(150)]
     got = check(spark, texts)
     assert sum(r.n_id for r in got.values()) == 60
 
