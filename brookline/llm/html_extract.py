@@ -1,7 +1,7 @@
 """Main text of HTML pages by gradient-boosted trees over DOM-node features, with hierarchical decoding.
 
 Every block element has features of its own (element, tokens of its class, id and role, depth, place among its
-siblings, link and subtree density, punctuation) and of what encloses it. Boosted trees give the log-odds that it is
+siblings, link and subtree density, punctuation, what its heading or short text announces) and of what encloses it. Boosted trees give the log-odds that it is
 main text; decoding picks the likeliest labelling in which nothing below a dropped element is kept: a dynamic program
 over the tree. Scripts, styles, controls and markup never are text.
 
@@ -15,6 +15,7 @@ rows that repeat give a row each; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,11 +40,29 @@ HINTS = {
     "form": "form login search searchbox register contact input field signin",
     "share": "share sharing social follow facebook twitter instagram like likes print email meta byline rating",
 }
+# Words with which headings and short texts announce what they are.
+SAID = {
+    "talk": "comment comments reply replies responses discussion respond reactions",
+    "side": "related recommended popular trending next also author tags categories archives latest newsletter subscribe more",
+    "edge": "copyright rights reserved privacy terms imprint cookies cookie contact © disclaimer",
+    "share": "share follow tweet print",
+    "form": "search login register sign password",
+}
+_SAID = {w: i for i, words in enumerate(SAID.values()) for w in words.split()}
+_SAYING = re.compile(r"[a-z]+|©")
 _HINT = {w: i for i, words in enumerate(HINTS.values()) for w in words.split()}
 _TAGS = [{"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset"}, {"article"}, {"main"}, {"section"}, {"div"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"blockquote", "pre", "figure", "figcaption"}, {"address", "dialog", "menu", "details", "summary"}, {"body", "html", ""}]
 _KIND = {t: i for i, tags in enumerate(_TAGS) for t in tags}
 _ENCLOSING = [5, 6, 7, 8, 9, 10, 11]
-N_HINTS, N_KINDS = len(HINTS), len(_TAGS)
+N_HINTS, N_KINDS, N_SAID = len(HINTS), len(_TAGS), len(SAID)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def says(node: Node) -> list[int]:
+    """What a node's own text announces, if it is a short one (12 words)."""
+    if not 0 < node.words <= 12 or node.chars > 100:
+        return []
+    return [_SAID[w] for w in _SAYING.findall("".join(t for _, t in node.runs).lower()) if w in _SAID]
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -56,7 +75,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         total[parent[i]] += total[i]
     hints, kinds = np.zeros((n, N_HINTS)), np.zeros((n, N_KINDS))
-    up = np.zeros((n, N_HINTS + len(_ENCLOSING)))
+    said = np.zeros((n, N_SAID))
+    up = np.zeros((n, N_HINTS + len(_ENCLOSING) + N_SAID))
+    for i, x in enumerate(nodes):
+        for k in says(x):
+            said[i, k] = 1
+            # A heading speaks for what it stands in, if it comes first there.
+            if x.tag in _HEADINGS and x.parent and x.parent.children[0] is x:
+                said[parent[i], k] = 1
     sib = np.zeros((n, 6))
     for i, x in enumerate(nodes):
         for t in x.tokens:
@@ -65,7 +91,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         kinds[i, _KIND.get(x.tag, N_KINDS - 1)] = 1
         if i:
             above = parent[i]
-            up[i] = np.maximum(up[above], np.concatenate([hints[above], kinds[above, _ENCLOSING]]))
+            up[i] = np.maximum(up[above], np.concatenate([hints[above], kinds[above, _ENCLOSING], said[above]]))
         same, alike = len(x.children), Counter(c.tag for c in x.children)
         for k, c in enumerate(x.children):
             sib[place[id(c)]] = (k / max(1, same - 1), same, alike[c.tag] / same, 0, k > 0 and x.children[k - 1].tag == c.tag, k + 1 < same and x.children[k + 1].tag == c.tag)
@@ -76,7 +102,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         np.log1p(total[:, 0]), np.log1p(own[:, 0]), total[:, 1] / chars, total[:, 0] / total[:, 5], total[:, 3] / np.maximum(1, total[:, 2]),
         np.log1p(total[:, 2]), total[:, 4] / np.maximum(1, total[:, 2]), total[:, 6] / total[:, 7], np.log1p(total[:, 7]), depth, total[:, 0] / max(1, total[0, 0]), np.arange(n) / n,
     ])
-    return np.hstack([shape, sib, hints, kinds, up])
+    return np.hstack([shape, sib, hints, kinds, said, up])
 
 
 class Trees:
@@ -174,19 +200,31 @@ def training_page(r: random.Random) -> str:
     def boiler(kind: str) -> str:
         tag = {"menu": "nav", "edge": r.choice(["header", "footer"]), "side": "aside", "form": "form"}.get(kind, r.choice(["div", "section", "aside"]))
         plain = r.random() < 0.4
-        tag, attr = ("div" if plain else tag), name(kind, 0.7 if kind == "menu" else 1.0 if plain or kind in ("advert", "notice", "talk", "share") else 0.5)
+        # Some say what they are in their words alone.
+        tells = kind in SAID and r.random() < 0.35
+        tag, attr = ("div" if plain else tag), "" if tells else name(kind, 0.7 if kind == "menu" else 1.0 if plain or kind in ("advert", "notice", "talk", "share") else 0.5)
+        spoken = lambda: f"{phrase(1, 2, False) + ' ' if r.random() < 0.3 else ''}{r.choice(SAID[kind].split()).capitalize()}{' ' + phrase(1, 2, False) if r.random() < 0.4 else ''}"
         if kind == "menu":
             inner = links(r.randint(2, 12))
+        elif kind == "edge" and tells:
+            line = r.choice(["All rights reserved", f"&copy; 2024 {phrase(1, 3, False)}", f"Copyright {phrase(1, 4, False)}", f"{phrase(1, 3, False)} All rights reserved.", "Privacy Terms Contact"])
+            inner = r.choice([line, f"<p>{line}</p>", f"{line} {link(1, 1)} {link(1, 2)}"])
         elif kind == "edge":
             inner = r.choice([f"<p>&copy; {phrase(2, 10)}</p>", f"&copy; {phrase(1, 8)}", f"<h1>{phrase(1, 4, False)}</h1>", f"<div>{link()}</div>{links(4)}", phrase(2, 12)])
         elif kind == "side":
-            inner = f"<h3>{phrase(1, 4, False)}</h3>" + r.choice([links(r.randint(2, 8)), prose(""), f"<p>{phrase(5, 30)}</p>{link()}"])
+            inner = f"<h3>{spoken() if tells else phrase(1, 4, False)}</h3>" + r.choice([links(r.randint(2, 8)), prose(""), f"<p>{phrase(5, 30)}</p>{link()}"])
         elif kind == "advert":
             inner = r.choice([phrase(3, 25), f"<p>{phrase(4, 30)}</p>", link(3, 12), f"<a href='/x'><img src='/a.png'></a><span>{phrase(2, 8)}</span>"])
         elif kind == "notice":
             inner = f"<p>{phrase(5, 40)}</p>" + r.choice(["<button>OK</button>", link(), "", f"<div>{phrase(2, 9)}</div>"])
         elif kind == "talk":
-            inner = f"<h3>{phrase(1, 3, False)}</h3>" * (r.random() < 0.6) + "".join(r.choice([f"<div{name('talk', 0.6)}><b>{phrase(1, 2, False)}</b><p>{phrase(3, 40)}</p></div>", f"<li><p>{phrase(3, 40)}</p></li>", f"<article{name('talk')}><p>{phrase(3, 40)}</p></article>", f"<p>{phrase(3, 40)}</p>"]) for _ in range(r.randint(1, 6)))
+            head, rank = spoken() if tells else phrase(1, 3, False), r.randint(2, 4)
+            inner = f"<h{rank}>{head}</h{rank}>" * (tells or r.random() < 0.6)
+            if r.random() < 0.3:
+                inner += "<ul>" + "".join(f"<li>{r.choice(['<p>{}</p>', '<b>{}</b> {}', '{}']).format(phrase(3, 40), phrase(3, 30))}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
+            inner += "" if inner.endswith("</ul>") else "".join(r.choice([f"<div{name('talk', 0.6)}><b>{phrase(1, 2, False)}</b><p>{phrase(3, 40)}</p></div>", f"<li><p>{phrase(3, 40)}</p></li>", f"<article{name('talk')}><p>{phrase(3, 40)}</p></article>", f"<p>{phrase(3, 40)}</p>"]) for _ in range(r.randint(1, 6)))
+        elif kind == "share" and tells:
+            inner = f"<h4>{spoken()}</h4>{links(3)}"
         elif kind == "form":
             inner = f"<label>{phrase(1, 3, False)}</label><input name='q'><p>{phrase(2, 12)}</p><button>{phrase(1, 2, False)}</button>"
         else:
@@ -201,9 +239,14 @@ def training_page(r: random.Random) -> str:
         if k < 0.72:
             return f"<p{K}><b>{phrase(1, 10)}</b></p>" if r.random() < 0.5 else f"<p{K}><b>{phrase(1, 10)}<br>"
         if k < 0.8:
-            return f"<h{r.randint(2, 4)}{K}>{phrase(1, 7, False)}</h>"
+            level = r.randint(2, 4)
+            title = phrase(1, 7, False)
+            if r.random() < 0.15:  # words that announce something elsewhere occur in titles too
+                title = r.choice([f"{title} {r.choice(list(_SAID))} {phrase(1, 3, False)}", f"{r.choice(list(_SAID)).capitalize()} {phrase(1, 4, False)}"])
+            return f"<h{level}{K}>{title}</h{level}>"
         if k < 0.87:
-            return f"<ul{K}>" + "".join(f"<li{K}>{phrase(1, 14, r.random() < 0.6)}</li>" for _ in range(r.randint(1, 7))) + "</ul>"
+            linked = r.choice([0, 0.15, 0.5])
+            return f"<ul{K}>" + "".join(f"<li{K}>{phrase(1, 14, r.random() < 0.6)}{' ' + link(1, 3) + (' ' + phrase(1, 6) if r.random() < 0.4 else '') if r.random() < linked else ''}</li>" for _ in range(r.randint(1, 7))) + "</ul>"
         if k < 0.9:
             return f"<blockquote{K}><p{K}>{phrase(4, 40)}</p></blockquote>"
         if k < 0.93:

@@ -18,6 +18,8 @@ MARKUP = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s
 LOOSE = re.compile(r"<()(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")  # a tag with a quote that nothing closes
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(r"[a-z]+")
+#: Attributes that hide an element and all in it.
+VEIL = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?until-found)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 class Node:
@@ -43,8 +45,6 @@ def tokens_of(attributes: str) -> tuple[str, ...]:
         if name in ("class", "id", "role", "itemprop", "aria-label", "data-role", "data-component"):
             value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", next((v for v in values if v), ""))
             found += TOKEN.findall(value.lower())
-        elif name == "hidden":
-            found.append("hidden")
     return tuple(found)
 
 
@@ -53,6 +53,7 @@ def read(html: str) -> list[Node]:
     root = Node("", (), None)
     nodes, stack, at, block = [root], [("", root)], 0, 0
     node, dark, anchors = root, 0, 0  # dark: open hidden elements; anchors: open links
+    veiled: list[int] = []  # places on the stack of elements that an attribute hides
 
     def text(raw: str) -> None:
         if dark or not raw:
@@ -70,6 +71,9 @@ def read(html: str) -> list[Node]:
         nonlocal node, dark, anchors, block
         while len(stack) > upto:
             name, owner = stack.pop()
+            if veiled and veiled[-1] == len(stack):
+                veiled.pop()
+                dark -= 1
             if name in HIDDEN:
                 dark -= 1
             elif name == "a":
@@ -149,6 +153,9 @@ def read(html: str) -> list[Node]:
                 dark -= 1
             anchors -= tag == "a"
             continue
+        if m[4] and VEIL.search(m[4]) and tag not in ("html", "body"):
+            veiled.append(len(stack))
+            dark += 1
         stack.append((tag, node))
     return nodes
 

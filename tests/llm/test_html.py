@@ -7,6 +7,8 @@ import pytest
 from brookline.llm import html_extract as hx
 from brookline.llm.html_tree import blocks, read
 
+from .hand_pages import PAGES
+
 
 def all_text(html):
     nodes = read(html)
@@ -23,6 +25,17 @@ def test_held_out_pages():
     assert exact >= 95
 
 
+def test_pages_written_by_hand():
+    got = hx.extract([html for _, html, _ in PAGES], hx.model())
+    assert {name: text for (name, _, _), text in zip(PAGES, got, strict=True)} == {name: want for name, _, want in PAGES}
+
+
+def test_hidden_elements_have_no_text():
+    for attribute in ("hidden", "hidden=''", 'class="x" hidden', 'aria-hidden="true"', "style='color: red; display:none'"):
+        assert all_text(f"<div>a<p {attribute}>b<b>c</b></p>f <i {attribute}>e</i>g</div>") == "a\n\nf g"
+    assert all_text('<p class="hidden-gem">a</p><p data-hidden="1">b</p>') == "a\n\nb"
+
+
 def test_articles_of_the_tables(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in hx.extract_pages(pages).collect()}
