@@ -38,10 +38,10 @@ def lagged_or_null(x: str, lag: int, keys: Sequence[str] = KEYS) -> Column:
 
 def convolve(x: Column | str, kernel: Sequence[float], keys: Sequence[str] = KEYS) -> Column:
     """Causal convolution of the finite values of x."""
-    total = F.lit(0.0)
+    total, x = F.lit(0.0), fin(x)
     for i, k in enumerate(kernel):
         if k:
-            total = total + F.lit(float(k)) * fin(shift(x, i, keys))
+            total = total + F.lit(float(k)) * shift(x, i, keys)
     return total
 
 

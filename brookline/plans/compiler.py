@@ -22,6 +22,8 @@ from .expr import parse, reach, references, to_column
 from .model import UNIT_MS, ModelError, nodes_of, queue_series, schema_errors, snake, topology
 
 KEYS = ("scenario_id",)
+#: Scenarios whose overrides are sent to every task that has data.
+MOST_SENT = 100_000
 
 
 def steps_of(model: dict) -> list[Step]:
@@ -281,8 +283,19 @@ def _class_reach(s: Step) -> dict[str, int]:
 
 
 def grid(spark: SparkSession, bins: int, scenarios: DataFrame | None = None) -> DataFrame:
+    """A row per scenario and bin, with the scenarios' other columns. Scenarios are dealt out before their bins are, so that
+    windows over them find them partitioned."""
     base = spark.range(bins).select(F.col("id").alias("bin"))
-    return (spark.range(1).select(F.lit(0).cast("long").alias("scenario_id")) if scenarios is None else scenarios.select("scenario_id").distinct()).crossJoin(F.broadcast(base))
+    return (spark.range(1).select(F.lit(0).cast("long").alias("scenario_id")) if scenarios is None else scenarios).crossJoin(F.broadcast(base))
+
+
+def scenario_table(overrides: DataFrame, constants: Sequence[str]) -> DataFrame:
+    """A row per scenario of overrides (scenario_id, series, bin, value): _e<i> is what it gives the i-th constant for every bin,
+    _b<i> a map of what it gives for single bins. One aggregate, and all that evaluation needs of the overrides."""
+    named = lambda c: F.col("series") == c
+    every = [F.max(F.when(named(c) & F.col("bin").isNull(), F.col("value"))).alias(f"_e{i}") for i, c in enumerate(constants)]
+    cells = lambda c: F.collect_list(F.when(named(c) & F.col("bin").isNotNull(), F.struct(F.col("bin").cast("long").alias("k"), F.col("value").alias("v"))))
+    return overrides.groupBy("scenario_id").agg(*every, *[F.map_from_entries(cells(c)).alias(f"_b{i}") for i, c in enumerate(constants)])
 
 
 def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = None, data: DataFrame | None = None, keys: Sequence[str] = KEYS, derived: bool = False, with_classes: bool = False) -> DataFrame:
@@ -294,32 +307,59 @@ def evaluate(spark: SparkSession, model: dict, overrides: DataFrame | None = Non
 
     overrides: rows (scenario_id, series, bin, value) replace constants, for every bin where bin is null; unknown series
     are ignored. Each scenario is evaluated; without overrides there is scenario 0."""
-    levels = plan(model, with_classes)
-    df = grid(spark, int(model["grid"]["bins"]), overrides) if data is None else data
+    levels, bins = plan(model, with_classes), int(model["grid"]["bins"])
+    constants = [m for level in levels for s in level if s.kind == "const" for m in s.makes]
+    said = None if overrides is None else overrides.agg(F.collect_set(F.when(F.col("series").isin(*constants), F.col("series"))).alias("series"), F.count_distinct("scenario_id").alias("n")).first()
+    named = [c for c in constants if said and c in said.series]
+    shared, own = (levels, []) if overrides is None else _parted(levels, set(named))
     given = set() if data is None else set(data.columns)
-    if data is not None and overrides is not None:
-        df = df.drop("scenario_id").crossJoin(F.broadcast(overrides.select("scenario_id").distinct()))  # a row per scenario
-    table = _changing([s for level in levels for s in level], given)
-    if table:  # one row per bin of the grid
-        bins = spark.createDataFrame(pd.DataFrame({"bin": range(int(model["grid"]["bins"])), **table}))
-        df = df.join(bins, "bin").select(*df.columns, *table)
-        given |= set(table)
+    if overrides is None:
+        df = _made(spark, grid(spark, bins) if data is None else data, shared, bins, given, keys)
+    else:
+        # What no override reaches is made once, for each key or, without data, for the grid, whose rows are few.
+        few = tuple(k for k in keys if k != "scenario_id")
+        base = _made(spark, (spark.range(bins).select(F.col("id").alias("bin")) if data is None else data.drop("scenario_id")), shared, bins, given, few)
+        table = scenario_table(overrides, named)
+        df = table.crossJoin(F.broadcast(base)) if data is None else base.crossJoin(F.broadcast(table) if said.n <= MOST_SENT else table)
+        at = {c: i for i, c in enumerate(named)}
+        held = lambda c, x: F.coalesce(F.try_element_at(f"_b{at[c]}", F.col("bin")), F.col(f"_e{at[c]}"), x)
+        df = _made(spark, df, own, bins, given, keys, {c: (lambda x, c=c: held(c, x)) for c in named})
+        df = df.drop(*[f"_{k}{i}" for i in at.values() for k in "eb"]).select(*keys, "bin", *[c for c in df.columns if c not in (*keys, "bin") and not c.startswith(("_e", "_b"))])
+    return df.withColumns(derived_columns(model, df.columns)) if derived else df
+
+
+def _parted(levels: list[list[Step]], changed: set[str]) -> tuple[list[list[Step]], list[list[Step]]]:
+    """Levels of the steps that none of these constants reaches, and of the others."""
+    reached, apart, own = set(changed), [], []
+    for level in levels:
+        mine = [s for s in level if (s.needs | s.past | set(s.makes)) & reached]
+        reached |= {m for s in mine for m in s.makes}
+        apart.append([s for s in level if s not in mine])
+        own.append(mine)
+    return apart, own
+
+
+def _made(spark: SparkSession, df: DataFrame, levels: list[list[Step]], bins: int, given: set[str], keys: Sequence[str], held: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """df with the series of these levels. given: constants that df has; held: what overrides make of some constants."""
+    held = held or {}
+    changing = _changing([s for level in levels for s in level], given)
+    if changing:  # one row per bin of the grid
+        table = spark.createDataFrame(pd.DataFrame({"bin": range(bins), **changing}))
+        df = df.join(F.broadcast(table), "bin").select(*df.columns, *changing)
+    there = given | set(changing)
+    made_here = {m for level in levels for s in level for m in s.makes}
+    if first := {c: f(F.col(c)) for c, f in held.items() if c in there and c in made_here}:
+        df = df.withColumns(first)
     for level in levels:
         flat = [s for s in level if s.kind in ("const", "expr", "router", "allocate")]
-        constants = [m for s in flat if s.kind == "const" for m in s.makes]
-        if flat:
-            df = df.withColumns({n: c for s in flat for n, c in _columns(s, keys=keys).items() if s.kind != "const" or n not in given})
-        if constants and overrides is not None:
-            wanted = overrides.where(F.col("series").isin(*constants))
-            every = wanted.where("bin is null").groupBy("scenario_id").pivot("series", constants).agg(F.first("value"))
-            single = wanted.where("bin is not null").groupBy("scenario_id", F.col("bin").cast("long").alias("bin")).pivot("series", constants).agg(F.first("value"))
-            df = df.join(every.toDF("scenario_id", *[f"_e_{c}" for c in constants]), "scenario_id", "left").join(single.toDF("scenario_id", "bin", *[f"_b_{c}" for c in constants]), ["scenario_id", "bin"], "left")
-            df = df.withColumns({c: F.coalesce(f"_b_{c}", f"_e_{c}", c) for c in constants}).drop(*[f"_{k}_{c}" for c in constants for k in "eb"])
+        made = {n: c for s in flat for n, c in _columns(s, keys=keys).items() if s.kind != "const" or n not in there}
+        if made:
+            df = df.withColumns({n: held[n](c) if n in held else c for n, c in made.items()})
         for s in level:
             if s.kind == "classes":
                 df = cv.add_vectors(df, s, keys, _entering(s.spec["queue"]) if s.spec["rule"] == "queue" else None)
             df = _queue(df, s, keys) if s.kind == "queue" else _loop(df, s, keys) if s.kind == "loop" else df
-    return df.withColumns(derived_columns(model, df.columns)) if derived else df
+    return df
 
 
 def derived_columns(model: dict, there: Sequence[str]) -> dict[str, Column]:
