@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import graphlib
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ from ..functions.arith import fin, safe_div
 from ..functions.metrics import retry_kernel
 from ..functions.rng import Pmf
 from ..operators.series import convolve, fold, gate, let, queue_depth, queue_with_limit
+from ..sources.shared import fresh
 from . import class_vectors as cv
 from .class_vectors import Step, arrivals_by_class, class_ids, class_series, is_vector, vector
-from .expr import parse, reach, references, to_column
+from .expr import parse, reach, references, to_column, to_sql
 from .model import UNIT_MS, ModelError, nodes_of, queue_series, schema_errors, snake, topology
 
 KEYS = ("scenario_id",)
@@ -166,7 +169,7 @@ def _columns(step: Step, at: Callable[[str], Column] = F.col, keys: Sequence[str
     if step.kind == "expr":
         if "column" in step.spec:
             return {step.makes[0]: convolve(*step.spec["column"], keys)}
-        return {step.makes[0]: to_column(step.spec["tree"], keys=keys)}
+        return {step.makes[0]: F.expr(to_sql(step.spec["tree"], keys))}
     if step.kind == "router":
         routes, source, out = step.spec["routes"], step.spec["source"], {}
         explicit = lambda c: class_series(source, c) in step.needs
@@ -344,7 +347,7 @@ def _made(spark: SparkSession, df: DataFrame, levels: list[list[Step]], bins: in
     held = held or {}
     changing = _changing([s for level in levels for s in level], given)
     if changing:  # one row per bin of the grid
-        table = spark.createDataFrame(pd.DataFrame({"bin": range(bins), **changing}))
+        table = spark.createDataFrame(pa.table({"bin": pa.array(range(bins), pa.int64()), **{c: pa.array(v, pa.float64()) for c, v in changing.items()}}))
         df = df.join(F.broadcast(table), "bin").select(*df.columns, *changing)
     there = given | set(changing)
     made_here = {m for level in levels for s in level for m in s.makes}
@@ -362,6 +365,80 @@ def _made(spark: SparkSession, df: DataFrame, levels: list[list[Step]], bins: in
     return df
 
 
+@dataclass
+class Staged:
+    """A model's series in tables of bounded width: where[series] is the number of its table in the folder."""
+
+    spark: SparkSession
+    folder: str
+    where: dict[str, int]
+    keys: tuple[str, ...]
+
+    def series(self, names: Sequence[str]) -> DataFrame:
+        """(keys..., bin, names...): columns of the tables that have them, joined where they are several."""
+        tables: dict[int, list[str]] = {}
+        for n in names:
+            tables.setdefault(self.where[n], []).append(n)
+        out = None
+        for i, own in tables.items():
+            part = self.spark.read.parquet(f"{self.folder}/{i}").select(*self.keys, "bin", *own)
+            out = part if out is None else out.join(part, [*self.keys, "bin"])
+        return out.select(*self.keys, "bin", *names)
+
+    def long(self) -> DataFrame:
+        """(keys..., bin, series_id, value) of all series."""
+        parts = []
+        for i in sorted(set(self.where.values())):
+            own = [n for n, k in self.where.items() if k == i]
+            parts.append(self.spark.read.parquet(f"{self.folder}/{i}").unpivot([*self.keys, "bin"], own, "series_id", "value"))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def stages_of(levels: list[list[Step]], width: int) -> list[list[list[Step]]]:
+    """Levels cut into stages of about `width` series, each of levels of its own, which need only earlier ones. Constants are no
+    part of a stage's width and wait for none: each stage makes those that it needs."""
+    constants = {s.makes[0]: s for level in levels for s in level if s.kind == "const"}
+    stages, now, n = [], {}, 0
+    for i, level in enumerate(levels):
+        for s in level:
+            if s.kind == "const":
+                continue
+            if n and n + len(s.makes) > width:
+                stages.append(now)
+                now, n = {}, 0
+            now.setdefault(i, []).append(s)
+            n += len(s.makes)
+    stages.append(now)
+    out, met = [], set()
+    for now in stages:
+        wanted = {x for own in now.values() for s in own for x in s.needs | s.past} & set(constants)
+        met |= wanted
+        out.append([[constants[c] for c in constants if c in wanted], *[now[k] for k in sorted(now)]])
+    rest = [constants[c] for c in constants if c not in met]
+    return out + [[rest[lo : lo + width]] for lo in range(0, len(rest), width)]
+
+
+def evaluate_staged(spark: SparkSession, model: dict, width: int = 400, data: DataFrame | None = None, keys: Sequence[str] = KEYS) -> Staged:
+    """A model of any width: cut into stages of about `width` series, each written as a table, which holds its own series and
+    those of earlier stages that later ones need. No plan is wider than a stage and what lives through it."""
+    levels, bins, folder_ = plan(model), int(model["grid"]["bins"]), fresh(spark, "stages")
+    given = set() if data is None else set(data.columns)
+    stages = stages_of(levels, width)
+    fixed = {s.makes[0] for level in levels for s in level if s.kind == "const"} - given
+    makes = [[m for level in stage for s in level for m in s.makes] for stage in stages]
+    needs = [{n for level in stage for s in level for n in s.needs | s.past} | {m for m in own if m in given} for stage, own in zip(stages, makes, strict=True)]
+    frame, where, live = grid(spark, bins) if data is None else data, {}, given - set(keys) - {"bin"}
+    for i, stage in enumerate(stages):
+        done = _made(spark, frame, stage, bins, given & set(frame.columns), keys)
+        live = (live | set(makes[i])) & set().union(*needs[i + 1 :]) - fixed
+        own = [m for m in makes[i] if m not in where]
+        kept = done.select(*dict.fromkeys([*keys, "bin", *own, *sorted(live)]))
+        kept.write.parquet(f"{folder_}/{i}")
+        where |= dict.fromkeys(own, i)
+        frame = spark.read.schema(kept.schema).parquet(f"{folder_}/{i}").select(*keys, "bin", *sorted(live))
+    return Staged(spark, folder_, where, tuple(keys))
+
+
 def derived_columns(model: dict, there: Sequence[str]) -> dict[str, Column]:
     """The evaluator's derived columns, 0 where a metric is not defined, of the topology nodes whose series are there."""
     grid_, out = model["grid"], {}

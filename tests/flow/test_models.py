@@ -3,9 +3,10 @@
 import pytest
 from brookline.operators import classes
 from brookline.plans import scenarios as sc
-from brookline.plans.compiler import by_class, evaluate, plan
+from brookline.plans.compiler import by_class, evaluate, evaluate_staged, plan
 from brookline.plans.graph import levels
-from brookline.plans.expr import ExpressionError, parse, references, to_column
+from brookline.plans.expr import ExpressionError, parse, references, to_column, to_sql
+from pyspark.sql.functions import expr as spark_expr
 from brookline.plans.model import ModelError, bin_times, load, model_hash, outputs, queue_series, run_id, schema_errors, snake, substitute, validate
 
 
@@ -208,3 +209,43 @@ def test_a_classed_model_reads_its_input_once(spark):
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Range (0, 8") == 1 and "Join" not in text
     assert {r.series_id for r in df.collect()} == {"a", "b", "inflow", "top", "again", "q_queue", "Q__overflow"}
+
+
+@pytest.mark.parametrize("text", ["a * 1.5 - 2 / b", "-a + b", "a / (b - 3)", "MIN(a, MAX(b, 2))", "CLAMP(a, b, 4)", "MOD(a - b, -3) + MOD(a, b - 3)", "FLOOR(a / 3) + CEIL(b / 3) + ROUND((a - b) / 2)", "STEP(a, b) + STEP(nan, 0)", "PULSE(3, 1, a) + PULSE(2)", "SHIFT(a, 2) + SHIFT(b, 0)", "CONV(a, [0, 0.5, 0.25]) + CONV(b, 2)", "CONV(nan, [1, 1])", "a + [1, 2, 3, 4, 5, 6]", "MOD(nan, 2)", "1e-7 * a + 0.1"])
+def test_expressions_as_sql_are_those_as_columns(spark, text):
+    df = spark.createDataFrame([(s, b, float(s + b), float(3 * b - 4 * s), float("nan")) for s in (0, 1) for b in range(6)], "scenario_id long, bin long, a double, b double, nan double")
+    got = df.select("scenario_id", "bin", to_column(text).alias("x"), spark_expr(to_sql(parse(text))).alias("y")).collect()
+    assert all(r.x == r.y or r.x != r.x and r.y != r.y for r in got) and len(got) == 12
+
+
+def test_a_wide_model_in_stages(spark):
+    import random
+
+    r, nodes = random.Random(3), {f"c{i}": [float((7 * i + b) % 23 + 1) for b in range(6)] for i in range(8)}
+    for i in range(60):
+        a, b = r.choice(list(nodes)), r.choice(list(nodes))
+        nodes[f"e{i}"] = r.choice([f"{a} * 1.5 - {b}", f"MIN({a} * 2, {b})", f"{a} + SHIFT({b}, 1)", f"CONV({a}, [0.5, 0.5])"])
+    m = model(6, nodes, [swb("Q", "e1", "c0"), swb("R", "e2", "c1", wipLimit=4)])
+    m["nodes"].append({"id": "last", "kind": "expr", "expr": "q_queue + SHIFT(r_queue, 1)"})
+    staged = evaluate_staged(spark, m, width=12)
+    names = [s for s in staged.where if s != "bin"]
+    assert max(staged.where.values()) >= 4 and {"q_queue", "R__overflow", "last"} <= set(names)
+    want = {x.bin: x for x in evaluate(spark, m).collect()}
+    for row in staged.series(names).collect():
+        assert all(round(row[n], 9) == round(want[row.bin][n], 9) for n in names)
+    assert staged.long().count() == 6 * len(names)
+    assert all(len(spark.read.parquet(f"{staged.folder}/{i}").columns) < 50 for i in set(staged.where.values()))
+    data = spark.range(12).selectExpr("id % 2 as who", "id div 2 as bin", "cast(id as double) as c0")
+    per = evaluate_staged(spark, m, 12, data, ("who",))
+    assert [x.last for x in per.series(["last"]).orderBy("who", "bin").collect()] == [x.last for x in evaluate(spark, m, data=data, keys=("who",)).orderBy("who", "bin").collect()]
+
+
+def test_overrides_of_entities_reach_only_what_they_change(spark):
+    data = spark.range(12).selectExpr("0L as scenario_id", "id % 2 as who", "id div 2 as bin", "cast(id as double) as a")
+    m = model(6, {"a": 0.0, "k": 2.0, "base": "SHIFT(a, 1) + 1", "y": "base * k"})
+    rows = spark.createDataFrame([(s, "k", None, float(s)) for s in (1, 2, 3)] + [(3, "k", 4, 10.0)], "scenario_id long, series string, bin long, value double")
+    got = {(r.scenario_id, r.who, r.bin): r.y for r in evaluate(spark, m, rows, data, ("scenario_id", "who")).collect()}
+    base = {(w, b): (2 * (b - 1) + w if b else 0) + 1 for w in (0, 1) for b in range(6)}
+    assert got == {(s, w, b): base[w, b] * (10 if (s, b) == (3, 4) else s) for s in (1, 2, 3) for w in (0, 1) for b in range(6)}
+    plan_ = evaluate(spark, m, rows, data, ("scenario_id", "who"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_.index("Join") < plan_.index("lag(")  # the shift is below the join with scenarios
