@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, slices
+from .common import SPACES, slices, tasks_for
 
-#: Bytes of text that a table may hold before it is split, and spill files a split.
-TABLE_BYTES, FAN_OUT, MAX_LEVEL = 96 << 20, 16, 8
+#: Bytes of text that a table may hold before it is split, spill files a split, how often; and bytes of the input for each bucket
+#: of the shuffle.
+TABLE_BYTES, FAN_OUT, MAX_LEVEL, BUCKET_BYTES = 96 << 20, 16, 8, 64 << 20
 SENT = 1000  # entries a batch that a task sends
 DELETE = SPACES.encode()
 LAST = 1 << 63  # stands for a null doc_id: after every long
@@ -131,8 +132,7 @@ def settle_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. See the module's head for odd cases."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or tasks_for(docs, BUCKET_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     folded = rows.mapInArrow(fold_locally, "sha string, content binary, n long, length long, doc long")
     keep = folded.repartition(n, "sha").mapInArrow(settle_bucket, "sha string, keep_id long, group_size long")

@@ -21,6 +21,8 @@ table; of the columns, the operator adds topic, tokens, probability and sampled,
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +84,11 @@ def rake(cells: DataFrame, margins: tuple[str, ...] = MARGINS, alpha: float = AL
             state = state.drop("full", "open", f"got_{m}").withColumnRenamed(f"_got_{m}", f"got_{m}")
             moved = F.col(f"_moved_{m}")
         state = written(state.withColumn("moved", moved).drop(*[f"_moved_{m}" for m in margins]), "raking")
-        if (state.agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
+        last = state.agg(F.max("moved")).first()[0] or 0.0
+        if last <= SETTLED:
             break
+    else:
+        warnings.warn(f"raking still moved a margin by {last:.2g} of its goal after {rounds} rounds", stacklevel=2)
     return state.select(*margins, "tokens", F.least(tokens, tokens * part).alias("weight"))
 
 
