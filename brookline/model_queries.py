@@ -206,11 +206,13 @@ def warn_router(spark, sf):
     return routing.router_warnings(classes, routes, source, flows)
 
 
-@query("with n as (select user_id, list(value order by event_id)[1:4] as k from events group by 1), c as (select user_id, list_filter(k, lambda x: x >= 0) as f, k from n) select user_id as node_id, 'retry_kernel_policy' as code, 'scaled' as detail from c where list_sum(f) > 1")
+@query("with n as (select user_id, list((value - 20) / 100 order by event_id) as k from events group by 1), c as (select user_id, k[1:32] as k, len(k) as n from n), d as (select user_id, n, len(k) as m, list_filter(k, lambda x: x >= 0) as f from c) select user_id as node_id, 'retry_kernel_policy' as code, array_to_string(list_filter([case when n > 32 then 'trimmed' end, case when len(f) < m then 'replaced' end, case when list_sum(f) > 1 then 'scaled' end], lambda x: x is not null), ',') as detail from d where n > 32 or len(f) < m or list_sum(f) > 1")
 def warn_kernel(spark, sf):
-    """Retry kernels taken from the first values of each user's events."""
+    """Retry kernels taken from the values of each user's events: too long ones, ones with negative terms, too heavy ones."""
     e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "value")
-    k = e.groupBy(F.col("user_id").alias("node_id")).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]), 1, 4).alias("kernel"))
+    # The rule reads 32 terms at most and sees whether there are more, so 33 of a user's events are all that is gathered.
+    first = e.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))).where("n <= 33")
+    k = first.groupBy(F.col("user_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: (x["value"] - 20) / 100).alias("kernel"))
     return checks.kernel_warnings(k)
 
 

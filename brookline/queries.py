@@ -150,44 +150,51 @@ def state_window(spark, sf):
 # --- routing, constraints, classes, edges -----------------------------------------------------------------------------
 
 
+def _routed(spark, sf) -> DataFrame:
+    """Ten routers, each for a tenth of the users."""
+    return users(spark, sf).withColumn("router", F.concat(F.lit("r"), F.col("user_id") % 10))
+
+
 def _source(spark, sf) -> DataFrame:
-    return users(spark, sf).groupBy("scenario_id", "bin").agg(F.sum("arrivals").alias("value")).withColumn("router", F.lit("r"))
+    return _routed(spark, sf).groupBy("scenario_id", "bin", "router").agg(F.sum("arrivals").alias("value"))
 
 
-def _routes(spark, *rows) -> DataFrame:
-    return spark.createDataFrame([("r", *x) for x in rows], "router string, target string, weight double, class_id string")
+def _routes(spark, sf, *rows) -> DataFrame:
+    """The same routes for each router, to targets of its own."""
+    of = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).cast("double").alias("weight"), F.lit(c).cast("string").alias("class_id")) for t, w, c in rows])
+    each = _routed(spark, sf).select("router").distinct().select("router", F.explode(of).alias("x"))
+    return each.select("router", F.concat_ws(":", "router", "x.t").alias("target"), "x.weight", "x.class_id")
 
 
-_DAYS = "d as (select bin, sum(arrivals) as v from u group by 1)"
+_DAYS = "d as (select 'r' || (user_id % 10) as router, bin, sum(arrivals) as v from u group by 1, 2)"
 
 
-@query(f"with $U, {_DAYS} select bin, target, round(v * f, 6) as flow from d, (values ('a', 0.5), ('b', 0.2), ('c', 0.3)) t(target, f)")
+@query(f"with $U, {_DAYS} select bin, router || ':' || target as target, round(v * f, 6) as flow from d, (values ('a', 0.5), ('b', 0.2), ('c', 0.3)) t(target, f)")
 def router_weight(spark, sf):
-    flows = routing.route(_source(spark, sf), _routes(spark, ("a", 5.0, None), ("b", 2.0, None), ("c", 1.0, None), ("c", 2.0, None)))
+    flows = routing.route(_source(spark, sf), _routes(spark, sf, ("a", 5.0, None), ("b", 2.0, None), ("c", 1.0, None), ("c", 2.0, None)))
     return flows.select("bin", "target", r6("flow").alias("flow"))
 
 
 def _class_flow(spark, sf) -> DataFrame:
-    df = binned(spark, sf, 30, "DAY")
-    long = df.unpivot(["scenario_id", "bin"], ["arrivals", "served", "errors"], "class_id", "value")
-    return long.withColumn("router", F.lit("r"))
+    df = _routed(spark, sf).groupBy("scenario_id", "bin", "router").agg(*[F.sum(c).alias(c) for c in ("arrivals", "served", "errors")])
+    return df.unpivot(["scenario_id", "bin", "router"], ["arrivals", "served", "errors"], "class_id", "value")
 
 
-_CF = "c as (select bin, unnest(['arrivals', 'served', 'errors']) as class_id, unnest([a, s, e]) as value from (select bin, sum(arrivals) as a, sum(served) as s, sum(errors) as e from u group by 1))"
+_CF = "c as (select router, bin, unnest(['arrivals', 'served', 'errors']) as class_id, unnest([a, s, e]) as value from (select 'r' || (user_id % 10) as router, bin, sum(arrivals) as a, sum(served) as s, sum(errors) as e from u group by 1, 2))"
 
 
-@query(f"with $U, {_CF} select bin, case class_id when 'errors' then 'bad' else 'good' end as target, sum(value) as flow from c group by 1, 2")
+@query(f"with $U, {_CF} select bin, router || case class_id when 'errors' then ':bad' else ':good' end as target, sum(value) as flow from c group by 1, 2")
 def router_class(spark, sf):
     cf = _class_flow(spark, sf)
     source = cf.groupBy("scenario_id", "bin", "router").agg(F.sum("value").alias("value"))
-    return routing.route(source, _routes(spark, ("bad", None, "errors"), ("good", None, "arrivals"), ("good", None, "served")), cf).select("bin", "target", "flow")
+    return routing.route(source, _routes(spark, sf, ("bad", None, "errors"), ("good", None, "arrivals"), ("good", None, "served")), cf).select("bin", "target", "flow")
 
 
-@query(f"with $U, {_CF}, s as (select bin, sum(value) as t, sum(value) filter (where class_id = 'errors') as e from c group by 1) select bin, target, round(case target when 'bad' then e + 0.25 * (t - e) else 0.75 * (t - e) end, 6) as flow from s, (values ('bad'), ('good')) x(target)")
+@query(f"with $U, {_CF}, s as (select router, bin, sum(value) as t, sum(value) filter (where class_id = 'errors') as e from c group by 1, 2) select bin, router || ':' || target as target, round(case target when 'bad' then e + 0.25 * (t - e) else 0.75 * (t - e) end, 6) as flow from s, (values ('bad'), ('good')) x(target)")
 def router_mixed(spark, sf):
     cf = _class_flow(spark, sf)
     source = cf.groupBy("scenario_id", "bin", "router").agg(F.sum("value").alias("value"))
-    return routing.route(source, _routes(spark, ("bad", None, "errors"), ("good", 0.75, None), ("bad", 0.25, None)), cf).select("bin", "target", r6("flow").alias("flow"))
+    return routing.route(source, _routes(spark, sf, ("bad", None, "errors"), ("good", 0.75, None), ("bad", 0.25, None)), cf).select("bin", "target", r6("flow").alias("flow"))
 
 
 def _demand(spark, sf) -> DataFrame:
@@ -566,10 +573,10 @@ def edge_failures_and_retries(spark, sf):
     return failures.join(routing.effort_retries(efforts), ["scenario_id", "edge_id", "bin"]).select("edge_id", "bin", "failures_volume", "retry_volume")
 
 
-@query("with $U, d as (select bin, sum(arrivals) as v from u group by 1) select 'r->' || target as edge_id, bin, round(v * f, 6) as flow from d, (values ('a', 0.6), ('b', 0.4)) t(target, f)")
+@query(f"with $U, {_DAYS} select router || '->' || target as edge_id, bin, round(v * f, 6) as flow from d, (values ('a', 0.6), ('b', 0.4)) t(target, f)")
 def router_edges(spark, sf):
-    routes = _routes(spark, ("a", 3.0, None), ("b", 2.0, None))
-    edges = spark.createDataFrame([("r->a", "r", "a"), ("r->b", "r", "b"), ("x->a", "x", "a")], "edge_id string, source string, target string")
+    routes = _routes(spark, sf, ("a", 3.0, None), ("b", 2.0, None))
+    edges = routes.select(F.concat(F.regexp_replace("target", ":", "->")).alias("edge_id"), F.col("router").alias("source"), "target").unionByName(routes.select(F.concat(F.lit("x->"), "target").alias("edge_id"), F.lit("x").alias("source"), "target"))
     flows = routing.route(_source(spark, sf), routes)
     return routing.router_edge_flow(flows, edges, routes.select("router", "target")).select("edge_id", "bin", r6("flow").alias("flow"))
 
@@ -651,9 +658,12 @@ def emitted_metrics(spark, sf):
     return state.emitted(state.with_metrics(n, 1000.0), ["queue_time_ms", "utilization", "throughput_ratio"])
 
 
-@query("select * from (values ('a', 'service', 'service', false, true, 'service'), ('b', 'serviceWithBuffer', 'service', true, true, 'service_with_buffer'), ('c', 'dlq', 'dlq', true, false, 'queue'), ('d', 'router', 'router', false, false, 'router'), ('e', 'odd', 'unknown', false, false, 'unknown')) t(node_id, kind, category, has_queue, has_service, identity)")
+@query("with k as (select distinct user_id from events), t as (select * from (values (0, 'service', 'service', false, true, 'service'), (1, 'serviceWithBuffer', 'service', true, true, 'service_with_buffer'), (2, 'dlq', 'dlq', true, false, 'queue'), (3, 'router', 'router', false, false, 'router'), (4, 'odd', 'unknown', false, false, 'unknown')) t(i, kind, category, has_queue, has_service, identity)) select user_id as node_id, kind, category, has_queue, has_service, identity from k join t on i = user_id % 5")
 def node_descriptors(spark, sf):
-    return state.describe_nodes(spark.createDataFrame([("a", "service"), ("b", "serviceWithBuffer"), ("c", "dlq"), ("d", "router"), ("e", "odd")], "node_id string, kind string"))
+    """A node for every user, of one kind of five."""
+    kinds = F.array(*map(F.lit, ("service", "serviceWithBuffer", "dlq", "router", "odd")))
+    n = users(spark, sf).select(F.col("user_id").alias("node_id")).distinct()
+    return state.describe_nodes(n.withColumn("kind", F.element_at(kinds, (F.col("node_id") % 5 + 1).cast("int"))))
 
 
 @query("select * from (values ('demand->served', 'demand', 'served', 'reference'), ('capacity->served', 'capacity', 'served', 'reference'), ('served->errors', 'served', 'errors', 'reference'), ('failing->errors', 'failing', 'errors', 'reference'), ('errors->retries', 'errors', 'retries', 'reference'), ('demand->inflow', 'demand', 'inflow', 'reference'), ('retries->inflow', 'retries', 'inflow', 'reference'), ('inflow->Work', 'inflow', 'Work', 'arrivals'), ('served->Work', 'served', 'Work', 'served')) t(edge_id, source, target, type)")
@@ -661,14 +671,6 @@ def model_graph(spark, sf):
     return graph(spark, model())[1].select("edge_id", "source", "target", "type")
 
 
-_OFFICE = "[" + ", ".join(map(str, summary.PROFILES["weekday-office"])) + "]::double[]"
-
-
-@query(f"with p as (select bin, bin / 48.0::double * 287 as pos, floor(bin / 48.0::double * 287)::int as lo from (select unnest(range(48)) as bin)), w as (select bin, ({_OFFICE})[lo // 12 + 1] as a, ({_OFFICE})[least(lo + 1, 287) // 12 + 1] as b, pos - lo as part from p) select bin, round(2.1 * (a + (b - a) * part) / avg(a + (b - a) * part) over (), 6) as rate from w")
-def profiled_source(spark, sf):
-    weights = summary.built_in_profile(spark, "weekday-office", 48)
-    return weights.select(F.col("bin").cast("long").alias("bin"), r6(F.col("weight") * Pmf([1, 2, 3], [0.2, 0.5, 0.3]).mean).alias("rate"))
-
 
 @query(
     "with $H, l as (select *, lag(arrivals, 24) over (order by bin) as d, lag(arrivals, 168) over (order by bin) as w from h), s as (select greatest(0, 1 - sum(abs(arrivals - d)) / sum(arrivals) filter (where d is not null)) as d, greatest(0, 1 - sum(abs(arrivals - w)) / sum(arrivals) filter (where w is not null)) as w from l)"
