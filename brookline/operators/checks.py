@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,20 +158,28 @@ def edge_class_warnings(nodes: DataFrame, flows: DataFrame, side: str) -> DataFr
 
 def edge_rules(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Warnings of the graph: dead-letter queues that are not terminal, lags, dependencies without effort edges or, where
-    nodes have the columns errors and attempts (whether the model gives them), with errors that no source attempts."""
-    kind = nodes.select("node_id", "kind")
-    into, out_of = edges.join(kind, edges.target == kind.node_id), edges.join(kind, edges.source == kind.node_id)
-    parts = [
-        into.where("kind = 'dlq' and type <> 'terminal'").select("node_id", F.lit("dlq_non_terminal_inbound").alias("code")),
-        out_of.where("kind = 'dlq' and type <> 'terminal'").select("node_id", F.lit("dlq_non_terminal_outbound").alias("code")),
-        edges.where("lag > 0").select(F.col("source").alias("node_id"), F.lit("edge_behavior_violation_lag").alias("code")),
-        kind.where("kind = 'dependency'").join(edges.where("type = 'effort'"), F.col("node_id") == F.col("target"), "left_anti").select("node_id", F.lit("dependency_missing_effort_edges").alias("code")),
-    ]
-    if {"errors", "attempts"} <= set(nodes.columns):
-        tried = edges.where("type = 'effort'").join(nodes.select(F.col("node_id").alias("source"), "attempts"), "source", "left").groupBy("target").agg(F.max(F.coalesce("attempts", F.lit(False))).alias("tried"))
-        blind = nodes.where("kind = 'dependency' and errors").join(tried, F.col("node_id") == F.col("target")).where("not tried")
-        parts.append(blind.select("node_id", F.lit("dependency_retry_pressure_missing").alias("code")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    nodes have the columns errors and attempts (whether the model gives them), with errors that no source attempts.
+
+    Each edge meets both its ends once; what it says of them, and what a dependency says of itself, meets in one aggregate by
+    node."""
+    more = {"errors", "attempts"} <= set(nodes.columns)
+    end = lambda side: nodes.select(F.col("node_id").alias(side), F.col("kind").alias(f"_{side}_kind"), (F.col("attempts") if more else F.lit(False)).alias(f"_{side}_attempts"))
+    both = edges.join(end("target"), "target", "left").join(end("source"), "source", "left")
+    effort, loose = F.col("type") == "effort", F.col("type") != "terminal"
+    says = lambda holds, node, code: F.when(F.coalesce(holds, F.lit(False)), F.struct(F.col(node).alias("node_id"), F.lit(code).alias("code")))
+    of_edges = F.array_compact(F.array(
+        says((F.col("_target_kind") == "dlq") & loose, "target", "dlq_non_terminal_inbound"), says((F.col("_source_kind") == "dlq") & loose, "source", "dlq_non_terminal_outbound"), says(F.col("lag") > 0, "source", "edge_behavior_violation_lag"),
+        says((F.col("_target_kind") == "dependency") & effort, "target", "+effort"), says((F.col("_target_kind") == "dependency") & effort & F.col("_source_attempts"), "target", "+tried"),
+    ))
+    own = F.array(F.lit("+dependency"), F.when(F.col("errors") if more else F.lit(False), "+errors"))
+    said = both.select(F.explode(of_edges).alias("w")).select("w.*").unionByName(nodes.where("kind = 'dependency'").select("node_id", F.explode(F.array_compact(own)).alias("code")))
+    all_ = said.groupBy("node_id").agg(F.collect_set("code").alias("_c"))
+    has = lambda x: F.array_contains("_c", x)
+    codes = F.concat(
+        F.filter("_c", lambda x: ~x.startswith("+")), F.when(has("+dependency") & ~has("+effort"), F.array(F.lit("dependency_missing_effort_edges"))).otherwise(F.array().cast("array<string>")),
+        F.when(has("+errors") & has("+effort") & ~has("+tried"), F.array(F.lit("dependency_retry_pressure_missing"))).otherwise(F.array().cast("array<string>")),
+    )
+    return all_.select("node_id", F.explode(codes).alias("code"))
 
 
 def gate_closed(nodes: DataFrame, period: int, phase: int = 0) -> DataFrame:
@@ -206,6 +214,26 @@ def telemetry_gaps(series: DataFrame, bins: int) -> DataFrame:
     return g.select("series_id", F.explode(codes).alias("w")).select("series_id", "w.*")
 
 
+def telemetry_class_errors(totals: DataFrame, classes: DataFrame, declared: Sequence[str], supported: bool = True) -> DataFrame:
+    """Rows (node_id, code, detail) of telemetry by class: totals (node_id, bin, value) and classes (node_id, class_id, bin, value).
+    Classes without a total, nodes without classes or without a declared one, and the first bin at which the classes' sum is not the
+    total (nulls and NaN are no samples; a millionth of the total is let pass). supported: whether the telemetry says that it has
+    classes. What concerns all of it has no node_id. One aggregate by node and bin, one by node."""
+    names = [c for c in dict.fromkeys(declared) if c and c.upper() != "DEFAULT"]
+    sample = lambda x: F.when(F.col(x).isNotNull() & ~F.isnan(x), F.col(x))
+    rows = totals.select("node_id", "bin", F.col("value").alias("total"), F.lit(None).cast("double").alias("part"), F.lit(None).cast("string").alias("class_id")).unionByName(classes.select("node_id", "bin", F.lit(None).cast("double").alias("total"), F.col("value").alias("part"), "class_id"))
+    per_bin = rows.groupBy("node_id", "bin").agg(F.max(sample("total")).alias("total"), F.sum(sample("part")).alias("sum"), F.max(F.col("class_id").isNull()).alias("has_total"), F.collect_set("class_id").alias("ids"))
+    off = F.abs(F.col("total") - F.col("sum")) > F.greatest(F.lit(1e-6), F.abs("total") * 1e-6)
+    node = per_bin.groupBy("node_id").agg(F.max("has_total").alias("has_total"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"), F.min(F.when(off, F.col("bin"))).alias("off"))
+    one = lambda holds, code, detail: F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))
+    none, some = F.size("ids") == 0, F.size("ids") > 0
+    codes = [one(~F.col("has_total"), "class_totals_missing", F.lit(None)), one(F.col("has_total") & none & F.lit(supported), "class_series_missing", F.lit(None)), one(F.col("has_total") & some & F.col("off").isNotNull(), "class_conservation_mismatch", F.col("off"))]
+    codes += [one(F.col("has_total") & some & ~F.array_contains("ids", c), "class_series_partial", F.lit(c)) for c in names]
+    found = node.select("node_id", F.explode(F.array_compact(F.array(*codes))).alias("w")).select(F.col("node_id").cast("string").alias("node_id"), "w.*")
+    whole = rows.agg(F.count("class_id").alias("n")).select(F.lit(None).cast("string").alias("node_id"), F.explode(F.array_compact(F.array(one(F.lit(supported and not names), "class_manifest_missing", F.lit(None)), one(F.lit(supported) & (F.col("n") == 0), "class_data_missing", F.lit(None))))).alias("w"))
+    return found.unionByName(whole.select("node_id", "w.*"))
+
+
 def kernel_warnings(nodes: DataFrame, most: int = 32) -> DataFrame:
     """nodes (node_id, kernel array<double>): rows (node_id, code, detail) of retry kernels that are changed before use."""
     k = F.col("kernel")

@@ -136,6 +136,16 @@ def effort_retries(efforts: DataFrame) -> DataFrame:
     return efforts.withColumn("retry_volume", F.greatest(F.col("attempts_volume") - F.col("flow"), F.lit(0.0)))
 
 
+def hold(nodes: DataFrame, limits: str = "limits", column: str = "served") -> DataFrame:
+    """enforce() of nodes that say themselves which constraints they stand under: limits is an array of (constraint_id, capacity).
+    One exchange by constraint and bin, one by node and bin; nothing is joined."""
+    keys, others = ["scenario_id", "node_id", "bin"], [c for c in nodes.columns if c not in ("scenario_id", "node_id", "bin", limits)]
+    each = nodes.withColumn("_l", F.explode_outer(limits)).withColumns({"constraint_id": F.col("_l.constraint_id"), "demand": F.col(column), "capacity": F.col("_l.capacity")})
+    least = allocate(each).groupBy(*keys).agg(F.min(F.when(F.col("constraint_id").isNotNull(), F.col("allocated"))).alias("_cap"), *[F.first(c).alias(c) for c in others])
+    held = F.when(F.col("_cap") + 1e-6 < F.col(column), F.col("_cap")).otherwise(F.col(column))
+    return least.withColumn(column, held).select(*keys, *others)
+
+
 def limit_at_query(nodes: DataFrame, members: DataFrame, capacities: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Constraints applied to results: served held to the least allocation, and edge flows scaled as their sources' served
     (which they get as source_served)."""

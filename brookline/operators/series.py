@@ -45,6 +45,17 @@ def convolve(x: Column | str, kernel: Sequence[float], keys: Sequence[str] = KEY
     return total
 
 
+def echo(x: Column | str, kernel: Sequence[float], keys: Sequence[str] = KEYS) -> Column:
+    """convolve(), but null where no finite value of x contributes: bins whose weights meet only nulls, NaN or no bin."""
+    x = F.col(x) if isinstance(x, str) else x
+    sample = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    lags = [(float(k), F.lag(sample, i).over(along(keys)) if i else sample) for i, k in enumerate(kernel) if k]
+    if not lags:
+        return F.lit(None).cast("double")
+    total = sum((F.lit(k) * F.coalesce(v, F.lit(0.0)) for k, v in lags), F.lit(0.0))
+    return F.when(F.coalesce(*[v for _, v in lags]).isNotNull(), total)
+
+
 def queue_depth(df: DataFrame, inflow: Column, outflow: Column, init: Column | float = 0.0, name: str = "queue", keys: Sequence[str] = KEYS) -> DataFrame:
     """Q[t] = max(0, Q[t-1] + in - out). Two cumulative windows over one sort: S less the lowest S so far, if below 0."""
     run = F.sum(fin(inflow) - fin(outflow)).over(so_far(keys))

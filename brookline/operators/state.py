@@ -43,6 +43,20 @@ def aggregation(metric: str) -> str:
     return "sum" if metric in SUMS else "avg" if metric in MEANS else "unknown"
 
 
+#: How the metrics that the state derives are to be aggregated, and where each comes from; a depth is explicit where it is given.
+DERIVED = {"latency_min": "avg", "service_time_ms": "avg", "flow_latency_ms": "avg", "queue_time_ms": "avg", "cycle_time_ms": "avg", "flow_efficiency": "avg", "utilization": "unknown", "throughput_ratio": "unknown"}
+
+
+def series_metadata(nodes: DataFrame, by: Sequence[str] = ("node_id",), given: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., metric, aggregation, origin) of the derived metrics that have a value in any bin of a node, and of its depth:
+    explicit for the nodes in given, derived for others."""
+    has = nodes.groupBy(*by).agg(*[F.max(F.col(m).isNotNull()).alias(m) for m in DERIVED if m in nodes.columns], F.max(F.col("queue_depth").isNotNull()).alias("queue_depth"))
+    row = lambda m, how, origin: F.when(F.col(m), F.struct(F.lit(m).alias("metric"), F.lit(how).cast("string").alias("aggregation"), origin.alias("origin")))
+    origin = F.when(F.col("node_id").isin(*given), "explicit").otherwise("derived") if given else F.lit("derived")
+    rows = [row(m, how, F.lit("derived")) for m, how in DERIVED.items() if m in nodes.columns] + [row("queue_depth", None, origin)]
+    return has.select(*by, F.explode(F.array_compact(F.array(*rows))).alias("m")).select(*by, "m.*")
+
+
 def snapshot(df: DataFrame, bin_: int) -> DataFrame:
     return df.where(F.col("bin") == bin_)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from ..functions import metrics as M
 from ..functions.arith import fin, fires, is_finite
 from ..operators.checks import FIRST, TOLERANCE
-from ..operators.series import gate, lagged_or_null, queue_with_limit, shift
+from ..operators.series import echo, gate, lagged_or_null, queue_with_limit, shift
 from ..operators.state import WITH_QUEUE, WITH_SERVICE
 from .class_vectors import class_ids, classed, plus, vector
 from .compiler import KEYS, evaluate, steps_of
@@ -295,6 +295,9 @@ def _node(m: _Model, i: int, node: dict, keys: Sequence[str]) -> dict[str, Colum
     kind, (queue, _), sched = node.get("kind", "service"), _descriptors(node), node.get("dispatchSchedule")
     null, s = F.lit(None).cast("double"), node.get("semantics") or {}
     out = {c: F.col(n).cast("double") if (n := m.role(node, r)) else null for r, c in ROLES.items()}
+    failed = m.role(node, "failures") or m.role(node, "errors")
+    if not m.role(node, "retryEcho") and s.get("retryEcho") is None and s.get("retryKernel") and failed:
+        out["retry_echo"] = echo(failed, M.retry_kernel(s["retryKernel"])[0], keys)  # null where nothing finite contributes
     made = _metrics(m, node, float(bin_ms(m.model["grid"])))
     open_, sla = _open(node), s.get("slaMinutes") or s.get("slaMin")
     status = M.gate_status(F.lit(True), open_, out["queue_depth"], out["served"]) if sched and queue else F.lit(None).cast("string")

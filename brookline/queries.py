@@ -583,10 +583,10 @@ def router_edges(spark, sf):
 
 @query("with $U, a as (select *, case when t <= 2 then served else 2 * served / t end as al from (select *, sum(served) over (partition by user_id % 10, bin) as t from u)), c as (select *, case when al + 1e-6 < served then al else served end as held from a) select user_id || '->' || (user_id + hop) as edge_id, bin, round(held, 6) as served, round(served * case hop when 1 then 0.75 else 0.25 end * case when served > 0 then held / served else 1 end, 6) as flow from c, (values (1), (2)) t(hop)")
 def constraint_at_query(spark, sf):
-    n, e = _nodes(spark, sf), _edges(spark, sf)
-    d = _demand(spark, sf)
-    caps = d.select("scenario_id", "constraint_id", "bin", F.lit(2.0).alias("capacity")).distinct()
-    held, flows = routing.limit_at_query(n, d.select("constraint_id", "node_id").distinct(), caps, routing.edge_flow(n, e))
+    """Constraints applied to results: users say which one they stand under, and their edges carry what it leaves them."""
+    n = _nodes(spark, sf).withColumn("limits", F.array(F.struct(F.concat(F.lit("c"), F.col("node_id") % 10).alias("constraint_id"), F.lit(2.0).alias("capacity"))))
+    held = routing.hold(n)
+    flows = routing.edge_flow(held, _edges(spark, sf)).join(held.select("scenario_id", F.col("node_id").alias("source"), "bin", F.col("served").alias("source_served")), ["scenario_id", "source", "bin"])
     return flows.select("edge_id", "bin", r6("source_served").alias("served"), r6("flow").alias("flow"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .model_queries import BY, expr, run, user_model
-from .operators import state
+from .operators import checks, state
+from .operators.series import echo
 from .plans.compiler import evaluate
 from .plans.run_state import edge_rows, node_rows, warnings
-from .queries import hours, query, r6
+from .queries import hours, query, r6, users
 from .sources import series_files
 from .sources.shared import fresh
 
@@ -116,6 +117,30 @@ def model_class_warnings(spark, sf):
     return found.select("user_id", "node_id", "code", F.array_join("bins", ",").alias("bins"), r6("worst").alias("worst"), "n")
 
 
+@query("with $U, f as (select user_id, bin, case when errors > 0 then errors end as x from u), l as (select *, lag(x, 1) over w as a, lag(x, 2) over w as b, lag(x, 3) over w as c from f window w as (partition by user_id order by bin)) select user_id, bin, round(case when coalesce(a, b, c) is not null then 0.6 * coalesce(a, 0) + 0.3 * coalesce(b, 0) + 0.1 * coalesce(c, 0) end, 6) as echo from l")
+def retry_echo(spark, sf):
+    """What comes again of each user's failures, days without any being no values: null where nothing contributes."""
+    df = users(spark, sf).withColumn("failures", F.when(F.col("errors") > 0, F.col("errors")))
+    return df.select("user_id", "bin", r6(echo("failures", [0, 0.6, 0.3, 0.1], ("user_id",))).alias("echo"))
+
+
+@query(f"with recursive $U, {_S}, e as (select user_id, node_id, max(util is not null) as utilization, max(queue_ms is not null) as queue, max(cycle_ms is not null) as cycle, max(flow_ms is not null) as flow, max(case when node_id = 'A' then sa is not null else false end) as service, max(case when node_id = 'A' then sa is not null and cycle_ms > 0 else false end) as eff, max(arrivals <> 0) as ratio from (select n.*, sa from n join s using (user_id, bin)) group by 1, 2), r as (select user_id, node_id, unnest(['latency_min', 'queue_time_ms', 'cycle_time_ms', 'flow_latency_ms', 'service_time_ms', 'flow_efficiency', 'utilization', 'throughput_ratio', 'queue_depth']) as metric, unnest(['avg', 'avg', 'avg', 'avg', 'avg', 'avg', 'unknown', 'unknown', null]) as aggregation, unnest([queue, queue, cycle, flow, service, eff, utilization, ratio, true]) as has from e) select user_id, node_id, metric, aggregation, case when metric = 'queue_depth' and node_id = 'B' then 'explicit' else 'derived' end as origin from r where has")
+def model_series_metadata(spark, sf):
+    """Which derived metrics each user's nodes have, how they aggregate and where they come from."""
+    return state.series_metadata(nodes(spark, sf).where("topology"), ("user_id", "node_id"), ["B"])
+
+
+@query("with $U, t as (select user_id, bin, arrivals as v from u where user_id % 7 <> 0), c as (select user_id, bin, 'a' as k, arrivals * 0.5 as v from u where user_id % 3 <> 0 union all select user_id, bin, 'b', arrivals * 0.5 + case when bin = 3 and user_id % 5 = 0 then 1 else 0 end from u where user_id % 3 <> 0 and user_id % 4 <> 1), n as (select distinct user_id from u), h as (select n.user_id, user_id % 7 <> 0 as total, user_id % 3 <> 0 as a, user_id % 3 <> 0 and user_id % 4 <> 1 as b from n), o as (select t.user_id, min(t.bin) as bin from t join (select user_id, bin, sum(v) as s from c group by 1, 2) x using (user_id, bin) where abs(t.v - s) > greatest(1e-6, abs(t.v) * 1e-6) group by 1) select user_id::varchar as node_id, 'class_totals_missing' as code, null as detail from h where not total and a union all select user_id::varchar, 'class_series_missing', null from h where total and not a union all select user_id::varchar, 'class_series_partial', 'b' from h where total and a and not b union all select user_id::varchar, 'class_conservation_mismatch', bin::varchar from o")
+def telemetry_classes(spark, sf):
+    """Telemetry by class of every user: totals, classes or one class missing, and sums that are not the total."""
+    u = users(spark, sf).withColumnRenamed("user_id", "node_id").where("node_id is not null")
+    totals = u.where("node_id % 7 <> 0").select("node_id", "bin", F.col("arrivals").alias("value"))
+    half = F.col("arrivals") * 0.5
+    classes = u.where("node_id % 3 <> 0").select("node_id", F.lit("a").alias("class_id"), "bin", half.alias("value"))
+    b = u.where("node_id % 3 <> 0 and node_id % 4 <> 1").select("node_id", F.lit("b").alias("class_id"), "bin", (half + F.when((F.col("bin") == 3) & (F.col("node_id") % 5 == 0), 1.0).otherwise(0.0)).alias("value"))
+    return checks.telemetry_class_errors(totals, classes.unionByName(b), ["a", "b"])
+
+
 # --- runs ---------------------------------------------------------------------------------------------------------------
 
 

@@ -383,3 +383,32 @@ def test_a_tag_with_half_of_all_runs_lies_in_several_tasks(spark, monkeypatch):
     own = parts.where("own").collect()
     assert sorted(x.place for x in own) == list(range(502)) and len({x.chunk for x in own if x.tag == "hot"}) > 30
     assert max(x["count"] for x in parts.groupBy("chunk").count().collect()) <= 26
+
+
+def test_nodes_that_say_their_limits_are_held_as_by_members(spark):
+    r = random.Random(8)
+    rows = [(0, n, b, float(r.randint(0, 9))) for n in range(6) for b in range(5)]
+    nodes = spark.createDataFrame(rows, "scenario_id long, node_id long, bin long, served double")
+    of = {0: ["x"], 1: ["x", "y"], 2: ["y"], 3: [], 4: ["x"], 5: []}
+    cap = {"x": 7.0, "y": 3.0}
+    members = spark.createDataFrame([(c, n) for n, cs in of.items() for c in cs], "constraint_id string, node_id long")
+    caps = spark.createDataFrame([(0, c, b, v) for c, v in cap.items() for b in range(5)], "scenario_id long, constraint_id string, bin long, capacity double")
+    want = {(x.node_id, x.bin): round(x.served, 9) for x in routing.enforce(nodes, members, caps, "served").collect()}
+    limits = F.expr("case " + " ".join(f"when node_id = {n} then array({', '.join(f'''named_struct('constraint_id', '{c}', 'capacity', {cap[c]}D)''' for c in cs)})" for n, cs in of.items() if cs) + " end")
+    got = {(x.node_id, x.bin): round(x.served, 9) for x in routing.hold(nodes.withColumn("limits", limits)).collect()}
+    assert got == want and len(got) == 30
+
+
+def test_telemetry_that_has_no_classes(spark):
+    totals = spark.createDataFrame([("n", 0, 1.0), ("m", 0, float("nan"))], "node_id string, bin long, value double")
+    classes = spark.createDataFrame([("m", "a", 0, 5.0), ("m", "b", 1, None)], "node_id string, class_id string, bin long, value double")
+    got = lambda *a, **k: {(x.node_id, x.code, x.detail) for x in checks.telemetry_class_errors(totals, *a, **k).collect()}
+    assert got(classes, ["a", "DEFAULT", "b", "c"]) == {("n", "class_series_missing", None), ("m", "class_series_partial", "c")}
+    assert got(classes.limit(0), []) == {("n", "class_series_missing", None), ("m", "class_series_missing", None), (None, "class_manifest_missing", None), (None, "class_data_missing", None)}
+    assert got(classes.limit(0), [], supported=False) == set()
+
+
+def test_an_echo_of_nothing_is_nothing(spark):
+    df = spark.createDataFrame([(0, b, v) for b, v in enumerate([None, 4.0, float("nan"), float("inf"), 2.0, 0.0])], "scenario_id long, bin long, x double")
+    got = [r.e for r in df.select("bin", series.echo("x", [0, 0.5, 0.25]).alias("e")).orderBy("bin").collect()]
+    assert got == [None, None, 2.0, 1.0, None, 1.0]
