@@ -6,13 +6,14 @@ if its family is likelier than THRESHOLD and the paragraph agrees with one of th
 of the template's word pairs occur in it, one of them is in no other family's templates, and no template of another family
 agrees better. Where a paragraph agrees with several families, the words that confirm one finding are set apart and what is
 left on either side is looked at again, so that each of several licences in a line is found; if no family is likely enough
-for the whole, its two overlapping parts are looked at.
+for the whole, its two overlapping parts are looked at. What follows a finding after "or" or "and" is read as if its statement
+went on ("licensed under" it), so that each choice of "X or Y" is found. A statement of three words or fewer, such as a
+licence's bare name, has to begin or end where its clause does: amid other words it is none.
 
 The classifier is trained here, on PARAGRAPHS texts per family that a seeded generator writes from the templates, and on
 prose and near misses for "unknown"; no document of the input is learnt from. A paragraph is a line of the text, and also a
 run of lines between lines without words, so that wrapped statements are found; one of more than WINDOW words is
-classified in windows that overlap by half. A finding's place is its paragraph, or the words that confirm it where the
-paragraph has more than one window or finding. Of a line and a run that are found by the same words, the better agreement counts, the line if
+classified in windows that overlap by half. A finding's place is that of the words that confirm it, in paragraphs of any length. Of a line and a run that are found by the same words, the better agreement counts, the line if
 they are equal; a line within a run of the same family is part of its statement.
 
 Defined results: a null or empty text has no licence; a null doc_id stays null; rows that repeat give a row each; an
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-PARAGRAPHS, WINDOW, SHORTEST, THRESHOLD, AGREEMENT, MIN_COUNT = 120, 60, 6, 0.8, 0.6, 3
+PARAGRAPHS, WINDOW, SHORTEST, THRESHOLD, AGREEMENT, MIN_COUNT, BARE = 200, 60, 3, 0.8, 0.6, 3, 3
 UNKNOWN = "unknown"
 
 # Statements by which texts are put under licences, in families. # stands for a number, @ for a name.
@@ -58,7 +59,23 @@ TEMPLATES = {
     "zlib": ["spdx license identifier zlib", "licensed under the zlib license", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
     "proprietary": ["all rights reserved", "copyright # @ all rights reserved", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", "no part of this publication may be reproduced without the prior written permission of the publisher"],
 }
+# Names by which families are called, and full names that stand before a version.
+NAMES = {
+    "agpl": ["agpl #", "gnu agpl #"], "apache": ["apache #", "apache"], "artistic": ["artistic #", "artistic"], "boost": ["bsl #", "boost software"], "bsd": ["bsd # clause", "bsd", "# clause bsd"], "cc0": ["cc0 #", "cc0"],
+    "cc-by": ["cc by #"], "cc-by-nc": ["cc by nc #"], "cc-by-nd": ["cc by nd #"], "cc-by-sa": ["cc by sa #"], "epl": ["epl #"], "eupl": ["eupl #", "eupl"], "gpl": ["gpl #", "gpl", "gnu gpl #", "gnu gpl"], "isc": ["isc"], "lgpl": ["lgpl #", "gnu lgpl #"],
+    "mit": ["mit"], "mpl": ["mpl #"], "unlicense": ["unlicense"], "zlib": ["zlib"],
+}
+FULL_NAMES = {
+    "agpl": "gnu affero general public license", "apache": "apache license", "artistic": "artistic license", "boost": "boost software license", "epl": "eclipse public license", "gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "mpl": "mozilla public license",
+    "cc-by": "creative commons attribution", "cc-by-nc": "creative commons attribution noncommercial", "cc-by-nd": "creative commons attribution noderivatives", "cc-by-sa": "creative commons attribution sharealike",
+}
+for _family, _names in NAMES.items():
+    TEMPLATES.setdefault(_family, [])
+    TEMPLATES[_family] += [t for n in _names for t in (f"{n} license", f"license {n}", f"licensed under {n}", f"licensed under the {n} license", f"released under {n}", f"spdx license identifier {n}") if t not in TEMPLATES[_family]]
+for _family, _name in FULL_NAMES.items():
+    TEMPLATES[_family] += [t for t in (f"{_name} #", f"{_name} version #", f"licensed under the {_name} #", f"licensed under the {_name} # international license" if "creative" in _name else f"released under the {_name} #") if t not in TEMPLATES[_family]]
 NEAR_MISSES = [
+    "he reserved all rights reserved seats", "the students at mit license their work to others", "a license or permit was asked for", "the apache and the boost of the wind", "they license and sell the artistic works of the group",
     "the driver showed a license to the officer and went on", "she was released under the old bridge", "version # of the story is about the general public", "all the rights of the people were reserved for later",
     "the apache people lived on the plains", "they were all reserved and right", "students at mit study hard in general", "the public library gave permission to read", "a copy of the book was obtained free of charge",
     "the work is in the house", "he used the software under the terms of trade", "she may not use the kitchen", "the notice was above the door", "conditions of any kind were met by the team", "this work is for the commons of the town", "creative people in general share alike", "the spdx license identifier of a file names its license", "spdx license identifier zz", "in no event shall the guests be late",
@@ -195,7 +212,7 @@ class LicenceModel:
     def _place(self, family: str, words: list[str]) -> tuple[int, int]:
         """Where most of the template's word pairs that confirm a finding stand together."""
         pairs = self._pairs(words)
-        template = max(sorted(self.pairs[family], key=sorted), key=lambda t: len(pairs & t) / len(t))
+        template = max(sorted(self.pairs[family], key=sorted), key=lambda t: (len(pairs & t) / len(t), len(t)))
         at = [i for i, p in enumerate(zip(words, words[1:], strict=False)) if p in template]
         width, best = 2 * len(template) + 2, (0, 0, 0)
         for k, i in enumerate(at):
@@ -234,9 +251,10 @@ class LicenceModel:
         got = self.classify(some)
         if got:
             a, b = self._place(got[0], some)
-            rest = [(lo, lo + a), (lo + b, hi)]
+            more, on = self._choices(words, lo + b)
+            rest = [(lo, lo + a), (on, hi)]
             out: list[tuple[int, int, str, float, float]] = []
-            for x in sorted([(lo + a, lo + b, *got), *(x for i, j in rest if j - i > 1 for x in self._parts(words, i, j))]):
+            for x in sorted([(lo + a, lo + b, *got), *more, *(x for i, j in rest if j - i > 1 for x in self._parts(words, i, j))]):
                 if out and out[-1][2] == x[2]:  # of one statement, in the words of two templates
                     out[-1] = (out[-1][0], x[1], x[2], max(out[-1][3], x[3]), max(out[-1][4], x[4]))
                 else:
@@ -247,8 +265,30 @@ class LicenceModel:
             return sorted({x[:3]: x for i, j in ((lo, hi - third), (lo + third, hi)) for x in self._parts(words, i, j)}.values())
         return []
 
-    def _found(self, words: list[str], whole: tuple[int, int], places) -> list[tuple[int, int, str, float, float]]:
-        """Findings of a paragraph between the ends `whole`; places() has the ends of each word."""
+    def _choices(self, words: list[str], at: int) -> tuple[list[tuple[int, int, str, float, float]], int]:
+        """What "or" and "and" add to a finding that ends at this word, and where it ends then."""
+        out: list[tuple[int, int, str, float, float]] = []
+        at += 1 if words[at : at + 1] == ["only"] else 2 if words[at : at + 2] == ["or", "later"] else 0
+        while at + 1 < len(words) and words[at] in ("or", "and"):
+            for n in range(min(6, len(words) - at - 1), 0, -1):
+                some = words[at + 1 : at + 1 + n]
+                got = None if {"licensed", "released"} & set(some) else self.classify(["licensed", "under", *some])
+                if got and set(self._pairs(["under", *some])) <= self._matched(got[0], ["licensed", "under", *some]):
+                    out.append((at + 1, at + 1 + n, *got))
+                    at += 1 + n
+                    break
+            else:
+                break
+        return out, at
+
+    @staticmethod
+    def _stands(words: list[str], at: list[tuple[int, int]], text: str, a: int, b: int) -> bool:
+        """Whether words a to b begin or end a clause: something other than a space lies between them and the word beside them."""
+        apart = lambda i, j: at[i] == at[j] or bool(text[at[i][1] : at[j][0]].strip(" "))
+        return a == 0 or b == len(words) or words[a - 1] in ("or", "and") or apart(a - 1, a) or apart(b - 1, b)
+
+    def _found(self, words: list[str], text: str, places) -> list[tuple[int, int, str, float, float]]:
+        """Findings of a paragraph of the text; places() has the ends of each word."""
         if len(words) <= WINDOW:
             spans = [(0, len(words))]
         else:
@@ -259,10 +299,8 @@ class LicenceModel:
                 found[-1] = (found[-1][0], max(x[1], found[-1][1]), x[2], max(found[-1][3], x[3]), max(found[-1][4], x[4]))
             else:
                 found.append(x)
-        if len(found) == 1 and len(spans) == 1:
-            return [(*whole, *found[0][2:])]
         at = places() if found else []
-        return [(at[a][0], at[b - 1][1], *rest) for a, b, *rest in found]
+        return [(at[a][0], at[b - 1][1], *rest) for a, b, *rest in found if b - a > BARE or self._stands(words, at, text, a, b)]
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
         """Findings (start, end, family, probability, agreement) of one text, in order."""
@@ -279,13 +317,13 @@ class LicenceModel:
             of_run = []
             words = [w for _, _, ws in run for w in ws] if len(run) > 1 else []
             if not self.known_pairs.isdisjoint(zip(words, words[1:], strict=False)):
-                whole = (run[0][0], run[-1][0] + len(run[-1][1]))
-                of_run = self._found(words, whole, lambda: [p for start, line, _ in run for p in placed(start, line)])
+                of_run = self._found(words, text, lambda: [p for start, line, _ in run for p in placed(start, line)])
             found.extend(self._settled(single, of_run, words) if of_run else [x for x, _ in single])
             run.clear()
             single.clear()
 
-        for line in (text or "").split("\n"):
+        text = text or ""
+        for line in text.split("\n"):
             start, at = at, at + len(line) + 1
             words = tokens(line.lower())
             if not words:
@@ -293,7 +331,7 @@ class LicenceModel:
                 continue
             run.append((start, line, words))
             if not self.vocabulary.isdisjoint(words):  # else no n-gram of the model can occur
-                single.extend((x, words) for x in self._found(words, (start, start + len(line)), lambda: placed(start, line)))  # noqa: B023
+                single.extend((x, words) for x in self._found(words, text, lambda: placed(start, line)))  # noqa: B023
         close()
         return found
 

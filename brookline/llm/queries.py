@@ -130,7 +130,7 @@ _ARTICLES = """
 _LICENCES = """
         with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
         p as (select *, (sum(length(line) + 1) over (partition by doc_id order by i))::bigint - length(line) - 1 as start from l),
-        f as (select doc_id, start, start + length(line) as stop, case when contains(line, 'GNU General Public License') then 'gpl' when contains(line, 'All rights reserved') then 'proprietary' when contains(line, 'CC BY-NC') then 'cc-by-nc' when contains(line, 'the MIT License') then 'mit' when contains(line, 'the Apache License') then 'apache' end as family from p)
+        f as (select doc_id, start, start + length(rtrim(line, '.')) as stop, case when contains(line, 'GNU General Public License') then 'gpl' when contains(line, 'All rights reserved') then 'proprietary' when contains(line, 'CC BY-NC') then 'cc-by-nc' when contains(line, 'the MIT License') then 'mit' when contains(line, 'the Apache License') then 'apache' end as family from p)
         select d.doc_id, count(family) as n_found, coalesce(string_agg(distinct family, ',' order by family), '') as families, coalesce(string_agg(family || ':' || start || ':' || stop, ',' order by start), '') as spans from documents d left join f on f.doc_id = d.doc_id and family is not null group by d.doc_id"""
 
 _KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]", "id": r"[^ \t\n\x0b\f\r0-9@_]*[0-9@_][^ \t\n\x0b\f\r]*"}

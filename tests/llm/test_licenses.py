@@ -32,7 +32,7 @@ def test_places_windows_and_odd_rows(spark):
     rows = [(1, "Intro.\nReleased under the MIT License.\nEnd", "x"), (2, None, "x"), (None, "All rights reserved.", "x"), (3, "", "x"), (4, long, "x"), (4, long, "x")]
     got = ls.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == 6 and by[1].spans == "mit:7:38" and by[2].n_found == by[3].n_found == 0 and by[None].families == "proprietary" and by[4].families == "mit"
+    assert len(got) == 6 and by[1].spans == "mit:7:37" and by[2].n_found == by[3].n_found == 0 and by[None].families == "proprietary" and by[4].families == "mit"
     _, a, b = by[4].spans.split(":")
     assert "MIT License" in long[int(a) : int(b)]
     assert ls.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -83,3 +83,22 @@ def test_each_of_several_licences_in_a_line_is_found():
             assert sorted(x[2] for x in got) == ["apache", "mit"], (n, text[:80], got)
             for a, b, family, *_ in got:
                 assert {"mit": "MIT License", "apache": "Apache License"}[family] in text[a:b] and {"mit": "Apache", "apache": "MIT"}[family] not in text[a:b]
+
+
+SHORT = {
+    "This work is licensed under the Creative Commons Attribution 4.0 International License": "cc-by", "MIT License": "mit", "The MIT License (MIT)": "mit", "Apache License 2.0": "apache", "License: BSD-3-Clause": "bsd", "Licensed under MIT or Apache-2.0": "apache mit",
+    "Licensed under the Artistic License 2.0": "artistic", "SPDX-License-Identifier: MIT OR Apache-2.0": "apache mit", "He reserved all rights reserved seats": "", "License: MIT": "mit", "GNU General Public License v3.0": "gpl", "Mozilla Public License 2.0": "mpl",
+    "ISC License": "isc", "licensed under GPL-2.0-only OR MIT": "gpl mit", "the students at MIT license their work": "", "BSD 2-Clause License": "bsd", "All rights reserved.": "proprietary",
+}
+
+
+def test_short_forms_and_choices():
+    assert {t: " ".join(sorted(x[2] for x in ls.model().scan(t))) for t in SHORT} == SHORT
+
+
+def test_places_are_those_of_the_words_on_either_side_of_a_window():
+    """However long the line: the same words are the place."""
+    for n in (0, 20, 52, 53, 54, 55, 58, 60, 62, 70, 200):
+        for before, after in ((n, 0), (0, n), (n // 2, n - n // 2)):
+            text = "stone " * before + "Released under the MIT License." + " stone" * after
+            assert [(x[2], text[x[0] : x[1]]) for x in ls.model().scan(text)] == [("mit", "Released under the MIT License")], (before, after)
