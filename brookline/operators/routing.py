@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.arith import fin, safe_div
-from ..sources.shared import cut
+from ..sources.shared import fresh
 
 BIN = ("scenario_id", "bin")
 
@@ -188,20 +188,35 @@ def flow_latency(nodes: DataFrame, flows: DataFrame, levels: int) -> DataFrame:
     """Latency of a flow up to and through each node: its cycle time and the flow-weighted mean of its predecessors'.
 
     nodes: scenario_id, node_id, bin, level, cycle_ms, carried (what it serves; nothing carried, no latency). flows: source,
-    target, flow, by scenario and bin. level is a node's place in topological order, 0 to levels - 1. A level is one join and one
-    aggregate and is written, so the plan does not grow with their number, and each reads only what is before it."""
-    keys = ["scenario_id", "bin"]
-    done = None
+    target, flow, by scenario and bin. level is a node's place in topological order, 0 to levels - 1; a flow that does not
+    lead to a later level (one that closes a cycle) counts for nothing.
+
+    Nodes and flows are written once, parted by level. A level that is done pushes what it gives along its own flows, parted
+    by the level that it is for; so each node, flow and gift is read once, however many levels there are."""
+    keys, spark, root = ["scenario_id", "bin"], nodes.sparkSession, fresh(nodes.sparkSession, "latency")
+    typed = lambda df, **kinds: df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+    nodes = typed(nodes, scenario_id="long", bin="long", level="int", cycle_ms="double", carried="double")
+    nodes.select(*keys, "node_id", "cycle_ms", "carried", "level").write.partitionBy("level").parquet(f"{root}/nodes")
+    place = nodes.groupBy("node_id").agg(F.max("level").alias("_l"))
+    end = lambda side: place.select(F.col("node_id").alias(side), F.col("_l").alias(f"{side}_level"))
+    led = typed(flows, scenario_id="long", bin="long", flow="double").where("flow > 0").select(*keys, "source", "target", "flow").join(end("source"), "source").join(end("target"), "target").where("source_level < target_level")
+    led.write.partitionBy("source_level").parquet(f"{root}/flows")
+    kind = dict(nodes.dtypes)["node_id"]
+    given = f"scenario_id long, bin long, target {kind}, flow double, weighted double, source_level int, target_level int"
+    known = spark.read.schema(f"scenario_id long, bin long, node_id {kind}, cycle_ms double, carried double, level int").parquet(f"{root}/nodes")
+    ways = spark.read.schema(f"scenario_id long, bin long, source {kind}, target {kind}, flow double, target_level int, source_level int").parquet(f"{root}/flows")
     for level in range(levels):
-        own = nodes.where(F.col("level") == level)
-        if done is None:
-            own = own.withColumn("upstream", F.lit(None).cast("double"))
-        else:
-            come = flows.where("flow > 0").join(done.where("latency is not null").select(*keys, F.col("node_id").alias("source"), "latency"), [*keys, "source"])
-            mean = come.groupBy(*keys, F.col("target").alias("node_id")).agg((F.sum(F.col("flow") * F.round("latency", 6)) / F.sum("flow")).alias("upstream"))
+        own = known.where(F.col("level") == level)
+        if level:
+            come = spark.read.schema(given).parquet(f"{root}/given").where(F.col("target_level") == level)
+            mean = come.groupBy(*keys, F.col("target").alias("node_id")).agg((F.sum("weighted") / F.sum("flow")).alias("upstream"))
             own = own.join(mean, [*keys, "node_id"], "left")
+        else:
+            own = own.withColumn("upstream", F.lit(None).cast("double"))
         base = F.when(F.col("cycle_ms").isNotNull() | F.col("upstream").isNotNull(), F.coalesce("cycle_ms", F.lit(0.0)) + F.coalesce("upstream", F.lit(0.0)))
-        own = own.select(*keys, "node_id", F.when(F.col("carried") > 0, base).alias("latency"))
-        own = cut(own)
-        done = own if done is None else done.unionByName(own)
-    return done
+        own.select(*keys, "node_id", F.when(F.col("carried") > 0, base).alias("latency")).write.parquet(f"{root}/done/{level}")
+        if level + 1 < levels:
+            late = spark.read.schema(f"scenario_id long, bin long, node_id {kind}, latency double").parquet(f"{root}/done/{level}").where("latency is not null").withColumnRenamed("node_id", "source")
+            gifts = ways.where(F.col("source_level") == level).join(late, [*keys, "source"])
+            gifts.select(*keys, "target", "flow", (F.col("flow") * F.round("latency", 6)).alias("weighted"), "target_level").write.partitionBy("target_level").parquet(f"{root}/given/source_level={level}")
+    return spark.read.schema(f"scenario_id long, bin long, node_id {kind}, latency double").parquet(*[f"{root}/done/{i}" for i in range(levels)])
