@@ -43,6 +43,29 @@ def binned(spark: SparkSession, sf_dir: str, bins: int = 720, unit: str = "HOUR"
     return filled.select(F.lit(0).cast("long").alias("scenario_id"), *by, "bin", *roles)
 
 
+def span_of(spark: SparkSession, sf_dir: str, unit: str = "HOUR") -> tuple[str, int]:
+    """The grid that the events themselves give: the start of the first one's unit, and how many units reach to the last."""
+    at = F.col("ts").cast("timestamp_ntz")
+    lo, hi = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.date_trunc(unit, F.min(at)).cast("timestamp_ntz").cast("string"), F.max(at)).first()
+    if lo is None:
+        return EPOCH, 0
+    bins = spark.range(1).select(F.timestamp_diff(unit, F.lit(lo).cast("timestamp_ntz"), F.lit(hi)) + 1).first()[0]
+    return lo, int(bins)
+
+
+def binned_whole(spark: SparkSession, sf_dir: str, unit: str = "HOUR", by: Sequence[str] = ()) -> DataFrame:
+    """binned() on the grid of span_of(): no event is left out, whenever it was. Rows also have the start of their bin."""
+    start, bins = span_of(spark, sf_dir, unit)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(bin_of(F.col("ts"), unit, start).alias("bin"), "event_type", *by)
+    roles = list(ROLES.values())
+    counts = events.where(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(*[F.count_if(F.col("event_type") == t).alias(r) for t, r in ROLES.items()])
+    if by:
+        filled = fill_bins(counts, by, roles, bins)
+    else:
+        filled = spark.range(bins).select(F.col("id").alias("bin")).join(counts, "bin", "left").select("bin", *[F.coalesce(r, F.lit(0)).cast("double").alias(r) for r in roles])
+    return filled.select(F.lit(0).cast("long").alias("scenario_id"), *by, "bin", F.timestamp_add(unit, F.col("bin").cast("int"), F.lit(start).cast("timestamp_ntz")).alias("bin_start"), *roles)
+
+
 def by_type(spark: SparkSession, sf_dir: str, bins: int = 720, unit: str = "HOUR") -> DataFrame:
     """(scenario_id, class_id, bin, value): the events of each type, as classes of one flow; empty bins are zero."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(bin_of(F.col("ts"), unit).alias("bin"), F.col("event_type").alias("class_id"))

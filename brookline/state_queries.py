@@ -11,6 +11,7 @@ from .plans.compiler import evaluate
 from .plans.run_state import edge_rows, node_rows, warnings
 from .queries import hours, query, r6, users
 from .sources import series_files
+from .sources.events import binned_whole
 from .sources.shared import fresh
 
 DAY_MS = 86_400_000.0
@@ -141,6 +142,12 @@ def telemetry_classes(spark, sf):
     return checks.telemetry_class_errors(totals, classes.unionByName(b), ["a", "b"])
 
 
+@query("with s as (select date_trunc('day', min(ts)) as lo, date_diff('day', date_trunc('day', min(ts)), max(ts)) + 1 as n from events), g as (select unnest(range(n)) as bin, lo from s), c as (select date_diff('day', lo, ts) as bin, count(*) filter (where event_type = 'view') as a, count(*) filter (where event_type = 'click') as b from events, s group by 1) select g.bin, lo + to_days(g.bin::int) as bin_start, coalesce(a, 0)::double as arrivals, coalesce(b, 0)::double as served from g left join c using (bin)")
+def grid_of_events(spark, sf):
+    """Days on a grid that begins and ends where the events do."""
+    return binned_whole(spark, sf, "DAY").select("bin", "bin_start", "arrivals", "served")
+
+
 # --- runs ---------------------------------------------------------------------------------------------------------------
 
 

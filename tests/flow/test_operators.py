@@ -412,3 +412,14 @@ def test_an_echo_of_nothing_is_nothing(spark):
     df = spark.createDataFrame([(0, b, v) for b, v in enumerate([None, 4.0, float("nan"), float("inf"), 2.0, 0.0])], "scenario_id long, bin long, x double")
     got = [r.e for r in df.select("bin", series.echo("x", [0, 0.5, 0.25]).alias("e")).orderBy("bin").collect()]
     assert got == [None, None, 2.0, 1.0, None, 1.0]
+
+
+def test_a_grid_that_the_events_give(spark, tmp_path):
+    from brookline.sources.events import binned_whole, span_of
+
+    rows = [("1999-12-31 23:10:00", 1, "view"), ("2000-01-01 02:00:00", 1, "click"), ("2000-01-01 01:59:59", 2, "view"), (None, 2, "view")]
+    spark.createDataFrame(rows, "t string, user_id long, event_type string").select(F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert span_of(spark, str(tmp_path)) == ("1999-12-31 23:00:00", 4)
+    got = binned_whole(spark, str(tmp_path)).orderBy("bin").collect()
+    assert [(r.arrivals, r.served) for r in got] == [(1, 0), (0, 0), (1, 0), (0, 1)] and str(got[3].bin_start) == "2000-01-01 02:00:00"
+    assert binned_whole(spark, str(tmp_path), by=["user_id"]).count() == 8
