@@ -247,10 +247,14 @@ def class_queue(spark, sf):
     return classes.queued(a, classes.shifted(a, 1)).select("bin", "class_id", r6("value").alias("value"))
 
 
-@query(f"with {_T} select 'n' as node_id, case when sum(open) > 0 or true then 'partial' end as coverage, sum(open)::bigint as open_bins, 'refund' as missing_classes from (select bin, (abs(max(total) + (max(bin) % 3) - sum(value)) > 1)::bigint as open from k group by bin)")
+@query("with $U, c as (select user_id, bin, arrivals + served as total, unnest(case when user_id % 4 = 0 then ['view'] when user_id % 3 = 0 then ['view'] else ['view', 'click'] end) as k, unnest(case when user_id % 4 = 0 then [null] when user_id % 3 = 0 then [arrivals] else [arrivals, served] end) as v from u), b as (select user_id, bin, abs(max(total) - sum(coalesce(v, 0))) > 1 as open, count(v) as n from c group by 1, 2), k as (select user_id, array_to_string(list_sort(list_filter(['view', 'click'], x -> not list_contains(list(distinct k), x))), ',') as missing from c group by 1) select user_id as node_id, case when sum(n) = 0 then 'missing' when count(*) filter (where open) > 0 or missing <> '' then 'partial' else 'full' end as coverage, count(*) filter (where open) as open_bins, missing as missing_classes from b join k using (user_id) group by user_id, missing".replace("x -> not list_contains(list(distinct k), x)", "lambda x: not list_contains(list(distinct k), x)"))
 def class_coverage(spark, sf):
-    c = _classes(spark, sf).withColumn("total", F.col("total") + F.col("bin") % 3).withColumn("node_id", F.lit("n"))
-    return routing.class_coverage(c, ["view", "click", "refund"]).select("node_id", "coverage", "open_bins", "missing_classes")
+    """How far classes cover each user's total: some users lack a class, some have no values at all."""
+    u, third, fourth = users(spark, sf), F.col("user_id") % 3 == 0, F.col("user_id") % 4 == 0
+    cell = lambda c, v: F.struct(F.lit(c).alias("class_id"), v.cast("double").alias("value"))
+    cells = F.when(fourth, F.array(cell("view", F.lit(None)))).when(third, F.array(cell("view", F.col("arrivals")))).otherwise(F.array(cell("view", F.col("arrivals")), cell("click", F.col("served"))))
+    c = u.select("scenario_id", F.col("user_id").alias("node_id"), "bin", (F.col("arrivals") + F.col("served")).alias("total"), F.explode(cells).alias("x")).select("scenario_id", "node_id", "bin", "total", "x.*")
+    return routing.class_coverage(c, ["view", "click"]).select("node_id", "coverage", "open_bins", "missing_classes")
 
 
 def _edges(spark, sf) -> DataFrame:
@@ -283,8 +287,11 @@ def edge_retry_split(spark, sf):
 
 @query("with $U select user_id || '->' || (user_id + hop) as edge_id, bin, round(served * case hop when 1 then 0.75 else 0.25 end, 6) as flow from u, (values (1), (2)) t(hop) where lower(user_id || '->' || (user_id + hop)) in ('1->2', '3->5')")
 def edge_filter(spark, sf):
-    wanted = ["1->2", "3->5"]
-    return routing.edge_flow(_nodes(spark, sf), _edges(spark, sf)).where(F.lower("edge_id").isin(wanted)).select("edge_id", "bin", r6("flow").alias("flow"))
+    """Edges by id, in any case, of the metric and class that are asked for."""
+    flows = routing.edge_flow(_nodes(spark, sf), _edges(spark, sf)).withColumns({"metric": F.lit("flowVolume"), "class_id": F.lit("DEFAULT")})
+    tried = flows.withColumns({"metric": F.lit("attemptsVolume"), "flow": F.col("flow") * 2})
+    kept = state.keep_edges(flows.unionByName(tried), ["1->2", "3->5"], ["FLOWVOLUME"], ["default"])
+    return kept.select("edge_id", "bin", r6("flow").alias("flow"))
 
 
 @query("with $U, f as (select user_id + hop as target, bin, sum(served * case hop when 1 then 0.75 else 0.25 end) as s from u, (values (1), (2)) t(hop) group by 1, 2) select u.user_id as node_id, u.bin, arrivals as expected, round(s, 6) as edges from u join f on f.target = u.user_id and f.bin = u.bin where abs(arrivals - s) > 1e-6")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from ..operators.checks import check
 from ..operators.routing import class_coverage
 from ..operators.summary import fill_gaps
-from ..plans.model import model_hash, outputs
+from ..plans.model import model_hash, outputs, topology
 
 LONG = "run_id string, scenario_id long, series_id string, class_id string, bin long, value double"
 
@@ -389,6 +389,11 @@ def bundle(df: DataFrame, series: Sequence[str], root: str, model: dict, missing
     counts = filled.agg(*[F.sum(F.col(f"_gap_{s}").isNotNull().cast("long")).alias(s) for s in series]).first().asDict()
     name = f"bundle_{model_hash(model)[:16]}"
     write_run(filled.select("scenario_id", "bin", *series), series, root, name, model, ["telemetry"])
-    nodes = filled.withColumn("node_id", F.lit("bundle"))
-    broken = {r.code: r.n for r in check(nodes).collect()} if {"arrivals", "served"} <= set(series) else {}  # a row per rule
+    if topology(model, "nodes"):  # the model says which series are whose: its own rules hold for each node
+        from ..plans.run_state import node_rows, warnings
+
+        found = warnings(node_rows(filled.select("scenario_id", "bin", *series), model, internal=True)).groupBy("node_id", "code").agg(F.sum("n").alias("n"))
+        broken = {f"{r.node_id}: {r.code}": r.n for r in found.collect()}  # a row per node and rule
+    else:
+        broken = {r.code: r.n for r in check(filled.withColumn("node_id", F.lit("bundle"))).collect()} if {"arrivals", "served"} <= set(series) else {}
     return {"run_id": name, "gaps": counts, "conservation": broken}

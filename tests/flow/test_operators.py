@@ -250,6 +250,8 @@ def test_storage_index_and_bundle(spark, tmp_path):
     df = spark.createDataFrame([(0, 0, 1.0, None), (0, 1, float("nan"), 2.0)], "scenario_id long, bin long, x double, y double")
     got = series_files.bundle(df, ["x", "y"], f"{tmp_path}/runs", {"m": 1})
     assert got["gaps"] == {"x": 1, "y": 1} and series_files.read_run(spark, f"{tmp_path}/runs", got["run_id"]).count() == 4
+    m = {"grid": {"bins": 2, "binSize": 1, "binUnit": "hours"}, "nodes": [{"id": i, "kind": "const", "values": [0.0, 0.0]} for i in "xy"], "topology": {"nodes": [{"id": "S", "kind": "service", "semantics": {"arrivals": "x", "served": "y"}}]}}
+    assert series_files.bundle(df, ["x", "y"], f"{tmp_path}/runs", m)["conservation"]["S: served_exceeds_arrivals"] == 1
 
 
 def test_more_checks(spark):
