@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from .model_queries import BY, expr, run, user_model
@@ -12,6 +14,7 @@ from .plans.run_state import edge_rows, node_rows, warnings
 from .queries import hours, query, r6, users
 from .sources import series_files
 from .sources.events import binned_whole
+from .sources.fixtures import load_fixture
 from .sources.shared import fresh
 
 DAY_MS = 86_400_000.0
@@ -181,3 +184,18 @@ def run_with_classes(spark, sf):
     same = not series_files.verify_run(spark, root, "r")
     rows = series_files.read_run(spark, root, "r").groupBy("series_id", "class_id").agg(F.count("*").alias("points"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
     return rows.withColumns({"coverage": F.lit(about["class_coverage"]), "same": F.lit(same)})
+
+
+@query("with $H select 'S' as node_id, bin, arrivals, served, case when arrivals <> 0 then round(least(1, served / arrivals), 6) end as throughput_ratio from h union all select 'T', bin, served, errors, case when served <> 0 then round(least(1, errors / served), 6) end from h")
+def fixture_state(spark, sf):
+    """A fixture folder of series files and a window model, read back and shown as nodes."""
+    root = fresh(spark, "fixture")
+    series_files.write_run_dir(hours(spark, sf), ["arrivals", "served", "errors"], root, hourly())
+    at = lambda s: f"file:series/{s}.csv"
+    document = {
+        "window": {"bins": 720, "binSize": 1, "binUnit": "hours", "startTimeUtc": "2024-01-01T00:00:00Z"},
+        "topology": {"nodes": [{"id": "S", "kind": "service", "semantics": {"arrivals": at("arrivals"), "served": at("served")}}, {"id": "T", "kind": "service", "semantics": {"arrivals": at("served"), "served": at("errors")}}], "edges": [{"source": "S", "target": "T", "weight": 0}]},
+    }
+    series_files.put_text(spark, f"{root}/model.json", json.dumps(document))
+    model, frame = load_fixture(spark, root)
+    return node_rows(frame, model).where("topology").select("node_id", "bin", "arrivals", "served", r6("throughput_ratio").alias("throughput_ratio"))

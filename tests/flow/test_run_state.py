@@ -109,3 +109,23 @@ def test_state_reads_and_deals_its_input_once(spark):
         assert text.count("Range (0, 40") == 1 and "Join" not in text and text.count("Exchange hashpartitioning") == exchanges
     assert st.nodes.where("topology").count() == 80 and st.edges.count() == 40
     assert edges_of(m)[0].edge_id == "A->B"
+
+
+def test_fixtures(spark, tmp_path):
+    import json
+
+    from brookline.plans.model import ModelError
+    from brookline.sources.fixtures import load_fixture, model_of
+
+    node_ = {"id": "S", "kind": "queue", "semantics": {"arrivals": "file:a.csv", "served": "file:b.csv", "queueDepth": "file:a.csv", "errors": " ", "slaMinutes": 5}}
+    document = {"window": {"bins": 3, "binSize": 5}, "topology": {"nodes": [node_], "edges": [{"source": "S:out", "target": "S", "weight": 0}]}}
+    (tmp_path / "model.json").write_text(json.dumps(document))
+    (tmp_path / "a.csv").write_text("bin_index,value\n0,4\n2,6\n")
+    (tmp_path / "b.csv").write_text("bin_index,value\n0,2\n1,2\n2,3\n")
+    m, frame = load_fixture(spark, str(tmp_path))
+    assert m["grid"] == {"bins": 3, "binSize": 5, "binUnit": "minutes"} and m["topology"]["edges"][0]["weight"] == 1.0 and len(m["nodes"]) == 2
+    got = {r.bin: (r.arrivals, r.served, r.queue_depth, r.latency_min) for r in node_rows(frame, m).where("topology").collect()}
+    assert got == {0: (4, 2, 4, 10), 1: (0, 2, 0, 0), 2: (6, 3, 6, 10)}
+    for broken in ({"topology": {}}, {"window": {"bins": 1, "binSize": 1}}, {**document, "topology": {"nodes": [{"id": "x"}]}}, {**document, "topology": {"nodes": [{**node_, "semantics": {"arrivals": "file:a.csv"}}]}}, {**document, "topology": {"nodes": [], "edges": [{"source": "a"}]}, "window": {"bins": 1, "binSize": 1}}):
+        with pytest.raises(ModelError):
+            model_of(broken)
