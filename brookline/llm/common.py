@@ -66,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     out anew, so that one file of one row group does not keep a whole machine waiting. Larger tables are read as they lie."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores, size = spark.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if len(df.inputFiles()) < cores and 1 << 20 < size < cores << 26 else df
+    return df.repartition(cores) if 1 << 20 < size < cores << 26 and len(df.inputFiles()) < cores else df
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
