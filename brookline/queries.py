@@ -19,7 +19,7 @@ from .plans import scenarios
 from .plans.expr import to_column
 from .plans.graph import graph
 from .sources import registry
-from .sources.events import binned, by_type
+from .sources.events import ROLES, binned, by_type
 from .sources.series_files import export_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -673,9 +673,17 @@ def node_descriptors(spark, sf):
     return state.describe_nodes(n.withColumn("kind", F.element_at(kinds, (F.col("node_id") % 5 + 1).cast("int"))))
 
 
-@query("select * from (values ('demand->served', 'demand', 'served', 'reference'), ('capacity->served', 'capacity', 'served', 'reference'), ('served->errors', 'served', 'errors', 'reference'), ('failing->errors', 'failing', 'errors', 'reference'), ('errors->retries', 'errors', 'retries', 'reference'), ('demand->inflow', 'demand', 'inflow', 'reference'), ('retries->inflow', 'retries', 'inflow', 'reference'), ('inflow->Work', 'inflow', 'Work', 'arrivals'), ('served->Work', 'served', 'Work', 'served')) t(edge_id, source, target, type)")
+@query("with h as (select distinct user_id, case event_type when 'view' then 'arrivals' when 'click' then 'served' when 'error' then 'errors' when 'purchase' then 'purchases' else 'signups' end as s from events), p as (select distinct user_id from events), n as (select user_id, s from h union all select user_id, unnest(['load', 'late', 'Work']) from p), e as (select * from (values ('arrivals->load', 'arrivals', 'load', 'reference'), ('errors->load', 'errors', 'load', 'reference'), ('load->late', 'load', 'late', 'lagged'), ('load->Work', 'load', 'Work', 'arrivals'), ('served->Work', 'served', 'Work', 'served')) t(edge_id, source, target, type)) select user_id, edge_id, type from e join n a on a.s = source join n b on b.s = target and b.user_id = a.user_id".replace("select user_id, edge_id", "select a.user_id, edge_id"))
 def model_graph(spark, sf):
-    return graph(spark, model())[1].select("edge_id", "source", "target", "type")
+    """The graph of each user's model: its edges between the series that the user has events for, and what is made of them."""
+    m = {"nodes": [{"id": i, "kind": "const"} for i in ROLES.values()] + [{"id": "load", "kind": "expr", "expr": "arrivals + errors"}, {"id": "late", "kind": "expr", "expr": "SHIFT(load, 1)"}], "topology": {"nodes": [{"id": "Work", "kind": "service", "semantics": {"arrivals": "load", "served": "served"}}]}}
+    nodes, edges = graph(spark, m)
+    role = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    series_of = F.concat(F.transform("has", lambda t: role[t]), F.array(*map(F.lit, ("load", "late", "Work"))))
+    own = by_type_of_users(spark, sf).select("user_id", series_of.alias("has"))
+    known = edges.join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi").agg(F.collect_list(F.struct("edge_id", "source", "target", "type")).alias("all"))  # a model's edges
+    kept = F.filter("all", lambda e: F.array_contains("has", e["source"]) & F.array_contains("has", e["target"]))
+    return own.join(F.broadcast(known)).select("user_id", F.explode(kept).alias("e")).select("user_id", "e.edge_id", "e.type")
 
 
 
