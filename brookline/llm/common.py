@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Estimates from which on a size counts as unknown.
+UNKNOWN_BYTES = 1 << 56
 #: ASCII white space, as the contracts of the text operators name it.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -48,9 +50,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 
 def tasks_for(df: DataFrame, bytes_each: int, most: int = 200_000) -> int:
-    """How many tasks of so many bytes df makes by Spark's estimate of its size, as many as shuffle partitions at least."""
+    """How many tasks of so many bytes df makes by Spark's estimate of its size, as many as shuffle partitions at least. Of what does
+    not come from files Spark knows no size (and says one beyond all bounds); shuffle partitions have to do then."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-size // bytes_each))) if size < UNKNOWN_BYTES else least
 
 
 def unused(name: str, columns: list[str]) -> str:
