@@ -42,7 +42,7 @@ def test_odd_rows(spark):
 
 
 def test_scores_are_those_of_a_plain_pass(spark):
-    """The distributed scores against a plain forward pass, text by text, and the parts of the risk by hand."""
+    """The distributed scores against a plain forward pass, text by text."""
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = q.learn(docs, labels)
