@@ -84,7 +84,8 @@ def candidates(fps: DataFrame, hot_from: int = HOT) -> DataFrame:
     probes = tables.select("seg", F.col("value").alias("own"), "rest", F.col("fp").alias("b"), F.explode(asked).alias("value"))
     inner = F.when(F.col("hot") & (F.col("own") == F.col("value")), _ball(F.col("rest"))).when(F.col("hot"), F.array("rest")).otherwise(whole)
     probes = probes.join(hot, ["seg", "value"], "left").select("seg", "value", "own", "b", F.explode(inner).alias("inner"))
-    met = held.join(probes, ["seg", "value", "inner"])
+    # Spark estimates both sides by the file of fps, whatever they explode to, and would broadcast millions of probes.
+    met = held.join(probes.hint("merge"), ["seg", "value", "inner"])
     return met.where((F.col("own") != F.col("value")) | (F.col("a") < F.col("b"))).select("a", "b")
 
 
@@ -99,6 +100,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signed = written(fingerprints(docs, id_col, text_col), "simhash")
     distinct = written(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     root = components(near_links(distinct.select("fp")))
-    placed = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # The same: what has a row per fingerprint or document grows with the input and never goes through the driver.
+    placed = distinct.join(root.hint("merge"), distinct.fp == root.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")).hint("merge"), "root").select("fp", "component_id")
+    return signed.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -131,3 +131,19 @@ def test_grace_splits_until_a_bucket_fits(limit):
         want[c] = (old[0] + n, -best[0], best[1])
     got = {e[1]: tuple(e[2:]) for e in ed.grace(iter(rows), limit=limit)}
     assert got == want
+
+
+def test_simhash_broadcasts_nothing_that_grows_with_the_input(spark):
+    """A fingerprint explodes to 34 probes and more, which Spark's estimates do not see: by them the probes of a small file were
+    broadcast, however many they became."""
+    from brookline.llm.common import written
+    from pyspark.sql import functions as F
+
+    fps = written(spark.range(2000).select(F.xxhash64("id").alias("fp")), "fps")
+    plans = [sh.candidates(fps), sh.simhash_groups(spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")))]
+    for df in plans:
+        df.collect()
+    met, groups = (df._jdf.queryExecution().executedPlan().toString() for df in plans)
+    assert "SortMergeJoin [seg" in met and "BroadcastHashJoin" not in groups
+    joins = [line for line in met.split("\n") if "BroadcastHashJoin [seg" in line]
+    assert all("inner" not in line for line in joins)
