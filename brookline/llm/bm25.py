@@ -1,14 +1,16 @@
-"""Exact top-k search by BM25 on an inverted index, with block-max WAND in every shard.
+"""Exact top-k search by BM25 on an inverted index, with a matrix of common terms in every shard.
 
 Each input partition is indexed in shards of SHARD_BYTES of text at most. A shard's documents are put in order of their
 commonest term and length, so that alike ones lie together, and cut into blocks of BLOCK_DOCS; its posting lists are one
 row. Document counts, the mean length and document frequencies are taken over all shards, so that scores are global.
 
 All distinct terms of a query count, however long it is. Queries go in blocks of about BLOCK_TERMS terms (a query is never
-parted), the only thing that is broadcast. In a shard, a query's bound for a block of documents is the sum of its terms'
-greatest impacts there. The documents of the FIRST_BLOCKS best blocks are scored whole, which raises the threshold: the
-k-th best score of the query in all that the task has seen, in this shard and in those before. Then only blocks whose
-bound reaches the threshold are scored, in runs of blocks of which at most GAP between two such blocks do not reach it.
+parted), the only thing that is broadcast. In a shard, the impacts of its commonest
+terms (at most COMMON, those in one document of RARE at least) are also the rows of a matrix, which gives the sums over
+these terms of some queries at once by one product; the posting lists of all other terms are added to it. Documents whose
+sums reach the threshold, the k-th best score of the query in all that the task has seen, in this shard and in those
+before, within what single precision may lose, are scored again exactly, in the order of terms, from the same postings by
+document. A shard whose greatest impacts cannot reach it is passed over.
 What is left out cannot be among the k best. A task sends its k best of each query, and they are merged exactly. Equal
 scores rank by smaller id.
 
@@ -20,6 +22,7 @@ one qid are one query; an empty table gives an empty table; other columns are le
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,9 @@ from pyspark.sql import Window as W
 
 from .common import written
 
-K1, B, TOP, BLOCK_TERMS, BLOCK_DOCS, FIRST_BLOCKS, GAP, SHARD_BYTES = 1.2, 0.75, 10, 1 << 20, 32, 2, 32, 24 << 20
-SLACK = 1 + 1e-9  # sums of bounds and of impacts may round apart
+K1, B, TOP, BLOCK_TERMS, BLOCK_DOCS, GAP, SHARD_BYTES = 1.2, 0.75, 10, 1 << 20, 32, 2, 24 << 20
+SLACK = 1e-4  # 512 terms in single precision may lose 512 / 2 ** 24 of a sum, a third of this
+COMMON, RARE, CELLS, TOGETHER = 512, 100, 1 << 22, 32
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -149,8 +153,8 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """What a shard has for the terms of a block of queries: postings with their impacts, and for each term its blocks of
-    documents with the greatest impact and where the postings start."""
+    """What a shard has for the terms of a block of queries: postings with their impacts, by term and by document, and for
+    each term how many there are and the greatest impact in each block of documents."""
 
     def __init__(self, row: dict, asked: Asked, mean: float) -> None:
         self.ids = np.frombuffer(row["ids"], "<i8")
@@ -160,51 +164,87 @@ class Shard:
         here = np.flatnonzero(np.asarray(at.is_valid()))
         at = np.asarray(at.drop_null()).astype(np.int64)
         starts = np.append(0, ends)[at]
-        n = ends[at] - starts if len(at) else starts
-        which = ranges(starts, starts + n)
-        self.docs = np.frombuffer(row["docs"], "<i4")[which].astype(np.int64)
+        self.n = np.zeros(len(asked.terms), np.int64)
+        self.n[here] = ends[at] - starts if len(at) else starts
+        self.begin = np.cumsum(self.n) - self.n
+        which = ranges(starts, starts + self.n[here])
+        self.docs = np.frombuffer(row["docs"], "<i4")[which]
         tf = np.frombuffer(row["counts"], "<i4")[which].astype(float)
-        term = np.repeat(here, n)
+        term = np.repeat(here.astype(np.int32), self.n[here])
         self.impact = asked.idf[term] * tf * (K1 + 1) / (tf + weight[self.docs])
         self.n_blocks = max(1, -(-len(self.ids) // BLOCK_DOCS))
-        key = term * self.n_blocks + self.docs // BLOCK_DOCS
+        del which, tf
+        key = term.astype(np.int64) * self.n_blocks + self.docs // BLOCK_DOCS
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.key, self.begin = key[first], np.append(first, len(key))
-        self.block = self.key % self.n_blocks
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
-        self.entries = np.searchsorted(self.key, np.arange(len(asked.terms) + 1) * self.n_blocks)
-
-    def scores(self, terms: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        """The scores of all documents in the runs of these blocks (of others 0), summed in the order of terms."""
-        ends = np.flatnonzero(np.diff(alive) > GAP)
-        cuts = np.column_stack([alive[np.append(0, ends + 1)], alive[np.append(ends, len(alive) - 1)] + 1])
-        at = self.begin[np.searchsorted(self.key, (terms[:, None] * self.n_blocks + cuts.ravel()[None]).ravel())].reshape(-1, 2)
-        at = at[at[:, 0] < at[:, 1]].tolist()
-        if not at:
-            return np.zeros(len(self.ids))
-        return np.bincount(np.concatenate([self.docs[a:b] for a, b in at]), np.concatenate([self.impact[a:b] for a, b in at]), len(self.ids))
-
-    def best(self, terms: np.ndarray, k: int, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of this shard's documents and of those that are known (scores, ids), best first."""
-        at = [(a, b) for a, b in zip(self.entries[terms].tolist(), self.entries[terms + 1].tolist(), strict=True) if a < b]
-        if not at:
-            return score, ids
-        bound = np.bincount(np.concatenate([self.block[a:b] for a, b in at]), np.concatenate([self.most[a:b] for a, b in at]), self.n_blocks) * SLACK
-        first = np.sort(np.argpartition(-bound, FIRST_BLOCKS - 1)[:FIRST_BLOCKS]) if self.n_blocks > FIRST_BLOCKS else np.arange(self.n_blocks)
+        self.block = (key[first] % self.n_blocks).astype(np.int32)
+        self.starts = np.arange(0, max(1, len(self.ids)), BLOCK_DOCS * GAP)
+        self.entries = np.searchsorted(key[first], np.arange(len(asked.terms) + 1) * self.n_blocks)
+        self.top = np.zeros(len(asked.terms))
+        if len(here):
+            self.top[here] = np.maximum.reduceat(self.most, self.entries[here])
+        del key, first
+        # The commonest terms' impacts as a matrix of CELLS numbers at most.
+        often = np.argsort(-self.n, kind="stable")[: min(COMMON, CELLS // max(1, len(self.ids)))]
+        often = often[self.n[often] * RARE > len(self.ids)]
+        self.column = np.full(len(asked.terms), -1)
+        self.column[often] = np.arange(len(often))
+        self.common = np.zeros((len(often), len(self.ids)), np.float32)
+        for i, (lo, n) in enumerate(zip(self.begin[often].tolist(), self.n[often].tolist(), strict=True)):
+            self.common[i, self.docs[lo : lo + n]] = self.impact[lo : lo + n]
+        # The same by document, each one's terms in order (of 16 bits, numbers are sorted by radix).
+        by = np.argsort(self.docs.astype(np.uint16) if len(self.ids) <= 1 << 16 else self.docs, kind="stable")
+        self.doc_term, self.doc_impact = term[by], self.impact[by]
+        self.doc_begin = np.append(0, np.cumsum(np.bincount(self.docs, minlength=len(self.ids))))
+        self.asked = np.zeros(len(asked.terms), bool)
+
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        """The scores of these documents for the terms that are marked, summed in the order of terms."""
+        if not len(docs):
+            return np.empty(0)
+        at = list(zip(self.doc_begin[docs].tolist(), self.doc_begin[docs + 1].tolist(), strict=True))
+        mine = np.flatnonzero(self.asked[np.concatenate([self.doc_term[a:b] for a, b in at])])
+        impact = np.concatenate([self.doc_impact[a:b] for a, b in at])[mine]
+        return np.bincount(np.searchsorted(np.cumsum([b - a for a, b in at]), mine, "right"), impact, len(docs))
+
+    def reached(self, part: np.ndarray, k: int) -> float:
+        """What k documents reach at least: the k-th of the greatest sums in groups of BLOCK_DOCS * GAP documents, or of all."""
+        sums = np.maximum.reduceat(part, self.starts)
+        sums = sums if len(sums) >= 4 * k else part
+        return float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0
+
+    def common_sums(self, queries: list[np.ndarray]) -> np.ndarray:
+        """For each of these queries (their terms) all documents' sums over the common terms."""
+        wanted = np.zeros((len(queries), len(self.common)), np.float32)
+        for i, terms in enumerate(queries):
+            own = self.column[terms]
+            wanted[i, own[own >= 0]] = 1
+        return wanted @ self.common
+
+    def best(self, terms: np.ndarray, k: int, score: np.ndarray, ids: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of this shard's documents and of those that are known (scores, ids), best first. common: the query's row of
+        common_sums(), where it is made."""
         floor = score[-1] if len(score) == k else 0.0
-        some = self.scores(terms, first)
-        if np.count_nonzero(some) >= k:
-            floor = max(floor, np.partition(some, -k)[-k])
-        alive = np.flatnonzero((bound >= floor) & (bound > 0))
-        if not len(alive):
+        if not self.n[terms].any() or self.top[terms].sum() * (1 + SLACK) < floor:
             return score, ids
-        sums = self.scores(terms, alive)
-        found = np.flatnonzero((sums >= floor) & (sums > 0))
+        part = (self.common_sums([terms])[0] if common is None else common).astype(float)
+        rare = terms[(self.column[terms] < 0) & (self.n[terms] > 0)]
+        if len(rare):
+            at = list(zip(self.begin[rare].tolist(), (self.begin[rare] + self.n[rare]).tolist(), strict=True))
+            part += np.bincount(np.concatenate([self.docs[a:b] for a, b in at]), np.concatenate([self.impact[a:b] for a, b in at]), len(part))
+        floor = max(floor, self.reached(part, k) * (1 - SLACK))
+        found = np.flatnonzero((part * (1 + SLACK) >= floor) & (part > 0))
+        if len(found) > k:
+            found = found[part[found] * (1 + SLACK) >= np.partition(part[found], -k)[-k] * (1 - SLACK)]
+        self.asked[terms] = True
+        sums = self.scores(found)
+        self.asked[terms] = False
         if len(found) > k:
-            found = found[sums[found] >= np.partition(sums[found], -k)[-k]]
-        score, ids = np.append(score, sums[found]), np.append(ids, self.ids[found])
-        top = np.lexsort((ids, -score))[:k]
-        return score[top], ids[top]
+            keep = sums >= np.partition(sums, -k)[-k]
+            found, sums = found[keep], sums[keep]
+        score, ids = np.append(score, sums), np.append(ids, self.ids[found])
+        best = np.lexsort((ids, -score))[:k]
+        return score[best], ids[best]
 
 
 def _searched(asked, mean: float, k: int):
@@ -216,8 +256,11 @@ def _searched(asked, mean: float, k: int):
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.slice(i, 1).to_pylist()[0], block, mean)
-                for q in range(len(block.qid)):
-                    known[q] = shard.best(block.term[block.cuts[q] : block.cuts[q + 1]], k, *known[q])
+                some = max(1, min(TOGETHER, CELLS // max(1, len(shard.ids))))
+                for lo in range(0, len(block.qid), some):
+                    queries = [block.term[a:b] for a, b in pairwise(block.cuts[lo : lo + some + 1])]
+                    for q, (terms, sums) in enumerate(zip(queries, shard.common_sums(queries), strict=True), lo):
+                        known[q] = shard.best(terms, k, *known[q], sums)
         for lo in range(0, len(known), 1000):
             some = known[lo : lo + 1000]
             qids = np.repeat(block.qid[lo : lo + 1000], [len(s) for s, _ in some])

@@ -115,3 +115,29 @@ def test_all_terms_of_a_long_query_count(spark):
     query = [(7, " ".join(strong * 2 + weak))]
     got = bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(query, "qid long, text string"))
     assert rounded(got) == brute(docs, query) and rounded(got)[0][2] == 1
+
+
+def test_common_terms_are_summed_for_many_queries_at_once(monkeypatch):
+    """Long queries of common words: the long posting lists are a matrix, and what it leaves to single lists is short; results
+    are those of plain sums in double precision, ties too."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(300)], k=r.randint(1, 80))) for _ in range(900)]
+    texts += texts[:50]
+    row = next(bm25.shard_rows(np.arange(950), pa.array(texts, pa.large_string()), 0)).to_pylist()[0]
+    queries = [(q, sorted(set(texts[q].split()))) for q in range(0, 950, 19)]
+    df = {w: sum(w in t.split() for t in texts) for w in words}
+    rows = [(q, w, np.log1p((950 - df[w] + 0.5) / (df[w] + 0.5))) for q, own in queries for w in own]
+    asked = bm25.Asked(pa.table({n: list(c) for n, c in zip(("qid", "term", "idf"), zip(*rows, strict=True), strict=True)}))
+    mean = sum(len(t.split()) for t in texts) / 950
+    shard, lists = bm25.Shard(row, asked, mean), [asked.term[a:b] for a, b in zip(asked.cuts[:-1], asked.cuts[1:], strict=True)]
+    left = sum(int(shard.n[t][shard.column[t] < 0].sum()) for t in lists)
+    assert left * 10 < sum(int(shard.n[t].sum()) for t in lists)
+    none = np.empty(0), np.empty(0, np.int64)
+    for terms, sums in zip(lists, shard.common_sums(lists), strict=True):
+        shard.asked[terms] = True
+        plain = shard.scores(np.arange(950))
+        shard.asked[terms] = False
+        want = np.lexsort((shard.ids, -plain))[: bm25.TOP]
+        for got in (shard.best(terms, bm25.TOP, *none, sums), shard.best(terms, bm25.TOP, *none)):
+            assert got[0].tolist() == plain[want].tolist() and got[1].tolist() == shard.ids[want].tolist()
