@@ -371,9 +371,12 @@ def capture(df: DataFrame, series: str, path: str, missing: str = "zero", invali
 
 def capture_classes(classes: DataFrame, declared: Sequence[str], path: str, missing: str = "zero", invalid: str = "zero") -> DataFrame:
     """Telemetry of nodes by class (node_id, scenario_id, class_id, bin, total, value) as bin_index,classId,value files per
-    node, with a manifest of how far the declared classes cover each node; gives the manifest's rows."""
-    filled = fill_gaps(classes, "value", missing, invalid)
-    filled.select("node_id", F.col("bin").alias("bin_index"), F.col("class_id").alias("classId"), "value").write.mode("overwrite").option("header", True).partitionBy("node_id").csv(f"{path}/series")
+    node, with a manifest of how far the declared classes cover each node; gives the manifest's rows. Time goes by files, not by
+    bytes: nodes are dealt to a fixed number of tasks (by size, few bytes would be one task's), a file each, and tasks put
+    their files in place themselves. The manifest comes last."""
+    filled, tasks = fill_gaps(classes, "value", missing, invalid), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = filled.select("node_id", F.col("bin").alias("bin_index"), F.col("class_id").alias("classId"), "value").repartition(tasks, F.xxhash64("node_id"))  # by node_id itself, Spark may keep what AQE has made one task
+    lines.write.mode("overwrite").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("node_id").csv(f"{path}/series")
     gaps = filled.groupBy("node_id").agg(F.count("gap").alias("gaps"))
     rows = class_coverage(filled, declared).join(gaps, "node_id").withColumn("schema_version", F.lit(2))
     rows.write.mode("overwrite").json(f"{path}/manifest")

@@ -425,3 +425,15 @@ def test_a_grid_that_the_events_give(spark, tmp_path):
     got = binned_whole(spark, str(tmp_path)).orderBy("bin").collect()
     assert [(r.arrivals, r.served) for r in got] == [(1, 0), (0, 0), (1, 0), (0, 1)] and str(got[3].bin_start) == "2000-01-01 02:00:00"
     assert binned_whole(spark, str(tmp_path), by=["user_id"]).count() == 8
+
+
+def test_captured_files_are_written_by_several_tasks(spark, tmp_path):
+    """Few bytes, many files: by size they were one task's, however many nodes there were."""
+    from brookline.sources import series_files
+    from pyspark.sql import functions as F
+
+    n = spark.range(40).select(F.lit(0).cast("long").alias("scenario_id"), F.col("id").alias("node_id"), F.lit(0).cast("long").alias("bin"), F.lit("a").alias("class_id"), F.lit(1.0).alias("value"), F.lit(1.0).alias("total"))
+    made = series_files.capture_classes(n.repartition("node_id"), ["a"], str(tmp_path / "c"))
+    assert made.count() == 40 and {r.coverage for r in made.collect()} == {"full"}
+    files = [f.name for f in (tmp_path / "c" / "series").rglob("part-*.csv")]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
