@@ -62,6 +62,7 @@ def goal_seek_each(model: dict, data: DataFrame, keys: Sequence[str], goals: Dat
     the next `depth` halvings can reach."""
     size = (1 << depth) - 1
     ends = goals.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.col(c).cast("double").alias(parameter)) for i, c in enumerate(("low", "high"))])).alias("_p")).select(*keys, "_p.*")
+    data = cut(data)  # every round reads it
     start = goals.join(_by_point(mean_at(model, data, ends, keys, [parameter], metric), keys), list(keys))
     off = [F.col("means")[i] - F.col("target") for i in (0, 1)]
     met = [F.abs(x) < tolerance for x in off]
@@ -137,6 +138,7 @@ def optimise_each(model: dict, data: DataFrame, keys: Sequence[str], entities: D
         """Vertices by value; of equal ones the one that was before."""
         return F.array_sort(F.transform(points, lambda v, k: F.struct(v["f"].alias("f"), k.alias("i"), v["x"].alias("x"))))
 
+    data = cut(data)  # every round reads it
     begin = F.array(*[F.array(*map(F.lit, x)) for x in first])
     start = evaluated(entities.select(*keys).distinct(), begin)
     simplex = ordered(F.zip_with(begin, "means", lambda x, f: F.struct((F.lit(sign) * f).alias("f"), F.lit(0).alias("i"), x.alias("x"))))

@@ -90,3 +90,23 @@ def test_nelder_mead_of_many(spark):
     top = searches.optimise_each(m, data, KEYS, data, {"p": (0, 5)}, "g", maximise=True).collect()
     assert {round(r.p, 3) for r in top} == {5.0} and all(r.mean == pytest.approx(-16, abs=1e-2) for r in top)
     assert {(r.converged, r.iterations) for r in searches.optimise_each(m, data, KEYS, data, {"p": (-10, 10), "q": (-10, 10)}, "f", most=3).collect()} == {(False, 3)}
+
+
+def test_rounds_do_not_make_their_data_again(spark, monkeypatch):
+    """A search's data is made once; before, each round read and aggregated the events anew."""
+    from brookline.plans import searches
+    from pyspark.sql import functions as F
+
+    plans, mean_at = [], searches.mean_at
+
+    def noted(model, data, *rest):
+        plans.append(data._jdf.queryExecution().optimizedPlan().toString())
+        return mean_at(model, data, *rest)
+
+    monkeypatch.setattr(searches, "mean_at", noted)
+    model = {"grid": {"bins": 2, "binSize": 1, "binUnit": "days"}, "nodes": [*({"id": i, "kind": "const", "values": [0.0, 0.0]} for i in ("a", "x")), {"id": "y", "kind": "expr", "expr": "(a - x) * (a - x)"}]}
+    data = spark.range(6).groupBy(F.lit(0).cast("long").alias("scenario_id"), (F.col("id") % 3).alias("who"), (F.col("id") % 2).alias("bin")).agg(F.count("*").cast("double").alias("a"))
+    searches.optimise_each(model, data, ("scenario_id", "who"), data.select("scenario_id", "who"), {"x": (0.0, 4.0)}, "y", most=2)
+    goals = data.select("scenario_id", "who", F.lit(0.5).alias("target"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")).distinct()
+    searches.goal_seek_each(model, data, ("scenario_id", "who"), goals, "x", "y", most=2, depth=1)
+    assert len(plans) > 3 and not any("Range" in p or "Aggregate" in p for p in plans)
