@@ -278,8 +278,8 @@ _RELATED = "p as (select a.o_orderkey as id, b.o_orderkey as other, a.o_orderdat
 @query(f"with {_RELATED} select id, rank, other, gap::bigint as gap from (select id, other, abs(epoch(x) - epoch(y)) as gap, row_number() over (partition by id order by abs(epoch(x) - epoch(y)), other) as rank from p where id <> other) where rank <= 5")
 def related_models(spark, sf):
     """Related runs, a shared model within three days among the reasons."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 97).alias("model_id"))
-    return registry.related(_artifacts(spark, sf).join(o, "id"), model_hours=72).select("id", F.col("rank").cast("long").alias("rank"), "other", "gap")
+    runs = _artifacts(spark, sf, (F.col("o_custkey") % 97).alias("model_id"))
+    return registry.related(runs, model_hours=72).select("id", F.col("rank").cast("long").alias("rank"), "other", "gap")
 
 
 @query("with t as (select o_custkey as c from orders where o_orderkey in (1, 2, 3)) select o_orderkey as id, o_orderpriority as title from orders where o_orderstatus <> 'P' and o_custkey in (select c from t) and o_orderkey not in (1, 2, 3)")

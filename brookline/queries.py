@@ -540,9 +540,9 @@ def model(bins: int = 24) -> dict:
 # --- registry, export -------------------------------------------------------------------------------------------------
 
 
-def _artifacts(spark, sf) -> DataFrame:
+def _artifacts(spark, sf, *more: F.Column) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return o.select(F.col("o_orderkey").alias("id"), F.lit("run").alias("kind"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created"), F.col("o_totalprice").alias("size"), F.array(F.concat(F.lit("c"), F.col("o_custkey"))).alias("tags"), (F.col("o_orderstatus") == "P").alias("archived"), F.col("o_orderstatus").alias("template_id"))
+    return o.select(F.col("o_orderkey").alias("id"), F.lit("run").alias("kind"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created"), F.col("o_totalprice").alias("size"), F.array(F.concat(F.lit("c"), F.col("o_custkey"))).alias("tags"), (F.col("o_orderstatus") == "P").alias("archived"), F.col("o_orderstatus").alias("template_id"), *more)
 
 
 @query("select o_orderkey as id, o_orderpriority as title, o_totalprice as size from orders where o_orderstatus <> 'P' and lower(o_orderkey || ' ' || o_orderpriority) like '%urgent%' and o_totalprice between 1000 and 300000 order by o_totalprice desc, o_orderkey limit 50 offset 10")

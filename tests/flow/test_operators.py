@@ -299,6 +299,22 @@ def test_related_runs_of_one_time_and_one_tag(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_related_runs_are_made_pairs_only_where_their_rows_have_met(spark):
+    r = random.Random(5)
+    rows = [(i, ["a", "b", "a"] if i % 3 else ["b"], 1_000_000 + 1800 * r.randrange(60), i % 4 or None) for i in range(90)] + [(900, ["z"], None, 1), (901, None, 1_000_000, 2)]
+    runs = spark.createDataFrame(rows, "id long, tags array<string>, at long, model_id long").select("id", "tags", F.timestamp_seconds("at").alias("created"), "model_id")
+    related = registry.related(runs, hours=1.0, model_hours=2.0)
+    want = []
+    for i, t, x, m in rows:
+        known = [(abs(x - y), j, u, n) for j, u, y, n in rows if j != i and x is not None and y is not None]
+        near = sorted((g, j) for g, j, u, n in known if set(t or ()) & set(u or ()) or g < 3600 or (m is not None and m == n and g < 7200))
+        want += [(i, rank, j, g) for rank, (g, j) in enumerate(near[:5], 1)]
+    assert sorted(map(tuple, related.collect())) == sorted(want)
+    # By id travels a row for each reason: pairs are neither counted out before that exchange nor sent through it.
+    plan = related._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(near") < plan.index("RepartitionByExpression [id") < plan.index("Union") and "Aggregate [id" not in plan
+
+
 GOOD = "bin_index,value\n0,10\n2,30\n\n1,\n"
 
 
